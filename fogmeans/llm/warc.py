@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -45,11 +46,11 @@ def roles(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "digest", "bytes", F.when(~F.col("best").eqNullSafe(F.col("page_id")), F.col("best")).alias("keeper"))
 
 
-def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "none") -> None:
+def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write a request, a response or revisit, and a metadata record of each page (page_id, url, html) to files under ``path``.
 
     Null html is the empty payload; a null url is empty; line breaks in urls are dropped. Repeated page_ids with different
-    payloads are captures of their own; fully equal rows are one capture when read.
+    payloads are captures of their own; fully equal rows are one capture when read. Files are compressed as a whole.
     """
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").alias("pid"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("uri"), payload.alias("body"), F.sha1(payload.cast("binary")).alias("dig"))
@@ -110,7 +111,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held = [], 0
-                for r in parse_file(batch.column(0)[i].as_buffer().to_pybytes()):
+                raw = batch.column(0)[i].as_buffer().to_pybytes()
+                for r in parse_file(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     held += len(r["payload"] or b"")
                     rows.append(r if payloads else r | {"payload": None})
                     if held > 8 << 20:
