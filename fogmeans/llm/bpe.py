@@ -23,8 +23,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf of the tree, and bytes of a leaf inside one long match.
 LEAF = 4096
 PIECE = 2048
-#: A safe place: a letter before a space or newline, which all Unicode versions tell apart alike.
-_SAFE = regex.compile(r"\p{L}(?=[ \n])")
+#: A safe place: a letter or printable ASCII before a space or newline, which all Unicode versions tell apart alike.
+_SAFE = regex.compile(r"[!-~\p{L}](?=[ \n])")
 #: Characters with the property White_Space (fixed values), as the tiktoken library's \\s has them; Python's has four more.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -79,7 +79,7 @@ class TreeBpe:
             if m is None:
                 return None, -1, -1
             at, last = m.end(), -1
-            for last in (i for i in range(hi - 1, lo, -1) if text[i] in " \n" and text[i - 1].isalpha()):
+            for last in (i for i in range(hi - 1, lo, -1) if text[i] in " \n" and (text[i - 1].isalpha() or "!" <= text[i - 1] <= "~")):
                 break
             return self._plain(text[lo:hi]), at, last if last > 0 else at
         mid = (lo + hi) // 2

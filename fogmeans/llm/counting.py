@@ -10,13 +10,13 @@ from .bpe import coder, default_ranks
 
 #: Characters of a block at least.
 BLOCK = 512
-_SAFE = regex.compile(r"\p{L}(?=[ \n])")
+_SAFE = regex.compile(r"[!-~\p{L}](?=[ \n])")
 
 
 class TokenTree:
     """Token count of a text under edits.
 
-    Blocks begin where a letter is followed by a space or newline; pre-tokens never cross such a place, so a text's count is
+    Blocks begin where a letter or printable ASCII is followed by a space or newline; pre-tokens never cross such a place, so a text's count is
     the sum over its blocks. Nodes hold sums of (characters, tokens); an edit updates one path for each block it changes.
     """
 
