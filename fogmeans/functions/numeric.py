@@ -71,9 +71,9 @@ def t_quantile(p: float, df: float) -> float:
 
 
 def t_interval(values, level: float = 0.95) -> tuple[float, float, float]:
-    """Mean and its interval; NaN bounds for fewer than two values, all NaN with any NaN."""
-    v = np.asarray(list(values), float)
-    if not len(v) or np.isnan(v).any():
+    """Mean and its interval over the finite values; NaN bounds for fewer than two, all NaN without any."""
+    v = np.array([x for x in values if math.isfinite(x)], float)
+    if not len(v):
         return (math.nan,) * 3
     mean = float(v.mean())
     if len(v) < 2:
@@ -97,14 +97,44 @@ def signed_rank(diffs) -> tuple[float, float]:
     d = np.array([x for x in diffs if not math.isnan(x) and abs(x) > 1e-12])
     if not len(d):
         return 0.0, 1.0
+    w, ways = _null_ways(d)
+    low, high = ways[: w + 1].sum(), ways[w:].sum()
+    return w / 2, float(min(1.0, 2 * min(low, high) / 2.0 ** len(d)))
+
+
+def _null_ways(d: np.ndarray) -> tuple[int, np.ndarray]:
+    """Twice W+, and how many sign patterns give each doubled rank sum. Infinite sizes rank last, together."""
     twice = np.rint(2 * mid_ranks(np.round(np.abs(d), 12))).astype(int)
     ways = np.zeros(twice.sum() + 1)
     ways[0] = 1.0
     for r in twice:
         ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
-    w = int(twice[d > 0].sum())
-    low, high = ways[: w + 1].sum(), ways[w:].sum()
-    return w / 2, float(min(1.0, 2 * min(low, high) / 2.0 ** len(d)))
+    return int(twice[d > 0].sum()), ways
+
+
+def signed_rank_auto(diffs, greater: bool = False) -> float:
+    """Signed-rank p in the common form: exact up to 50 differences without zeros and ties, else normal with tie correction.
+
+    Two-sided, or for differences over zero. NaN where no difference is left.
+    """
+    every = [x for x in diffs if not math.isnan(x)]
+    d = np.array([x for x in every if x != 0.0])
+    if not len(d) or np.all(np.abs(d) <= 1e-12):
+        return math.nan
+    sizes, counts = np.unique(np.abs(d), return_counts=True)
+    if len(every) <= 50 and len(sizes) == len(every):
+        twice = np.rint(2 * mid_ranks(np.abs(d))).astype(int)
+        ways = np.zeros(twice.sum() + 1)
+        ways[0] = 1.0
+        for r in twice:
+            ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
+        w = int(twice[d > 0].sum())
+        low, high = ways[: w + 1].sum() / 2.0 ** len(d), ways[w:].sum() / 2.0 ** len(d)
+        return float(high if greater else min(1.0, 2 * min(low, high)))
+    n, w = len(d), float(mid_ranks(np.abs(d))[d > 0].sum())
+    var = (n * (n + 1) * (2 * n + 1) - float((counts**3 - counts).sum()) / 2) / 24
+    z = (w - n * (n + 1) / 4) / math.sqrt(var)
+    return math.erfc(z / math.sqrt(2)) / 2 if greater else math.erfc(abs(z) / math.sqrt(2))
 
 
 def holm(ps) -> list[float]:

@@ -98,50 +98,101 @@ def split_rows(points: DataFrame, share: float = 0.2, seed: int = 0) -> DataFram
     return points.join(F.broadcast(n), "client").withColumn("test", r <= F.col("k")).drop("n", "k")
 
 
-#: Centres and deviation of the synthetic mixture.
+#: Centres of the synthetic mixtures.
 CENTERS = ((-5.0, -4.0), (-1.0, 5.0), (5.0, -3.5), (6.5, 5.0))
-STD = 0.75
-
-
-def synthetic(scenario: str, clients: int = 12, rows: int = 220, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(x, y) of each client: a mixture whose proportions or sizes the scenario skews.
-
-    iid, dirichlet_<alpha>, cluster_skew (two clusters of a Dirichlet 0.08), cluster_skew_hard (one holds 0.92),
-    private_cluster (the last belongs to one client), quantity_skew, quantity_skew_extreme, overlap_noise.
+NOISY_CENTERS = ((-3.2, -2.8), (-1.2, 2.8), (2.7, -2.2), (3.4, 2.7))
+OVERLAP_CENTERS = ((-2.6, -2.2), (-0.9, 2.3), (2.3, -1.8), (2.8, 2.3))
+#: Fixed values of scenarios with a mixture of their own: centres, deviation, share of noise. Elsewhere CENTERS, 0.75, 0.
+MIXTURES = {"overlap_noise": (NOISY_CENTERS, 1.25, 0.08), "overlap_noise_hard": (NOISY_CENTERS, 1.55, 0.14), "cluster_skew_overlap": (OVERLAP_CENTERS, 1.45, 0.0)}
+#: Fixed values of scenarios with unequal clients: range of the geometric sizes, rows at least.
+SIZES = {"quantity_skew": (0.25, 2.5, 40), "quantity_skew_extreme": (0.05, 8.0, 20)}
+#: Concentration of the Dirichlet shares of scenarios named otherwise than dirichlet_<alpha>.
+ALPHAS = {"cluster_skew": 0.08, "quantity_skew": 0.25, "quantity_skew_extreme": 0.25, "overlap_noise": 0.35, "overlap_noise_hard": 0.35}
+
+
+def _holder_shares(rng, holds: bool, own: list[float], alphas: list[float]) -> np.ndarray:
+    """Fixed shares for clients that hold the last cluster; the others draw theirs of the rest."""
+    return np.array(own) if holds else np.append(rng.dirichlet(alphas), 0.0)
+
+
+def shares_of(scenario: str, c: int, clients: int, k: int, rng) -> np.ndarray:
+    """Cluster shares of client c. Clients must be asked in order, as all draw from one generator."""
+    if scenario == "iid":
+        return np.full(k, 1 / k)
+    if scenario in ("cluster_skew_hard", "cluster_skew_overlap"):
+        p = np.zeros(k)
+        p[[c % k, (c + rng.integers(1, k)) % k]] = 0.92, 0.08
+        return p
+    if scenario == "private_cluster":
+        return _holder_shares(rng, c < max(1, clients // 4), [0.25, 0.2, 0.1, 0.45], [1.2, 1.0, 1.0])
+    if scenario == "minority_private_cluster":
+        return _holder_shares(rng, c in (0, max(1, clients // 2)), [0.06, 0.07, 0.07, 0.8], [0.9, 0.9, 0.9])
+    alpha = float(scenario.removeprefix("dirichlet_")) if scenario.startswith("dirichlet_") else ALPHAS.get(scenario)
+    if alpha is None:
+        raise ValueError(f"unknown scenario {scenario}")
+    p = rng.dirichlet(np.full(k, alpha))
+    if scenario == "cluster_skew":  # the two largest clusters only
+        p[np.argsort(p)[:-2]] = 0
+        p = p / p.sum()
+    return p
+
+
+def synthetic(scenario: str, clients: int = 12, rows: int = 220, seed: int | None = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of each client: draws from one mixture whose shares, sizes, overlap or noise the scenario sets.
+
+    iid, dirichlet_<alpha>, cluster_skew, cluster_skew_hard, cluster_skew_overlap, private_cluster, minority_private_cluster,
+    quantity_skew, quantity_skew_extreme, overlap_noise, overlap_noise_hard. Noise keeps the label of the point it replaces.
     """
-    rng, k = np.random.default_rng(seed), len(CENTERS)
-    sizes = np.full(clients, rows)
-    if scenario.startswith("quantity_skew"):
-        lo, hi, least = (0.05, 8, 20) if scenario.endswith("extreme") else (0.25, 2.5, 40)
-        g = np.geomspace(lo, hi, clients)
-        sizes = np.maximum(least, (g / g.mean() * rows).astype(int))
+    scenario, rng = scenario.lower(), np.random.default_rng(seed)
+    centers, std, noise = MIXTURES.get(scenario, (CENTERS, 0.75, 0.0))
+    v, sizes = np.array(centers), [rows] * clients
+    if scenario in SIZES:
+        lo, hi, least = SIZES[scenario]
+        g = np.geomspace(lo, hi, num=clients)
+        sizes = [max(least, round(float(t))) for t in rows * (g / g.mean())]
     out = []
-    for c in range(clients):
-        p = np.full(k, 1 / k)
-        if scenario.startswith("dirichlet_"):
-            p = rng.dirichlet(np.full(k, float(scenario.split("_")[1])))
-        elif scenario == "cluster_skew":
-            p = rng.dirichlet(np.full(k, 0.08))
-            p = np.where(p >= np.sort(p)[-2], p, 0)
-        elif scenario == "cluster_skew_hard":
-            p = np.where(np.arange(k) == c % k, 0.92, 0.08 / (k - 1))
-        elif scenario == "private_cluster":
-            p = np.where(np.arange(k) == k - 1, 0.0, 1.0) if c else np.where(np.arange(k) == k - 1, 1.0, 0.0)
-        elif scenario.startswith("quantity_skew"):
-            p = rng.dirichlet(np.full(k, 0.25))
-        elif scenario == "overlap_noise":
-            p = rng.dirichlet(np.full(k, 0.35))
-        elif scenario != "iid":
-            raise ValueError(f"unknown scenario {scenario}")
-        y = rng.choice(k, size=int(sizes[c]), p=p / p.sum())
-        x = np.array(CENTERS)[y] + rng.normal(0, STD * (2 if scenario == "overlap_noise" else 1), (len(y), 2))
-        if scenario == "overlap_noise":
-            noisy = rng.random(len(y)) < 0.08
-            x[noisy] = rng.uniform(x.min(axis=0) - 4, x.max(axis=0) + 4, (int(noisy.sum()), 2))
+    for c, n in enumerate(sizes):
+        y = rng.choice(len(v), size=n, p=shares_of(scenario, c, clients, len(v), rng))
+        x = v[y] + rng.normal(0.0, std, size=(n, v.shape[1]))
+        if replaced := round(noise * n):
+            at = rng.choice(n, size=replaced, replace=False)
+            x[at] = rng.uniform(v.min(axis=0) - 4, v.max(axis=0) + 4, size=(replaced, v.shape[1]))
         out.append((x, y))
     return out
 
 
+def support_map(y: np.ndarray, clients: int, per_client: int, seed: int, least: int = 5) -> np.ndarray:
+    """Client of each row, as support_skew() deals them but with each label's rows shuffled; only ``y`` is needed here."""
+    rng, labels, out = np.random.default_rng(seed), np.unique(y), np.empty(len(y), int)
+    held = [{(c + i) % len(labels) for i in range(max(1, min(per_client, len(labels))))} for c in range(clients)]
+    for at, label in enumerate(labels):
+        rows = np.flatnonzero(y == label)
+        rng.shuffle(rows)
+        takers = [c for c in range(clients) if at in held[c]] or [at % clients]
+        for c, part in zip(takers, np.array_split(rows, len(takers)), strict=True):
+            out[part] = c
+    if (sizes := np.bincount(out, minlength=clients)).min() < least:
+        raise RuntimeError(f"a client has fewer than {least} rows: {sizes.tolist()}")
+    return out
+
+
+def split_positions(sizes: list[int], seed: int, share: float = 0.2) -> list[np.ndarray]:
+    """Of each client which rows are held out: the first of one seeded permutation a client, from one generator."""
+    rng, out = np.random.default_rng(seed), []
+    for n in sizes:
+        test = np.zeros(n, bool)
+        test[rng.permutation(n)[: int(min(n - 1, max(1, np.floor(share * n + 0.5))))]] = True
+        out.append(test)
+    return out
+
+
+def sampled_centers(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k distinct rows as first centres."""
+    if len(x) < k:
+        raise ValueError(f"{len(x)} rows for {k} centres")
+    return x[np.random.default_rng(seed).choice(len(x), size=k, replace=False)].copy()
+
+
 def to_points(spark: SparkSession, clients: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     rows = [(c, i, [float(t) for t in a], int(b)) for c, (x, y) in enumerate(clients) for i, (a, b) in enumerate(zip(x, y, strict=True))]
     return spark.createDataFrame(rows, "client int, row_id long, x array<double>, y int")
