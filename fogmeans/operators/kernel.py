@@ -112,3 +112,44 @@ def server_step(sums: DataFrame, centers: DataFrame, gate: Column | None = None,
     target = vector_sums(rows, ["j"], F.col("w"), dim)
     damped = F.when(F.col("mass") > EPS, F.zip_with("v", F.transform("s", lambda t: t / F.col("mass")), lambda a, b: (1 - lr) * a + lr * b)).otherwise(F.col("v"))
     return centers.join(F.broadcast(target), "j").select("j", damped.alias("v"))
+
+
+def moments(points: DataFrame, *by: str) -> DataFrame:
+    """Of each group: n, mean array<double> and cov array<double>, the lower triangle of the sample covariance of x by rows.
+
+    A task adds up its batches in matrix products and sends one row of d (d + 3) / 2 + 1 numbers a group it saw; they are
+    summed by number. Sums are taken about one row of the table, so that large means don't eat the digits.
+    """
+    top = points.select("x").head()
+    shift = np.array(top["x"] if top else [])
+    d = len(shift)
+    low = np.tril_indices(d)
+    kinds = dict(points.dtypes)
+    keys = "".join(f"`{b}` {kinds[b]}, " for b in by)
+
+    def add(batches):
+        import pandas as pd
+
+        total: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(list(by), dropna=False) if by else [((), pdf)]:
+                if len(g):
+                    z = np.stack(g["x"].to_list()) - shift
+                    total[key] = total.get(key, 0.0) + np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z)[low]])
+        if total:
+            yield pd.DataFrame([(*k, t.tolist()) for k, t in total.items()], columns=[*by, "flat"])
+
+    rows = points.select(*by, "x").mapInPandas(add, f"{keys}flat array<double>").select(*by, F.posexplode("flat").alias("i", "s"))
+    sums = rows.groupBy(*by, "i").agg(F.sum("s").alias("s")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("flat"))
+
+    def finish(batches):
+        for pdf in batches:
+            n, mean, cov = [], [], []
+            for flat in pdf["flat"]:
+                k, z, zz = flat[0], flat[1 : d + 1], flat[d + 1 :]
+                n.append(int(k))
+                mean.append((z / k + shift).tolist())
+                cov.append(((zz - np.outer(z, z)[low] / k) / (k - 1) if k > 1 else np.full(len(zz), np.nan)).tolist())
+            yield pdf.drop(columns="flat").assign(n=n, mean=mean, cov=cov)
+
+    return sums.mapInPandas(finish, f"{keys}n long, mean array<double>, cov array<double>")

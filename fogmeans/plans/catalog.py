@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import gates, kernel, metrics, relation, statistics
+from ..operators import diagnostics, gates, hypotheses, kernel, metrics, relation, statistics
 from ..sources import points as pts
+from . import experiments
 from . import rounds as fed
 
 K = 4
@@ -533,3 +534,152 @@ def calibration_pick(spark, sf):
     g = _r(spark, sf).groupBy("dataset", "seed").agg(F.max(F.when(F.col("arm") == 0, F.col("value"))).alias("objective"), F.max(F.when(F.col("arm") == 1, F.col("value"))).alias("central"))
     grid = g.where("objective is not null and central is not null").withColumn("grid_idx", F.col("seed")).withColumn("step", F.col("seed") / 10.0)
     return statistics.calibrated(grid).select("dataset", r6("step", "step"), r6("gap", "gap"), "n_stable")
+
+
+# --- one round, prototype by prototype -----------------------------------------------------------------------------------
+STATE = f"""{FOOT}, gm as (select client, j, sum(w) mass from u group by client, j), qq as (select client, j, {GATE.format(v='mass')} q from gm), {LOCAL.format(u='u', c='c')},
+cc as (select client, j, list(cx order by i) v2 from lc group by client, j), qd as (select p.*, j, v2 v, {DIST.replace('v)', 'v2)')} d2 from p join cc using (client)),
+qz as (select *, 1 / greatest(d2, 1e-12) / sum(1 / greatest(d2, 1e-12)) over (partition by row_id) uu from qd), pm as (select client, j, sum(uu * uu) post from qz group by client, j),
+sh as (select client, j, any_value(share) b, any_value(n) n, any_value(mass) pre from lc group by client, j),
+st as (select sh.*, post, gate r, q, footprint, v2 c from sh join pm using (client, j) join gg using (client, j) join qq using (client, j) join cc using (client, j))"""
+
+
+def _state(spark, sf):
+    return diagnostics.round_state(*_p(spark, sf))
+
+
+@query(
+    f"{STATE}, w as (select j, c, pre / post om, b * post / sum(b * post) over (partition by j) pi, b * post * r / sum(b * post * r) over (partition by j) pg from st),"
+    " e as (select j, i, sum(pg*om*c[i]) - sum(pg*om)*sum(pg*c[i]) cg, sum(pg*om) mg, sum(pi*om*c[i]) - sum(pi*om)*sum(pi*c[i]) cp, sum(pi*om) mp from w, range(1, 65) t(i) group by j, i)"
+    " select j, round(sqrt(sum(cg*cg)) / any_value(mg), 6) lhs, round(sqrt(sum(cp*cp)) / any_value(mp), 6) rhs from e group by j"
+)
+def substitution_sides(spark, sf):
+    """The SQL takes weighted covariances, the operator distances between targets; both are the same number."""
+    return diagnostics.substitution(_state(spark, sf)).select("j", r6("lhs", "lhs"), r6("rhs", "rhs"))
+
+
+@query(
+    f"{STATE}, w as (select *, r > 0.05 + 1e-12 and q > 0.05 + 1e-12 uc, r / q g, b*post*q / sum(b*post*q) over (partition by j) pq, b*post*r / sum(b*post*r) over (partition by j) pr from st),"
+    " m as (select j, sum(pq*g) gm, sum(pq*g*g) g2, sum(case when uc then pq else 0 end) sq, sum(case when uc then pr else 0 end) sr, avg(uc::int) pairs from w group by j),"
+    " t as (select j, i, sum(pq*c[i]) tq, sum(pr*c[i]) tr, sum(pq*c[i]*c[i]) c2 from w, range(1, 65) t(i) group by j, i),"
+    " d as (select j, sqrt(sum((tr-tq)*(tr-tq))) disp, sqrt(sum(c2 - tq*tq)) spread from t group by j)"
+    " select j, round(sqrt(greatest(g2 - gm*gm, 0)) / gm, 6) cv, round(disp, 6) displacement, round(spread, 6) spread, round(sq, 6) share_q_u, round(sr, 6) share_r_u, round(pairs, 6) pairs_u from m join d using (j)"
+)
+def tilt_split(spark, sf):
+    t = diagnostics.tilt(_state(spark, sf))
+    return t.select("j", *[r6(c, c) for c in ("cv", "displacement", "spread", "share_q_u", "share_r_u", "pairs_u")])
+
+
+@query(f"{STATE}, w as (select j, ln(r) - ln(q) d from st where r > 0.05 + 1e-12 and q > 0.05 + 1e-12), z as (select *, avg(d) over (partition by j) mj, avg(d) over () m from w) select case when count(*) >= 4 then round(1 - sum((d-mj)*(d-mj)) / sum((d-m)*(d-m)), 6) end prototype_share from z")
+def prototype_share(spark, sf):
+    return diagnostics.prototype_share(_state(spark, sf)).select(r6("prototype_share", "prototype_share"))
+
+
+@query(f"{STATE}, w as (select client, r, case when pre > 1e-3 * n then footprint * n / pre end phi from st), e as (select client, avg((r <= 0.05 + 1e-12)::int) clip, count(phi) k, min(phi) lo, max(phi) hi, stddev_pop(phi) / avg(phi) cv from w group by client) select round(avg(clip), 6) clip_rate, round(median(cv) filter (k >= 2 and lo > 0), 6) phi_cv, round(median(hi / lo) filter (k >= 2 and lo > 0), 6) phi_ratio from e")
+def clip_and_coverage(spark, sf):
+    c = diagnostics.clip_and_coverage(_state(spark, sf))
+    return c.select(*[r6(x, x) for x in c.columns])
+
+
+@query(f"with {P_SQL}, k as (select client, i, j, covar_samp(x[i], x[j]) v from p, range(1, 65) a(i), range(1, 65) b(j) group by client, i, j) select client, round(pow(sum(v) filter (i = j), 2) / sum(v * v), 6) participation from k group by client")
+def covariance_participation(spark, sf):
+    return diagnostics.covariance_ranks(pts.from_embeddings(spark, sf), "client").select("client", r6("participation", "participation"))
+
+
+# --- hypotheses and decisions --------------------------------------------------------------------------------------------
+#: Runs of arm 1 at seed 3 and of arm 2 at seed 4 count as diverged here.
+LOST = "case when (arm = 1 and seed = 3) or (arm = 2 and seed = 4) then 'nan'::double else value end"
+HYPS = [hypotheses.pair("pair", "0", "1", "a"), ("inter", [(1.0, "0"), (-1.0, "1"), (-1.0, "2"), (1.0, "3")], None)]
+
+
+def _lost(spark, sf):
+    gone = ((F.col("arm") == 1) & (F.col("seed") == 3)) | ((F.col("arm") == 2) & (F.col("seed") == 4))
+    return _r(spark, sf).withColumn("value", F.when(gone, F.lit(float("nan"))).otherwise(F.col("value"))).withColumn("arm", F.col("arm").cast("string"))
+
+
+@query(f"{R}, n as (select dataset, seed, arm, {LOST} v from r), t as (select * from (values ('pair', 0, 1.0::double), ('pair', 1, -1.0), ('inter', 0, 1.0), ('inter', 1, -1.0), ('inter', 2, -1.0), ('inter', 3, 1.0)) t(hyp, arm, coef)), s as (select hyp, dataset, seed, count(*) k, sum(coef * v) diff, sum(coef) filter (isnan(v)) lost from n join t using (arm) group by all) select hyp, dataset, seed, case when isnan(diff) then null else round(diff, 6) + 0.0 end diff, case when lost > 0 then 'a' when lost < 0 then 'b' end side from s where k = case hyp when 'pair' then 2 else 4 end")
+def hypothesis_contrasts(spark, sf):
+    c = hypotheses.contrasts(_lost(spark, sf), HYPS, "value")
+    return c.select("hyp", "dataset", "seed", F.when(~F.isnan("diff"), r6("diff")).alias("diff"), "side")
+
+
+def _tests(spark, sf):
+    rows = _lost(spark, sf)
+    names = [r["dataset"] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]  # one name a data set
+    return hypotheses.run_tests(rows, HYPS, "value", {h[0]: [*names, "absent"] for h in HYPS})
+
+
+@query()
+def hypothesis_tests(spark, sf):
+    return _tests(spark, sf)
+
+
+@query()
+def hypothesis_summary(spark, sf):
+    return hypotheses.summarize_tests(_tests(spark, sf), HYPS)
+
+
+ONE = f"{R}, d as (select a.dataset, a.seed, a.value t, b.value b, a.value - b.value diff from r a join r b on a.dataset=b.dataset and a.seed=b.seed and a.arm=0 and b.arm=1), k as (select *, rank() over (partition by dataset order by abs(diff)) rk from d where diff <> 0), w as (select dataset, sum(case when diff > 0 then rk else 0 end) wp, list(rk order by seed) rs, count(*) n from k group by dataset), e as (select dataset, wp, list_sum(list_transform(range(0, n), lambda i: case when (b >> i) & 1 = 1 then rs[i + 1] else 0 end)) v from w, lateral (select unnest(range(0, (1 << n)::bigint)) b)), x as (select dataset, avg((v >= wp)::int) p from e group by dataset)"
+
+
+@query(f"{ONE} select dataset, count(*) n_pairs, round(avg(t), 6) target_mean, round(avg(b), 6) baseline_mean, round(avg(diff), 6) + 0.0 mean_diff, round(median(diff), 6) + 0.0 median_diff, count(*) filter (diff > 1e-12) wins, count(*) filter (abs(diff) <= 1e-12) ties, count(*) filter (diff < -1e-12) losses, round(any_value(p), 9) p from d join x using (dataset) group by dataset")
+def paired_one_sided(spark, sf):
+    t = hypotheses.paired_one_sided(_r(spark, sf).withColumn("arm", F.col("arm").cast("string")), "0", "1")
+    return t.select("dataset", "n_pairs", *[r6(c, c) for c in ("target_mean", "baseline_mean", "mean_diff", "median_diff")], "wins", "ties", "losses", F.round("p", 9).alias("p"))
+
+
+DEC = f"{R}, n as (select dataset, seed, arm, {LOST} v from r), l as (select dataset, seed, arm, criterion, case when isnan(v) then null else v end g from n, (values ('fcm_obj'), ('mean_acc')) c(criterion)), f as (select *, count(*) over cell k, case when criterion = 'fcm_obj' then max(g) over cell else min(g) over cell end worst from l window cell as (partition by criterion, dataset, seed)), v as (select criterion, dataset, 'action' || arm::varchar as action, avg(coalesce(g, worst)) as value, count(*) filter (g is null) n_substituted from f where k = 4 and worst is not null group by all), t as (select *, case when criterion = 'fcm_obj' then min(value) over (partition by criterion, dataset) else max(value) over (partition by criterion, dataset) end top from v), s as (select *, case when criterion = 'fcm_obj' then abs(value - top) / abs(top) else abs(value - top) end regret from t)"
+
+
+def _decision_states(spark, sf):
+    rows = _lost(spark, sf).withColumn("fcm_obj", F.col("value")).withColumn("mean_acc", F.col("value"))
+    return hypotheses.decision_states(rows, {f"action{a}": str(a) for a in range(4)}, ["fcm_obj", "mean_acc"])
+
+
+@query(f"{DEC} select criterion, dataset, action, round(value, 6) as value, round(regret, 6) + 0.0 regret, n_substituted, value = top best from s")
+def decision_states(spark, sf):
+    return _decision_states(spark, sf).select("criterion", "dataset", "action", r6("value", "value"), r6("regret", "regret"), "n_substituted", "best")
+
+
+@query(f"{DEC}, o as (select criterion, action, count(*) n_states, avg(regret) a, max(regret) b, sum(n_substituted)::bigint n_substituted from s group by all) select criterion, action, n_states, round(a, 6) + 0.0 mean_regret, round(b, 6) + 0.0 max_regret, n_substituted, a = min(a) over (partition by criterion) rec_mean, b = min(b) over (partition by criterion) rec_max from o")
+def decision_criteria(spark, sf):
+    d = hypotheses.decisions(_decision_states(spark, sf))
+    return d.select("criterion", "action", "n_states", r6("mean_regret", "mean_regret"), r6("max_regret", "max_regret"), "n_substituted", "rec_mean", "rec_max")
+
+
+@query(f"{R}, a as (select dataset, 'init' || (arm % 2)::varchar as init, 1.1 + arm / 10.0 m, case when value > 0 and seed <> arm + 6 then 4 else 3 end k from r) select dataset, init, round(max(m) filter (whole), 6) m_star from (select dataset, init, m, bool_and(k = 4) whole from a group by all) group by all")
+def m_star_rule(spark, sf):
+    a = _r(spark, sf)
+    audit = a.select("dataset", F.concat(F.lit("init"), (F.col("arm") % 2).cast("string")).alias("init"), (1.1 + F.col("arm") / 10.0).alias("m"), F.lit(4).alias("c"), F.when((F.col("value") > 0) & (F.col("seed") != F.col("arm") + 6), 4).otherwise(3).alias("distinct"))
+    return hypotheses.largest_distinct(audit).select("dataset", "init", r6("m_star", "m_star"))
+
+
+# --- sweeps: whole runs on generated federations, so without SQL -----------------------------------------------------------
+@query()
+def sweep_cells(spark, sf):
+    tasks = [{"dataset": d, "seed": 0, "cells": ["post_none_off", "pre_mass_off", "post_footprint_on"], "rounds": 10, "split": 0.2} for d in ("dirichlet_0.1", "overlap_noise")]
+    return experiments.sweep(spark, tasks, experiments.cell_rows, experiments.CELL_SCHEMA)
+
+
+@query()
+def sweep_rules(spark, sf):
+    tasks = [{"dataset": "overlap_noise", "seed": 0, "rounds": 10, **t} for t in ({"rule": "cfcm"}, {"rule": "scffcm", "sizes": [0.2, 2.0]}, {"rule": "pedrycz", "sizes": [0.001]}, {"rule": "local"}, {"rule": "scffcm"})]
+    return experiments.sweep(spark, tasks, experiments.rule_rows, experiments.CELL_SCHEMA)
+
+
+@query()
+def sweep_methods(spark, sf):
+    return experiments.sweep(spark, [{"dataset": "cluster_skew_hard", "seed": 0, "rounds": 5}], experiments.method_rows, experiments.CELL_SCHEMA)
+
+
+@query()
+def sweep_calibration(spark, sf):
+    grid = experiments.sweep(spark, [{"dataset": d, "seed": 100, "rule": "pedrycz", "grid": "alpha", "rounds": 10} for d in ("dirichlet_0.1", "overlap_noise")], experiments.grid_rows, experiments.GRID_SCHEMA)
+    picks = statistics.calibrated(grid.withColumn("step", F.col("alpha")))
+    return picks.withColumn("edge", hypotheses.edge_label("step", list(experiments.GRIDS["alpha"][0])))
+
+
+@query()
+def sweep_audit(spark, sf):
+    tasks = [{"dataset": "overlap_noise", "seed": 0, "m": m, "iterations": 20, "restarts": 3} for m in (2.0, 1.3)]
+    return experiments.sweep(spark, tasks, experiments.audit_rows, experiments.AUDIT_SCHEMA)

@@ -28,16 +28,15 @@ def standard_scaled(points: DataFrame, columns: list[str]) -> DataFrame:
 
 def pca_whitened(points: DataFrame, k: int, whiten: bool = True) -> DataFrame:
     """x replaced by its first k principal scores; column sums and products are aggregated, only d x d numbers reach the driver."""
-    from ..operators.kernel import dimension
+    from ..operators.kernel import moments
 
-    d = dimension(points)
-    aggs = [F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(d)] + [F.covar_samp(F.get("x", F.lit(i)), F.get("x", F.lit(j))).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = points.agg(*aggs).head()
-    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    row = moments(points).head()
+    mean, d = row["mean"], len(row["mean"])
+    cov = np.zeros((d, d))
+    cov[np.tril_indices(d)] = row["cov"]
     val, vec = np.linalg.eigh(cov)
     top = np.argsort(-val)[:k]
     base = vec[:, top] / (np.sqrt(np.maximum(val[top], 1e-12)) if whiten else 1.0)
-    mean = [row[f"m{i}"] for i in range(d)]
     score = lambda w: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(t)) for t in w]), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t) - F.lit(float(np.dot(mean, w)))
     return points.withColumn("x", F.array(*[score(base[:, i]) for i in range(len(top))]))
 
