@@ -150,6 +150,7 @@ def largest_distinct(audit: DataFrame) -> DataFrame:
 
 
 def edge_label(value: str, axis: list[float]) -> Column:
-    """Where a picked step lies on its grid axis: single, low, high or interior."""
+    """Where a picked step lies on its grid axis: single, low, high or interior; null without a pick."""
     v = F.col(value)
-    return F.lit("single") if len(axis) == 1 else F.when(v == min(axis), "low").when(v == max(axis), "high").otherwise("interior")
+    where = F.lit("single") if len(axis) == 1 else F.when(v == min(axis), "low").when(v == max(axis), "high").otherwise("interior")
+    return F.when(v.isNotNull(), where)

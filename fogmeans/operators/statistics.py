@@ -52,8 +52,10 @@ def mean_sd(diffs: DataFrame) -> DataFrame:
 def calibrated(grid: DataFrame, factor: float = 5.0) -> DataFrame:
     """Of each dataset the step whose objective is nearest to the central one: finite, at most ``factor`` times it, first in grid order.
 
-    ``grid`` has dataset, grid_idx, step, objective, central.
+    ``grid`` has dataset, grid_idx, step, objective, central. A dataset without a stable step has nulls and n_stable 0.
     """
     gap = F.abs(F.col("objective") - F.col("central")) / F.col("central")
-    ok = grid.where(~F.isnan("objective") & (F.col("objective") <= factor * F.col("central"))).withColumn("gap", gap)
-    return ok.groupBy("dataset").agg(F.min_by(F.struct("step", "gap"), F.struct("gap", "grid_idx")).alias("b"), F.count("*").alias("n_stable")).select("dataset", "b.step", "b.gap", "n_stable")
+    ok = F.coalesce(~F.isnan("objective") & (F.col("objective") <= factor * F.col("central")), F.lit(False))
+    rows = grid.withColumn("ok", ok).withColumn("gap", gap)
+    best = F.min_by(F.struct("step", "gap"), F.when(F.col("ok"), F.struct("gap", "grid_idx")))
+    return rows.groupBy("dataset").agg(best.alias("b"), F.count_if("ok").alias("n_stable")).select("dataset", "b.step", "b.gap", "n_stable")
