@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import pinned
+
 SEED = "mix-1"
-#: Source tables of up to this many rows are broadcast; larger ones are joined by source and salt.
-SMALL = 10_000
+#: Source tables of up to this many numbers (8 MB) are broadcast; larger ones are joined by source and salt.
+SMALL = 1_000_000
 SALTS = 64
+#: Copies of one document that are made at a time.
+COPIES = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -36,17 +42,23 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, budget: floa
 
 
 def poisson_tables(rates: DataFrame) -> DataFrame:
-    """source, rate, cdf: the Poisson distribution function of each rate, up to where its rest is below 1e-15.
+    """source, rate, first, cdf: the Poisson distribution function of each rate, from count ``first`` to where its rest is below 1e-15.
 
-    Probabilities are made in logarithms, so large rates don't underflow. The length is rate + 12 sqrt(rate) + 30.
+    Probabilities are made in logarithms, so large rates don't underflow. Counts run from rate - 12 sqrt(rate) - 30 (0 where
+    that is below 100; else less than 1e-15 lies before it) to rate + 12 sqrt(rate) + 30, so a table grows with the root of
+    its rate. The first logarithm of a factorial is Stirling's series, exact to a double from 100.
     """
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    k = F.col("k").cast("double")
-    rows = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    wide = 12 * F.sqrt("rate") + 30
+    low = F.floor(F.col("rate") - wide).cast("long")
+    first, last = F.when(low >= 100, low).otherwise(F.lit(0).cast("long")), F.ceil(F.col("rate") + wide).cast("long")
+    k, start = F.col("k").cast("double"), F.greatest("first", F.lit(1)).cast("double")
+    stirling = start * F.ln(start) - start + F.ln(F.lit(2 * math.pi) * start) / 2 + 1 / (12 * start) - 1 / (360 * F.pow(start, F.lit(3.0)))
+    rows = rates.where("rate > 0").select("source", "rate", first.alias("first"), last.alias("last")).select("source", "rate", "first", F.explode(F.sequence("first", "last")).alias("k"))
     by = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("lf", F.sum(F.when(k > 0, F.ln(F.greatest(k, F.lit(1.0)))).otherwise(0.0)).over(by))
+    term = F.when(F.col("k") == 0, F.lit(0.0)).when(F.col("k") == F.col("first"), stirling).otherwise(F.ln(F.greatest(k, F.lit(1.0))))
+    rows = rows.withColumn("lf", F.sum(term).over(by))
     rows = rows.withColumn("p", F.exp(k * F.ln("rate") - F.col("rate") - F.col("lf"))).withColumn("c", F.sum("p").over(by))
-    return rows.groupBy("source", "rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    return rows.groupBy("source", "rate", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
 
 def _replicated(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.0, seed: str = SEED) -> DataFrame:
@@ -54,16 +66,19 @@ def _replicated(docs: DataFrame, weights: DataFrame | None = None, budget: float
     names = [f"__c{i}" for i in range(len(cols))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("source").alias("__s"))
     rates = poisson_tables(source_rates(docs, weights, budget)).withColumnRenamed("source", "__t")
-    n_sources = docs.select("source").distinct().limit(SMALL + 1).count()
+    rates = pinned(rates, "mix-rates")
+    numbers = rates.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0
     same = F.col("__s").eqNullSafe(F.col("__t"))
-    if n_sources <= SMALL:
+    if numbers <= SMALL:
         drawn = rows.join(F.broadcast(rates), same)
     else:
         salted = rates.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         drawn = rows.withColumn("__y", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__y") == F.col("__z")))
     u = uniform(F.lit(seed), F.col("__id"))
-    copies = drawn.withColumn("__n", F.size(F.filter("cdf", lambda c: c <= u))).where("__n > 0")
-    out = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    copies = drawn.withColumn("__n", F.col("first") + F.size(F.filter("cdf", lambda c: c <= u))).where("__n > 0").drop("cdf")
+    # blocks of copies, then copies: no array grows with the rate
+    copies = copies.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))))
+    out = copies.withColumn("mix_copy", F.explode(F.sequence(F.col("__b") * COPIES, F.least(F.col("__n"), (F.col("__b") + 1) * COPIES) - 1).cast("array<int>")))
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "__id", "mix_copy").cast("binary")))
     out = out.select(*names, "mix_copy", F.col("rate").alias("mix_rate"), "mix_key")
     # rows are dealt by hash and sorted by it inside a partition: a whole shuffle without a sampling pass over the texts
@@ -77,7 +92,8 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, budget: float =
     Columns of ``docs``, then mix_copy (from 0), mix_rate and mix_key, which replace columns of
     these names. The draw inverts the distribution at a hash of seed
     and doc_id, so reruns and lost tasks give the same rows, and equal doc_ids draw alike. A null doc_id hashes as empty.
-    Sources are never gathered: the rates are one small row each, joined to the documents where they lie. No documents, or
+    Sources are never gathered: each has one row of its rate and distribution, joined to the documents where they lie; these
+    rows are broadcast only if they hold SMALL numbers at most. No documents, or
     weights that sum to 0, give no rows.
     """
     rows = _replicated(docs, weights, budget, seed)
