@@ -242,16 +242,19 @@ def _class_links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
 
     kinds = "shard int, dim int, reps binary, copies binary, x binary, graph binary"
     graphs = pinned(sharded.select("*", dims).repartition(count, "shard", "dim").groupBy("shard", "dim").applyInPandas(build, kinds), "hnsw-graphs")
-    right = graphs.select("dim", *[F.col(c).alias(f"r_{c}") for c in ("shard", "reps", "copies", "x", "graph")])
-    left = graphs.select("dim", *[F.col(c).alias(f"l_{c}") for c in ("shard", "reps", "copies", "x")])
+    # every vector meets every shard once: the later shard of a pair queries the earlier one's graph. Both sides name their
+    # pairs before they are joined, so that pairs, not dimensions, decide where the work goes.
+    pairs_at = ["dim", "l_shard", "r_shard"]
+    tasks = max(1, count * (count + 1) // 2)
+    left = graphs.select("dim", F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("reps", "copies", "x")], F.explode(F.sequence(F.lit(0), "shard")).alias("r_shard"))
+    right = graphs.select("dim", F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("reps", "copies", "x", "graph")], F.explode(F.sequence("shard", F.lit(count - 1))).alias("l_shard"))
 
     def query(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 yield _query(r, cosine)
 
-    # every vector meets every shard once: the later shard of a pair queries the earlier one's graph
-    pairs = left.join(right, "dim").where("l_shard >= r_shard").repartition(max(1, count * (count + 1) // 2), "l_shard", "r_shard")
+    pairs = left.repartition(tasks, *pairs_at).join(right.repartition(tasks, *pairs_at), pairs_at)
     return pairs.mapInPandas(query, "rep long, peer long, links long")
 
 
