@@ -16,6 +16,8 @@ RADIUS = 4
 #: Fingerprints of a tile at most, and tiles at least (so that small inputs still use several tasks).
 TILE = 65_536
 MIN_TILES = 8
+#: Places a group's name is sent to.
+SALTS = 16
 
 
 def fingerprint_words(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -145,23 +147,54 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, leas
     return dealt.repartition(len(pairs), "pair").groupBy("pair").applyInPandas(compare, "a long, b long")
 
 
+def _groups(classes: DataFrame, radius: int) -> DataFrame:
+    """fp and group (the smallest fingerprint reachable by links) of ``classes``, which has each fingerprint once."""
+    comp = components(tile_links(classes.select("fp"), radius))
+    return classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Null and wordless texts have fingerprint zero and link like any other. Equal fingerprints meet in one group-by with
-    map-side combine; only distinct ones are compared. Repeated doc_ids each keep their row. An empty table gives no rows.
+    map-side combine; only distinct ones are compared. Repeated doc_ids each keep their row; a group of null doc_ids only has
+    a null component_id. An empty table gives no rows.
     """
     marked = pinned(fingerprints(docs), "simhash-fp")
     classes = pinned(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-class")
-    comp = components(tile_links(classes.select("fp"), radius))
     # the component of a fingerprint, then the smallest doc_id over its classes
-    named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    named = pinned(_groups(classes, radius), "simhash-named")
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    by_fp = pinned(named.join(least, "group").select("fp", "component_id"), "simhash-groups")
+    # a group may hold any share of the fingerprints, so its name meets them in SALTS places
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_fp = pinned(salted.join(every, ["group", "salt"]).select("fp", "component_id"), "simhash-groups")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate component; all columns stay."""
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each near-duplicate component of ``docs``, with all its columns: the one with the smallest doc_id.
+
+    A null doc_id comes after all others. Of rows with that doc_id in the component the one with the smallest text hash
+    stays; of rows equal in doc_id and text any one. Only ids, hashes and fingerprints are shuffled, and texts of repeated
+    rows where there are any.
+    """
+    cols = docs.columns
+    names = [f"__c{i}" for i in range(len(cols))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
+    keys = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    marked = pinned(map_texts(keys, ["doc_id", "hash"], _fingerprints, "fp long"), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")
+    classes = pinned(marked.groupBy("fp").agg(first), "simhash-class")
+    chosen = _groups(classes, radius).groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash")
+    copies = marked.groupBy(F.col("doc_id").alias("i"), F.col("hash").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
+    chosen = chosen.join(copies, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
+    chosen = pinned(chosen.select("doc_id", "hash", F.col("n").isNotNull().alias("repeated")), "simhash-kept")
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        return rows.join(which, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("hash")), "left_semi")
+
+    kept = rows_of(chosen.where("not repeated"))
+    if chosen.where("repeated").head(1):
+        kept = kept.union(rows_of(chosen.where("repeated")).dropDuplicates(["__id", "__hash"]))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(cols, names, strict=True)])
