@@ -192,7 +192,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     taken = rows.where("toxic = 1").orderBy(*order).limit(sample[0]).union(rows.where("toxic = 0").orderBy(*order).limit(sample[1]))
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # 6,000 rows of two numbers at most
+    # ``taken`` is 6,000 rows of two numbers at most; of repeated doc_ids the smallest text counts, so the sample stays bounded
+    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
