@@ -62,16 +62,17 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         starts, base_labels, labels, score, spans = [], set(), set(), 0.0, []
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, word, counted = line.find(phrase), 0, 0
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                word, counted = word + line.count(b" ", counted, at), at
+                starts.append(word)
                 base_labels.add(label)
                 at = line.find(phrase, at + 1)
         if base_labels:
             score = 1.0
         hits = self.anchors & set(words)
         if hits:
-            seen = set()
+            seen, keyed = set(), {}
             for p, w in enumerate(words):
                 if w in hits:
                     for n, i in self.post[w]:
@@ -80,7 +81,11 @@ class Scanner:
                             label, tpl, keys = self.templates[n]
                             o = p - i
                             same = sum(words[o + j] == t for j, t in enumerate(tpl) if 0 <= o + j < len(words))
-                            if same >= self.cover * len(tpl) - 1e-9 and all(k in line for k in keys):
+                            if same < self.cover * len(tpl) - 1e-9:
+                                continue
+                            if n not in keyed:
+                                keyed[n] = all(k in line for k in keys)
+                            if keyed[n]:
                                 labels.add(label)
                                 spans.append((label, max(0, o), min(len(words), o + len(tpl)), same / len(tpl)))
                                 score = max(score, same / len(tpl))
