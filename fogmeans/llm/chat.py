@@ -131,7 +131,8 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     ones. linked: a result has its call, or all calls of a message have results (null for other messages). valid: all
     arguments keep their schemas. Calls within a message stand in topological order, cycles last. The first of several calls
     or results with one id in a conversation counts for links. Rows are never gathered by conversation: identifiers are
-    hash-joined, so one conversation may hold any share of all rows. Null texts are empty contents; null roles stay null;
+    hash-joined, so one conversation may hold any share of all rows. Calls of a null conversation or turn and results of a
+    null conversation link with nothing. Null texts are empty contents; null roles stay null;
     repeated messages each keep a row; an empty table gives no rows.
     """
     rows = pinned(parsed(messages, schemas), "chat-parsed")
