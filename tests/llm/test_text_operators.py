@@ -217,12 +217,16 @@ def test_mixing_rates(spark):
     assert mixing.mixed(docs, w).columns == docs.columns
     assert mixing.replicate(docs.where("false")).count() == 0
     big = mixing.poisson_tables(spark.createDataFrame([("x", 2000.0)], "source string, rate double")).collect()[0]["cdf"]
-    assert abs(big[-1] - 1) < 1e-9 and abs(sum(1 - c for c in big) - 2000) < 1e-3
-    old, mixing.SMALL = mixing.SMALL, 1
+    assert abs(big[-1] - 1) < 1e-9
+    for rate in (0.3, 150.0, 2000.0, 3e6):
+        t = mixing.poisson_tables(spark.createDataFrame([("x", rate)], "source string, rate double")).collect()[0]
+        assert len(t["cdf"]) < 30 * rate**0.5 + 70 and abs(t["first"] + sum(1 - c for c in t["cdf"]) - rate) < 1e-3 * max(1, rate**0.5 / 40)
+    old = mixing.SMALL, mixing.COPIES
+    mixing.SMALL, mixing.COPIES = 1, 2
     try:
         assert sorted(map(tuple, mixing.replicate(docs, w).select("doc_id", "mix_key").collect())) == a
     finally:
-        mixing.SMALL = old
+        mixing.SMALL, mixing.COPIES = old
 
 
 def test_block_max_search_is_exact():
