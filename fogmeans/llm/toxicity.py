@@ -4,27 +4,36 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import corpus_counts, map_texts, pinned
+from .common import map_texts, pinned, text_steps
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Labelled rows the classifier is fitted on, at most (toxic, other): those with the smallest md5 of their doc_id.
 SAMPLE = (2000, 4000)
 #: Prefix lengths (bytes) that are terms besides whole words.
 PREFIXES = (4, 5, 6)
-#: Terms at most, the G statistic a term needs, and the share of toxic rows among the labelled rows that hold it.
-TERMS = 1024
-LEAST_G = 25.0
-LEAST_SHARE = 0.8
+#: Rows of the base rate that each term's toxic share is drawn to, and the weight of a term that does not speak for toxic.
+SHRINK = 2.0
+NEUTRAL = 0.05
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms with the longest postings whose blocks are dense, queries searched together, and blocks each of them reads first. They decide the cost only.
+DENSE = 2048
+TOGETHER = 64
+FIRST = 4
+#: More than the error of a float32 cosine: what is nearer than this to a limit is compared in doubles.
+SLACK = 1e-5
+#: Words a task remembers the terms of, at most.
+REMEMBERED = 200_000
 #: Weight of the prior in a vote, in units of cosine.
 PRIOR = 0.5
 
@@ -40,85 +49,143 @@ def terms_of(text: bytes | None) -> Counter:
     return out
 
 
-class Matcher:
-    """Counts of a fixed set of terms in a text."""
+class Matcher(dict):
+    """Counts of the known terms in a text. Keys are words met so far, values rows of a table of their terms."""
 
     def __init__(self, terms: list[bytes]):
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith(b"*")}
-        self.heads = {k: {t[:-1]: i for i, t in enumerate(terms) if t.endswith(b"*") and len(t) == k + 1} for k in PREFIXES}
-        self.heads = {k: v for k, v in self.heads.items() if v}
-
-    def __call__(self, text: bytes | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        words = WORD.findall((text or b"").lower())
-        for w in self.words.keys() & set(words):
-            found[self.words[w]] = words.count(w)
-        for k, heads in self.heads.items():
-            cut = [w[:k] for w in words if len(w) > k]
-            for h in heads.keys() & set(cut):
-                found[heads[h]] = cut.count(h)
-        return found
+        super().__init__()
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.table = np.full((1024, 1 + len(PREFIXES)), -1, dtype=np.int64)
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        self.table[n] = [self.place.get(w, -1), *[self.place.get(w[:k] + b"*", -1) if len(w) > k else -1 for k in PREFIXES]]
+        return n
+
+    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms, rising, and their counts."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = list(map(self.__getitem__, WORD.findall((text or b"").lower())))
+        ids = self.table[found].ravel()
+        return np.unique(ids[ids >= 0], return_counts=True)
+
+
+def _rows(vectors: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, terms and weights of all vectors, one after another."""
+    starts = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
+    return starts, np.array([t for v in vectors for t in v], dtype=np.int32), np.array([w for v in vectors for w in v.values()], dtype=float)
+
+
+def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ... of every span."""
+    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, in blocks of BLOCK examples with each term's largest weight in each block."""
+    """Postings of unit vectors with weights of 0 or more, in blocks of BLOCK examples.
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
+    The DENSE most frequent terms have dense blocks with each term's largest weight in each block; the postings of all others
+    are short and added up at once. The bound of a block is its largest sum of rare terms and the frequent terms' largest
+    weights. ``vectors`` are dicts, or starts, terms and weights of all.
+    """
+
+    def __init__(self, vectors, n_terms: int, block: int = BLOCK):
+        self.starts, self.terms, self.weights = vectors if isinstance(vectors, tuple) else _rows(vectors)
+        self.n, self.block, self.n_terms = len(self.starts) - 1, block, n_terms
         self.blocks = max(1, -(-self.n // block))
-        self.best = np.zeros((n_terms, self.blocks))
-        self.post: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list] = defaultdict(list)
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t, i // block].append((i % block, w))
-                self.best[t, i // block] = max(self.best[t, i // block], w)
-        for key, rows in lists.items():
-            self.post[key] = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+        row = np.repeat(np.arange(self.n), np.diff(self.starts))
+        df = np.bincount(self.terms, minlength=n_terms)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        self.dense = np.full(n_terms, -1)
+        self.dense[often] = np.arange(len(often))
+        at = self.dense[self.terms]
+        heavy = at >= 0
+        self.tiles = np.zeros((self.blocks, len(often), block), dtype=np.float32)
+        self.tiles[row[heavy] // block, at[heavy], row[heavy] % block] = self.weights[heavy]
+        self.best = np.ascontiguousarray(self.tiles.max(axis=2).T)
+        by = np.flatnonzero(~heavy)
+        by = by[np.argsort(self.terms[by], kind="stable")]
+        self.post = row[by].astype(np.int32), self.weights[by].astype(np.float32)
+        self.first = np.searchsorted(self.terms[by], np.arange(n_terms + 1))
 
     def search(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest examples with a positive cosine; ties go to smaller ids. Exact.
-
-        Blocks are read by falling bound; the search stops where no block can enter the first k.
-        """
-        terms, weights = np.array(list(query), dtype=int), np.array(list(query.values()))
-        if not len(terms):
-            return np.zeros(0, int), np.zeros(0)
-        bound = weights @ self.best[terms] + 1e-12
-        ids, sims = np.zeros(0, int), np.zeros(0)
-        for b in np.lexsort((np.arange(self.blocks), -bound)):
-            if bound[b] <= 2e-12 or len(ids) == k and bound[b] < sims[-1]:
-                break
-            if len(ids) == k and bound[b] - 2e-12 <= sims[-1] and b * self.block > ids[sims >= sims[-1] - 1e-9].max():
-                continue
-            acc = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                if (p := self.post.get((t, b))) is not None:
-                    acc[p[0]] += w * p[1]
-            hit = np.flatnonzero(acc > 0)
-            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, np.round(acc[hit], 9)])
-            order = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[order], sims[order]
-        return ids, sims
+        """Ids and cosines of the k nearest examples with a positive cosine; ties go to smaller ids. Exact."""
+        return self.search_all([(np.array(list(query), dtype=int), np.array(list(query.values()), dtype=float))], k)[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of many queries (terms, weights)."""
+        return [r for a in range(0, len(queries), TOGETHER) for r in self._together(queries[a : a + TOGETHER], k)]
+
+    def _together(self, queries, k: int):
+        """Each query reads the blocks of its largest bounds, then all others that can enter its first k."""
+        m, width = len(queries), self.blocks * self.block
+        q = np.zeros((m, self.tiles.shape[1]), dtype=np.float32)
+        sims = np.zeros((m, width), dtype=np.float32)
+        for i, (t, w) in enumerate(queries):
+            at = self.dense[t]
+            rare = at < 0
+            q[i, at[~rare]] = w[~rare]
+            first = self.first[t[rare]]
+            length = self.first[t[rare] + 1] - first
+            place = _spans(first, length)
+            sims[i] = np.bincount(self.post[0][place], self.post[1][place] * np.repeat(w[rare], length), width)
+        sims = sims.reshape(m, self.blocks, self.block)
+        bound = q @ self.best + sims.max(axis=2)
+        unread = np.ones((m, self.blocks), bool)
+        least = np.zeros(m, dtype=np.float32)
+        wanted = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        for _ in range(2):
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                sims[rows, b] += q[rows] @ self.tiles[b]
+            unread &= ~wanted
+            known = np.where(unread[:, :, None], 0, sims).reshape(m, width)
+            if width > k:
+                least = np.partition(known, width - k, axis=1)[:, width - k]
+            wanted = unread & (bound > 0) & (bound >= least[:, None] - SLACK)
+        out, full = [], np.zeros(self.n_terms)
+        for i, (t, w) in enumerate(queries):
+            ids = np.flatnonzero((known[i] > 0) & (known[i] >= least[i] - SLACK))
+            full[t] = w
+            length = self.starts[ids + 1] - self.starts[ids]
+            place = _spans(self.starts[ids], length)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(ids)), length), self.weights[place] * full[self.terms[place]], len(ids)), 9)
+            full[t] = 0
+            order = np.lexsort((ids, -exact))[:k]
+            out.append((ids[order], exact[order]))
+        return out
 
 
 @dataclass
 class Model:
+    """``idf`` is a term's weight: inverse document frequency times relevance. ``starts``, ``numbers`` and ``counts`` hold the examples' terms."""
+
     terms: list[bytes]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    vectors: list[dict[int, float]]
+    starts: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
     base: float
     k: int = NEIGHBOURS
     knots: tuple = ()
     none: float = 0.0
+    key: str = ""
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
+    def vector(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(found[1])) * self.idf[found[0]]
+        return found[0], w / math.sqrt(w @ w) if len(w) else w
+
+    def index(self) -> BlockMaxIndex:
+        spans = zip(self.starts[:-1], self.starts[1:], strict=True)
+        weights = [self.vector((self.numbers[a:b], self.counts[a:b]))[1] for a, b in spans]
+        return BlockMaxIndex((self.starts, self.numbers, np.concatenate([np.zeros(0), *weights])), len(self.terms))
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         w = sims * self.weights[ids]
@@ -142,26 +209,14 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
-def _g(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Log-likelihood ratio of a term in a of n1 toxic and b of n0 other rows; negative if it speaks against toxic."""
-    share = n1 / (n1 + n0)
-    n = a + b
-    ent = lambda p: np.where(p > 0, p * np.log(np.maximum(p, 1e-300) / share), 0) + np.where(p < 1, (1 - p) * np.log(np.maximum(1 - p, 1e-300) / (1 - share)), 0)
-    p = a / np.maximum(n, 1)
-    return np.where(p > share, 1, -1) * 2 * n * ent(p)
-
+def relevance(a: np.ndarray, b: np.ndarray, odds: float, base: float) -> np.ndarray:
+    """Weights of terms in a toxic and b other rows of the sample: from NEUTRAL to NEUTRAL + 1, none is dropped.
 
-def select_terms(counts: list[tuple[str, int, int]], n1: int, n0: int, odds: float, most: int = TERMS) -> list[bytes]:
-    """Terms that speak for toxic, by falling G. ``counts``: (term, toxic rows, other rows) of n1 and n0 rows in the sample.
-
-    ``odds`` weighs the other rows to their share among all labelled rows.
+    The toxic share, drawn to the rate ``base`` by SHRINK rows, on a log scale from that rate to 1. ``odds`` weighs the other
+    rows to their share among all labelled rows. A term of few rows, all toxic, thus has nearly the weight of a frequent one.
     """
-    if not counts or not n1 or not n0:
-        return []
-    a, b = np.array([c[1] for c in counts], float), np.array([c[2] for c in counts], float)
-    g = _g(a, b, n1, n0)
-    good = np.flatnonzero((g >= LEAST_G) & (a / (a + odds * b) >= LEAST_SHARE))
-    return [counts[i][0].encode("latin-1") for i in sorted(good, key=lambda i: (-g[i], counts[i][0]))[:most]]
+    share = (a + SHRINK * base) / (a + odds * b + SHRINK)
+    return NEUTRAL + (np.maximum(0, np.log(share / base) / -math.log(base)) if 0 < base < 1 else 0 * share)
 
 
 def sketch(text: bytes | None) -> list[int]:
@@ -197,7 +252,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Choose terms on the sample, count their document frequency over all of ``docs``, index the sample's examples."""
+    """Index all terms of the sample's examples, weighted by document frequency over all of ``docs`` and by relevance in the sample."""
     rates = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     train = pinned(training_rows(docs, labels, sample), "toxic-train")
 
@@ -206,77 +261,102 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
 
     seen_rows = pinned(map_texts(train, ["doc_id", "toxic"], seen, "terms array<string>, sketch array<long>"), "toxic-terms")
     kept = one_of_copies([(r["doc_id"], r["toxic"], r["sketch"]) for r in seen_rows.select("doc_id", "toxic", "sketch").collect()])  # SAMPLE rows at most
-    fresh = seen_rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")), "doc_id")
-    totals = {r["toxic"]: r["n"] for r in fresh.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    fresh = F.broadcast(docs.sparkSession.createDataFrame([(k, 1) for k in kept], "doc_id long, fresh int"))
+    marked = seen_rows.join(fresh, "doc_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.sum("fresh").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    chosen: list[bytes] = []
+    terms: list[bytes] = []
+    relevant = np.zeros(0)
     if n1 and n0:
-        counts = fresh.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-        # a term with fewer toxic rows can't reach LEAST_G
-        need = max(2, math.floor(LEAST_G / (2 * math.log((n1 + n0) / n1))))
-        rows = counts.where((F.col("a") >= need) & (F.col("a") * n0 > 2 * (F.col("n") - F.col("a")) * n1)).collect()
-        odds = (rates[0] / n0) / (rates[1] / n1)
-        chosen = select_terms([(r["term"], r["a"], r["n"] - r["a"]) for r in rows], n1, n0, odds)
-    return _index(docs, train, chosen, rates)
-
+        # the terms of SAMPLE texts; copies among them do not count for relevance, but their terms are indexed
+        rows = marked.select("toxic", "fresh", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("fresh") * F.col("toxic")).alias("a"), F.sum("fresh").alias("n")).orderBy("term").toArrow()
+        a, n = rows["a"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)
+        terms = [t.encode("latin-1") for t in rows["term"].to_pylist()]
+        relevant = relevance(a, n - a, (rates[0] / n0) / (rates[1] / n1), rates[1] / (rates[0] + rates[1]))
+    return _index(docs, train, terms, relevant, rates)
+
+
+def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
+    """Rows of ``docs`` and, of each term, in how many texts it is. Each task sends one row for each term it met."""
+
+    def run(batches):
+        m, n, df = Matcher(terms), 0, np.zeros(len(terms) + 1, dtype=np.int64)
+        for batch in batches:
+            for _, _, texts in text_steps(batch):
+                n += len(texts)
+                for t in texts:
+                    df[m(t)[0]] += 1
+        df[-1] = n
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(df[met])], names=["i", "n"])
+
+    got = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, dtype=np.int64)
+    df[got["i"].to_numpy()] = got["n"].to_numpy()
+    return int(df[-1]), df[:-1]
+
+
+def _index(docs: DataFrame, train: DataFrame, terms: list[bytes], relevant: np.ndarray, rates: dict[int, int]) -> Model:
+    n, df = document_frequencies(docs, terms)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * relevant
 
-def _index(docs: DataFrame, train: DataFrame, terms: list[bytes], rates: dict[int, int]) -> Model:
-    def present():
+    def counted():
         m = Matcher(terms)
-        return lambda text: m(text).keys()
 
-    n, df = corpus_counts(docs.select("doc_id", "text"), present, len(terms))
-    idf = np.log((1 + n) / (1 + df)) + 1
+        def work(texts):
+            found = [m(t) for t in texts]
+            return [[i.astype(np.int32).tobytes() for i, _ in found], [c.astype(np.int32).tobytes() for _, c in found]]
 
-    def counted():
-        m = Matcher(terms)
-        return lambda texts: [[[x for kv in sorted(m(t).items()) for x in kv] for t in texts]]
+        return work
 
-    rows = sorted(map_texts(train, ["doc_id", "toxic"], counted, "flat array<int>").collect(), key=lambda r: (r["doc_id"], r["toxic"], r["flat"]))
+    rows = sorted(map_texts(train, ["doc_id", "toxic"], counted, "numbers binary, counts binary").collect(), key=lambda r: (r["doc_id"], r["toxic"]))
     labels = np.array([r["toxic"] for r in rows], dtype=float)
     share = {y: (rates.get(y, 0) / max(1, (labels == y).sum())) for y in (0, 1)}
     scale = sum(rates.values()) / max(1, len(rows))
     weights = np.array([share[int(y)] / scale if scale else 1.0 for y in labels])
-    model = Model(terms, idf, np.array([r["doc_id"] for r in rows]), labels, weights, [], 0.0)
-    vectors = [model.vector(dict(zip(r["flat"][::2], r["flat"][1::2], strict=True))) for r in rows]
-    empty = np.array([not v for v in vectors], dtype=bool)
+    empty = np.array([not r["numbers"] for r in rows], dtype=bool)
     # without any term a row gets the rate of such rows; with terms the vote is pulled towards the rate of all
     all_rate = float((weights * labels).sum() / weights.sum()) if len(rows) else 0.0
     none_rate = float((weights * labels)[empty].sum() / weights[empty].sum()) if empty.any() else all_rate
     keep = np.flatnonzero(~empty)
-    model.ids, model.labels, model.weights, model.vectors = model.ids[keep], labels[keep], weights[keep], [vectors[i] for i in keep]
-    model.base = all_rate
-    index = BlockMaxIndex(model.vectors, len(terms))
+    numbers, counts = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int32) for c in ("numbers", "counts"))
+    starts = np.concatenate([[0], np.cumsum([len(rows[i]["numbers"]) // 4 for i in keep])]).astype(np.int64)
+    model = Model(terms, idf, np.array([rows[i]["doc_id"] for i in keep]), labels[keep], weights[keep], starts, numbers, counts, all_rate, none=none_rate, key=uuid.uuid4().hex)
+    index = model.index()
     raw = []
-    for i, v in enumerate(model.vectors):  # leave one out
-        ids, sims = index.search(v, model.k + 1)
+    vectors = [(index.terms[a:b], index.weights[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    for i, (ids, sims) in enumerate(index.search_all(vectors, model.k + 1)):  # leave one out
         ids, sims = (ids[ids != i], sims[ids != i]) if (ids == i).any() else (ids[:-1], sims[:-1])
         raw.append(model.vote(ids, sims))
     if raw:
         model.knots = _isotonic(np.array(raw), model.labels, model.weights)
-    model.none = none_rate
     return model
 
 
+_cached: dict[str, tuple[Matcher, BlockMaxIndex]] = {}
+
+
+def ready(model: Model) -> tuple[Matcher, BlockMaxIndex]:
+    """One matcher and index for each Python worker, those of the last model."""
+    if model.key not in _cached:
+        _cached.clear()
+        _cached[model.key] = Matcher(model.terms), model.index()
+    return _cached[model.key]
+
+
 def scorer(model: Model):
     """A function from texts to [score, evidence ids, evidence cosines]."""
 
     def make():
-        m, index, known = Matcher(model.terms), BlockMaxIndex(model.vectors, len(model.terms)), {}
+        m, index = ready(model)
 
         def work(texts):
             out = [[], [], []]
-            for t in texts:
-                v = model.vector(m(t))
-                key = tuple(sorted(v.items()))
-                if key not in known:
-                    ids, sims = index.search(v, model.k)
+            for a in range(0, len(texts), TOGETHER):
+                for ids, sims in index.search_all([model.vector(m(t)) for t in texts[a : a + TOGETHER]], model.k):
                     found = (model.calibrated(model.vote(ids, sims)) if len(ids) else model.none, model.ids[ids].tolist(), sims.tolist())
-                    if len(known) >= 20_000:
-                        known.clear()
-                    known[key] = found
-                for column, x in zip(out, known[key], strict=True):
-                    column.append(x)
+                    for column, x in zip(out, found, strict=True):
+                        column.append(x)
             return out
 
         return work

@@ -271,3 +271,23 @@ def test_toxicity_held_out(spark):
     kept = toxicity.reject_toxic(docs.withColumn("score", F.lit("own")), lab)
     assert kept.columns == ["doc_id", "text", "score"] and {x["score"] for x in kept.collect()} == {"own"}
     assert toxicity.reject_toxic(docs.where("false"), lab).count() == 0
+
+
+def test_toxicity_keeps_rare_terms(spark):
+    r = random.Random(6)
+    ids = [i for i in range(1, 900) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rare, rows, labels = ids[:3], [], []
+    for i in ids:
+        bad = i in rare or i % 5 == 0
+        words = [r.choice("abcdefgh") + r.choice("aeiou") + r.choice("xyzw") for _ in range(20)]
+        words[3] = "schurke" if i in rare else "scoundrel" if bad else words[3]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows + [(5000, "gaunerei schurke dort"), (5001, "gaunerei dort"), (5002, "bax cey diz")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    words = {w for i, t in rows for w in toxicity.terms_of(t.encode())}
+    assert set(model.terms) == words and len(model.ids) == len(rows) and (model.idf > 0).all()
+    got = {x["doc_id"]: x for x in toxicity.score_documents(docs, model).collect()}
+    # a word of three toxic rows is found; a text of unknown words alone has no evidence
+    assert got[5000]["score"] >= 0.3 and set(rare) <= set(got[5000]["evidence"])
+    assert got[5001]["evidence"] == [] and got[5002]["score"] < 0.3 and got[5002]["evidence"]
