@@ -17,7 +17,9 @@ LINKS = 12
 BUILD_BEAM = 48
 BEAM = 48
 RECALL = 0.95
+#: Queries of one draw of the audit, and queries with true links that it needs before it judges.
 AUDIT = 128
+LINKED = 128
 #: Queries that walk the graph together.
 TOGETHER = 512
 
@@ -163,11 +165,13 @@ def walk(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, entry: np.ndarray, beam:
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
-def links_of(graph: Graph, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray]:
+def links_of(graph: Graph, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) with float32 cosine of about ``cosine`` or more.
 
-    A beam full of links is doubled for its query until it isn't. Then an audit compares some queries, with and without
-    links, with all rows; below ``recall`` every beam is doubled, up to all rows, which is exact.
+    A beam full of links is doubled for its query until it isn't. Then an audit compares random queries with all rows, draw
+    by draw until LINKED of them have true links or all queries are drawn. Where their pooled links or the mean over linked
+    queries are below ``recall``, every beam is doubled, up to all rows, which is exact. With ``own`` the queries are the rows
+    themselves, and a row's link to itself does not count.
     """
     n, floor = len(graph.x), np.float32(cosine - 1e-5)
     if not n or not len(q):
@@ -188,10 +192,18 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float, beam: int = BEAM, recal
         qi, ri = np.concatenate(qs), np.concatenate(rs)
         if beam >= n:
             return qi, ri
-        some = np.unique(np.concatenate([rng.permutation(len(q))[:audit], rng.permutation(np.flatnonzero(linked))[:audit]]))
-        truth = int((q[some] @ graph.x.T >= floor).sum())
-        found = int(np.isin(qi, some).sum())
-        if found >= recall * truth:
+        found = np.bincount(qi[qi != ri] if own else qi, minlength=len(q))
+        order, at, truth = rng.permutation(len(q)), 0, np.zeros(len(q), dtype=np.int64)
+        while at < len(q) and (truth > 0).sum() < LINKED:
+            some = order[at : at + audit]
+            hits = q[some] @ graph.x.T >= floor
+            if own:
+                hits[np.arange(len(some)), some] = False
+            truth[some] = hits.sum(axis=1)
+            at += len(some)
+        with_links = np.flatnonzero(truth)
+        have, want = np.minimum(found, truth)[with_links], truth[with_links]
+        if not len(with_links) or have.sum() >= recall * want.sum() and (have / want).mean() >= recall:
             return qi, ri
         beam *= 2
 
@@ -271,8 +283,8 @@ def _query(r, cosine: float) -> pd.DataFrame:
     q = np.frombuffer(r.l_x, dtype=np.float64).reshape(-1, r.dim)
     lrep, rrep = np.frombuffer(r.l_reps, np.int64), np.frombuffer(r.r_reps, np.int64)
     lw, rw = np.frombuffer(r.l_copies, np.int64), np.frombuffer(r.r_copies, np.int64)
-    qi, ri = links_of(g, q.astype(np.float32), cosine)
     same = r.l_shard == r.r_shard
+    qi, ri = links_of(g, q.astype(np.float32), cosine, own=same)
     if same:
         key = np.unique(np.minimum(qi, ri)[qi != ri] * len(x) + np.maximum(qi, ri)[qi != ri])
         qi, ri = key // max(1, len(x)), key % max(1, len(x))

@@ -59,6 +59,50 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, true)]) > 0.9
 
 
+class Lossy(hnsw.Graph):
+    """A graph that loses the rows ``lost`` below a beam of 192."""
+
+    def __init__(self, x, lost):
+        super().__init__(x, [])
+        self.lost = lost
+
+    def search(self, q, beam):
+        s = q @ self.x.T
+        if beam < 192:
+            s[:, self.lost] = -1
+        ids = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+        return ids, np.take_along_axis(s, ids, 1)
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_audit_sees_rare_links(own):
+    r = np.random.default_rng(3)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    # 3 % of the queries have one link, every second of them is lost; one group has very many links that are all found
+    x = unit(r.normal(size=(600, 64)))
+    near = unit(x[:120] + 0.01 * r.normal(size=(120, 64)))
+    group = unit(x[200] + 0.01 * r.normal(size=(20, 64)))
+    q = np.concatenate([x, near, group]) if own else np.concatenate([near, group, unit(r.normal(size=(3860, 64)))])
+    rows = q if own else np.concatenate([x, group])
+    g = Lossy(rows, np.arange(0, 120, 2))
+    qi, ri = hnsw.links_of(g, q, 0.9, own=own)
+    truth = q @ rows.T >= 0.9
+    assert len(qi) >= 0.95 * truth.sum()
+    single = np.flatnonzero(truth.sum(axis=1) == (2 if own else 1))
+    assert np.isin(single, qi[qi != ri] if own else qi).mean() >= 0.95
+
+
+def test_recall_on_a_whole_shard():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(hnsw.SHARD, 32))
+    x[:300] = x[300:600] + 0.03 * r.normal(size=(300, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    qi, ri = hnsw.links_of(hnsw.Graph(x), x[:4096], 0.9)
+    want = [(a + i, b) for a in range(0, 4096, 512) for i, b in zip(*np.nonzero(x[a : a + 512] @ x.T >= 0.9), strict=True) if a + i != b]
+    have = set(zip(qi.tolist(), ri.tolist(), strict=True))
+    assert len(want) >= 600 and sum(p in have for p in want) >= 0.9 * len(want)
+
+
 def test_chat(spark):
     call = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
     result = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
