@@ -34,30 +34,33 @@ def _record(kind: Column, record_id: Column, uri: Column, date: str, content_typ
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, digest, bytes, keeper: the page whose response holds the payload (null: this one).
+    """page_id, link, digest, bytes, keeper, keeper_link: the row whose response holds the payload (null: this one).
 
-    Of equal payloads (by SHA-1) of LEAST_REVISIT bytes or more the largest page_id keeps it. Only digests are shuffled;
-    a digest of very many pages is counted with map-side combine, and its join is split by the adaptive skew join.
+    ``link`` tells urls, null among them, apart. Of equal payloads (by SHA-1) of LEAST_REVISIT bytes or more the largest
+    page_id keeps it; each row of that page_id does, and others refer to the one with the largest link. Only digests and links
+    are shuffled; a digest of very many pages is counted with map-side combine, and its join is split by the adaptive skew join.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pinned(pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes")).distinct(), "warc-digests")
-    best = pinned(rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-best")
+    rows = pinned(pages.select("page_id", "link", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes")).distinct(), "warc-digests")
+    best = pinned(rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "link")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-best")
     joined = rows.join(best, "digest", "left")
-    return joined.select("page_id", "digest", "bytes", F.when(~F.col("best").eqNullSafe(F.col("page_id")), F.col("best")).alias("keeper"))
+    other = ~F.col("best.page_id").eqNullSafe(F.col("page_id"))
+    return joined.select("page_id", "link", "digest", "bytes", F.when(other, F.col("best.page_id")).alias("keeper"), F.when(other, F.col("best.link")).alias("keeper_link"))
 
 
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write a request, a response or revisit, and a metadata record of each page (page_id, url, html) to files under ``path``.
 
     Null html is the empty payload; a null url is empty; line breaks in urls are dropped. Repeated page_ids with different
-    payloads are captures of their own; fully equal rows are one capture when read. Files are compressed as a whole.
+    payloads or urls are captures of their own; rows with equal page_id, url and html are one capture when read. Files are compressed as a whole.
     """
     payload = F.coalesce("html", F.lit(""))
-    pages = pages.select(F.col("page_id").alias("pid"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("uri"), payload.alias("body"), F.sha1(payload.cast("binary")).alias("dig"))
-    r = pinned(roles(pages.select(F.col("pid").alias("page_id"), F.col("body").alias("html"))), "warc-roles")
-    rows = pages.join(r, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("dig") == F.col("digest")))
-    key = lambda page, digest: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), digest)
-    own, keeper = key(F.col("pid"), F.col("dig")), key(F.col("keeper"), F.col("dig"))
+    link = F.coalesce(F.concat(F.lit("="), "url"), F.lit(""))
+    pages = pages.select(F.col("page_id").alias("pid"), link.alias("to"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("uri"), payload.alias("body"), F.sha1(payload.cast("binary")).alias("dig"))
+    r = pinned(roles(pages.select(F.col("pid").alias("page_id"), F.col("to").alias("link"), F.col("body").alias("html"))), "warc-roles")
+    rows = pages.join(r, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("to") == F.col("link")) & (F.col("dig") == F.col("digest")))
+    key = lambda page, link: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), F.col("dig"), link)
+    own, keeper = key(F.col("pid"), F.col("to")), key(F.col("keeper"), F.col("keeper_link"))
     rid = _uuid("response", own)
     revisit = F.col("keeper").isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))

@@ -155,6 +155,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_keeps_rows_of_other_urls(spark):
+    long = "<p>x</p>" * 200
+    rows = [(1, "http://a/", "short"), (1, "http://b/", "short"), (None, "http://c/", None), (None, "http://d/", None), (None, None, None), (None, "", None)]
+    rows += [(3, "http://e/", long), (3, "http://f/", long), (2, "http://g/", long), (2, "http://h/", long)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(p, u or "", len(h or ""), "revisit" if p == 2 else "response", 3 if p == 2 else None) for p, u, h in rows]
+    have = [(r["page_id"], r["url"], r["metadata"]["payload_bytes"], r["response"]["type"], r["refers_to_page"]) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str) and len({r["record_id"] for r in got}) == len(rows)
+
+
 def test_warc_reader_rejects_damage():
     with pytest.raises(ValueError):
         list(warc.parse_file(b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 99\r\n\r\nshort"))
