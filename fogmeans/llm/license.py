@@ -40,42 +40,45 @@ class Scanner:
     """Index of templates: of each, its rarest words with their places.
 
     A template is indexed by one word more than a match may miss, so every match holds an indexed word: the lookup loses
-    nothing. ``idf`` orders the words; it decides the cost, never the result.
+    nothing. A base phrase is a template without misses, indexed by its rarest word. ``idf`` orders the words; it decides the cost, never the result.
     """
 
     def __init__(self, idf: dict[str, float] | None = None, templates=TEMPLATES, base=BASE, cover: float = COVER):
         idf = idf or {}
         self.cover = cover
-        self.base = [(b" " + p.encode() + b" ", label) for p, label in base]
         self.templates, self.post = [], defaultdict(list)
+        self.base, self.base_post = [(label, p.encode().split()) for p, label in base], defaultdict(list)
+
+        def rarest(words):
+            return sorted(range(len(words)), key=lambda i: (-idf.get(words[i].decode(), math.inf), -len(words[i]), i))
+
+        for n, (_, words) in enumerate(self.base):
+            i = rarest(words)[0]
+            self.base_post[words[i]].append((n, i))
         for n, (label, text, keys) in enumerate(templates):
             words = text.encode().split()
             self.templates.append((label, words, [b" " + k.encode() + b" " for k in keys]))
             spare = len(words) - math.ceil(cover * len(words) - 1e-9)
-            rare = sorted(range(len(words)), key=lambda i: (-idf.get(words[i].decode(), math.inf), -len(words[i]), i))[: spare + 1]
-            for i in rare:
+            for i in rarest(words)[: spare + 1]:
                 self.post[words[i]].append((n, i))
-        self.anchors = set(self.post)
+        self.anchors = set(self.post) | set(self.base_post)
 
     def scan(self, text: bytes | None) -> dict:
         words = WORD.findall((text or b"").lower())
         line = b" " + b" ".join(words) + b" "
         starts, base_labels, labels, score, spans = [], set(), set(), 0.0, []
-        for phrase, label in self.base:
-            at, word, counted = line.find(phrase), 0, 0
-            while at >= 0:
-                word, counted = word + line.count(b" ", counted, at), at
-                starts.append(word)
-                base_labels.add(label)
-                at = line.find(phrase, at + 1)
-        if base_labels:
-            score = 1.0
         hits = self.anchors & set(words)
         if hits:
             seen, keyed = set(), {}
             for p, w in enumerate(words):
                 if w in hits:
-                    for n, i in self.post[w]:
+                    for n, i in self.base_post.get(w, ()):
+                        label, tpl = self.base[n]
+                        if p >= i and words[p - i : p - i + len(tpl)] == tpl:
+                            starts.append(p - i)
+                            base_labels.add(label)
+                            score = 1.0
+                    for n, i in self.post.get(w, ()):
                         if (n, p - i) not in seen:
                             seen.add((n, p - i))
                             label, tpl, keys = self.templates[n]

@@ -204,6 +204,18 @@ def test_license(docs):
     assert license.scan_documents(empty(docs)).count() == 0
 
 
+def test_license_base_places_come_from_the_index():
+    s = license.Scanner()
+    assert sum(map(len, s.base_post.values())) == len(license.BASE)
+    text = b"Under the MIT license, under the mit license cc by nc by nc; under the mitt license cc-by-nc mit license"
+    words = license.WORD.findall(text.lower())
+    want = sorted(k for p, _ in license.BASE for k in range(len(words)) if words[k : k + len(p.split())] == p.encode().split())
+    got = s.scan(text)
+    assert sorted(got["starts"]) == want and got["base"] == {"mit", "cc-by-nc"} and got["score"] == 1.0
+    s.base_post.clear()
+    assert s.scan(text)["starts"] == []
+
+
 def test_mixing_rates(spark):
     docs = spark.range(9000).selectExpr("id doc_id", "cast(id as string) text", "if(id % 3 = 0, 'hot', concat('s', id % 20)) source", "1 mix_copy")
     w = spark.createDataFrame([("hot", 1.0), ("s1", 3.0), ("s2", 1.0)], "source string, weight double")
