@@ -7,6 +7,7 @@ import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,57 +20,41 @@ from .common import map_texts, pinned, text_steps
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Labelled rows the classifier is fitted on, at most (toxic, other): those with the smallest md5 of their doc_id.
 SAMPLE = (2000, 4000)
-#: Prefix lengths (bytes) that are terms besides whole words.
-PREFIXES = (4, 5, 6)
+#: Bytes of their texts, at most: rows beyond are left out of the fit, the last of each label first.
+SAMPLE_BYTES = 64 << 20
 #: Rows of the base rate that each term's toxic share is drawn to, and the weight of a term that does not speak for toxic.
 SHRINK = 2.0
 NEUTRAL = 0.05
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 128
 #: Terms with the longest postings whose blocks are dense, queries searched together, and blocks each of them reads first. They decide the cost only.
-DENSE = 2048
+DENSE = 1024
 TOGETHER = 64
-FIRST = 4
+FIRST = 2
 #: More than the error of a float32 cosine: what is nearer than this to a limit is compared in doubles.
 SLACK = 1e-5
-#: Words a task remembers the terms of, at most.
-REMEMBERED = 200_000
 #: Weight of the prior in a vote, in units of cosine.
 PRIOR = 0.5
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    return WORD.findall((text or b"").lower())
+
+
 def terms_of(text: bytes | None) -> Counter:
-    """Counts of words, and of prefixes (with a trailing *) of longer words."""
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall((text or b"").lower())).items():
-        out[w] += n
-        for k in PREFIXES:
-            if len(w) > k:
-                out[w[:k] + b"*"] += n
-    return out
+    """Words and how often each stands in the text: the whole vector, before its weights."""
+    return Counter(words_of(text))
 
 
-class Matcher(dict):
-    """Counts of the known terms in a text. Keys are words met so far, values rows of a table of their terms."""
+class Matcher:
+    """Counts of the known terms in a text: their numbers, rising, and how often each stands in it."""
 
     def __init__(self, terms: list[bytes]):
-        super().__init__()
         self.place = {t: i for i, t in enumerate(terms)}
-        self.table = np.full((1024, 1 + len(PREFIXES)), -1, dtype=np.int64)
-
-    def __missing__(self, w: bytes) -> int:
-        n = self[w] = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        self.table[n] = [self.place.get(w, -1), *[self.place.get(w[:k] + b"*", -1) if len(w) > k else -1 for k in PREFIXES]]
-        return n
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms, rising, and their counts."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = list(map(self.__getitem__, WORD.findall((text or b"").lower())))
-        ids = self.table[found].ravel()
+        words = words_of(text)
+        ids = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         return np.unique(ids[ids >= 0], return_counts=True)
 
 
@@ -85,11 +70,12 @@ def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors with weights of 0 or more, in blocks of BLOCK examples.
+    """Postings of unit vectors with weights of 0 or more, in blocks of ``block`` examples.
 
     The DENSE most frequent terms have dense blocks with each term's largest weight in each block; the postings of all others
     are short and added up at once. The bound of a block is its largest sum of rare terms and the frequent terms' largest
-    weights. ``vectors`` are dicts, or starts, terms and weights of all.
+    weights. Examples with the same heaviest frequent term stand together, so blocks differ in their bounds. ``vectors`` are
+    dicts, or starts, terms and weights of all.
     """
 
     def __init__(self, vectors, n_terms: int, block: int = BLOCK):
@@ -99,16 +85,26 @@ class BlockMaxIndex:
         row = np.repeat(np.arange(self.n), np.diff(self.starts))
         df = np.bincount(self.terms, minlength=n_terms)
         often = np.argsort(-df, kind="stable")[:DENSE]
-        self.dense = np.full(n_terms, -1)
-        self.dense[often] = np.arange(len(often))
-        at = self.dense[self.terms]
+        dense = np.full(n_terms, -1)
+        dense[often] = np.arange(len(often))
+        at = dense[self.terms]
         heavy = at >= 0
+        top, lead = np.zeros(self.n), np.full(self.n, -1)
+        np.maximum.at(top, row[heavy], self.weights[heavy])
+        first = heavy & (self.weights >= top[row])
+        lead[row[first]] = at[first]
+        #: the example at each place of the blocks, and the place of each example
+        self.example = np.argsort(lead, kind="stable")
+        place = np.empty(self.n, dtype=np.int64)
+        place[self.example] = np.arange(self.n)
+        spot = place[row]
+        self.dense = dense
         self.tiles = np.zeros((self.blocks, len(often), block), dtype=np.float32)
-        self.tiles[row[heavy] // block, at[heavy], row[heavy] % block] = self.weights[heavy]
+        self.tiles[spot[heavy] // block, at[heavy], spot[heavy] % block] = self.weights[heavy]
         self.best = np.ascontiguousarray(self.tiles.max(axis=2).T)
         by = np.flatnonzero(~heavy)
         by = by[np.argsort(self.terms[by], kind="stable")]
-        self.post = row[by].astype(np.int32), self.weights[by].astype(np.float32)
+        self.post = spot[by], self.weights[by]
         self.first = np.searchsorted(self.terms[by], np.arange(n_terms + 1))
 
     def search(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,40 +116,42 @@ class BlockMaxIndex:
         return [r for a in range(0, len(queries), TOGETHER) for r in self._together(queries[a : a + TOGETHER], k)]
 
     def _together(self, queries, k: int):
-        """Each query reads the blocks of its largest bounds, then all others that can enter its first k."""
+        """The queries read the blocks of their largest bounds, then all others that can enter the first k of one of them."""
         m, width = len(queries), self.blocks * self.block
+        which = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        at = self.dense[terms]
+        heavy = at >= 0
         q = np.zeros((m, self.tiles.shape[1]), dtype=np.float32)
-        sims = np.zeros((m, width), dtype=np.float32)
-        for i, (t, w) in enumerate(queries):
-            at = self.dense[t]
-            rare = at < 0
-            q[i, at[~rare]] = w[~rare]
-            first = self.first[t[rare]]
-            length = self.first[t[rare] + 1] - first
-            place = _spans(first, length)
-            sims[i] = np.bincount(self.post[0][place], self.post[1][place] * np.repeat(w[rare], length), width)
-        sims = sims.reshape(m, self.blocks, self.block)
-        bound = q @ self.best + sims.max(axis=2)
-        unread = np.ones((m, self.blocks), bool)
+        q[which[heavy], at[heavy]] = weights[heavy]
+        rare = ~heavy
+        first = self.first[terms[rare]]
+        length = self.first[terms[rare] + 1] - first
+        spot = _spans(first, length)
+        # sums of rare terms, query by query
+        cell = self.post[0][spot] + np.repeat(which[rare] * width, length)
+        sims = np.bincount(cell, self.post[1][spot] * np.repeat(weights[rare], length), m * width).astype(np.float32).reshape(m, width)
+        bound = q @ self.best + sims.reshape(m, self.blocks, self.block).max(axis=2)
+        read, wanted = np.zeros(self.blocks, bool), np.zeros(self.blocks, bool)
+        wanted[np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]] = True
         least = np.zeros(m, dtype=np.float32)
-        wanted = np.zeros((m, self.blocks), bool)
-        np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
         for _ in range(2):
-            for b in np.flatnonzero(wanted.any(axis=0)):
-                rows = np.flatnonzero(wanted[:, b])
-                sims[rows, b] += q[rows] @ self.tiles[b]
-            unread &= ~wanted
-            known = np.where(unread[:, :, None], 0, sims).reshape(m, width)
+            for b in np.flatnonzero(wanted):
+                sims[:, b * self.block : (b + 1) * self.block] += q @ self.tiles[b]
+            read |= wanted
+            known = np.where(np.repeat(read, self.block), sims, 0)
             if width > k:
                 least = np.partition(known, width - k, axis=1)[:, width - k]
-            wanted = unread & (bound > 0) & (bound >= least[:, None] - SLACK)
+            wanted = ~read & ((bound > 0) & (bound >= least[:, None] - SLACK)).any(axis=0)
+        who, where = np.nonzero((known > 0) & (known >= least[:, None] - SLACK))
+        cut = np.searchsorted(who, np.arange(m + 1))
         out, full = [], np.zeros(self.n_terms)
         for i, (t, w) in enumerate(queries):
-            ids = np.flatnonzero((known[i] > 0) & (known[i] >= least[i] - SLACK))
+            ids = self.example[where[cut[i] : cut[i + 1]]]
             full[t] = w
             length = self.starts[ids + 1] - self.starts[ids]
-            place = _spans(self.starts[ids], length)
-            exact = np.round(np.bincount(np.repeat(np.arange(len(ids)), length), self.weights[place] * full[self.terms[place]], len(ids)), 9)
+            spot = _spans(self.starts[ids], length)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(ids)), length), self.weights[spot] * full[self.terms[spot]], len(ids)), 9)
             full[t] = 0
             order = np.lexsort((ids, -exact))[:k]
             out.append((ids[order], exact[order]))
@@ -162,13 +160,14 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """``idf`` is a term's weight: inverse document frequency times relevance. ``starts``, ``numbers`` and ``counts`` hold the examples' terms."""
+    """``idf`` is a term's weight: inverse document frequency times relevance. ``starts``, ``numbers`` and ``counts`` hold the examples' terms, ``texts`` the hashes of their texts."""
 
     terms: list[bytes]
     idf: np.ndarray
-    ids: np.ndarray
+    ids: list
     labels: np.ndarray
     weights: np.ndarray
+    texts: np.ndarray
     starts: np.ndarray
     numbers: np.ndarray
     counts: np.ndarray
@@ -183,9 +182,9 @@ class Model:
         return found[0], w / math.sqrt(w @ w) if len(w) else w
 
     def index(self) -> BlockMaxIndex:
-        spans = zip(self.starts[:-1], self.starts[1:], strict=True)
-        weights = [self.vector((self.numbers[a:b], self.counts[a:b]))[1] for a, b in spans]
-        return BlockMaxIndex((self.starts, self.numbers, np.concatenate([np.zeros(0), *weights])), len(self.terms))
+        w = (1 + np.log(self.counts)) * self.idf[self.numbers]
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(self.labels)), np.diff(self.starts)), w * w, len(self.labels)))
+        return BlockMaxIndex((self.starts, self.numbers, w / np.repeat(norms, np.diff(self.starts))), len(self.terms))
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         w = sims * self.weights[ids]
@@ -198,10 +197,11 @@ class Model:
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators over distinct x; knots of the fitted steps."""
+    at, which = np.unique(x, return_inverse=True)
+    total, hits = np.bincount(which, w), np.bincount(which, w * y)
     groups: list[list[float]] = []
-    for v in np.unique(x):
-        m = x == v
-        groups.append([w[m].sum(), (w[m] * y[m]).sum() / w[m].sum(), v, v])
+    for v, n, s in zip(at, total, hits, strict=True):
+        groups.append([n, s / n, v, v])
         while len(groups) > 1 and groups[-2][1] >= groups[-1][1]:
             b, a = groups.pop(), groups.pop()
             groups.append([a[0] + b[0], (a[0] * a[1] + b[0] * b[1]) / (a[0] + b[0]), a[2], b[3]])
@@ -210,7 +210,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 def relevance(a: np.ndarray, b: np.ndarray, odds: float, base: float) -> np.ndarray:
-    """Weights of terms in a toxic and b other rows of the sample: from NEUTRAL to NEUTRAL + 1, none is dropped.
+    """Weights of terms in a toxic and b other examples: from NEUTRAL to NEUTRAL + 1, none is dropped.
 
     The toxic share, drawn to the rate ``base`` by SHRINK rows, on a log scale from that rate to 1. ``odds`` weighs the other
     rows to their share among all labelled rows. A term of few rows, all toxic, thus has nearly the weight of a frequent one.
@@ -219,18 +219,23 @@ def relevance(a: np.ndarray, b: np.ndarray, odds: float, base: float) -> np.ndar
     return NEUTRAL + (np.maximum(0, np.log(share / base) / -math.log(base)) if 0 < base < 1 else 0 * share)
 
 
+def text_hash(text: bytes | None) -> int:
+    """The hash by which a text is known again, as a signed long."""
+    return xxhash.xxh64_intdigest(text or b"") - (1 << 63)
+
+
 def sketch(text: bytes | None) -> list[int]:
     """Minima of four hashes of the five-word runs: equal ones mark near copies in the sample."""
-    words = WORD.findall((text or b"").lower())
+    words = words_of(text)
     runs = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
     return [min(xxhash.xxh64_intdigest(r, seed) for r in runs) >> 1 for seed in range(4)]
 
 
-def one_of_copies(rows: list[tuple[int, int, list[int]]]) -> list[int]:
-    """doc_ids of the sample without near copies: a row goes if a sketch value was seen in an earlier row of its label."""
+def one_of_copies(rows: list[tuple]) -> list:
+    """Ids of rows (order, label, sketch, id) without near copies: a row goes if a sketch value was seen in an earlier row of its label."""
     seen: set = set()
     kept = []
-    for doc_id, label, values in sorted(rows, key=lambda r: (r[0], r[1])):
+    for _, label, values, doc_id in sorted(rows, key=lambda r: (r[0], r[1])):
         keys = {(label, i, v) for i, v in enumerate(values)}
         if not keys & seen:
             kept.append(doc_id)
@@ -251,29 +256,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Index all terms of the sample's examples, weighted by document frequency over all of ``docs`` and by relevance in the sample."""
-    rates = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    train = pinned(training_rows(docs, labels, sample), "toxic-train")
+def examples(rows: list, sample_bytes: int = SAMPLE_BYTES) -> list:
+    """doc_ids of the sample that are indexed: of each label in order of md5 up to ``sample_bytes`` in all, one of near copies."""
+    taken, room = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for r in sorted(rows, key=lambda r: (r["order"], str(r["doc_id"]))):
+        room[r["toxic"]] -= r["size"]
+        if room[r["toxic"]] >= 0:
+            taken.append((r["order"], r["toxic"], r["sketch"], r["doc_id"]))
+    return one_of_copies(taken)
+
 
-    def seen():
-        return lambda texts: [[[t.decode("latin-1") for t in terms_of(x)] for x in texts], [sketch(x) for x in texts]]
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Index all words of the examples, weighted by document frequency over all of ``docs`` and by relevance in the sample.
 
-    seen_rows = pinned(map_texts(train, ["doc_id", "toxic"], seen, "terms array<string>, sketch array<long>"), "toxic-terms")
-    kept = one_of_copies([(r["doc_id"], r["toxic"], r["sketch"]) for r in seen_rows.select("doc_id", "toxic", "sketch").collect()])  # SAMPLE rows at most
-    fresh = F.broadcast(docs.sparkSession.createDataFrame([(k, 1) for k in kept], "doc_id long, fresh int"))
-    marked = seen_rows.join(fresh, "doc_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
-    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.sum("fresh").alias("n")).collect()}
+    Toxic and other examples are indexed alike, one of near copies. The calibration scores each example with itself left out,
+    by the same function that scores documents.
+    """
+    rates = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    train = pinned(training_rows(docs, labels, sample), "toxic-train")
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    seen = map_texts(train, ["doc_id", "toxic"], lambda: lambda texts: [[sketch(x) for x in texts], [len(x or b"") for x in texts]], "sketch array<long>, size long")
+    kept = examples(seen.select("*", F.md5(F.col("doc_id").cast("string")).alias("order")).collect(), sample_bytes)  # SAMPLE rows of some numbers at most
+    chosen = pinned(train.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], f"doc_id {kind}")), "doc_id"), "toxic-examples")
+    totals = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     terms: list[bytes] = []
     relevant = np.zeros(0)
     if n1 and n0:
-        # the terms of SAMPLE texts; copies among them do not count for relevance, but their terms are indexed
-        rows = marked.select("toxic", "fresh", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("fresh") * F.col("toxic")).alias("a"), F.sum("fresh").alias("n")).orderBy("term").toArrow()
+        words = map_texts(chosen, ["toxic"], lambda: lambda texts: [[[t.decode("latin-1") for t in set(words_of(x))] for x in texts]], "terms array<string>")
+        # at most the words of SAMPLE_BYTES of text
+        rows = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).orderBy("term").toArrow()
         a, n = rows["a"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)
         terms = [t.encode("latin-1") for t in rows["term"].to_pylist()]
         relevant = relevance(a, n - a, (rates[0] / n0) / (rates[1] / n1), rates[1] / (rates[0] + rates[1]))
-    return _index(docs, train, terms, relevant, rates)
+    return _index(docs, chosen, terms, relevant, rates)
 
 
 def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -285,7 +301,8 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
             for _, _, texts in text_steps(batch):
                 n += len(texts)
                 for t in texts:
-                    df[m(t)[0]] += 1
+                    ids = list(map(m.place.get, set(words_of(t)), repeat(-1)))
+                    df[ids] += 1
         df[-1] = n
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(df[met])], names=["i", "n"])
@@ -296,7 +313,7 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
     return int(df[-1]), df[:-1]
 
 
-def _index(docs: DataFrame, train: DataFrame, terms: list[bytes], relevant: np.ndarray, rates: dict[int, int]) -> Model:
+def _index(docs: DataFrame, chosen: DataFrame, terms: list[bytes], relevant: np.ndarray, rates: dict[int, int]) -> Model:
     n, df = document_frequencies(docs, terms)
     idf = (np.log((1 + n) / (1 + df)) + 1) * relevant
 
@@ -305,11 +322,11 @@ def _index(docs: DataFrame, train: DataFrame, terms: list[bytes], relevant: np.n
 
         def work(texts):
             found = [m(t) for t in texts]
-            return [[i.astype(np.int32).tobytes() for i, _ in found], [c.astype(np.int32).tobytes() for _, c in found]]
+            return [[i.astype(np.int32).tobytes() for i, _ in found], [c.astype(np.int32).tobytes() for _, c in found], [text_hash(t) for t in texts]]
 
         return work
 
-    rows = sorted(map_texts(train, ["doc_id", "toxic"], counted, "numbers binary, counts binary").collect(), key=lambda r: (r["doc_id"], r["toxic"]))
+    rows = sorted(map_texts(chosen, ["doc_id", "toxic"], counted, "numbers binary, counts binary, hash long").collect(), key=lambda r: (str(r["doc_id"]), r["toxic"]))
     labels = np.array([r["toxic"] for r in rows], dtype=float)
     share = {y: (rates.get(y, 0) / max(1, (labels == y).sum())) for y in (0, 1)}
     scale = sum(rates.values()) / max(1, len(rows))
@@ -321,41 +338,53 @@ def _index(docs: DataFrame, train: DataFrame, terms: list[bytes], relevant: np.n
     keep = np.flatnonzero(~empty)
     numbers, counts = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int32) for c in ("numbers", "counts"))
     starts = np.concatenate([[0], np.cumsum([len(rows[i]["numbers"]) // 4 for i in keep])]).astype(np.int64)
-    model = Model(terms, idf, np.array([rows[i]["doc_id"] for i in keep]), labels[keep], weights[keep], starts, numbers, counts, all_rate, none=none_rate, key=uuid.uuid4().hex)
-    index = model.index()
-    raw = []
-    vectors = [(index.terms[a:b], index.weights[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    for i, (ids, sims) in enumerate(index.search_all(vectors, model.k + 1)):  # leave one out
-        ids, sims = (ids[ids != i], sims[ids != i]) if (ids == i).any() else (ids[:-1], sims[:-1])
-        raw.append(model.vote(ids, sims))
-    if raw:
-        model.knots = _isotonic(np.array(raw), model.labels, model.weights)
+    model = Model(terms, idf, [rows[i]["doc_id"] for i in keep], labels[keep], weights[keep], np.array([rows[i]["hash"] for i in keep], dtype=np.int64), starts, numbers, counts, all_rate, none=none_rate, key=uuid.uuid4().hex)
+    if len(keep):
+        # the examples themselves, left out by their texts; SAMPLE rows of two numbers return
+        tasks = max(1, len(keep) // (16 * TOGETHER))
+        raw = {r["doc_id"]: r["score"] for r in score_documents(chosen.repartition(tasks), model).select("doc_id", "score").collect()}
+        model.knots = _isotonic(np.array([raw[i] for i in model.ids]), model.labels, model.weights)
     return model
 
 
-_cached: dict[str, tuple[Matcher, BlockMaxIndex]] = {}
+_cached: dict[str, tuple[Matcher, BlockMaxIndex, dict[int, list[int]]]] = {}
 
 
-def ready(model: Model) -> tuple[Matcher, BlockMaxIndex]:
-    """One matcher and index for each Python worker, those of the last model."""
+def ready(model: Model) -> tuple[Matcher, BlockMaxIndex, dict[int, list[int]]]:
+    """One matcher, index and table of example texts for each Python worker, those of the last model."""
     if model.key not in _cached:
         _cached.clear()
-        _cached[model.key] = Matcher(model.terms), model.index()
+        same: dict[int, list[int]] = {}
+        for i, h in enumerate(model.texts.tolist()):
+            same.setdefault(h, []).append(i)
+        _cached[model.key] = Matcher(model.terms), model.index(), same
     return _cached[model.key]
 
 
 def scorer(model: Model):
-    """A function from texts to [score, evidence ids, evidence cosines]."""
+    """A function from texts to [score, evidence ids, evidence cosines]. An example never votes on a text equal to its own."""
 
     def make():
-        m, index = ready(model)
+        m, index, same = ready(model)
+
+        def scored(text, ids, sims):
+            own = same.get(text_hash(text))
+            if own:
+                far = ~np.isin(ids, own)
+                ids, sims = ids[far], sims[far]
+            ids, sims = ids[: model.k], sims[: model.k]
+            raw = model.vote(ids, sims) if len(ids) else None
+            score = model.none if raw is None else model.calibrated(raw) if len(model.knots) else raw
+            return score, [model.ids[i] for i in ids], sims.tolist()
+
+        most = max(map(len, same.values()), default=0)
 
         def work(texts):
             out = [[], [], []]
             for a in range(0, len(texts), TOGETHER):
-                for ids, sims in index.search_all([model.vector(m(t)) for t in texts[a : a + TOGETHER]], model.k):
-                    found = (model.calibrated(model.vote(ids, sims)) if len(ids) else model.none, model.ids[ids].tolist(), sims.tolist())
-                    for column, x in zip(out, found, strict=True):
+                some = texts[a : a + TOGETHER]
+                for text, (ids, sims) in zip(some, index.search_all([model.vector(m(t)) for t in some], model.k + most), strict=True):
+                    for column, x in zip(out, scored(text, ids, sims), strict=True):
                         column.append(x)
             return out
 
@@ -368,9 +397,11 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     """Columns ``keep`` (doc_id) with score, and evidence: ids and cosines of the labelled examples that voted.
 
     Null and empty texts hold no term and get the rate of labelled rows without any. A model fitted without labels of both
-    kinds scores every text alike. One pass, no shuffle. Repeated rows each get their score.
+    kinds scores every text alike. Very long texts are one query like others. One pass, no shuffle. Repeated rows each get
+    their score; no rows give none.
     """
-    return map_texts(docs, keep or ["doc_id"], scorer(model), "score double, evidence array<long>, evidence_cosine array<double>")
+    kind = next((t for c, t in docs.dtypes if c == "doc_id"), "long") if not model.ids or not isinstance(model.ids[0], str) else "string"
+    return map_texts(docs, keep or ["doc_id"], scorer(model), f"score double, evidence array<{kind}>, evidence_cosine array<double>")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
