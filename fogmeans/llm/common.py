@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Texts of one inner step of a Python task hold about this many bytes.
 STEP_BYTES = 4 << 20
+#: A key with more rows than HOT is dealt to SALTS places when its name is joined; at most MOST_HOT such keys, the largest, are broadcast (8 MB).
+HOT = 10_000
+SALTS = 16
+MOST_HOT = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir; a temporary one of our own where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. On one machine (local mode) a temporary one is made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='fogmeans-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -36,7 +42,16 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing twice."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.pinned_path = path
+    return out
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Delete the files of pinned tables that nothing reads any more."""
+    for df in frames:
+        if df is not None and (path := getattr(df, "pinned_path", None)):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -58,11 +73,12 @@ def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[in
         yield start, len(col), col.slice(start).to_pylist()
 
 
-def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list], list[list]]], fields: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list], list[list]]], fields: str, column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` of ``df`` and, of each text, the columns ``fields`` (a DDL string).
 
     ``make()`` runs once a task and returns a function from a list of texts (UTF-8 bytes or None) to lists of values, one a
-    field. Nothing is shuffled and a task holds one Arrow batch.
+    field; of each column in ``also`` (columns of ``keep``) it gets the list of values too. Nothing is shuffled and a task
+    holds one Arrow batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -75,7 +91,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list]
         for batch in batches:
             for start, end, texts in text_steps(batch, column):
                 rows = batch.slice(start, end - start)
-                made = work(texts)
+                made = work(texts, *[rows.column(rows.schema.get_field_index(a)).to_pylist() for a in also])
                 cols = [rows.column(rows.schema.get_field_index(k)) for k in keep]
                 cols += [pa.array(v, type=arrow.field(len(keep) + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
@@ -118,22 +134,46 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     total: DataFrame | None = None
     while edges.head(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        step = pinned(step, "cc-step")
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("n")).select("node", F.least("node", "m").alias("to"), "n")
+        near = pinned(near, "cc-step")
+        step = near.select("node", "to")
         for _ in range(jumps):
             step = step.alias("x").join(step.select(F.col("node").alias("n2"), F.col("to").alias("t2")), F.col("to") == F.col("n2"), "left").select("node", F.coalesce("t2", "to").alias("to"))
-        step = pinned(step, "cc-step")
+        # n: edges of the node, so that the hub of a large group is dealt to several places below
+        step = pinned(step.join(near.select("node", "n"), "node"), "cc-step")
         if total is None:
-            total = step.select("node", F.col("to").alias("component"))
+            fresh = step.select("node", F.col("to").alias("component"))
         else:
-            total = total.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        total = pinned(total, "cc-total")
-        a = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        b = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        edges = pinned(edges.join(a, "a").join(b, "b").where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "cc-edges")
+            fresh = total.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        old, total = total, pinned(fresh, "cc-total")
+        left = spread_join(edges, step.select(F.col("node").alias("a"), F.col("to").alias("ta"), "n"), "a", "n", "b").drop("n")
+        left = spread_join(left, step.select(F.col("node").alias("b"), F.col("to").alias("tb"), "n"), "b", "n", "a").drop("n")
+        links = pinned(left.where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "cc-edges")
+        dropped(edges, near, step, old)
+        edges = links
+    dropped(edges)
     return total if total is not None else spark.createDataFrame([], "node long, component long")
 
 
+def spread_join(rows: DataFrame, names: DataFrame, key: str, size: str, by: str) -> DataFrame:
+    """``rows`` inner joined with ``names`` (one row a key) on column ``key``; null keys meet nothing.
+
+    ``size`` of ``names`` says about how many rows have the key. Keys of over HOT rows stand SALTS times in ``names``, and
+    their rows are dealt among them by the hash of ``by``, so that no task gets all rows of one key. Hot keys are told by
+    their 64-bit hash; a key that shares one is salted too, on both sides alike, so no row is lost. Where none is hot the
+    join is a plain one.
+    """
+    hot = names.where(F.col(size) > HOT).select(F.xxhash64(key).alias("__hot"), size).orderBy(F.col(size).desc()).limit(MOST_HOT).select("__hot").distinct()
+    if not hot.head(1):
+        return rows.join(names, key)
+    hot = pinned(hot, "hot-keys")
+    is_hot = F.col("__hot").isNotNull()
+    marked = lambda df: df.withColumn("__h", F.xxhash64(key)).join(F.broadcast(hot), F.col("__h") == F.col("__hot"), "left")
+    dealt = marked(rows).withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("__h", "__hot")
+    every = marked(names).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0)))).drop("__h", "__hot")
+    return dealt.join(every, [key, "__salt"]).drop("__salt")
+
+
 def corpus_counts(docs: DataFrame, make: Callable[[], Callable[[bytes | None], Iterator[int]]], n: int, column: str = "text") -> tuple[int, np.ndarray]:
     """Rows of ``docs``, and of n numbered things in how many texts each is. ``make()`` gives a function from a text to numbers.
 
