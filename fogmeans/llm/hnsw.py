@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, pinned
+from .common import Forest, components, dropped, pinned, spread_join
 
 COSINE = 0.9
 #: Vectors of a shard at most, and shards at least.
@@ -210,6 +210,9 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float, beam: int = BEAM, recal
 
 def _unit(rows) -> np.ndarray:
     v = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    if len(v):
+        # the largest component becomes 1 first, so that no square overflows or vanishes
+        v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v
 
 
@@ -217,25 +220,59 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding; more columns are ignored).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different length
-    don't link either. Equal vectors are one class, found by a group-by with map-side combine, and only class
-    representatives are indexed, so copies never become pairs; their links are counted by multiplicity. A repeated vec_id
-    is one more row with its own copy of the vector. An empty table gives no rows.
+    don't link either. Equal vectors are one class, found by a group-by with map-side combine, and only one of each class is
+    indexed, so copies never become pairs; their links are counted by multiplicity. Classes have numbers of their own, so
+    vec_id may be null, repeated or of another type: a null vec_id counts its links like others, is never the name of a
+    component with another id in it, and is kept only where its component has no other id. A repeated vec_id is one more row
+    with its own copy of the vector. Components of any finite size are scaled before they are squared. An empty table gives
+    no rows.
     """
     e = F.col("embedding")
     fine = F.coalesce(e.isNotNull() & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
     rows = vectors.select("vec_id", F.when(fine, e).alias("embedding"))
     good = rows.where("embedding is not null")
-    classes = pinned(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "hnsw-classes")
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = pinned(classes.withColumn("rep", F.monotonically_increasing_id()), "hnsw-classes")
     n = classes.count()
     count = max(shards, -(-n // shard))
-    links = _class_links(classes, count, cosine)
-    links = pinned(links, "hnsw-links")
+    links = pinned(_class_links(classes.select("rep", "embedding", "copies"), count, cosine), "hnsw-links")
     comp = components(links.where("peer is not null").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = pinned(of_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "hnsw-groups")
-    joined = rows.join(of_class, "embedding", "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    of_class = classes.drop("embedding").join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = pinned(of_class.select("rep", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "hnsw-groups")
+    names = pinned(of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "hnsw-names")
+    named = pinned(spread_join(of_class, names, "component", "size", "rep").select("rep", "n_links", "component_id"), "hnsw-named")
+    found = spread_join(good, classes.select("embedding", "copies", "rep").join(named, "rep"), "embedding", "copies", "vec_id").select("vec_id", "n_links", "component_id")
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    dropped(links, comp)
+    return found.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, every: int = 50) -> DataFrame:
+    """queries, true_links, found_links, recall: rows whose vec_id is divisible by ``every`` against all rows, by brute force.
+
+    ``found`` is near_duplicates() of ``vectors``, of one length and with distinct vec_ids. The queries are compared in blocks
+    with each batch of rows; only their counts meet. The links of a query are found as many as n_links says, at most the true ones.
+    """
+    good = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    n, asked = good.count(), good.where(F.col("vec_id") % every == 0).count()
+    n_blocks, n_parts = max(1, -(-asked // 2048)), max(1, -(-n // SHARD))
+    queries = good.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    blocks = queries.groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
+    rows = good.select(F.struct("vec_id", "embedding").alias("r")).withColumn("part", F.pmod(F.xxhash64("r.vec_id"), F.lit(n_parts)).cast("int")).groupBy("part").agg(F.collect_list("r").alias("r"))
+
+    def compare(batches):
+        for pdf in batches:
+            for q, r in zip(pdf["q"], pdf["r"], strict=True):
+                a, b = _unit([x["embedding"] for x in q]), _unit([x["embedding"] for x in r])
+                same = np.array([x["vec_id"] for x in q])[:, None] == np.array([x["vec_id"] for x in r])[None, :]
+                yield pd.DataFrame({"vec_id": [x["vec_id"] for x in q], "n": ((a @ b.T >= cosine) & ~same).sum(axis=1)})
+
+    # about 2,048 queries meet about SHARD rows in a task: the stated query set against all rows, block by block
+    every_block = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(n_blocks * n_parts, "block", "part").join(blocks, "block").select("q", "r")
+    truth = every_block.mapInPandas(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    both = truth.join(found.select("vec_id", "n_links"), "vec_id")
+    return both.agg(F.count("*").alias("queries"), F.sum("n").alias("true_links"), F.sum(F.least("n", "n_links")).alias("found_links")).withColumn("recall", F.col("found_links") / F.col("true_links"))
 
 
 def _class_links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
