@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, map_texts, pinned
+from .common import Forest, components, dropped, map_texts, pinned, spread_join
 
 SEED = 42
 SHINGLE = 4
@@ -16,8 +16,8 @@ RADIUS = 4
 #: Fingerprints of a tile at most, and tiles at least (so that small inputs still use several tasks).
 TILE = 65_536
 MIN_TILES = 8
-#: Places a group's name is sent to.
-SALTS = 16
+#: Tasks that compare tiles, at most; a task with several tile pairs takes one after another.
+MOST_TASKS = 20_000
 
 
 def fingerprint_words(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -74,6 +74,23 @@ def _tile_plan(histogram: list[tuple[int, int]], tile: int, least: int) -> dict[
     return plan
 
 
+def _partners(plan: dict[int, tuple[int, int]], radius: int) -> list[tuple[int, int, int, int, int]]:
+    """Of each population count: first tile, number of tiles, and the first and last tile of counts within the radius of its tiles.
+
+    Tiles are numbered by rising counts, so the partners of a tile are one range; 65 rows at most.
+    """
+    spans: dict[int, list[int]] = {}
+    for pop in plan:
+        spans.setdefault(plan[pop][0], []).append(pop)
+    out = []
+    for pop, (first, parts) in plan.items():
+        lo, hi = min(spans[first]) - radius, max(spans[first]) + radius
+        near = [(a, a + n - 1) for p, (a, n) in plan.items() if p >= lo and p <= hi]
+        # a tile of several counts may hold one in reach though its first is not: tiles are taken whole
+        out.append((pop, first, parts, min(a for a, _ in near), max(b for _, b in near)))
+    return out
+
+
 def _near(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
     """Yield (row of a, rows of b within the radius); of equal tiles only later rows of b."""
     pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
@@ -111,40 +128,31 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, leas
     spark = distinct.sparkSession
     if not histogram:
         return spark.createDataFrame([], "a long, b long")
-    plan = _tile_plan(histogram, tile, least)
-    spans: dict[int, list[int]] = {}
-    for pop, (first, parts) in plan.items():
-        for t in range(first, first + parts):
-            spans.setdefault(t, [pop, pop])
-            spans[t] = [min(spans[t][0], pop), max(spans[t][1], pop)]
-    pairs = [(i, j) for i in spans for j in spans if i <= j and max(spans[i][0], spans[j][0]) - min(spans[i][1], spans[j][1]) <= radius]
-    partners = {t: sorted({f"{i}_{j}" for i, j in pairs if t in (i, j)}) for t in spans}
-    plan_rows = spark.createDataFrame([(p, a, n) for p, (a, n) in plan.items()], "pop int, first int, parts int")
-    partner_rows = spark.createDataFrame(list(partners.items()), "tile int, pairs array<string>")
-    # both small tables are bounded: 65 population counts, and one row a tile of 65,536 fingerprints
-    tiled = distinct.join(F.broadcast(plan_rows), "pop").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("tile"))
-    dealt = tiled.join(partner_rows, "tile").select("tile", F.explode("pairs").alias("pair"), "fp")
+    plan = _partners(_tile_plan(histogram, tile, least), radius)
+    # each tile pair from both its sides, so about half of this
+    sides = sum(parts * (hi - lo + 2) for _, _, parts, lo, hi in {p[1]: p for p in plan}.values())
+    tasks = min(MOST_TASKS, max(1, sides // 2))
+    plan_rows = spark.createDataFrame(plan, "pop int, first int, parts int, lo int, hi int")  # 65 rows at most
+    tiled = distinct.join(F.broadcast(plan_rows), "pop").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("tile"), "lo", "hi")
+    dealt = tiled.select("fp", "tile", F.explode(F.sequence("lo", "hi")).alias("other")).select("fp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = map(int, pdf["pair"].iloc[0].split("_"))
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         a = np.sort(pdf.loc[pdf["tile"] == i, "fp"].to_numpy(np.int64))
         b = a if i == j else np.sort(pdf.loc[pdf["tile"] == j, "fp"].to_numpy(np.int64))
         offset = 0 if i == j else len(a)
         every = a if i == j else np.concatenate([a, b])
-        forest = Forest(len(every))
-        touched = []
+        forest, touched = Forest(len(every)), np.zeros(len(every), bool)
         for r, found in _near(a.view(np.uint64), b.view(np.uint64), radius, i == j):
             ids = np.append(found + offset, r)
             forest.join(ids)
-            touched.append(ids)
-        if not touched:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        ids = np.unique(np.concatenate(touched))
+            touched[ids] = True
+        ids = np.flatnonzero(touched)
         roots = forest.roots(ids)
         keep = ids != roots
         return pd.DataFrame({"a": every[ids[keep]], "b": every[roots[keep]]})
 
-    return dealt.repartition(len(pairs), "pair").groupBy("pair").applyInPandas(compare, "a long, b long")
+    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _groups(classes: DataFrame, radius: int) -> DataFrame:
@@ -161,15 +169,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a null component_id. An empty table gives no rows.
     """
     marked = pinned(fingerprints(docs), "simhash-fp")
-    classes = pinned(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-class")
+    classes = pinned(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-class")
     # the component of a fingerprint, then the smallest doc_id over its classes
     named = pinned(_groups(classes, radius), "simhash-named")
-    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    # a group may hold any share of the fingerprints, so its name meets them in SALTS places
-    salted = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_fp = pinned(salted.join(every, ["group", "salt"]).select("fp", "component_id"), "simhash-groups")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = pinned(named.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "simhash-least")
+    # a group may hold any share of the fingerprints, and a fingerprint any share of the rows
+    by_fp = pinned(spread_join(named, least, "group", "size", "fp").select("fp", "component_id", "n"), "simhash-groups")
+    dropped(classes, named, least)
+    return spread_join(marked, by_fp, "fp", "n", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
