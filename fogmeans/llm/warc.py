@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,13 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pinned, scratch_path
+from .common import dropped, pinned, scratch_path
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 1000
-#: Records of one file; three a page.
+#: Records of one file (three a page) with payloads of up to LARGE bytes, and with larger ones. A task reads one record after another.
 FILE_RECORDS = 3000
+LARGE = 256 << 10
+LARGE_RECORDS = 30
+#: Captures made at a time of pages rows that are equal in page_id, url and html.
+COPIES = 4096
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
@@ -34,33 +39,42 @@ def _record(kind: Column, record_id: Column, uri: Column, date: str, content_typ
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, link, digest, bytes, keeper, keeper_link: the row whose response holds the payload (null: this one).
+    """page_id, link, digest, bytes, n (rows equal in these), keeper, keeper_link: the row whose response holds the payload (null: this one).
 
     ``link`` tells urls, null among them, apart. Of equal payloads (by SHA-1) of LEAST_REVISIT bytes or more the largest
     page_id keeps it; each row of that page_id does, and others refer to the one with the largest link. Only digests and links
     are shuffled; a digest of very many pages is counted with map-side combine, and its join is split by the adaptive skew join.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pinned(pages.select("page_id", "link", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes")).distinct(), "warc-digests")
-    best = pinned(rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "link")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-best")
+    rows = pinned(pages.select("page_id", "link", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes")).groupBy("page_id", "link", "digest", "bytes").agg(F.count("*").alias("n")), "warc-digests")
+    best = pinned(rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "link")).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "warc-best")
     joined = rows.join(best, "digest", "left")
     other = ~F.col("best.page_id").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "link", "digest", "bytes", F.when(other, F.col("best.page_id")).alias("keeper"), F.when(other, F.col("best.link")).alias("keeper_link"))
+    return joined.select("page_id", "link", "digest", "bytes", "n", F.when(other, F.col("best.page_id")).alias("keeper"), F.when(other, F.col("best.link")).alias("keeper_link"))
 
 
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write a request, a response or revisit, and a metadata record of each page (page_id, url, html) to files under ``path``.
 
-    Null html is the empty payload; a null url is empty; line breaks in urls are dropped. Repeated page_ids with different
-    payloads or urls are captures of their own; rows with equal page_id, url and html are one capture when read. Files are compressed as a whole.
+    Null html is the empty payload; a null url is empty; line breaks in urls are dropped. Every row is a capture of its own,
+    rows equal in page_id, url and html too: their identifiers hold a number, and very many of them are made in blocks that
+    are dealt to all tasks. Pages with large payloads go to files of fewer records, so a file is bounded by bytes. An empty
+    table gives files without records; other columns are ignored. Files are compressed as a whole.
     """
     payload = F.coalesce("html", F.lit(""))
     link = F.coalesce(F.concat(F.lit("="), "url"), F.lit(""))
     pages = pages.select(F.col("page_id").alias("pid"), link.alias("to"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("uri"), payload.alias("body"), F.sha1(payload.cast("binary")).alias("dig"))
     r = pinned(roles(pages.select(F.col("pid").alias("page_id"), F.col("to").alias("link"), F.col("body").alias("html"))), "warc-roles")
-    rows = pages.join(r, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("to") == F.col("link")) & (F.col("dig") == F.col("digest")))
-    key = lambda page, link: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), F.col("dig"), link)
-    own, keeper = key(F.col("pid"), F.col("to")), key(F.col("keeper"), F.col("keeper_link"))
+    joined = pages.join(r, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("to") == F.col("link")) & (F.col("dig") == F.col("digest")))
+    cols = ["pid", "to", "uri", "body", "dig", "bytes", "keeper", "keeper_link"]
+    rows = joined.where("n = 1").select(*cols, F.lit(0).cast("long").alias("copy"))
+    if r.where("n > 1").head(1):
+        # map-side, one row of each task and set of equal rows is left; their captures are numbered again below
+        same = joined.where("n > 1").groupBy("pid", "to", "dig").agg(F.first(F.struct("uri", "body", "bytes", "keeper", "keeper_link", "n")).alias("r")).select("pid", "to", "dig", "r.*")
+        blocks = same.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("pid", "to", "dig", "block")
+        rows = rows.union(blocks.select(*cols, F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("n"), (F.col("block") + 1) * COPIES) - 1)).alias("copy")))
+    key = lambda page, link, copy: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), F.col("dig"), link, F.when(copy > 0, copy.cast("string")))
+    own, keeper = key(F.col("pid"), F.col("to"), F.col("copy")), key(F.col("keeper"), F.col("keeper_link"), F.lit(0))
     rid = _uuid("response", own)
     revisit = F.col("keeper").isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -69,27 +83,37 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compr
     request = _record(F.lit("request"), _uuid("request", own), F.col("uri"), date, "application/http;msgtype=request", F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1" + END)), [("WARC-Concurrent-To", rid)])
     fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("pid").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payload-length: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record(F.lit("metadata"), _uuid("metadata", own), F.col("uri"), date, "application/warc-fields", fields, [("WARC-Concurrent-To", rid)])
-    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
+    large = r.where(F.col("bytes") > LARGE).head(1)
+    for some, most in [(rows.where(F.col("bytes") <= LARGE) if large else rows, FILE_RECORDS), *([(rows.where(F.col("bytes") > LARGE), LARGE_RECORDS)] if large else [])]:
+        records = some.select(F.explode(F.array(request, response, metadata)).alias("value"))
+        records.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
+    dropped(r)
 
 
 def parse_file(raw: bytes) -> Iterator[dict]:
-    """Records of one archive, by their Content-Length."""
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 2] == b"\r\n":
-            at += 2
+    """Records of one archive in memory."""
+    return parse_stream(io.BytesIO(raw))
+
+
+def parse_stream(f) -> Iterator[dict]:
+    """Records of one archive, by their Content-Length, one after another."""
+    while line := f.readline():
+        if line == b"\r\n":
             continue
-        stop = raw.find(b"\r\n\r\n", at)
-        if not raw.startswith(b"WARC/", at) or stop < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(b": ", 1) for line in raw[at:stop].split(b"\r\n")[1:])
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        head = {}
+        while (line := f.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a header is cut off")
+            k, v = line[:-2].split(b": ", 1)
+            head[k] = v
         get = lambda k, h=head: h[k].decode() if k in h else None
         n = int(head[b"Content-Length"])
-        block = raw[stop + 4 : stop + 4 + n]
+        block = f.read(n)
         if len(block) < n:
             raise ValueError("a record is cut off")
-        at = stop + 4 + n
-        kind, out = get(b"WARC-Type"), {}
+        kind = get(b"WARC-Type")
         fields = {}
         payload = None
         if kind == "metadata":
@@ -99,8 +123,7 @@ def parse_file(raw: bytes) -> Iterator[dict]:
         digest = (get(b"WARC-Payload-Digest") or "").removeprefix("sha1:") or None
         if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
             raise ValueError(f"payload of {get(b'WARC-Record-ID')} does not match its digest")
-        out = {"record_id": get(b"WARC-Record-ID"), "type": kind, "concurrent_to": get(b"WARC-Concurrent-To"), "refers_to": get(b"WARC-Refers-To"), "uri": get(b"WARC-Target-URI"), "payload_digest": digest, "payload_bytes": None if payload is None else len(payload), "fields": list(fields.items()), "payload": payload}
-        yield out
+        yield {"record_id": get(b"WARC-Record-ID"), "type": kind, "concurrent_to": get(b"WARC-Concurrent-To"), "refers_to": get(b"WARC-Refers-To"), "uri": get(b"WARC-Target-URI"), "payload_digest": digest, "payload_bytes": None if payload is None else len(payload), "fields": list(fields.items()), "payload": payload}
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -114,8 +137,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held = [], 0
-                raw = batch.column(0)[i].as_buffer().to_pybytes()
-                for r in parse_file(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                f = io.BytesIO(batch.column(0)[i].as_buffer())
+                packed = f.getbuffer()[:2] == b"\x1f\x8b"
+                for r in parse_stream(io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20) if packed else f):
                     held += len(r["payload"] or b"")
                     rows.append(r if payloads else r | {"payload": None})
                     if held > 8 << 20:
@@ -127,17 +151,17 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
 
 
-def captures(records: DataFrame) -> DataFrame:
+def captures(records: DataFrame, id_type: str = "long") -> DataFrame:
     """One nested row a capture: page_id, url, response, request, metadata, refers_to_page.
 
     Requests and metadata meet their response through concurrent-to identifiers, revisits the page they refer to through
     its record identifier. Identifiers are near-unique, so the joins are even; very many revisits of one response are split
-    by the adaptive skew join. Records read twice are one. A response without request or metadata has nulls there.
+    by the adaptive skew join. Records read twice are one. page_id is read as ``id_type``. A response without request or metadata has nulls there.
     """
     first = [c for c in records.columns if c != "record_id"]
     main = records.where(F.col("type").isin("response", "revisit"))
     side = lambda t, *cols: records.where(F.col("type") == t).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.first(F.struct(*cols)).alias(t))
-    meta = side("metadata", "record_id", F.col("fields")["page-id"].cast("long").alias("page_id"), F.col("fields")["payload-length"].cast("long").alias("payload_bytes"))
+    meta = side("metadata", "record_id", F.col("fields")["page-id"].cast(id_type).alias("page_id"), F.col("fields")["payload-length"].cast("long").alias("payload_bytes"))
     one = main.groupBy("record_id").agg(F.first(F.struct(*first)).alias("response"))
     whole = one.join(meta, "record_id", "left").join(side("request", "record_id", "uri"), "record_id", "left")
     whole = pinned(whole, "warc-captures")
@@ -147,11 +171,11 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
-    """captures() of archives of ``pages`` written to the shared folder."""
+    """captures() of archives of ``pages`` written to the shared folder: one row of each row of ``pages``, repeated ones too."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path)
-    return captures(read(spark, path, payloads))
+    return captures(read(spark, path, payloads), dict(pages.dtypes)["page_id"])
 
 
 SQL = """with p as (select page_id, sha1(coalesce(html, '')) d, octet_length(encode(coalesce(html, ''))) n from pages),
