@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 
@@ -13,39 +13,70 @@ from .common import corpus_counts, map_texts
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Phrases whose labels always hold where the phrase stands.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Label, template words, key phrases that must stand in the file too.
-TEMPLATES = (
+#: Label, passage of the public licence or its usual notice, key phrases that must stand in the match.
+PASSAGES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted free of charge", "without restriction")),
     ("mit", "released under the mit license", ("mit license",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("without warranties or conditions of any kind",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "with or without modification")),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee",)),
     ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2 of the license")),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3 of the license")),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("alter it and redistribute it freely",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ("waived all copyright",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4",)),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike",)),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
 )
-#: Share of a template's words that must stand at their relative places.
+TEMPLATES = PASSAGES
+#: Share of a template's words that must stand in their order, and by how many words their places may drift in a match.
 COVER = 0.8
+BAND = 4
+
+
+def common(tpl: list, words: list, start: int, band: int = BAND) -> int:
+    """Longest common subsequence of ``tpl`` and ``words`` in which word j of ``tpl`` stands at start + j to start + j + band."""
+    n, best = len(words), [0] * (band + 2)
+    for j, t in enumerate(tpl):
+        left, p = 0, start + j
+        for d in range(band + 1):
+            here = best[d] + 1 if 0 <= p + d < n and words[p + d] == t else best[d + 1]
+            if here < left:
+                here = left
+            best[d] = left = here
+        best[band + 1] = 0
+    return max(best)
 
 
 class Scanner:
     """Index of templates: of each, its rarest words with their places.
 
-    A template is indexed by one word more than a match may miss, so every match holds an indexed word: the lookup loses
+    A match is a place ``start`` where at least ``cover`` of the template's words stand in order, word j at start + j to
+    start + j + band, so words may be inserted, left out or changed; the key phrases must stand in the same stretch. A
+    template is indexed by one word more than a match may miss, so every match holds an indexed word: the lookup loses
     nothing. A base phrase is a template without misses, indexed by its rarest word. ``idf`` orders the words; it decides the cost, never the result.
     """
 
-    def __init__(self, idf: dict[str, float] | None = None, templates=TEMPLATES, base=BASE, cover: float = COVER):
+    def __init__(self, idf: dict[str, float] | None = None, templates=TEMPLATES, base=BASE, cover: float = COVER, band: int = BAND):
         idf = idf or {}
-        self.cover = cover
+        self.cover, self.band = cover, band
         self.templates, self.post = [], defaultdict(list)
         self.base, self.base_post = [(label, p.encode().split()) for p, label in base], defaultdict(list)
 
@@ -57,19 +88,18 @@ class Scanner:
             self.base_post[words[i]].append((n, i))
         for n, (label, text, keys) in enumerate(templates):
             words = text.encode().split()
-            self.templates.append((label, words, [b" " + k.encode() + b" " for k in keys]))
-            spare = len(words) - math.ceil(cover * len(words) - 1e-9)
-            for i in rarest(words)[: spare + 1]:
+            need = math.ceil(cover * len(words) - 1e-9)
+            self.templates.append((label, words, [b" " + k.encode() + b" " for k in keys], need, Counter(words)))
+            for i in rarest(words)[: len(words) - need + 1]:
                 self.post[words[i]].append((n, i))
         self.anchors = set(self.post) | set(self.base_post)
 
     def scan(self, text: bytes | None) -> dict:
         words = WORD.findall((text or b"").lower())
-        line = b" " + b" ".join(words) + b" "
         starts, base_labels, labels, score, spans = [], set(), set(), 0.0, []
         hits = self.anchors & set(words)
         if hits:
-            seen, keyed = set(), {}
+            matches, seen = defaultdict(dict), set()
             for p, w in enumerate(words):
                 if w in hits:
                     for n, i in self.base_post.get(w, ()):
@@ -81,18 +111,37 @@ class Scanner:
                     for n, i in self.post.get(w, ()):
                         if (n, p - i) not in seen:
                             seen.add((n, p - i))
-                            label, tpl, keys = self.templates[n]
-                            o = p - i
-                            same = sum(words[o + j] == t for j, t in enumerate(tpl) if 0 <= o + j < len(words))
-                            if same < self.cover * len(tpl) - 1e-9:
-                                continue
-                            if n not in keyed:
-                                keyed[n] = all(k in line for k in keys)
-                            if keyed[n]:
-                                labels.add(label)
-                                spans.append((label, max(0, o), min(len(words), o + len(tpl)), same / len(tpl)))
-                                score = max(score, same / len(tpl))
-        return {"n_words": len(words), "starts": starts, "base": base_labels, "labels": base_labels | labels, "score": score, "spans": sorted(spans)}
+                            self._match(words, n, p - i, matches[n])
+            for n, found in matches.items():
+                if found:
+                    label, tpl = self.templates[n][:2]
+                    labels.add(label)
+                    score = max(score, max(found.values()) / len(tpl))
+                    run: list[int] = []
+                    for start in [*sorted(found), math.inf]:
+                        if run and start - run[0] >= len(tpl):
+                            best = max(run, key=lambda x: (found[x], -x))  # noqa: B023  starts of one copy overlap: the best stands for them
+                            spans.append((label, max(0, best), min(len(words), best + len(tpl) + self.band), found[best] / len(tpl)))
+                            run = []
+                        run.append(start)
+        return {"n_words": len(words), "starts": starts, "base": base_labels, "labels": base_labels | labels, "score": score, "spans": sorted(set(spans))}
+
+    def _match(self, words: list, n: int, at: int, found: dict) -> None:
+        """Add to ``found`` the matches (start: words) of template n that may have an indexed word at place ``at`` of the alignment."""
+        label, tpl, keys, need, counts = self.templates[n]
+        near = Counter(words[max(0, at - self.band) : max(0, at + len(tpl) + self.band)])
+        if sum(min(k, near[w]) for w, k in counts.items()) < need:
+            return
+        whole = at >= 0 and words[at : at + len(tpl)] == tpl
+        for s in range(at - self.band, at + 1):
+            if s in found:
+                continue
+            # an exact copy at ``at`` lies in all these stretches
+            same = len(tpl) if whole else common(tpl, words, s, self.band)
+            if same >= need:
+                line = b" " + b" ".join(words[max(0, s) : max(0, s + len(tpl) + self.band)]) + b" "
+                if all(k in line for k in keys):
+                    found[s] = same
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -115,7 +164,8 @@ def scan_documents(docs: DataFrame, keep: list[str] | None = None, idf: dict[str
     """Columns ``keep`` (doc_id), n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     Null and empty texts have no words, labels or places and score 0. score is 1 where a base phrase stands, else the largest
-    share of a matched template's words. One pass for the word statistics over all rows, one for the scan; no shuffle.
+    share of a matched template's words. Repeated rows are scanned one by one, very long texts whole in one task, an empty
+    table gives no rows, other columns are ignored. One pass for the word statistics over all rows, one for the scan; no shuffle.
     """
     idf = corpus_idf(docs.select("doc_id", "text")) if idf is None else idf
 
