@@ -21,7 +21,7 @@ from .common import map_texts
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf of the tree, and bytes of a leaf inside one long match.
-LEAF = 4096
+LEAF = 1024
 PIECE = 2048
 #: A safe place: a letter or printable ASCII before a space or newline, which all Unicode versions tell apart alike.
 _SAFE = regex.compile(r"[!-~\p{L}](?=[ \n])")
@@ -29,6 +29,10 @@ _SAFE = regex.compile(r"[!-~\p{L}](?=[ \n])")
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+class _Crossed(Exception):
+    """A token stands across a place where the text should be safe to cut."""
+
+
 class TreeBpe:
     """Encoder and decoder for one rank file; ``leaf`` and ``piece`` set where the trees end."""
 
@@ -103,7 +107,8 @@ class TreeBpe:
         while rest > 0:
             i -= 1
             rest -= len(self.bytes[ids[i]])
-        assert rest == 0, "a token crosses a safe place"
+        if rest:
+            raise _Crossed
         return ids[:i]
 
     def _cut_head(self, ids: list[int], part: str) -> list[int]:
@@ -111,17 +116,24 @@ class TreeBpe:
         while rest > 0:
             rest -= len(self.bytes[ids[i]])
             i += 1
-        assert rest == 0, "a token crosses a safe place"
+        if rest:
+            raise _Crossed
         return ids[i:]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, as the tiktoken library's encode_ordinary gives them; a text without any safe place is one window."""
-        ids = self._node(text, 0, len(text))[0] if len(text) > self.leaf else self._plain(text)
+        try:
+            ids = self._node(text, 0, len(text))[0] if len(text) > self.leaf else self._plain(text)
+        except _Crossed:  # not seen with the public patterns; the whole text is the window then
+            ids = None
         return self._plain(text) if ids is None else ids
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenation up the tree; joining bytes is associative, so leaves of 4,096 ids and one join of them are enough."""
-        return b"".join([b"".join([self.bytes[i] for i in ids[k : k + 4096]]) for k in range(0, len(ids), 4096)])
+        """Concatenation up the tree: leaves of LEAF ids, then neighbours two by two until one is left."""
+        parts = [b"".join([self.bytes[i] for i in ids[k : k + LEAF]]) for k in range(0, len(ids), LEAF)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 _cached: dict[tuple, TreeBpe] = {}
@@ -141,7 +153,11 @@ def default_ranks() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Columns ``keep`` and ids array<int>, decoded binary of each text. Null counts as the empty text: no ids, no bytes."""
+    """Columns ``keep`` and ids array<int>, decoded binary of each text. Null counts as the empty text: no ids, no bytes.
+
+    Repeated rows are encoded one by one, an empty table gives no rows, other columns are ignored whatever their names. A
+    text is one row of one task, however long.
+    """
     if path is None or pattern is None:
         path, pattern = default_ranks()
 
@@ -158,7 +174,10 @@ def encode_documents(docs: DataFrame, keep: list[str] | None = None, path: str |
 
 
 def digests(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """encode_documents() with the results digested in the same task: n_tokens, ids_sha256, decoded_sha256, no shuffle."""
+    """encode_documents() with the results digested in the same task: n_tokens, ids_sha256, decoded_sha256, no shuffle.
+
+    Nulls, repeats, empty tables and other columns as there.
+    """
     if path is None or pattern is None:
         path, pattern = default_ranks()
 

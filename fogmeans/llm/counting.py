@@ -117,6 +117,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str | None = None, patter
 
     ``edits`` is an array of structs (pos, del, ins) applied in order; null arrays and null fields edit nothing. Null texts
     are empty. Each row is a tree of its own in one task, so repeated doc_ids and rows of any length need no shuffle.
+    An empty table gives no rows; other columns are ignored.
     """
     if path is None or pattern is None:
         path, pattern = default_ranks()
