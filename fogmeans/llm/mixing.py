@@ -67,9 +67,9 @@ def _replicated(docs: DataFrame, weights: DataFrame | None = None, budget: float
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("source").alias("__s"))
     rates = poisson_tables(source_rates(docs, weights, budget)).withColumnRenamed("source", "__t")
     rates = pinned(rates, "mix-rates")
-    numbers = rates.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0
+    numbers, most = rates.agg(F.sum(F.size("cdf") + 4), F.max("rate")).first()
     same = F.col("__s").eqNullSafe(F.col("__t"))
-    if numbers <= SMALL:
+    if (numbers or 0) <= SMALL:
         drawn = rows.join(F.broadcast(rates), same)
     else:
         salted = rates.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -78,6 +78,9 @@ def _replicated(docs: DataFrame, weights: DataFrame | None = None, budget: float
     copies = drawn.withColumn("__n", F.col("first") + F.size(F.filter("cdf", lambda c: c <= u))).where("__n > 0").drop("cdf")
     # blocks of copies, then copies: no array grows with the rate
     copies = copies.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))))
+    if (most or 0) > COPIES / 2:
+        # a document may have several blocks: they are dealt to all tasks before their copies are made
+        copies = copies.repartition("__id", "__b")
     out = copies.withColumn("mix_copy", F.explode(F.sequence(F.col("__b") * COPIES, F.least(F.col("__n"), (F.col("__b") + 1) * COPIES) - 1).cast("array<int>")))
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "__id", "mix_copy").cast("binary")))
     out = out.select(*names, "mix_copy", F.col("rate").alias("mix_rate"), "mix_key")
@@ -92,7 +95,8 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, budget: float =
     Columns of ``docs``, then mix_copy (from 0), mix_rate and mix_key, which replace columns of
     these names. The draw inverts the distribution at a hash of seed
     and doc_id, so reruns and lost tasks give the same rows, and equal doc_ids draw alike. A null doc_id hashes as empty.
-    Sources are never gathered: each has one row of its rate and distribution, joined to the documents where they lie; these
+    Copies of one document are made in blocks of COPIES; where a rate allows more than one block, the blocks are dealt to all
+    tasks first, so a source of one document is not made by one task. Sources are never gathered: each has one row of its rate and distribution, joined to the documents where they lie; these
     rows are broadcast only if they hold SMALL numbers at most. No documents, or
     weights that sum to 0, give no rows.
     """
@@ -120,4 +124,4 @@ mix as (select d.*, unnest(range(0, n)) mix_copy, rate mix_rate from draws d joi
 """
 
 
-SQL = f"with {cte('documents')} select doc_id, source, mix_copy::int mix_copy, round(mix_rate, 9) mix_rate, md5('{SEED}|order|' || doc_id || '|' || mix_copy) mix_key, md5(text) text_md5, lang, n_chars from mix"
+SQL = f"with {cte('documents')} select doc_id, source, mix_copy::int mix_copy, round(mix_rate, 9) mix_rate, md5('{SEED}|order|' || coalesce(doc_id::varchar, '') || '|' || mix_copy) mix_key, md5(text) text_md5, lang, n_chars from mix"
