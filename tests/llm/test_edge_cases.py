@@ -87,7 +87,8 @@ def test_chat_nulls(spark):
 def test_vectors_and_pages(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.01], 2), (4, [0.0, 1.0], None), (5, None, None)], "vec_id long, embedding array<float>, label int")
     v = v.withColumns({c: F.lit(1) for c in ("rep", "copies", "shard", "dim", "peer", "links")})
-    assert hnsw.near_duplicates(v).count() == 5
+    got = sorted(map(tuple, hnsw.near_duplicates(v).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)], key=str)
     p = spark.createDataFrame([(1, None, None), (2, "u\r\nx", "é" * 600), (3, "u", "é" * 600), (4, "u", "")], "page_id long, url string, html string").withColumn("body", F.lit(1)).withColumn("dig", F.lit(2))
     got = {r["page_id"]: (r["response"]["type"], r["refers_to_page"], r["metadata"]["payload_bytes"]) for r in warc.round_trip(p).collect()}
     assert got == {1: ("response", None, 0), 2: ("revisit", 3, 1200), 3: ("response", None, 1200), 4: ("response", None, 0)}

@@ -42,6 +42,23 @@ def test_embedding_links(spark):
     want = link.sum(axis=1)
     have = np.array([got[i]["n_links"] for i in range(n)])
     assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in zip(*np.nonzero(link), strict=True):
+        a, b = sorted((root(int(i)), root(int(j))))
+        up[b] = a
+    # found links are true ones, so components are parts of the true ones; with all links found they are the same
+    assert all(root(got[i]["component_id"]) == root(i) for i in range(n))
+    if have.sum() == want.sum():
+        assert all(got[i]["component_id"] == root(i) for i in range(n))
+    assert np.mean([got[i]["component_id"] == root(i) for i in range(n)]) > 0.95
+    measured = hnsw.recall(df.where(f"vec_id < {n}"), hnsw.near_duplicates(df), every=7).first()
+    assert measured["queries"] == len(range(0, n, 7)) and measured["true_links"] == want[::7].sum() and measured["recall"] >= 0.9
     for i in range(n):
         assert got[i]["kept"] == (got[i]["component_id"] == i)
         assert (have[i] > 0) or got[i]["component_id"] == i
@@ -50,6 +67,33 @@ def test_embedding_links(spark):
     assert hnsw.near_duplicates(df.where("false")).count() == 0
 
 
+def test_null_ids_and_large_components(spark):
+    rows = [(7, [1.0, 0.0]), (None, [1.0, 0.01]), (9, [1.0, 0.02]), (None, [0.0, 1.0]), (None, [0.0, 2.0]), (3, [0.0, 0.0]), (4, [1e200, 1e200]), (5, [1e-200, 1e-200]), (6, [-1e308, 1e308]), (8, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("least", F.lit(0))
+    got = sorted(map(tuple, hnsw.near_duplicates(df).collect()), key=str)
+    want = [(7, 2, 7, True), (None, 2, 7, False), (9, 2, 7, False), (None, 1, None, True), (None, 1, None, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (8, 1, 6, False)]
+    assert got == sorted(want, key=str)
+    texts = hnsw.near_duplicates(df.withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))).collect()
+    assert {r["vec_id"]: r["component_id"] for r in texts}["v9"] == "v7"
+    # cosine of exactly the limit links, the next number below doesn't
+    edge = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert [r["n_links"] for r in hnsw.near_duplicates(edge, 0.6).collect()] == [1, 1]
+    assert [r["n_links"] for r in hnsw.near_duplicates(edge, float(np.nextafter(0.6, 1))).collect()] == [0, 0]
+
+
+def test_hot_keys_are_dealt_without_loss(spark, monkeypatch):
+    from fogmeans.llm import common
+
+    rows = spark.range(500).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("key"), F.col("id").alias("by"))
+    names = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("name", F.concat(F.lit("name of "), "key"))
+    want = sorted(map(tuple, rows.join(names, "key").select("key", "by", "name").collect()))
+    monkeypatch.setattr(common, "HOT", 60)
+    assert sorted(map(tuple, common.spread_join(rows, names, "key", "n", "by").select("key", "by", "name").collect())) == want
+    star = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(100)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(101)}}
+
+
 def test_graph_recall():
     v = np.random.default_rng(2).normal(size=(3000, 24)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -150,8 +194,10 @@ def test_warc_round_trip(spark):
         assert r["response"]["payload_digest"] == hashlib.sha1(raw).hexdigest() and r["metadata"]["payload_bytes"] == len(raw)
         assert revisit or bytes(r["response"]["payload"]) == raw
         assert r["url"] == (url or "").replace("\r\n", "") and r["request"]["uri"] == r["url"]
-    twice = warc.round_trip(df.union(df).union(df.where("false")))
-    assert twice.count() == len(rows)
+    # rows equal in everything are captures of their own
+    twice = warc.round_trip(df.union(df).union(df.where("false"))).collect()
+    assert sorted(r["page_id"] for r in twice) == sorted([r[0] for r in rows] * 2) and len({r["record_id"] for r in twice}) == 2 * len(rows)
+    assert all((r["refers_to_page"] == 5) == (r["page_id"] in (1, 3)) for r in twice)
     assert warc.round_trip(df.where("false")).count() == 0
 
 
@@ -165,6 +211,16 @@ def test_warc_keeps_rows_of_other_urls(spark):
     assert sorted(have, key=str) == sorted(want, key=str) and len({r["record_id"] for r in got}) == len(rows)
 
 
+def test_warc_sizes_repeats_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 4)
+    big = "x" * (warc.LARGE + 1)
+    rows = [("a", "u", "same")] * 11 + [("b", "u", big), ("c", "u", big), (None, "u", big)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    have = sorted(((r["page_id"], r["metadata"]["payload_bytes"], r["response"]["type"], r["refers_to_page"]) for r in got), key=str)
+    want = [("a", 4, "response", None)] * 11 + [("b", len(big), "revisit", "c"), ("c", len(big), "response", None), (None, len(big), "revisit", "c")]
+    assert have == sorted(want, key=str) and len({r["record_id"] for r in got}) == len(rows)
+
+
 def test_warc_reader_rejects_damage():
     with pytest.raises(ValueError):
         list(warc.parse_file(b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 99\r\n\r\nshort"))
@@ -181,13 +237,17 @@ def test_pipeline(spark, tmp_path):
     rows = []
     for i in range(120):
         t = " ".join(r.choice(words, 60))
+        if i % 6 == 5:
+            t = t + " scoundrel wretch scoundrel"
         rows.append((i, t if i % 10 else None, "en", f"s{i % 3}", 10))
     rows += [(200 + i, rows[i + 1][1], "en", "s0", 10) for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 5)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    good = [x for x in rows if quality_row(x[1])[0] >= 20 and 100 * quality_row(x[1])[4] <= 30 * quality_row(x[1])[0]]
+    clean = [x for x in rows if "scoundrel" not in (x[1] or "")]
+    assert {x["doc_id"] for x in corpus_pipeline.not_toxic(spark, docs, str(tmp_path)).collect()} == {x[0] for x in clean} and len(clean) < len(rows) - 15
+    good = [x for x in clean if quality_row(x[1])[0] >= 20 and 100 * quality_row(x[1])[4] <= 30 * quality_row(x[1])[0]]
     fps = [fingerprint(x[1]) for x in good]
     up = closed(len(good), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
     kept = [x for i, x in enumerate(good) if up[i] == i]
