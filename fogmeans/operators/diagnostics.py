@@ -19,21 +19,23 @@ FLOOR = Protocol().min_relevance
 
 
 def round_state(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:
-    """The state after one local step from shared centres. Only tables of clients times prototypes are broadcast."""
+    """The state after one local step from shared centres. Tables of clients times prototypes are joined, not broadcast by force."""
+    centers = kernel.settled(centers)
     sums = gates.mass_gate(kernel.local_sums(points, centers, m)).withColumnRenamed("gate", "q")
     local = F.when(F.col("mass") > EPS, F.transform("s", lambda t: t / F.col("mass"))).otherwise(F.col("v"))
     own = sums.join(F.broadcast(centers), "j").select("client", "j", "share", "n", F.col("mass").alias("pre"), "q", local.alias("c"))
     packed = own.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("j", "c"))).alias("cs"))  # k rows a client
-    rows = points.join(F.broadcast(packed), "client").withColumn("d2", F.transform("cs", lambda t: kernel.squared_distance(F.col("x"), t["c"]))).drop("cs")
+    rows = points.join(packed, "client").withColumn("d2", F.transform("cs", lambda t: kernel.squared_distance(F.col("x"), t["c"]))).drop("cs")
     post = kernel.long_form(rows.withColumn("u", kernel.membership(F.col("d2"), m)), m).groupBy("client", "j").agg(F.sum("w").alias("post"))
     foot = gates.footprint_gate(points, centers, m).select("client", "j", "footprint", F.col("gate").alias("r"))
     return own.join(post, ["client", "j"]).join(foot, ["client", "j"])
 
 
 def target(state: DataFrame, weight: Column, name: str) -> DataFrame:
-    """j and the weighted mean of the local centres; null without weight."""
-    sums = kernel.vector_sums(state.withColumn("x", F.col("c")), ["j"], weight, len(state.select("c").head()["c"]))
-    return sums.select("j", F.when(F.col("mass") > 0, F.transform("s", lambda t: t / F.col("mass"))).alias(name))
+    """j and the weighted mean of the local centres; null without weight. The dimension need not be known: numbers meet by place."""
+    each = state.select("j", weight.alias("w"), F.posexplode("c").alias("i", "t")).groupBy("j", "i").agg(F.sum(F.col("w") * F.col("t")).alias("s"), F.sum("w").alias("mass"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("i", F.try_divide("s", "mass").alias("t")))), lambda z: z["t"])  # one number a dimension
+    return each.groupBy("j").agg(mean.alias("v"), F.max("mass").alias("mass")).select("j", F.when(F.col("mass") > 0, F.col("v")).alias(name))
 
 
 def _length(a: str, b: str) -> Column:
@@ -63,7 +65,7 @@ def tilt(state: DataFrame, mass: str = "post") -> DataFrame:
     s = state.withColumn("wq", w * F.col("q")).withColumn("wr", w * F.col("r")).withColumn("g", F.col("r") / F.col("q"))
     s = s.withColumn("u", (F.col("r") > FLOOR + 1e-12) & (F.col("q") > FLOOR + 1e-12))
     both = target(s, F.col("wq"), "tq").join(target(s, F.col("wr"), "tr"), "j")
-    s = s.join(F.broadcast(both), "j")
+    s = s.join(both, "j")
 
     def cv(on: Column) -> Column:
         wq = F.when(on, F.col("wq"))

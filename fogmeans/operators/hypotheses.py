@@ -30,30 +30,50 @@ def pair(name: str, a: str, b: str, expect: str | None = None) -> Hypothesis:
     return name, [(1.0, a), (-1.0, b)], expect
 
 
+def melted(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """dataset, seed, arm, metric, v: a row for each metric."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
+    return rows.select("dataset", "seed", "arm", each.alias("x")).select("dataset", "seed", "arm", "x.*")
+
+
 def contrasts(rows: DataFrame, hypotheses: list[Hypothesis], metric: str) -> DataFrame:
     """hyp, dataset, seed, diff, side. A key with a missing arm gives no row; a diverged arm gives NaN.
 
     side says which side of the contrast diverged by the sign of the NaN terms' coefficients; null if neither or both.
+    """
+    return contrasts_by(melted(rows, [metric]), hypotheses, []).drop("metric")
+
+
+def contrasts_by(long: DataFrame, hypotheses: list[Hypothesis], by: list[str]) -> DataFrame:
+    """contrasts() of melted() rows within each group ``by``.
+
     The terms are a table of a few rows a hypothesis, so they are broadcast; one shuffle adds up the terms.
     """
-    terms = rows.sparkSession.createDataFrame([(h, float(c), a, len(t)) for h, t, _ in hypotheses for c, a in t], "hyp string, coef double, arm string, terms int")
+    terms = long.sparkSession.createDataFrame([(h, float(c), a, len(t)) for h, t, _ in hypotheses for c, a in t], "hyp string, coef double, arm string, terms int")
     v, c = F.col("v"), F.col("coef")
-    one = rows.select("dataset", "seed", "arm", F.col(metric).cast("double").alias("v")).where("v is not null")
     lost = F.sum(F.when(F.isnan(v), c))
-    sums = one.join(F.broadcast(terms), "arm").groupBy("hyp", "dataset", "seed").agg(F.count("*").alias("k"), F.max("terms").alias("terms"), F.sum(c * v).alias("diff"), lost.alias("lost"))
+    sums = long.where("v is not null").join(F.broadcast(terms), "arm").groupBy(*by, "hyp", "dataset", "seed").agg(F.count("*").alias("k"), F.max("terms").alias("terms"), F.sum(c * v).alias("diff"), lost.alias("lost"))
     side = F.when(F.col("lost") > 0, "a").when(F.col("lost") < 0, "b")
-    return sums.where("k = terms").select("hyp", "dataset", "seed", "diff", side.alias("side"))
+    return sums.where("k = terms").select(*by, "hyp", "dataset", "seed", "diff", side.alias("side"))
 
 
 def run_tests(rows: DataFrame, hypotheses: list[Hypothesis], metric: str, families: dict[str, list[str]]) -> DataFrame:
-    """One row for each hypothesis and data set of its family: exact and common p, interval, Holm adjustments, direction.
+    """test_all() of one metric."""
+    return test_all(melted(rows, [metric]), hypotheses, families, [{"metric": metric}])
+
 
-    Differences are turned so that positive speaks for the first side. p_exact_nanloss counts a diverged run as the largest
-    loss of its side. A pair without runs has status "no data" and p 1. A group is one difference a seed.
+def test_all(long: DataFrame, hypotheses: list[Hypothesis], families: dict[str, list[str]], groups: list[dict]) -> DataFrame:
+    """One row for each group, hypothesis and data set of its family: exact and common p, interval, Holm adjustments, direction.
+
+    ``long`` is melted() with the columns that ``groups`` name, metric among them. Differences are turned so that positive
+    speaks for the first side. p_exact_nanloss counts a diverged run as the largest loss of its side. A pair without runs
+    has status "no data" and p 1. Python sees one difference a seed of one group, hypothesis and data set.
     """
-    sign = -1.0 if metric in LOWER_IS_BETTER else 1.0
+    by = list(groups[0])
+    at = by.index("metric")
 
     def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sign = -1.0 if key[at] in LOWER_IS_BETTER else 1.0
         raw = pdf["diff"].to_list()
         fin = [x for x in raw if not math.isnan(x)]
         turned = [sign * x for x in fin]
@@ -67,27 +87,38 @@ def run_tests(rows: DataFrame, hypotheses: list[Hypothesis], metric: str, famili
         common = signed_rank_auto(turned)
         return pd.DataFrame([(*key, len(raw), len(raw) - len(fin), n, w if n else math.nan, p, common, mean, low, high, middle, way, p_loss, "ok" if n else "all zero")])
 
-    fields = "hyp string, dataset string, n long, n_nan long, n_eff long, w_plus double, p_exact double, p_legacy double, mean_diff double, low double, high double, mean_oriented double, direction string, p_exact_nanloss double, status string"
-    done = contrasts(rows, hypotheses, metric).groupBy("hyp", "dataset").applyInPandas(test, fields)
-    spark = rows.sparkSession
-    family = spark.createDataFrame([(h, d) for h, _, _ in hypotheses for d in families[h]], "hyp string, dataset string")
-    whole = family.join(done, ["hyp", "dataset"], "left").withColumn("status", F.coalesce("status", F.lit("no data")))
+    names = "".join(f"{c} string, " for c in by)
+    fields = f"{names}hyp string, dataset string, n long, n_nan long, n_eff long, w_plus double, p_exact double, p_legacy double, mean_diff double, low double, high double, mean_oriented double, direction string, p_exact_nanloss double, status string"
+    done = contrasts_by(long, hypotheses, by).groupBy(*by, "hyp", "dataset").applyInPandas(test, fields)
+    family = long.sparkSession.createDataFrame([(*g.values(), h, d) for g in groups for h, _, _ in hypotheses for d in families[h]], f"{names}hyp string, dataset string")
+    whole = family.join(done, [*by, "hyp", "dataset"], "left").withColumn("status", F.coalesce("status", F.lit("no data")))
     whole = whole.fillna({"n": 0, "n_nan": 0, "n_eff": 0}).withColumn("p_exact", F.coalesce("p_exact", F.lit(1.0))).withColumn("p_exact_nanloss", F.coalesce("p_exact_nanloss", F.lit(1.0)))
     for p, name in (("p_exact", "p_holm"), ("p_exact_nanloss", "p_holm_nanloss")):
-        by = Window.partitionBy("hyp")
-        step = F.least(F.lit(1.0), F.col(p) * (F.count("*").over(by) - F.row_number().over(by.orderBy(p, "dataset")) + 1))
-        whole = whole.withColumn("s", step).withColumn(name, F.max("s").over(by.orderBy(p, "dataset").rowsBetween(Window.unboundedPreceding, 0))).drop("s")
-    return whole.withColumn("metric", F.lit(metric))
+        whole = with_holm(whole, p, name, [*by, "hyp"], ["dataset"])
+    return whole
+
+
+def with_holm(tests: DataFrame, p: str, name: str, within: list[str], ties: list[str]) -> DataFrame:
+    """``tests`` with column ``name``: p adjusted step down over the rows of each group ``within``. A row a test, so windows are small."""
+    by = Window.partitionBy(*within)
+    step = F.least(F.lit(1.0), F.col(p) * (F.count("*").over(by) - F.row_number().over(by.orderBy(p, *ties)) + 1))
+    return tests.withColumn("s", step).withColumn(name, F.max("s").over(by.orderBy(p, *ties).rowsBetween(Window.unboundedPreceding, 0))).drop("s")
 
 
 def summarize_tests(tests: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
-    """better_* and worse_* counts of significant data sets under each correction, and whether the expectation replicates."""
+    """better_* and worse_* counts of significant data sets under each correction, and whether the expectation replicates.
+
+    By block too, and with the correction over all tests, where ``tests`` has these columns.
+    """
     expect = tests.sparkSession.createDataFrame([(h, e) for h, _, e in hypotheses], "hyp string, expect string")
     ok = F.col("status") == "ok"
     sig = lambda p, side: F.count_if(ok & ~F.isnan(p) & (F.col(p) < ALPHA) & (F.col("direction") == side))
     kinds = {"unadj": "p_exact", "holm": "p_holm", "legacy": "p_legacy", "holm_nanloss": "p_holm_nanloss"}
+    if "p_holm_all" in tests.columns:
+        kinds["holm_all"] = "p_holm_all"
+    by = [c for c in ("block",) if c in tests.columns]
     counts = [sig(p, side).alias(f"{word}_{k}") for k, p in kinds.items() for word, side in (("better", "a"), ("worse", "b"))]
-    s = tests.groupBy("hyp", "metric").agg(F.count("*").alias("family"), F.count_if(ok).alias("n_tested"), F.count_if(F.col("n_nan") > 0).alias("n_with_nan"), *counts)
+    s = tests.groupBy(*by, "hyp", "metric").agg(F.count("*").alias("family"), F.count_if(ok).alias("n_tested"), F.count_if(F.col("n_nan") > 0).alias("n_with_nan"), *counts)
     up, down = F.col("better_holm"), F.col("worse_holm")
     rule = F.when(F.col("expect") == "a", (up >= 1) & (down <= up)).when(F.col("expect") == "b", (down >= 1) & (up <= down)).when(F.col("expect") == "none-better", up == 0)
     return s.join(F.broadcast(expect), "hyp").withColumn("replicates", rule)

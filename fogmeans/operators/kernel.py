@@ -27,14 +27,32 @@ def first_rows(points: DataFrame, k: int) -> DataFrame:
 
 
 def centers_frame(spark: SparkSession, centers: np.ndarray) -> DataFrame:
-    if len(centers) > MOST_CENTERS:
-        raise ValueError(f"{len(centers)} centres; at most {MOST_CENTERS} are broadcast")
-    return spark.createDataFrame([(j, [float(t) for t in v]) for j, v in enumerate(centers)], "j int, v array<double>")
+    return _local(spark, [(j, [float(t) for t in v]) for j, v in enumerate(centers)])
+
+
+def _local(spark: SparkSession, rows: list[tuple[int, list[float]]]) -> DataFrame:
+    if len(rows) > MOST_CENTERS:
+        raise ValueError(f"more than {MOST_CENTERS} centres: they are broadcast")
+    out = spark.createDataFrame(rows, "j int, v array<double>")
+    out.center_dim = len(rows[0][1]) if rows else 0
+    return out
+
+
+def settled(centers: DataFrame) -> DataFrame:
+    """``centers`` as a local table of at most MOST_CENTERS rows; more are refused, not broadcast.
+
+    Every operator below begins with this, so a round runs once and its plan does not hold the rounds before it: ten chained
+    rounds scan the points as often as one. Centres made by centers_frame() or by this are taken as they are.
+    """
+    if hasattr(centers, "center_dim"):
+        return centers
+    rows = centers.select("j", "v").limit(MOST_CENTERS + 1).collect()
+    return _local(centers.sparkSession, [(r["j"], list(r["v"])) for r in rows])
 
 
 def with_centers(points: DataFrame, centers: DataFrame) -> DataFrame:
     """``points`` with column cs: all centres in order of j. One row is broadcast and no row is multiplied."""
-    packed = centers.agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cs"))
+    packed = settled(centers).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cs"))
     return points.crossJoin(F.broadcast(packed))
 
 
@@ -78,7 +96,8 @@ def dimension(points: DataFrame) -> int:
 
 def update_centers(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:
     """j, v: weighted means; a centre without mass keeps its place."""
-    sums = vector_sums(long_form(memberships(points, centers, m), m), ["j"], F.col("w"), dimension(points))
+    centers = settled(centers)
+    sums = vector_sums(long_form(memberships(points, centers, m), m), ["j"], F.col("w"), centers.center_dim)  # a row a centre
     new = F.when(F.col("mass") > EPS, F.transform("s", lambda t: t / F.col("mass"))).otherwise(F.col("v"))
     return centers.join(F.broadcast(sums), "j", "left").select("j", F.coalesce(new, F.col("v")).alias("v"))
 
@@ -89,6 +108,19 @@ def objective(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFram
     return rows.agg(F.sum(term).alias("objective"))
 
 
+def client_objective(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:
+    """client, n, beta (its share of the rows), objective."""
+    rows = memberships(points, centers, m)
+    term = F.aggregate(F.zip_with("u", "d2", lambda u, d: F.pow(u, F.lit(m)) * d), F.lit(0.0), lambda s, t: s + t)
+    one = rows.groupBy("client").agg(F.count("*").alias("n"), F.sum(term).alias("objective"))
+    return one.withColumn("beta", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row a client
+
+
+def weighted_objective(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:
+    """The clients' objectives, weighted by their shares of the rows."""
+    return client_objective(points, centers, m).agg(F.sum(F.col("beta") * F.col("objective")).alias("objective"))
+
+
 def hard_labels(points: DataFrame, centers: DataFrame) -> DataFrame:
     """``points`` with pred: the nearest centre, ties (and coincident centres) to the smallest j."""
     d = F.transform(F.col("d2"), lambda x: F.greatest(x, F.lit(EPS)))
@@ -97,8 +129,9 @@ def hard_labels(points: DataFrame, centers: DataFrame) -> DataFrame:
 
 def local_sums(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:
     """client, j, mass, s, share (of all points): what a client sends in a round of one step."""
+    centers = settled(centers)
     rows = long_form(memberships(points, centers, m), m)
-    sums = vector_sums(rows, ["client", "j"], F.col("w"), dimension(points), F.count("*").alias("n"))
+    sums = vector_sums(rows, ["client", "j"], F.col("w"), centers.center_dim, F.count("*").alias("n"))
     return sums.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("j")))
 
 
@@ -106,7 +139,8 @@ def server_step(sums: DataFrame, centers: DataFrame, gate: Column | None = None,
     """j, v: damped weighted mean of the clients' local centres. ``weight`` defaults to share * mass * gate."""
     w = F.col("share") * F.col("mass") if weight is None else weight
     w = w * (F.lit(1.0) if gate is None else gate)
-    dim = len(centers.head()["v"])
+    centers = settled(centers)
+    dim = centers.center_dim
     local = F.when(F.col("mass") > EPS, F.transform("s", lambda t: t / F.col("mass")))
     rows = sums.join(F.broadcast(centers), "j").withColumn("x", F.coalesce(local, F.col("v"))).withColumn("w", w)
     target = vector_sums(rows, ["j"], F.col("w"), dim)

@@ -36,13 +36,13 @@ def accuracy(labels: DataFrame, *by: str) -> DataFrame:
     return table.groupBy(*[F.col(b) for b in by]).applyInPandas(match, ", ".join([*[f"{b} {kinds[b]}" for b in by], "acc double"]))
 
 
-def nmi_ari(labels: DataFrame) -> DataFrame:
-    """nmi (arithmetic mean) and ari from counts alone."""
-    t = contingency(labels)
-    n = F.sum("n").over(Window.partitionBy())  # contingency cells only
-    t = t.withColumn("a", F.sum("n").over(Window.partitionBy("y"))).withColumn("b", F.sum("n").over(Window.partitionBy("pred"))).withColumn("t", n)
+def nmi_ari(labels: DataFrame, *by: str) -> DataFrame:
+    """nmi (arithmetic mean) and ari of each group ``by``, from counts alone."""
+    t = contingency(labels, *by)
+    n = F.sum("n").over(Window.partitionBy(*by))  # contingency cells only
+    t = t.withColumn("a", F.sum("n").over(Window.partitionBy(*by, "y"))).withColumn("b", F.sum("n").over(Window.partitionBy(*by, "pred"))).withColumn("t", n)
     c2 = lambda x: x * (x - 1) / 2
-    x = t.agg(
+    x = t.groupBy(*by).agg(
         F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"),
         (-F.sum(F.col("n") / F.col("t") * F.ln(F.col("a") / F.col("t")))).alias("hy"),
         (-F.sum(F.col("n") / F.col("t") * F.ln(F.col("b") / F.col("t")))).alias("hp"),
@@ -54,7 +54,7 @@ def nmi_ari(labels: DataFrame) -> DataFrame:
     nmi = F.when(F.col("hy") + F.col("hp") > 0, 2 * F.col("mi") / (F.col("hy") + F.col("hp"))).otherwise(1.0)
     expected = F.col("sa") * F.col("sb") / F.col("all")
     top = (F.col("sa") + F.col("sb")) / 2 - expected
-    return x.select(nmi.alias("nmi"), F.when(F.abs(top) > EPS, (F.col("idx") - expected) / top).otherwise(1.0).alias("ari"))
+    return x.select(*by, nmi.alias("nmi"), F.when(F.abs(top) > EPS, (F.col("idx") - expected) / top).otherwise(1.0).alias("ari"))
 
 
 def validity(rows: DataFrame, floor: float = 1e-12) -> DataFrame:
@@ -65,6 +65,7 @@ def validity(rows: DataFrame, floor: float = 1e-12) -> DataFrame:
 
 
 def center_pairs(centers: DataFrame) -> DataFrame:
+    centers = kernel.settled(centers)
     other = centers.select(F.col("j").alias("l"), F.col("v").alias("w"))
     return centers.join(F.broadcast(other), F.col("j") < F.col("l")).withColumn("d2", kernel.squared_distance(F.col("v"), F.col("w")))
 
@@ -90,6 +91,45 @@ def prototype_diagnostics(points: DataFrame, centers: DataFrame, m: float = 2.0)
     return s.agg((h / F.ln(F.count("*").cast("double"))).alias("mass_entropy"), F.exp(h).alias("effective"), F.sum((F.col("p") < 0.01).cast("long")).alias("underused"))
 
 
+#: Two centres are collapsed below this share of the data's scale; of these metrics the smallest client is the worst.
+COLLAPSE = 0.03
+LOWER_IS_WORSE = ("fpc", "min_center_distance", "prototype_mass_entropy", "effective_prototypes", "acc", "nmi", "ari")
+
+
+def collapse(points: DataFrame, centers: DataFrame, *by: str, ratio: float = COLLAPSE) -> DataFrame:
+    """Of each group ``by``: min_center_distance, collapse_threshold (a share of the root mean square distance from the mean) and collapsed_pairs."""
+    centers = kernel.settled(centers)
+    sums = [F.var_pop(F.get("x", F.lit(d))) for d in range(centers.center_dim)]
+    scale = points.groupBy(*by).agg(F.sqrt(sum(sums[1:], sums[0])).alias("scale")).withColumn("collapse_threshold", F.greatest(F.lit(1e-8), F.lit(ratio) * F.col("scale")))
+    apart = center_pairs(centers).agg(F.array_sort(F.collect_list(F.sqrt("d2"))).alias("d"))  # one row of pairs of checked centres
+    return scale.crossJoin(F.broadcast(apart)).select(*by, F.array_min("d").alias("min_center_distance"), "collapse_threshold", F.size(F.filter("d", lambda t: t < F.col("collapse_threshold"))).cast("long").alias("collapsed_pairs"))
+
+
+def client_validity(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:
+    """client and its fpc, partition_entropy, xie_beni, prototype_mass_entropy, effective_prototypes, underused_prototypes and collapse()."""
+    centers = kernel.settled(centers)
+    rows = kernel.memberships(points, centers, m)
+    u2 = F.aggregate("u", F.lit(0.0), lambda s, u: s + u * u)
+    h = F.aggregate("u", F.lit(0.0), lambda s, u: s - u * F.ln(F.greatest(u, F.lit(1e-12))))
+    cost = F.aggregate(F.zip_with("u", "d2", lambda u, d: F.pow(u, F.lit(m)) * d), F.lit(0.0), lambda s, t: s + t)
+    one = rows.groupBy("client").agg(F.avg(u2).alias("fpc"), F.avg(h).alias("partition_entropy"), F.avg(cost).alias("cost"))
+    mass = kernel.long_form(rows, m).groupBy("client", "j").agg(F.sum("w").alias("mass"))
+    share = F.col("mass") / F.sum("mass").over(Window.partitionBy("client"))
+    raw = -F.sum(F.col("p") * F.ln(F.greatest("p", F.lit(1e-12))))
+    used = mass.withColumn("p", share).groupBy("client").agg((raw / F.ln(F.count("*").cast("double"))).alias("prototype_mass_entropy"), F.exp(raw).alias("effective_prototypes"), F.count_if(F.col("p") < 0.01).alias("underused_prototypes"))
+    gap = collapse(points, centers, "client")
+    xb = F.when(F.pow("min_center_distance", F.lit(2.0)) > EPS, F.col("cost") / F.pow("min_center_distance", F.lit(2.0)))
+    return one.join(used, "client").join(gap, "client").withColumn("xie_beni", xb).drop("cost")
+
+
+def summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, mean, worst over the rows, NaN and null left out: the worst is the smallest or the largest value, by metric."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in metrics]))
+    good = F.when(~F.isnan("v"), F.col("v"))
+    worst = F.when(F.col("metric").isin(*LOWER_IS_WORSE), F.min(good)).otherwise(F.max(good))
+    return rows.select(each.alias("x")).select("x.*").groupBy("metric").agg(F.avg(good).alias("mean"), worst.alias("worst"))
+
+
 def davies_bouldin(labels: DataFrame) -> DataFrame:
     """Mean over clusters of the worst (scatter + scatter) / separation; null unless there are 2 to n - 1 clusters."""
     dim = kernel.dimension(labels)

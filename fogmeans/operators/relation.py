@@ -52,6 +52,57 @@ def compare(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str])
     return a.join(b, keys).select(*keys, each.alias("x")).select(*keys, "x.*").withColumn("match", F.col("prior").eqNullSafe(F.col("new")))
 
 
+def comparison(parts: list[dict], least_runs: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(values, verdict) of new rows against prior ones, part by part.
+
+    A part is a dict: source, new, prior, keys, fields, strict (True: differences count; False: advisory), and optionally
+    scope, the prior rows that must be covered. Values are the rows of compare() with source and strict. The verdict is one
+    row: n_runs, n_values, n_bad, n_advisory_runs, n_advisory_bad, n_uncovered, ok. It is not ok with a strict difference,
+    without runs, with uncovered rows, or with fewer runs than ``least_runs``.
+    """
+    rows, missing = [], []
+    for p in parts:
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in p["keys"]])
+        each = compare(p["new"], p["prior"], p["keys"], p["fields"]).select(F.lit(p["source"]).alias("source"), key.alias("key"), "field", "prior", "new", "match", F.lit(p.get("strict", True)).alias("strict"))
+        rows.append(each)
+        if "scope" in p:
+            missing.append(uncovered(p["new"], p["scope"], p["keys"]).select(key.alias("key")))
+    values = reduce(DataFrame.unionByName, rows)
+    strict = F.col("strict")
+    run = F.concat_ws("|", "source", "key")
+    one = values.agg(
+        F.count_distinct(F.when(strict, run)).alias("n_runs"), F.count_if(strict).alias("n_values"), F.count_if(strict & ~F.col("match")).alias("n_bad"),
+        F.count_distinct(F.when(~strict, run)).alias("n_advisory_runs"), F.count_if(~strict & ~F.col("match")).alias("n_advisory_bad"),
+    )
+    gaps = reduce(DataFrame.unionByName, missing).agg(F.count("*").alias("n_uncovered")) if missing else values.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_uncovered"))
+    verdict = one.crossJoin(F.broadcast(gaps))  # one row each
+    return values, verdict.withColumn("ok", (F.col("n_bad") == 0) & (F.col("n_runs") > 0) & (F.col("n_uncovered") == 0) & (F.col("n_runs") >= least_runs))
+
+
+def drift(new: DataFrame, old: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """field, n, n_changed, max_abs, mean_abs of the changes of compare(); NaN on both sides is no change."""
+    d = compare(new, old, keys, fields).withColumn("d", F.when(~F.col("match"), F.abs(F.col("new") - F.col("prior"))))
+    return d.groupBy("field").agg(F.count("*").alias("n"), F.count_if(~F.col("match")).alias("n_changed"), F.max("d").alias("max_abs"), F.avg("d").alias("mean_abs"))
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON rows of finished jobs, one object a line."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_log(spark: SparkSession, path: str, marker: str) -> DataFrame:
+    """file, line, value: the numbers that follow ``marker`` on the lines of text logs that hold it."""
+    number = r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")).where(F.col("line").contains(marker))
+    after = F.expr("substring(line, locate(mark, line) + length(mark))")
+    return rows.withColumn("mark", F.lit(marker)).withColumn("rest", after).select("file", "line", F.explode(F.regexp_extract_all("rest", F.lit(number), 1)).alias("value")).withColumn("value", F.col("value").cast("double"))
+
+
+def write_report(spark: SparkSession, path: str, text: str, mode: str = "errorifexists") -> None:
+    """Text (a report, or meta data as JSON) as one file under ``path``; existing output is refused unless ``mode`` says otherwise."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).option("lineSep", "\n").text(path)
+
+
 def uncovered(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, keys, "left_anti")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numeric import signed_rank, t_interval
+from ..functions.numeric import signed_rank, spearman, t_interval
 
 
 def mid_ranks(diffs: DataFrame) -> DataFrame:
@@ -59,3 +59,20 @@ def calibrated(grid: DataFrame, factor: float = 5.0) -> DataFrame:
     rows = grid.withColumn("ok", ok).withColumn("gap", gap)
     best = F.min_by(F.struct("step", "gap"), F.when(F.col("ok"), F.struct("gap", "grid_idx")))
     return rows.groupBy("dataset").agg(best.alias("b"), F.count_if("ok").alias("n_stable")).select("dataset", "b.step", "b.gap", "n_stable")
+
+
+def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """n, r, p: Spearman's correlation of two columns over a bounded table (a row a configuration); null values are left out."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, p = spearman(pdf[a].to_numpy(float), pdf[b].to_numpy(float))
+        return pd.DataFrame([(len(pdf), r, p)])
+
+    return rows.select(a, b).dropna().groupBy().applyInPandas(one, "n long, r double, p double")
+
+
+def in_order(rows: DataFrame, column: str, order: list[str], ties: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows, by the place of ``column`` in ``order`` (others last), then by ``ties``, with column place."""
+    at = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column))
+    keyed = rows.withColumn("__at", F.when(at > 0, at).otherwise(len(order) + 1)).orderBy("__at", column, *ties).limit(n)
+    return keyed.withColumn("place", F.row_number().over(Window.orderBy("__at", column, *ties))).drop("__at")  # n rows

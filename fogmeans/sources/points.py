@@ -65,7 +65,7 @@ def support_skew(points: DataFrame, clients: int, per_client: int) -> DataFrame:
     width = 1 << 16
     b = points.withColumn("b", F.floor(F.col("row_id") / width))
     offsets = b.groupBy("y", "b").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.partitionBy("y").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = b.join(F.broadcast(offsets.select("y", "b", F.coalesce("before", F.lit(0)).alias("before"))), ["y", "b"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("y", "b").orderBy("row_id")) - 1)
+    ranked = b.join(offsets.select("y", "b", F.coalesce("before", F.lit(0)).alias("before")), ["y", "b"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("y", "b").orderBy("row_id")) - 1)
     whole = ranked.join(F.broadcast(table), "y").join(F.broadcast(sizes), "y")
     k, size = F.size("cs"), F.col("n")
     big, rest = F.floor(size / k), size % k  # the first ``rest`` runs are one longer
@@ -73,6 +73,53 @@ def support_skew(points: DataFrame, clients: int, per_client: int) -> DataFrame:
     return whole.withColumn("client", F.get("cs", i.cast("int"))).select(*points.columns)
 
 
+def feature_view(x: np.ndarray, components: int | None = None, whiten: bool = False) -> np.ndarray:
+    """Standard scores of the columns (constant ones are 0), or their first principal components, whitened or not.
+
+    The sign of a component is that of its largest loading, so the view does not depend on the solver.
+    """
+    spread = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+    if components is None:
+        return z
+    _, size, axes = np.linalg.svd(z, full_matrices=False)
+    axes = axes[:components] * np.sign(axes[:components, :][np.arange(min(components, len(axes))), np.abs(axes[:components]).argmax(axis=1)])[:, None]
+    scores = z @ axes.T
+    return scores / (size[:components] / np.sqrt(len(x) - 1)) if whiten else scores
+
+
+def ranked(points: DataFrame, by: str, order: Column, bits: int = 16) -> DataFrame:
+    """``points`` with r: the rank from 0 of each row within its group by the hash ``order`` (a long) and row_id.
+
+    Rows are counted by the first ``bits`` of the hash and only those of one bin are ranked together, so a group of any
+    size is spread over 2 ** bits windows.
+    """
+    key = F.shiftrightunsigned(order, 64 - bits).cast("int")
+    p = points.withColumn("__key", order).withColumn("__bin", key)
+    run = Window.partitionBy(by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = p.groupBy(by, "__bin").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0))).drop("c")
+    inside = F.row_number().over(Window.partitionBy(by, "__bin").orderBy("__key", "row_id"))
+    return p.join(bins, [by, "__bin"]).withColumn("r", F.col("before") + inside - 1).drop("__key", "__bin", "before")
+
+
+def dirichlet_split(points: DataFrame, clients: int, alpha: float, seed: int, least: int = 5, attempts: int = 200) -> DataFrame:
+    """``points`` with client: each label's rows, in hash order, are cut at floor(cumulative Dirichlet share times rows).
+
+    Shares are drawn on the driver, a vector a label; whether every client gets ``least`` rows follows from the label counts
+    alone, so a draw that fails costs nothing. Labels may not be null.
+    """
+    sizes = {r["y"]: r["n"] for r in points.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a label
+    rng = np.random.default_rng(seed)
+    for _ in range(attempts):
+        cuts = {y: (np.cumsum(rng.dirichlet(np.full(clients, alpha)))[:-1] * sizes[y]).astype(int) for y in sorted(sizes)}
+        got = sum(np.diff(np.concatenate([[0], cuts[y], [sizes[y]]])) for y in sizes)
+        if np.min(got) >= least:
+            table = points.sparkSession.createDataFrame([(y, c.tolist()) for y, c in cuts.items()], f"y {dict(points.dtypes)['y']}, cuts array<long>")
+            rows = ranked(points.drop("client"), "y", F.xxhash64("row_id", F.lit(seed))).join(F.broadcast(table), "y")
+            return rows.withColumn("client", F.size(F.filter("cuts", lambda c: c <= F.col("r")))).drop("cuts", "r")
+    raise RuntimeError(f"no split with {least} rows for each client in {attempts} attempts")
+
+
 def dirichlet_map(y: np.ndarray, clients: int, alpha: float, seed: int, least: int = 5, attempts: int = 200) -> np.ndarray:
     """Client of each row: each label's rows, shuffled, are cut at floor(cumulative Dirichlet share times rows)."""
     rng = np.random.default_rng(seed)
@@ -90,11 +137,28 @@ def dirichlet_map(y: np.ndarray, clients: int, alpha: float, seed: int, least: i
 
 
 def split_rows(points: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """``points`` with test: in each client clip(floor(share n + 0.5), 1, n - 1) rows, those with the smallest hashes."""
-    n = points.groupBy("client").agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(share * F.col("n") + 0.5))))
+    """``points`` with test: in each client clip(floor(share n + 0.5), 1, n - 1) rows, those with the smallest hashes.
+
+    Hashes are counted in bins, so that of each client only the one bin in which the limit lies is ranked row by row.
+    """
     key = F.xxhash64("row_id", F.lit(seed))
-    r = F.row_number().over(Window.partitionBy("client").orderBy(key, "row_id"))
-    return points.join(F.broadcast(n), "client").withColumn("test", r <= F.col("k")).drop("n", "k")
+    bin_of = F.shiftrightunsigned(key, 64 - SPLIT_BITS).cast("int")
+    p = points.withColumn("__key", key).withColumn("__bin", bin_of)
+    bins = p.groupBy("client", "__bin").agg(F.count("*").alias("c"))
+    run = Window.partitionBy("client").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    counted = bins.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy("client")))
+    counted = counted.withColumn("k", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(share * F.col("n") + 0.5))))
+    # at most one bin of a client is cut; its rows alone are ranked
+    cut = counted.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k"))).select("client", F.col("__bin").alias("edge"), (F.col("k") - F.col("upto") + F.col("c")).alias("room"))
+    q = p.join(cut, "client").withColumn("__at", F.col("__bin") == F.col("edge"))
+    low = q.where(~F.col("__at")).withColumn("test", F.col("__bin") < F.col("edge"))
+    rank = F.row_number().over(Window.partitionBy("client").orderBy("__key", "row_id"))
+    edge = q.where("__at").withColumn("test", rank <= F.col("room"))
+    return low.union(edge).drop("__key", "__bin", "edge", "room", "__at")
+
+
+#: Hash bits by which a client's rows are counted before its last rows are ranked.
+SPLIT_BITS = 12
 
 
 #: Centres of the synthetic mixtures.
