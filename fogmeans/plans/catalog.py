@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics, gates, hypotheses, kernel, metrics, relation, statistics
 from ..sources import points as pts
-from . import experiments
+from . import analysis, experiments, oracles, theory
 from . import rounds as fed
 
 K = 4
@@ -32,7 +32,7 @@ def r6(c, name=None):
 
 def _p(spark, sf):
     p = pts.from_embeddings(spark, sf)
-    return p, kernel.first_rows(p, K)
+    return p, kernel.settled(kernel.first_rows(p, K))
 
 
 # --- SQL building blocks -------------------------------------------------------------------------------------------------
@@ -104,9 +104,9 @@ def fcm_objective(spark, sf):
     return kernel.objective(*_p(spark, sf)).select(r6("objective", "objective"))
 
 
-@query(f"{U} select pred, y, count(*) n from (select y, arg_min(j, (greatest(d2, 1e-12), j)) pred from u group by row_id, y) group by all")
+@query(f"{U} select row_id, y, arg_min(j, (greatest(d2, 1e-12), j)) pred from u group by row_id, y")
 def hard_labels(spark, sf):
-    return metrics.contingency(kernel.hard_labels(*_p(spark, sf)))
+    return kernel.hard_labels(*_p(spark, sf)).select("row_id", "y", "pred")
 
 
 @query(f"{U}, {means_sql('u', 'n', 'c')}, {u_sql('p', 'u2', 'n')}, {means_sql('u2', 'n2', 'n')} {flat_sql('n2')}")
@@ -161,7 +161,7 @@ def server_step_post_l1(spark, sf):
     sums = kernel.local_sums(p, c)
     own = sums.join(F.broadcast(c), "j").select("client", "j", F.when(F.col("mass") > 1e-12, F.transform("s", lambda t: t / F.col("mass"))).otherwise(F.col("v")).alias("v"))
     packed = own.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("cs"))
-    rows = p.join(F.broadcast(packed), "client").withColumn("d2", F.transform("cs", lambda q: kernel.squared_distance(F.col("x"), q["v"]))).drop("cs")
+    rows = p.join(packed, "client").withColumn("d2", F.transform("cs", lambda q: kernel.squared_distance(F.col("x"), q["v"]))).drop("cs")
     post = kernel.long_form(rows.withColumn("u", kernel.membership(F.col("d2"), 2.0))).groupBy("client", "j").agg(F.sum("w").alias("post"))
     return flat(kernel.server_step(sums.join(post, ["client", "j"]), c, weight=F.col("share") * F.col("post")))
 
@@ -179,7 +179,7 @@ def pedrycz_step(spark, sf):
     p, c = _p(spark, sf)
     dim = kernel.dimension(p)
     var = p.groupBy("client").agg(F.array(*[F.greatest(F.var_pop(F.get("x", F.lit(d))), F.lit(1e-12)) for d in range(dim)]).alias("s2"))
-    rows = kernel.local_sums(p, c).join(F.broadcast(c), "j").join(F.broadcast(var), "client")
+    rows = kernel.local_sums(p, c).join(F.broadcast(c), "j").join(var, "client")
     # x holds the scaled displacement: share-weighted sums of it are the step
     step = F.transform(F.arrays_zip("s", "v", "s2"), lambda z: 2 * (z["s"] - F.col("mass") * z["v"]) / z["s2"])
     total = kernel.vector_sums(rows.withColumn("x", step), ["j"], F.col("share"), dim)
@@ -213,7 +213,7 @@ def scffcm_step(spark, sf):
     return flat(c.join(F.broadcast(mean), "j").select("j", F.zip_with("v", "s", lambda a, b: a - 0.05 * b / F.col("mass")).alias("v")))
 
 
-# --- federated, many rounds (rows only; tests compare with the local backend) ---------------------------------------------
+# --- federated, two rounds of the driver loops, each against SQL of its own -------------------------------------------------
 def _run(spark, sf, f, clients=4, k=3):
     p = pts.from_embeddings(spark, sf, clients).persist()
     back = fed.SparkBackend(p)
@@ -223,31 +223,40 @@ def _run(spark, sf, f, clients=4, k=3):
     return flat(kernel.centers_frame(spark, v))
 
 
-def _long(name, f):
+def _long(name, f, sql=None):
     def run(spark, sf):
         return _run(spark, sf, f)
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
+
+
+def _with_own(run):
+    """The server's prototypes, then each client's."""
+    return np.vstack([run.centers, *[run.personal[p] for p in sorted(run.personal)]])
 
 
 for _mass in ("pre", "post"):
     for _gate in fed.GATES:
-        _long(f"run_cell_{_mass}_{_gate}", lambda b, v, m=_mass, g=_gate: fed.run_cell(b, v, m, g, rounds=2, steps=1).centers)
-_long("run_cell_pre_mass_personal", lambda b, v: fed.run_cell(b, v, "pre", "mass", True, 2, 1).centers)
-_long("gf_pfedfcm", lambda b, v: fed.run_cell(b, v, "post", "footprint", True, 2, 1).centers)
-_long("run_cell_participation", lambda b, v: fed.run_cell(b, v, "pre", "none", rounds=2, steps=1, fraction=0.5, seed=3).centers)
-_long("fcm_central", lambda b, v: fed.fcm(b, v, most=4).centers)
-_long("f_fcm", lambda b, v: fed.federated(b, v, rounds=2, steps=2).centers)
-_long("fedprox", lambda b, v: fed.federated(b, v, rounds=2, steps=2, prox=0.1).centers)
-_long("ditto", lambda b, v: fed.federated(b, v, rounds=2, steps=1, ditto=0.1).centers)
-_long("ifca", lambda b, v: np.vstack(fed.clustered(b, [v, v + 0.05], rounds=1, steps=1)[0]))
+        _long(f"run_cell_{_mass}_{_gate}", lambda b, v, m=_mass, g=_gate: fed.run_cell(b, v, m, g, rounds=2, steps=1).centers, oracles.cell(_mass, _gate))
+_long("run_cell_pre_mass_personal", lambda b, v: _with_own(fed.run_cell(b, v, "pre", "mass", True, 2, 1)), oracles.cell("pre", "mass", True))
+_long("run_cell_post_none_l2", lambda b, v: fed.run_cell(b, v, "post", "none", rounds=2, steps=2).centers, oracles.cell("post", "none", steps=2))
+_long("gf_pfedfcm", lambda b, v: _with_own(fed.run_cell(b, v, "post", "footprint", True, 2, 1)), oracles.cell("post", "footprint", True))
+_long("gf_client_gate_only", lambda b, v: _with_own(fed.run_cell(b, v, "post", "footprint", True, 2, 1, server_gate=False)), oracles.cell("post", "footprint", True, server_gate=False))
+_long("gf_server_gate_only", lambda b, v: _with_own(fed.run_cell(b, v, "post", "footprint", True, 2, 1, client_gate=False)), oracles.cell("post", "footprint", True, client_gate=False))
+_long("pfedfcm_fixed_relevance", lambda b, v: _with_own(fed.run_cell(b, v, "post", "none", True, 2, 1, fixed_relevance=0.5)), oracles.cell("post", "none", True, fixed=0.5))
+_long("run_cell_participation", lambda b, v: fed.run_cell(b, v, "pre", "none", rounds=2, steps=1, fraction=0.5, seed=3).centers, oracles.cell("pre", "none", fraction=0.5, seed=3))
+_long("fcm_central", lambda b, v: fed.fcm(b, v, most=4).centers, oracles.central(4))
+_long("f_fcm", lambda b, v: fed.federated(b, v, rounds=2, steps=2).centers, oracles.federated(2, 2, 0.8))
+_long("fedprox", lambda b, v: fed.federated(b, v, rounds=2, steps=2, lr=fed.BASELINE_LR, prox=0.1).centers, oracles.federated(2, 2, 0.75, prox=0.1))
+_long("ditto", lambda b, v: _with_own(fed.federated(b, v, rounds=2, steps=1, lr=fed.BASELINE_LR, ditto=0.1)), oracles.federated(2, 1, 0.75, ditto=0.1))
+_long("ifca", lambda b, v: np.vstack(fed.clustered(b, [v, v + 0.05], rounds=2, steps=1)[0]), oracles.clustered(0.05, 2, 1, 0.75))
 _long("model_avg", lambda b, v: fed.model_averaging(b, v, most=2).centers)
 _long("stallmann_avg2", lambda b, v: fed.pooled_means(b, v, rounds=2, steps=1).centers)
-_long("fednova", lambda b, v: fed.normalized(b, v, {0: 1, 1: 2, 2: 1, 3: 2}, rounds=2).centers)
-_long("pedrycz", lambda b, v: fed.gradient(b, v, 0.001, rounds=2, steps=1).centers)
-_long("scffcm", lambda b, v: fed.variates(b, v, 0.05, 1.0, rounds=2, steps=2, fraction=0.5).centers)
-_long("local_only", lambda b, v: np.vstack(list(fed.local_only(b, dict.fromkeys(b.clients, v), most=3).values())))
+_long("fednova", lambda b, v: fed.normalized(b, v, {0: 1, 1: 2, 2: 1, 3: 2}, rounds=2).centers, oracles.normalized({0: 1, 1: 2, 2: 1, 3: 2}, 2))
+_long("pedrycz", lambda b, v: fed.gradient(b, v, 0.001, rounds=2, steps=1).centers, oracles.gradient(0.001, 2, 1))
+_long("scffcm", lambda b, v: fed.variates(b, v, 0.05, 1.0, rounds=2, steps=2, fraction=0.5).centers, oracles.variates(0.05, 1.0, 2, 2, 0.5))
+_long("local_only", lambda b, v: np.vstack(list(fed.local_only(b, dict.fromkeys(b.clients, v), most=3).values())), oracles.alone(3))
 
 
 # --- gates ---------------------------------------------------------------------------------------------------------------
@@ -256,7 +265,7 @@ MASS = f"{U}, gm as (select client, j, sum(w) mass from u group by client, j), g
 FOOT = f"""{U}, gt as (select client, j, greatest(quantile_cont(sqrt(d2), 0.95), 1e-12) top, count(*) n from u group by client, j),
 gr as (select client, j, g, top * g / 59.0 r, n from gt, range(0, 60) t(g)),
 gv as (select gr.client, gr.j, g, r, coalesce(sum(w) filter (sqrt(d2) <= r), 0) / any_value(n) * (1 - g / 59.0) val from gr join u on u.client = gr.client and u.j = gr.j group by gr.client, gr.j, g, r),
-gf as (select client, j, max(val) footprint, arg_max(r, (val, -g)) rho from gv group by client, j), gg as (select *, {GATE.format(v='footprint')} gate from gf)"""
+gf as (select client, j, max(val) footprint, arg_max(g / 59.0, (val, -g))::double rho, arg_max(r, (val, -g)) radius from gv group by client, j), gg as (select *, {GATE.format(v='footprint')} gate from gf)"""
 
 
 @query(f"{MASS} select client, j, round(gate, 6) gate from gg")
@@ -269,9 +278,9 @@ def gate_massmask(spark, sf):
     return gates.mass_gate(kernel.local_sums(*_p(spark, sf))).select("client", "j", r6(gates.masked(F.col("gate")), "gate"))
 
 
-@query(f"{FOOT} select client, j, round(footprint, 6) footprint, round(rho, 6) rho, round(gate, 6) gate from gg")
+@query(f"{FOOT} select client, j, round(footprint, 6) footprint, round(rho, 6) rho, round(radius, 6) radius, round(gate, 6) gate from gg")
 def gate_footprint(spark, sf):
-    return gates.footprint_gate(*_p(spark, sf)).select("client", "j", r6("footprint", "footprint"), r6("rho", "rho"), r6("gate", "gate"))
+    return gates.footprint_gate(*_p(spark, sf)).select("client", "j", r6("footprint", "footprint"), r6("rho", "rho"), r6("radius", "radius"), r6("gate", "gate"))
 
 
 @query(f"{FOOT} select client, j, round(case when gate > 0.05 then 1.0 else 0.05 end::double, 6) gate from gg")
@@ -294,8 +303,10 @@ def gate_corr(spark, sf):
 
 # --- metrics -------------------------------------------------------------------------------------------------------------
 LAB = f"{U}, lab as (select row_id, any_value(client) client, any_value(y) y, any_value(x) x, arg_min(j, (greatest(d2, 1e-12), j)) pred from u group by row_id)"
-SQL["contingency"] = SQL["hard_labels"]
-QUERIES["contingency"] = QUERIES["hard_labels"]
+@query(f"{LAB} select client, pred, y, count(*) n from lab group by all")
+def contingency(spark, sf):
+    """Contingency tables of each client."""
+    return metrics.contingency(kernel.hard_labels(*_p(spark, sf)), "client")
 
 
 @query(f"{LAB}, t as (select y, pred, count(*)::double n from lab group by all), q as (select *, sum(n) over (partition by y) a, sum(n) over (partition by pred) b, sum(n) over () t from t), e as (select sum(n/t*ln(n*t/(a*b))) mi, sum(n*(n-1)/2) idx, max(t) t from q), hy as (select -sum(a/t*ln(a/t)) h, sum(a*(a-1)/2) s from (select distinct y, a, t from q)), hp as (select -sum(b/t*ln(b/t)) h, sum(b*(b-1)/2) s from (select distinct pred, b, t from q)) select round(2*mi/(hy.h+hp.h), 6) nmi, round((idx - hy.s*hp.s/(t*(t-1)/2)) / ((hy.s+hp.s)/2 - hy.s*hp.s/(t*(t-1)/2)), 6) ari from e, hy, hp")
@@ -337,6 +348,45 @@ def davies_bouldin(spark, sf):
     return metrics.davies_bouldin(kernel.hard_labels(*_p(spark, sf))).select(r6("dbi", "dbi"))
 
 
+SCALE = f"sc as (select client, greatest(1e-8, 0.03 * sqrt(sum(s2))) threshold from (select client, i, var_pop(x[i]) s2 from p, range(1, 65) t(i) group by client, i) group by client), cp as (select sqrt({DIST.replace('(x, v)', '(a.v, b.v)')}) d from c a, c b where a.j < b.j)"
+
+
+@query(f"with {P_SQL}, {SCALE} select client, (select round(min(d), 6) from cp) min_center_distance, round(threshold, 6) collapse_threshold, (select count(*) from cp where d < 20 * threshold) collapsed_pairs from sc")
+def collapsed_pairs(spark, sf):
+    """With a threshold of 0.6 of the data's scale, so that some pairs count."""
+    x = metrics.collapse(*_p(spark, sf), "client", ratio=20 * metrics.COLLAPSE)
+    return x.select("client", r6("min_center_distance", "min_center_distance"), r6(F.col("collapse_threshold") / 20, "collapse_threshold"), "collapsed_pairs")
+
+
+VALID = f"""{U}, {SCALE}, cv as (select client, sum(u * u) / count(distinct row_id) fpc, -sum(u * ln(greatest(u, 1e-12))) / count(distinct row_id) partition_entropy, sum(w * d2) / count(distinct row_id) cost from u group by client),
+ms as (select client, j, sum(w) / sum(sum(w)) over (partition by client) q from u group by client, j),
+me as (select client, -sum(q * ln(greatest(q, 1e-12))) / ln(4) prototype_mass_entropy, exp(-sum(q * ln(greatest(q, 1e-12)))) effective_prototypes, count(*) filter (q < 0.01) underused_prototypes from ms group by client),
+va as (select client, fpc, partition_entropy, cost / pow((select min(d) from cp), 2) xie_beni, prototype_mass_entropy, effective_prototypes, underused_prototypes, (select count(*) from cp where d < threshold) collapsed_pairs from cv join me using (client) join sc using (client))"""
+_VALID = ("fpc", "partition_entropy", "xie_beni", "prototype_mass_entropy", "effective_prototypes", "underused_prototypes", "collapsed_pairs")
+
+
+@query(f"{VALID} select client, {', '.join(f'round({c}::double, 6) {c}' for c in _VALID)} from va")
+def client_validity(spark, sf):
+    v = metrics.client_validity(*_p(spark, sf))
+    return v.select("client", *[r6(F.col(c).cast("double"), c) for c in _VALID])
+
+
+@query(f"{VALID} " + " union all ".join(f"select '{c}' metric, round(avg({c}::double), 6) mean, round({'min' if c in metrics.LOWER_IS_WORSE else 'max'}({c}::double), 6) worst from va" for c in _VALID))
+def validity_summary(spark, sf):
+    s = metrics.summary(metrics.client_validity(*_p(spark, sf)), list(_VALID))
+    return s.select("metric", r6("mean", "mean"), r6("worst", "worst"))
+
+
+@query(f"{U}, o as (select client, sum(w * d2) cost, count(distinct row_id) n from u group by client) select round(sum(n * cost) / sum(n), 6) objective from o")
+def weighted_objective(spark, sf):
+    return kernel.weighted_objective(*_p(spark, sf)).select(r6("objective", "objective"))
+
+
+@query(f"{LAB}, t as (select client, y, pred, count(*)::double n from lab group by all), q as (select *, sum(n) over (partition by client, y) a, sum(n) over (partition by client, pred) b, sum(n) over (partition by client) t from t), e as (select client, sum(n/t*ln(n*t/(a*b))) mi, sum(n*(n-1)/2) idx, max(t) t from q group by client), hy as (select client, -sum(a/t*ln(a/t)) h, sum(a*(a-1)/2) s from (select distinct client, y, a, t from q) group by client), hp as (select client, -sum(b/t*ln(b/t)) h, sum(b*(b-1)/2) s from (select distinct client, pred, b, t from q) group by client) select client, round(2*mi/(hy.h+hp.h), 6) nmi, round((idx - hy.s*hp.s/(t*(t-1)/2)) / ((hy.s+hp.s)/2 - hy.s*hp.s/(t*(t-1)/2)), 6) ari from e join hy using (client) join hp using (client)")
+def client_nmi_ari(spark, sf):
+    return metrics.nmi_ari(kernel.hard_labels(*_p(spark, sf)), "client").select("client", r6("nmi", "nmi"), r6("ari", "ari"))
+
+
 # --- diagnostics ---------------------------------------------------------------------------------------------------------
 @query(f"{U}, {LOCAL.format(u='u', c='c')}, q as (select client, j, any_value(share) b, any_value(mass) mass from lc group by client, j), r as (select j, mass / avg(mass) over (partition by j) tilt from q) select j, round(stddev_pop(tilt), 6) cv from r group by j")
 def tilt_cv(spark, sf):
@@ -379,6 +429,18 @@ def support_skew(spark, sf):
     return p.groupBy("client", "y").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
+def _dirichlet_sql(clients: int, alpha: float, seed: int) -> str:
+    rng = np.random.default_rng(seed)
+    cuts = ", ".join(f"({y}, {c}, {s}::double)" for y in range(10) for c, s in enumerate([0.0, *np.cumsum(rng.dirichlet(np.full(clients, alpha)))[:-1].tolist()]))
+    return f"with s(y, client, lo) as (values {cuts}), n as (select label y, count(*) n from embeddings group by label), b as (select y, client, floor(lo * n)::bigint lo, n from s join n using (y)) select client::int client, y, coalesce(lead(lo) over (partition by y order by client), n) - lo n from b qualify coalesce(lead(lo) over (partition by y order by client), n) > lo"
+
+
+@query(_dirichlet_sql(5, 0.5, 7))
+def dirichlet_split(spark, sf):
+    p = pts.dirichlet_split(pts.from_embeddings(spark, sf), 5, 0.5, 7, least=1, attempts=1)
+    return p.groupBy("client", "y").agg(F.count("*").alias("n"))
+
+
 @query(f"with {P_SQL} select client, y, count(*) n from p group by all")
 def label_histogram(spark, sf):
     return pts.from_embeddings(spark, sf).groupBy("client", "y").agg(F.count("*").alias("n"))
@@ -509,9 +571,14 @@ def holm(spark, sf):
     return statistics.holm(statistics.exact_tests(_d(spark, sf))).select("dataset", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
-@query()
+#: 0.975 quantiles of Student's t for 1 to 9 degrees of freedom.
+T975 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163)
+TQ = "tq as (select * from (values " + ", ".join(f"({i + 1}, {t}::double)" for i, t in enumerate(T975)) + ") t(df, q))"
+
+
+@query(f"{D}, {TQ}, a as (select dataset, count(*) n, avg(diff) mean, stddev_samp(diff) sd from d group by dataset) select dataset, round(mean, 6) + 0.0 mean, round(mean - q * sd / sqrt(n), 6) + 0.0 low, round(mean + q * sd / sqrt(n), 6) + 0.0 high from a join tq on df = n - 1")
 def t_intervals(spark, sf):
-    return statistics.exact_tests(_d(spark, sf)).select("dataset", "mean", "low", "high")
+    return statistics.exact_tests(_d(spark, sf)).select("dataset", *[r6(c, c) for c in ("mean", "low", "high")])
 
 
 @query(f"{D} select dataset, count(*) n, round(avg(diff), 6) + 0.0 mean, round(stddev_samp(diff), 6) sd from d group by dataset")
@@ -597,7 +664,10 @@ def _lost(spark, sf):
     return _r(spark, sf).withColumn("value", F.when(gone, F.lit(float("nan"))).otherwise(F.col("value"))).withColumn("arm", F.col("arm").cast("string"))
 
 
-@query(f"{R}, n as (select dataset, seed, arm, {LOST} v from r), t as (select * from (values ('pair', 0, 1.0::double), ('pair', 1, -1.0), ('inter', 0, 1.0), ('inter', 1, -1.0), ('inter', 2, -1.0), ('inter', 3, 1.0)) t(hyp, arm, coef)), s as (select hyp, dataset, seed, count(*) k, sum(coef * v) diff, sum(coef) filter (isnan(v)) lost from n join t using (arm) group by all) select hyp, dataset, seed, case when isnan(diff) then null else round(diff, 6) + 0.0 end diff, case when lost > 0 then 'a' when lost < 0 then 'b' end side from s where k = case hyp when 'pair' then 2 else 4 end")
+CON = f"{R}, n as (select dataset, seed, arm, {LOST} v from r), t as (select * from (values ('pair', 0, 1.0::double), ('pair', 1, -1.0), ('inter', 0, 1.0), ('inter', 1, -1.0), ('inter', 2, -1.0), ('inter', 3, 1.0)) t(hyp, arm, coef)), s as (select hyp, dataset, seed, count(*) k, sum(coef * v) diff, sum(coef) filter (isnan(v)) lost from n join t using (arm) group by all), f as (select hyp, dataset, seed, diff, case when lost > 0 then 'a' when lost < 0 then 'b' end side from s where k = case hyp when 'pair' then 2 else 4 end)"
+
+
+@query(f"{CON} select hyp, dataset, seed, case when isnan(diff) then null else round(diff, 6) + 0.0 end diff, side from f")
 def hypothesis_contrasts(spark, sf):
     c = hypotheses.contrasts(_lost(spark, sf), HYPS, "value")
     return c.select("hyp", "dataset", "seed", F.when(~F.isnan("diff"), r6("diff")).alias("diff"), "side")
@@ -609,12 +679,29 @@ def _tests(spark, sf):
     return hypotheses.run_tests(rows, HYPS, "value", {h[0]: [*names, "absent"] for h in HYPS})
 
 
-@query()
+#: Every sign pattern of the ranks is listed, without lost runs (loss 0) and with them as infinite losses (loss 1).
+TST = f"""{CON}, {TQ}, z as (select 0 loss, hyp, dataset, diff d from f where not isnan(diff) union all select 1, hyp, dataset, case when isnan(diff) then (case side when 'a' then '-infinity'::double when 'b' then 'infinity'::double end) else diff end from f),
+rk as (select *, rank() over (partition by loss, hyp, dataset order by round(abs(d), 12)) + (count(*) over (partition by loss, hyp, dataset, round(abs(d), 12)) - 1) / 2.0 rk from z where abs(d) > 1e-12),
+wx as (select loss, hyp, dataset, sum(case when d > 0 then rk else 0 end) wp, list(rk order by d) rs, count(*) n from rk group by all),
+ex as (select loss, hyp, dataset, wp, list_sum(list_transform(range(0, n), lambda i: case when (b >> i) & 1 = 1 then rs[i + 1] else 0 end)) v from wx, lateral (select unnest(range(0, (1 << n)::bigint)) b)),
+px as (select loss, hyp, dataset, any_value(wp) wp, least(1.0, 2 * least(avg((v <= wp)::int), avg((v >= wp)::int))) p from ex group by all),
+g as (select hyp, dataset, count(*) n, count(*) filter (isnan(diff)) n_nan, count(*) filter (abs(diff) > 1e-12 and not isnan(diff)) n_eff, avg(diff) filter (not isnan(diff)) mean, stddev_samp(diff) filter (not isnan(diff)) sd from f group by all),
+fam as (select * from (values ('pair', 'a'), ('inter', null)) h(hyp, expect), (select distinct dataset from r union all select 'absent')),
+w as (select fam.*, coalesce(g.n, 0) n, coalesce(n_nan, 0) n_nan, coalesce(n_eff, 0) n_eff, a.wp::double w_plus, coalesce(a.p, 1.0)::double p_exact, a.p::double p_legacy, mean, mean - q * sd / sqrt(g.n - n_nan) low, mean + q * sd / sqrt(g.n - n_nan) high, case when mean > 0 then 'a' when mean < 0 then 'b' end direction, coalesce(b.p, 1.0)::double p_exact_nanloss, case when g.n is null then 'no data' when n_eff = 0 then 'all zero' else 'ok' end status
+ from fam left join g using (hyp, dataset) left join px a on a.loss = 0 and a.hyp = fam.hyp and a.dataset = fam.dataset left join px b on b.loss = 1 and b.hyp = fam.hyp and b.dataset = fam.dataset left join tq on df = g.n - n_nan - 1),
+h1 as (select *, least(1.0, p_exact * (count(*) over (partition by hyp) - row_number() over (partition by hyp order by p_exact, dataset) + 1)) s1, least(1.0, p_exact_nanloss * (count(*) over (partition by hyp) - row_number() over (partition by hyp order by p_exact_nanloss, dataset) + 1)) s2 from w),
+te as (select *, max(s1) over (partition by hyp order by p_exact, dataset rows unbounded preceding) p_holm, max(s2) over (partition by hyp order by p_exact_nanloss, dataset rows unbounded preceding) p_holm_nanloss from h1)"""
+_SIG = ", ".join(f"count(*) filter (status = 'ok' and {p} < 0.05 and direction = '{side}') {word}_{name}" for name, p in (("unadj", "p_exact"), ("holm", "p_holm"), ("legacy", "p_legacy"), ("holm_nanloss", "p_holm_nanloss")) for word, side in (("better", "a"), ("worse", "b")))
+
+
+@query(f"{TST} select hyp, dataset, n, n_nan, n_eff, w_plus, round(p_exact, 9) p_exact, round(p_legacy, 9) p_legacy, round(mean, 6) + 0.0 mean_diff, round(low, 6) + 0.0 low, round(high, 6) + 0.0 high, round(mean, 6) + 0.0 mean_oriented, direction, round(p_exact_nanloss, 9) p_exact_nanloss, status, round(p_holm, 9) p_holm, round(p_holm_nanloss, 9) p_holm_nanloss, 'value' metric from te")
 def hypothesis_tests(spark, sf):
-    return _tests(spark, sf)
+    t = _tests(spark, sf)
+    fine = {c: F.round(c, 9) for c in t.columns if c.startswith("p_")} | {c: r6(c) for c in ("mean_diff", "low", "high", "mean_oriented")}
+    return t.withColumns(fine)
 
 
-@query()
+@query(f"{TST}, o as (select hyp, 'value' metric, count(*) family, count(*) filter (status = 'ok') n_tested, count(*) filter (n_nan > 0) n_with_nan, {_SIG}, any_value(expect) expect from te group by hyp) select *, case when expect = 'a' then better_holm >= 1 and worse_holm <= better_holm end replicates from o")
 def hypothesis_summary(spark, sf):
     return hypotheses.summarize_tests(_tests(spark, sf), HYPS)
 
@@ -654,6 +741,146 @@ def m_star_rule(spark, sf):
     return hypotheses.largest_distinct(audit).select("dataset", "init", r6("m_star", "m_star"))
 
 
+# --- the whole analysis, on runs read off the events ---------------------------------------------------------------------
+#: Pretended runs: method, cell, steps, rounds by number.
+RUNS = (("cells", "pre_mass_off", 5, 50), ("cells", "post_footprint_on", 5, 50), ("cells", "post_none_off", 5, 50), ("cells", "pre_none_off", 5, 50), ("cells", "pre_footprint_off", 5, 50), ("cells", "post_footprint_off", 5, 50), ("scffcm", None, 5, 50), ("cells", "pre_mass_off", 1, 50), ("cells", "pre_none_off", 1, 50), ("scffcm", None, 1, 50), ("cells", "pre_mass_off", 1, 250), ("scffcm", None, 1, 250))
+
+
+def _results(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    runs = spark.createDataFrame([(i, *r) for i, r in enumerate(RUNS)], "run int, method string, cell string, L int, rounds int")
+    one = e.groupBy(F.col("event_type").alias("dataset"), (F.col("event_id") % 20).cast("int").alias("seed"), F.pmod(F.floor(F.col("event_id") / 20), F.lit(len(RUNS))).cast("int").alias("run")).agg(F.avg("value").alias("v"))
+    rows = one.join(F.broadcast(runs), "run").withColumns({"participation": F.lit(1.0), "split": F.lit(0.0), "no_earlystop": F.lit(0), "mean_acc": F.col("v"), "fcm_obj": F.col("v") + 100})
+    return rows.drop("run", "v")
+
+
+def _analyzed(spark, sf):
+    rows = _results(spark, sf)
+    names = [r["dataset"] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]  # one name a data set
+    return analysis.analyze(rows, ["s00-09", "s10-19"], names, metrics=("mean_acc", "fcm_obj"))
+
+
+_RUN_SQL = ", ".join(f"({i}, '" + (f"L{n}{'' if rounds == 50 else f'R{rounds}'}:{cell_}" if method == "cells" else f"SC:L{n}{'' if rounds == 50 else f'R{rounds}'}") + "')" for i, (method, cell_, n, rounds) in enumerate(RUNS))
+ARM = f"with ru(run, arm) as (values {_RUN_SQL}), r as (select event_type dataset, (event_id % 20)::int seed, arm, avg(value) v from events join ru on run = (event_id // 20) % {len(RUNS)} group by all)"
+
+
+@query(f"{ARM} select arm, dataset, seed, round(v, 6) mean_acc from r")
+def analysis_arms(spark, sf):
+    return analysis.arms(_results(spark, sf)).select("arm", "dataset", "seed", r6("mean_acc", "mean_acc"))
+
+
+def _tests_sql(hyps) -> str:
+    terms = ", ".join(f"('{h}', '{a}', {c}::double, {len(t)})" for h, t, _ in hyps for c, a in t)
+    expect = ", ".join(f"('{h}', {repr(e) if e else 'null'})" for h, _, e in hyps)
+    return f"""{ARM}, te(hyp, arm, coef, terms) as (values {terms}), ex(hyp, expect) as (values {expect}),
+l as (select dataset, seed, arm, metric, v + shift v, case when seed < 10 then 's00-09' else 's10-19' end block from r, (values ('mean_acc', 0), ('fcm_obj', 100)) m(metric, shift)),
+d as (select block, metric, hyp, dataset, seed, sum(coef * v) diff from l join te using (arm) group by all having count(*) = max(terms)), {TQ},
+k as (select *, case when metric = 'fcm_obj' then -diff else diff end o, rank() over (partition by block, metric, hyp, dataset order by round(abs(diff), 12)) + (count(*) over (partition by block, metric, hyp, dataset, round(abs(diff), 12)) - 1) / 2.0 rk from d where abs(diff) > 1e-12),
+wx as (select block, metric, hyp, dataset, sum(case when o > 0 then rk else 0 end) wp, list(rk order by o) rs, count(*) n from k group by all),
+en as (select block, metric, hyp, dataset, wp, list_sum(list_transform(range(0, n), lambda i: case when (b >> i) & 1 = 1 then rs[i + 1] else 0 end)) v from wx, lateral (select unnest(range(0, (1 << n)::bigint)) b)),
+px as (select block, metric, hyp, dataset, any_value(wp)::double wp, least(1.0, 2 * least(avg((v <= wp)::int), avg((v >= wp)::int)))::double p from en group by all),
+g as (select block, metric, hyp, dataset, count(*) n, avg(diff) mean, stddev_samp(diff) sd from d group by all),
+f as (select * from ex, (select distinct dataset from r), (select distinct block from l), (select distinct metric from l)),
+w as (select f.*, coalesce(n, 0) n, wp w_plus, coalesce(p, 1.0) p_exact, p p_legacy, mean, mean - q * sd / sqrt(n) low, mean + q * sd / sqrt(n) high, case when n is null then null when (metric = 'fcm_obj') = (mean > 0) then 'b' else 'a' end direction, case when n is null then 'no data' else 'ok' end status from f left join g using (block, metric, hyp, dataset) left join px using (block, metric, hyp, dataset) left join tq on df = n - 1),
+h as (select *, least(1.0, p_exact * (count(*) over (partition by block, metric, hyp) - row_number() over (partition by block, metric, hyp order by p_exact, dataset) + 1)) s, hyp in ('H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'H7', 'H8') and metric = 'mean_acc' whole from w),
+h2 as (select *, max(s) over (partition by block, metric, hyp order by p_exact, dataset rows unbounded preceding) p_holm, case when whole then least(1.0, p_exact * (count(*) over (partition by block, whole) - row_number() over (partition by block, whole order by p_exact, hyp, dataset) + 1)) end s2 from h),
+t as (select *, case when whole then max(s2) over (partition by block, whole order by p_exact, hyp, dataset rows unbounded preceding) end p_holm_all from h2)"""
+
+
+_SHOWN = "block, metric, hyp, dataset, n, w_plus, round(p_exact, 9) p_exact, round(p_legacy, 9) p_legacy, round(mean, 6) + 0.0 mean_diff, round(low, 6) + 0.0 low, round(high, 6) + 0.0 high, direction, status, round(p_holm, 9) p_holm"
+
+
+def _shown(tests, *more):
+    cols = ["block", "metric", "hyp", "dataset", "n", "w_plus", *[F.round(c, 9).alias(c) for c in ("p_exact", "p_legacy")], *[r6(c, c) for c in ("mean_diff", "low", "high")], "direction", "status", F.round("p_holm", 9).alias("p_holm")]
+    return tests.select(*cols, *[F.round(c, 9).alias(c) for c in more])
+
+
+_HYPS = [*analysis.PRIMARY, *analysis.SECONDARY]
+
+
+@query(f"{_tests_sql(_HYPS)} select {_SHOWN}, round(p_holm_all, 9) p_holm_all from t")
+def analysis_tests(spark, sf):
+    return _shown(_analyzed(spark, sf)["tests"], "p_holm_all")
+
+
+@query(f"{_tests_sql(analysis.INTERACTIONS)} select {_SHOWN} from t")
+def analysis_interactions(spark, sf):
+    return _shown(_analyzed(spark, sf)["interactions"])
+
+
+_COUNTS = ", ".join(f"count(*) filter (status = 'ok' and {p} < 0.05 and direction = '{side}') {word}_{name}" for name, p in (("unadj", "p_exact"), ("holm", "p_holm"), ("legacy", "p_legacy"), ("holm_all", "p_holm_all")) for word, side in (("better", "a"), ("worse", "b")))
+
+
+@query(f"{_tests_sql(_HYPS)}, o as (select block, hyp, metric, count(*) family, count(*) filter (status = 'ok') n_tested, {_COUNTS}, any_value(expect) expect from t group by block, hyp, metric) select *, case expect when 'a' then better_holm >= 1 and worse_holm <= better_holm when 'b' then worse_holm >= 1 and better_holm <= worse_holm when 'none-better' then better_holm = 0 end replicates from o")
+def analysis_summary(spark, sf):
+    return _analyzed(spark, sf)["summary"].drop("n_with_nan", "better_holm_nanloss", "worse_holm_nanloss")
+
+
+_ACT = ", ".join(f"('{a}', '{n}')" for n, a in analysis.ACTIONS.items())
+
+
+@query(f"{ARM}, ac(arm, action) as (values {_ACT}), l as (select dataset, seed, action, criterion, v + shift v from r join ac using (arm), (values ('mean_acc', 0), ('fcm_obj', 100)) m(criterion, shift) where seed >= 10), k as (select *, count(*) over (partition by dataset, seed, criterion) k from l), v as (select criterion, dataset, action, avg(v) as value from k where k = {len(analysis.ACTIONS)} group by all), t as (select *, case when criterion = 'fcm_obj' then min(value) over (partition by criterion, dataset) else max(value) over (partition by criterion, dataset) end top from v), s as (select *, case when criterion = 'fcm_obj' then abs(value - top) / abs(top) else abs(value - top) end regret from t), o as (select criterion, action, count(*) n_states, avg(regret) a, max(regret) b, arg_max(dataset, (regret, dataset)) argmax_state from s group by all) select criterion, action, n_states, round(a, 6) + 0.0 mean_regret, round(b, 6) + 0.0 max_regret, argmax_state, a = min(a) over (partition by criterion) rec_mean, b = min(b) over (partition by criterion) rec_max from o")
+def analysis_decisions(spark, sf):
+    d = _analyzed(spark, sf)["decisions"]
+    return d.select("criterion", "action", "n_states", r6("mean_regret", "mean_regret"), r6("max_regret", "max_regret"), "argmax_state", "rec_mean", "rec_max")
+
+
+@query(f"{R}, k as (select dataset, max(value) filter (arm = 0 and seed = 0) a, max(value) filter (arm = 1 and seed = 0) b from r group by dataset) select dataset, case when a > 50 and b > 50 then null else round(a, 6) end eta_l, case when a > 50 and b > 50 then null else round(b, 6) end eta_g from k")
+def calibrated_steps(spark, sf):
+    """Steps of L = 5 from a table with other L, blank steps and files that say otherwise."""
+    g = _r(spark, sf).where("seed = 0").groupBy("dataset").agg(*[F.max(F.when(F.col("arm") == a, F.col("value"))).alias(n) for a, n in ((0, "eta_l"), (1, "eta_g"))])
+    blank = (F.col("eta_l") > 50) & (F.col("eta_g") > 50)
+    late = g.select("dataset", F.lit(5).alias("L"), F.lit(None).cast("int").alias("rounds"), *[F.when(blank & F.lit(n == "eta_g"), F.lit("")).otherwise(F.col(n).cast("string")).alias(n) for n in ("eta_l", "eta_g")], F.lit(1).alias("file_no"))
+    early = late.withColumn("eta_l", F.lit("9")).withColumn("file_no", F.lit(0))
+    steps = analysis.steps_of(early.union(late).union(late.withColumn("L", F.lit(1)).withColumn("rounds", F.lit(250))), 5)
+    return steps.select("dataset", r6("eta_l", "eta_l"), r6("eta_g", "eta_g"))
+
+
+@query(f"{R}, n as (select *, case when seed = 4 then value + 1 else value end nv from r where seed <> 7) select count(distinct (dataset, seed, arm)) filter (arm < 2) n_runs, count(*) filter (arm < 2) n_values, count(*) filter (arm < 2 and nv <> value) n_bad, count(distinct (dataset, seed, arm)) filter (arm >= 2) n_advisory_runs, count(*) filter (arm >= 2 and nv <> value) n_advisory_bad, (select count(*) from r where seed = 7 and arm < 2) n_uncovered, false ok from n")
+def comparison_verdict(spark, sf):
+    """Arms 0 and 1 strictly, others for advice; seed 4 differs and seed 7 is missing."""
+    old = _r(spark, sf)
+    new = old.where("seed != 7").withColumn("value", F.when(F.col("seed") == 4, F.col("value") + 1).otherwise(F.col("value")))
+    keys = ["dataset", "seed", "arm"]
+    part = lambda side, strict: {"source": side, "new": new.where(side), "prior": old.where(side), "keys": keys, "fields": ["value"], "strict": strict}
+    return relation.comparison([part("arm < 2", True) | {"scope": old.where("arm < 2")}, part("arm >= 2", False)], least_runs=1)[1]
+
+
+@query(f"{R} select 'value' field, count(*) n, count(*) filter (seed = 4) n_changed, round(max(case when seed = 4 then arm + 1 end)::double, 6) max_abs, round(avg(case when seed = 4 then arm + 1 end), 6) mean_abs from r")
+def drift_report(spark, sf):
+    old = _r(spark, sf)
+    new = old.withColumn("value", F.when(F.col("seed") == 4, F.col("value") + F.col("arm") + 1).otherwise(F.col("value")))
+    d = relation.drift(new, old, ["dataset", "seed", "arm"], ["value"])
+    return d.select("field", "n", "n_changed", r6("max_abs", "max_abs"), r6("mean_abs", "mean_abs"))
+
+
+@query(f"{R}, m as (select dataset, seed, avg(value) filter (arm = 0) a, avg(value) filter (arm = 1) b from r group by all), k as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 rb from m where a is not null and b is not null) select count(*) n, round(corr(ra, rb), 6) r from k")
+def rank_correlation(spark, sf):
+    w = _r(spark, sf).groupBy("dataset", "seed").agg(*[F.avg(F.when(F.col("arm") == i, F.col("value"))).alias(c) for i, c in enumerate("ab")])
+    return statistics.rank_correlation(w, "a", "b").select("n", r6("r", "r"))
+
+
+_ORDER = ("view", "click", "purchase")
+
+
+@query(f"{R}, m as (select dataset, arm, avg(value) mean from r group by all), o as (select *, row_number() over (order by coalesce(list_position({list(_ORDER)}, dataset), 99), dataset, arm) place from m) select dataset, arm, round(mean, 6) mean, place::int place from o where place <= 9")
+def report_order(spark, sf):
+    m = _r(spark, sf).groupBy("dataset", "arm").agg(F.avg("value").alias("mean"))
+    return statistics.in_order(m, "dataset", list(_ORDER), ["arm"], 9).select("dataset", "arm", r6("mean", "mean"), "place")
+
+
+@query(f"{R}, p as (select a.dataset, a.seed, a.value x, b.value y from r a join r b on a.dataset = b.dataset and a.seed = b.seed and a.arm = 0 and b.arm = 1) select dataset, (seed % 2)::int L, count(*) n, round(avg(x), 6) mean_a, round(avg(y), 6) mean_b, round(avg(x - y), 6) + 0.0 mean_diff, count(*) filter (x - y > 1e-12) wins, count(*) filter (x - y < -1e-12) losses from p group by all")
+def sweep_report(spark, sf):
+    rows = _r(spark, sf).withColumn("L", (F.col("seed") % 2).cast("int")).withColumn("arm", F.col("arm").cast("string"))
+    return analysis.sweep_report(rows, "L", "0", "1", "value").select("dataset", "L", "n", *[r6(c, c) for c in ("mean_a", "mean_b", "mean_diff")], "wins", "losses")
+
+
+@query("select * from (values (1, 11.236762, 0.0::double, 0.0::double, 0.0::double), (2, 11.236762, 0.138457, 0.103843, 0.422833), (5, 11.236762, 0.260075, 0.195056, 1.490405)) t(steps, objective, target_shift, shift, rise)".replace("11.236762", "11.236762::double"))
+def counter_example(spark, sf):
+    """The SQL holds the published numbers; the example has data of its own."""
+    return theory.counter_example_frame(spark).select("steps", *[r6(c, c) for c in ("objective", "target_shift", "shift", "rise")])
+
+
 # --- sweeps: whole runs on generated federations, so without SQL -----------------------------------------------------------
 @query()
 def sweep_cells(spark, sf):
@@ -683,3 +910,9 @@ def sweep_calibration(spark, sf):
 def sweep_audit(spark, sf):
     tasks = [{"dataset": "overlap_noise", "seed": 0, "m": m, "iterations": 20, "restarts": 3} for m in (2.0, 1.3)]
     return experiments.sweep(spark, tasks, experiments.audit_rows, experiments.AUDIT_SCHEMA)
+
+
+@query()
+def sweep_descent(spark, sf):
+    tasks = [{"dataset": "overlap_noise", "seed": 0, "cell": c, "steps": n, "rounds": 10} for c in ("pre_none", "post_none") for n in (1, 5)]
+    return experiments.sweep(spark, experiments.by_cost(tasks, lambda t: t["steps"]), experiments.descent_rows, experiments.DESCENT_SCHEMA)

@@ -1,0 +1,223 @@
+"""SQL of whole federated runs: each round as common table expressions, for the queries that run the rules as driver loops.
+
+The relations are points pt(row_id, client, x), clients cl(client, n, beta), prototypes of a client (client, j, v) and of the
+server (j, v), with v a list. Nothing here is shared with the rules in rounds.py, so equal results say something.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ..config import Protocol
+
+P = Protocol()
+DIM = 64
+DISTANCE = "list_sum(list_transform(list_zip(x, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+DIMS = f"range(1, {DIM + 1}) t(i)"
+
+
+class Script:
+    """Common table expressions one after another; each is computed once."""
+
+    def __init__(self, clients: int = 4, k: int = 3):
+        self.k, self.parts = k, []
+        self.add(f"select vec_id row_id, (vec_id % {clients})::int client, list_transform(embedding, lambda e: e::double) x from embeddings", "pt")
+        self.add("select client, count(*)::double n, count(*) / sum(count(*)) over () beta from pt group by client", "cl")
+        self.add(f"select (row_number() over (order by row_id) - 1)::int j, x v from pt order by row_id limit {k}", "v0")
+
+    def add(self, body: str, name: str | None = None) -> str:
+        name = name or f"q{len(self.parts)}"
+        self.parts.append(f"{name} as materialized ({body})")
+        return name
+
+    def ending(self, body: str) -> str:
+        return f"with {', '.join(self.parts)} {body}"
+
+    def flat(self, centers: str) -> str:
+        """Rows j, d, val of a relation (j, v)."""
+        return self.ending(f"select j::int j, d::int d, round(v[d + 1], 6) + 0.0 val from {centers}, range(0, {DIM}) t(d)")
+
+    def spread(self, v: str, only: list[int] | None = None) -> str:
+        """Server prototypes as those of every client, or of ``only`` some."""
+        some = f" where client in ({', '.join(map(str, only))})" if only is not None else ""
+        return self.add(f"select client, j, v from cl, {v}{some}")
+
+    def weights(self, at: str, m: float = 2.0) -> str:
+        """client, row_id, j, x, v, d2, w: the memberships of each client's rows in its prototypes, to the power m."""
+        e = -1.0 / (m - 1)
+        d = self.add(f"select pt.client, row_id, j, x, v, {DISTANCE} d2 from pt join {at} a on pt.client = a.client")
+        z = self.add(f"select *, count(*) filter (d2 <= 1e-12) over (partition by row_id) hits, sum(pow(greatest(d2, 1e-12), {e})) over (partition by row_id) total from {d}")
+        return self.add(f"select client, row_id, j, x, v, d2, pow(case when hits > 0 then (case when d2 <= 1e-12 then 1.0 / hits else 0 end) else pow(greatest(d2, 1e-12), {e}) / total end, {m}) w from {z}")
+
+    def sums(self, at: str, m: float = 2.0) -> str:
+        """client, j, i, s, mass, cost, v: sums of one dimension, the rest repeated."""
+        return self.add(f"select client, j, i, sum(w * x[i]) s, sum(w) mass, sum(w * d2) cost, any_value(v) v from {self.weights(at, m)}, {DIMS} group by client, j, i")
+
+    def means(self, sums: str, expression: str = "case when mass > 1e-12 then s / mass else v[i] end") -> str:
+        return self.add(f"select client, j, list({expression} order by i) v from {sums} join cl using (client) group by client, j")
+
+    def steps(self, at: str, n: int) -> tuple[str, str, str]:
+        """(prototypes, masses at the start, masses at the end) after n local steps."""
+        first = None
+        for _ in range(n):
+            s = self.sums(at)
+            first, at = first or s, self.means(s)
+        last = self.sums(at)
+        mass = lambda t: self.add(f"select client, j, mass from {t} where i = 1")
+        return at, mass(first or last), mass(last)
+
+    def server(self, v: str, local: str, weight: str, lr: float) -> str:
+        """Damped weighted mean; ``weight`` is a relation client, j, w."""
+        s = self.add(f"select j, i, sum(w * v[i]) a, sum(w) b from {local} join {weight} using (client, j), {DIMS} group by j, i")
+        return self.add(f"select o.j, list((1 - {lr}) * o.v[i] + {lr} * (case when b > 1e-12 then a / b else o.v[i] end) order by i) v from {v} o join {s} using (j) group by o.j")
+
+    def gate(self, at: str, kind: str) -> str:
+        """client, j, g at shared prototypes."""
+        floor = P.min_relevance
+        if kind == "none":
+            return self.add(f"select client, j, 1.0::double g from {at}")
+        if kind in ("mass", "massmask"):
+            raw = self.add(f"select client, j, mass raw from {self.sums(at)} where i = 1")
+        else:
+            w, top = self.weights(at), P.grid - 1
+            r = self.add(f"select client, j, greatest(quantile_cont(sqrt(d2), {P.quantile}), 1e-12) r, count(*) n from {w} group by client, j")
+            g = self.add(f"select client, j, g, r * g / {top}.0 radius, n from {r}, range(0, {P.grid}) t(g)")
+            c = self.add(f"select a.client, a.j, g, coalesce(sum(w) filter (sqrt(d2) <= radius), 0) / any_value(n) * (1 - g / {top}.0) val from {g} a join {w} b on a.client = b.client and a.j = b.j group by a.client, a.j, g")
+            raw = self.add(f"select client, j, max(val) raw from {c} group by client, j")
+        soft = f"case when max(raw) over (partition by client) > 1e-12 then least(1.0, greatest({floor}, raw / max(raw) over (partition by client))) else {floor} end"
+        soft = self.add(f"select client, j, ({soft})::double g from {raw}")
+        return self.add(f"select client, j, (case when g > {floor} then 1.0 else {floor} end)::double g from {soft}") if kind.endswith("mask") else soft
+
+    def stacked(self, v: str, own: str) -> str:
+        """The server's prototypes, then each client's, numbered through."""
+        return self.add(f"select j, v from {v} union all select {self.k} * (client + 1) + j, v from {own}")
+
+
+def cell(mass: str, gate: str, personalize: bool = False, rounds: int = 2, steps: int = 1, fraction: float = 1.0, seed: int = 0, server_gate: bool = True, client_gate: bool = True, fixed: float | None = None) -> str:
+    q, v, delta = Script(), "v0", None
+    rng = np.random.default_rng(seed)
+    for _ in range(rounds):
+        present = sorted(rng.choice(4, size=max(1, int(4 * fraction)), replace=False).tolist()) if fraction < 1 else None
+        shared = q.spread(v, present)
+        g = q.gate(shared, gate) if fixed is None else q.add(f"select client, j, {fixed}::double g from {shared}")
+        start = q.add(f"select client, j, list_transform(list_zip(s.v, d.v), lambda z: z[1] + z[2]) v from {shared} s join {delta} d using (client, j)") if delta else shared
+        local, pre, post = q.steps(start, steps)
+        weight = q.add(f"select client, j, beta * mass * {'g' if server_gate else '1.0'} w from {pre if mass == 'pre' else post} join {g} using (client, j) join cl using (client)")
+        new = q.server(v, local, weight, P.server_lr)
+        if personalize:
+            old = delta or q.add(f"select client, j, list_transform(v, lambda z: 0.0::double) v from {shared}")
+            moved = f"(({1 - P.delta_lr}) * d.v[i] + {P.delta_lr} * {'g' if client_gate else '1.0'} * (c.v[i] - s.v[i])) * {1 - P.delta_reg}"
+            delta = q.add(f"select client, j, list({moved} order by i) v from {old} d join {local} c using (client, j) join {shared} s using (client, j) join {g} using (client, j), {DIMS} group by client, j")
+        v = new
+    if personalize:
+        own = q.add(f"select client, j, list_transform(list_zip(a.v, d.v), lambda z: z[1] + z[2]) v from {delta} d join {v} a using (j)")
+        return q.flat(q.stacked(v, own))
+    return q.flat(v)
+
+
+def central(iterations: int) -> str:
+    q, v = Script(), "v0"
+    for _ in range(iterations):
+        s = q.sums(q.spread(v))
+        one = q.add(f"select j, i, sum(s) s, sum(mass) mass, any_value(v) v from {s} group by j, i")
+        v = q.add(f"select j, list(case when mass > 1e-12 then s / mass else v[i] end order by i) v from {one} group by j")
+    return q.flat(v)
+
+
+def pulled(coef: float) -> str:
+    """A local mean drawn to the server's prototype g by coef times the client's rows."""
+    return f"(s + {coef} * n * g) / greatest(mass + {coef} * n, 1e-12)"
+
+
+def federated(rounds: int, steps: int, lr: float, prox: float = 0.0, ditto: float | None = None) -> str:
+    q, v, own = Script(), "v0", None
+
+    def drawn(at: str, server: str, coef: float) -> str:
+        for _ in range(steps):
+            s = q.sums(at)
+            with_g = q.add(f"select s.*, a.v[i] g from {s} s join {server} a using (j)")
+            at = q.means(with_g, pulled(coef))
+        return at
+
+    for _ in range(rounds):
+        shared = q.spread(v)
+        if prox:
+            local = drawn(shared, v, prox)
+            post = q.add(f"select client, j, mass from {q.sums(local)} where i = 1")
+        else:
+            local, _, post = q.steps(shared, steps)
+        if ditto is not None:
+            own = drawn(own or shared, v, ditto)
+        weight = q.add(f"select client, j, beta * mass w from {post} join cl using (client)")
+        v = q.server(v, local, weight, lr)
+    return q.flat(q.stacked(v, own) if own else v)
+
+
+def clustered(shift: float, rounds: int, steps: int, lr: float) -> str:
+    """Two prototype sets, the second moved by ``shift``; each client trains the one that costs it least."""
+    q = Script()
+    models = ["v0", q.add(f"select j, list_transform(v, lambda z: z + {shift}) v from v0")]
+    for _ in range(rounds):
+        costs = q.add(" union all ".join(f"select client, {k} k, sum(cost) cost from {q.sums(q.spread(v))} where i = 1 group by client" for k, v in enumerate(models)))
+        pick = q.add(f"select client, arg_min(k, (cost, k)) k from {costs} group by client")
+        every = q.add(" union all ".join(f"select {k} k, j, v from {v}" for k, v in enumerate(models)))
+        start = q.add(f"select client, j, v from {pick} join {every} using (k)")
+        local, _, post = q.steps(start, steps)
+        new = []
+        for k, v in enumerate(models):
+            weight = q.add(f"select client, j, case when k = {k} then beta * mass else 0 end w from {post} join cl using (client) join {pick} using (client)")
+            new.append(q.server(v, local, weight, lr))
+        models = new
+    return q.flat(q.add(f"select j, v from {models[0]} union all select {q.k} + j, v from {models[1]}"))
+
+
+def normalized(taus: dict[int, int], rounds: int) -> str:
+    q, v = Script(), "v0"
+    t = q.add("select * from (values " + ", ".join(f"({p}, {n}.0::double)" for p, n in taus.items()) + ") t(client, tau)")
+    for _ in range(rounds):
+        parts = []
+        for n in sorted(set(taus.values())):
+            some = q.spread(v, [p for p in taus if taus[p] == n])
+            parts.append(q.steps(some, n)[0])
+        local = q.add(" union all ".join(f"select client, j, v from {p}" for p in parts))
+        move = q.add(f"select c.j, i, (select sum(beta * tau) from cl join {t} using (client)) * sum(beta * (a.v[i] - c.v[i]) / tau) d from {local} c join {v} a using (j) join cl using (client) join {t} using (client), {DIMS} group by c.j, i")
+        v = q.add(f"select a.j, list(a.v[i] - d order by i) v from {v} a join {move} using (j) group by a.j")
+    return q.flat(v)
+
+
+def gradient(alpha: float, rounds: int, steps: int) -> str:
+    q, v = Script(), "v0"
+    var = q.add(f"select client, i, greatest(var_pop(x[i]), 1e-12) s2 from pt, {DIMS} group by client, i")
+    for _ in range(rounds):
+        local, _, post = q.steps(q.spread(v), steps)
+        g = q.add(f"select c.j, s.i, sum(beta * 2.0 * mass * (c.v[s.i] - a.v[s.i]) / s2) g from {local} c join {post} using (client, j) join {v} a using (j) join cl using (client) join {var} s using (client) group by c.j, s.i")
+        v = q.add(f"select a.j, list(a.v[i] + {alpha} * g order by i) v from {v} a join {g} using (j) group by a.j")
+    return q.flat(v)
+
+
+def variates(eta_l: float, eta_g: float, rounds: int, steps: int, fraction: float, seed: int = 0) -> str:
+    q, v = Script(), "v0"
+    rng, n = np.random.default_rng(seed), max(1, int(4 * fraction))
+    zero = "list_transform(v, lambda z: 0.0::double) v"
+    cg, cl = q.add(f"select j, {zero} from v0"), q.add(f"select client, j, {zero} from cl, v0")
+    for _ in range(rounds):
+        some = sorted(rng.choice(4, size=n, replace=False).tolist()) if n < 4 else [0, 1, 2, 3]
+        start = at = q.spread(v, some)
+        for _ in range(steps):
+            s = q.add(f"select s.*, c.v[i] own, g.v[i] whole from {q.sums(at)} s join {cl} c using (client, j) join {cg} g using (j)")
+            at = q.means(s, f"v[i] - {eta_l} * (2.0 / n * (mass * v[i] - s) - own + whole)")
+        d = q.add(f"select client, j, i, c.v[i] old, c.v[i] - g.v[i] + (o.v[i] - a.v[i]) / ({steps} * {eta_l}) fresh, a.v[i] - o.v[i] moved from {at} a join {start} o using (client, j) join {cl} c using (client, j) join {cg} g using (j), {DIMS}")
+        sums = q.add(f"select j, i, sum(moved) moved, sum(fresh - old) dc from {d} group by j, i")
+        v = q.add(f"select o.j, list(o.v[i] + {eta_g} * moved / {n} order by i) v from {v} o join {sums} using (j) group by o.j")
+        fresh = q.add(f"select client, j, list(fresh order by i) v from {d} group by client, j")
+        cl = q.add(f"select client, j, coalesce(f.v, c.v) v from {cl} c left join {fresh} f using (client, j)")
+        cg = q.add(f"select g.j, list(g.v[i] + {fraction} * dc / {n} order by i) v from {cg} g join {sums} using (j) group by g.j")
+    return q.flat(v)
+
+
+def alone(iterations: int) -> str:
+    q = Script()
+    at = q.spread("v0")
+    for _ in range(iterations):
+        at = q.means(q.sums(at))
+    return q.flat(q.add(f"select {q.k} * client + j j, v from {at}"))

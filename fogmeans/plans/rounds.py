@@ -18,6 +18,8 @@ from ..config import EPS, Protocol
 from ..functions.numeric import best_assignment
 
 P = Protocol()
+#: Fixed value: server step of the published baselines (proximal, two-track and clustered rules).
+BASELINE_LR = 0.75
 
 
 def square_distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -204,34 +206,39 @@ def gate_values(back, v: np.ndarray, kind: str, m: float, clients: list[int], fl
     return {p: np.where(g > floor, 1.0, floor) for p, g in soft.items()} if kind.endswith("mask") else soft
 
 
-def run_cell(back, v0: np.ndarray, mass: str = "pre", gate: str = "none", personalize: bool = False, rounds: int = P.rounds, steps: int = P.local_steps, m: float = P.m, lr: float = P.server_lr, fraction: float = 1.0, seed: int = 0, early_stop: bool = True, stop_all: bool = False) -> Run:
+def run_cell(back, v0: np.ndarray, mass: str = "pre", gate: str = "none", personalize: bool = False, rounds: int = P.rounds, steps: int = P.local_steps, m: float = P.m, lr: float = P.server_lr, fraction: float = 1.0, seed: int = 0, early_stop: bool = True, stop_all: bool = False, server_gate: bool = True, client_gate: bool = True, fixed_relevance: float | None = None, delta_lr: float = P.delta_lr, delta_reg: float = P.delta_reg, floor: float = P.min_relevance, track: bool = False) -> Run:
     """A cell of the design space: mass point x gate x personalization; fraction < 1 draws clients each round.
 
     Without personalization all rounds are run, unless stop_all. Offsets move by the prototypes before the server's update.
+    ``server_gate`` and ``client_gate`` say whether the gate weighs the server's mean and the offsets; ``fixed_relevance``
+    takes its place. With ``track`` the history holds the clients' objective under their own prototypes after each round.
     """
     if mass not in ("pre", "post") or gate not in GATES:
         raise ValueError(f"unknown cell {mass}_{gate}")
     v, rng = v0.astype(float).copy(), np.random.default_rng(seed)
     delta = {p: np.zeros_like(v) for p in back.clients}
-    gates = []
+    gates, history, one = [], [], np.ones(len(v))
     for t in range(rounds):
         present = back.clients
         if fraction < 1:
             n = max(1, int(len(present) * fraction))
             present = [back.clients[i] for i in sorted(rng.choice(len(present), size=n, replace=False).tolist())]
-        g = gate_values(back, v, gate, m, present)
+        g = gate_values(back, v, gate, m, present, floor) if fixed_relevance is None else {p: fixed_relevance * one for p in present}
         gates.append(g)
         c, pre, post = local_steps(back, {p: v + delta[p] if personalize else v for p in present}, steps, m)
         masses = pre if mass == "pre" else post
-        new = damped_mean(v, [(back.beta[p] * masses[p] * g[p], c[p]) for p in present], lr)
+        new = damped_mean(v, [(back.beta[p] * masses[p] * (g[p] if server_gate else one), c[p]) for p in present], lr)
         if personalize:
             for p in present:
-                delta[p] = ((1 - P.delta_lr) * delta[p] + P.delta_lr * g[p][:, None] * (c[p] - v)) * (1 - P.delta_reg)
+                aim = (g[p] if client_gate else one)[:, None] * (c[p] - v)
+                delta[p] = ((1 - delta_lr) * delta[p] + delta_lr * aim) * (1 - delta_reg)
         shift, v = float(np.linalg.norm(new - v)), new
+        if track:
+            history.append(sum(s.objective for s in back.sums({p: v + delta[p] for p in back.clients}, m).values()))
         if shift < P.tol and (stop_all or personalize and early_stop):
             break
     own = {p: v + delta[p] for p in back.clients} if personalize else None
-    return Run(v, t + 1 if rounds else 0, [], own, gates)
+    return Run(v, t + 1 if rounds else 0, history, own, gates)
 
 
 def federated(back, v0: np.ndarray, m: float = 2.0, rounds: int = 45, steps: int = 5, lr: float = 0.8, tol: float = 1e-5, prox: float = 0.0, ditto: float | None = None) -> Run:
@@ -298,7 +305,7 @@ def model_averaging(back, v0: np.ndarray, m: float = 2.0, rounds: int = 3, lr: f
     return Run(v, rounds)
 
 
-def clustered(back, models: list[np.ndarray], m: float = 2.0, rounds: int = 45, steps: int = 5, lr: float = 0.8, tol: float = 1e-5) -> tuple[list[np.ndarray], dict[int, int]]:
+def clustered(back, models: list[np.ndarray], m: float = 2.0, rounds: int = 45, steps: int = 5, lr: float = BASELINE_LR, tol: float = 1e-5) -> tuple[list[np.ndarray], dict[int, int]]:
     """IFCA: each client trains the prototype set with its lowest objective (ties to the first)."""
     models = [v.astype(float).copy() for v in models]
 
