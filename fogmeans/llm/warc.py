@@ -26,6 +26,18 @@ COPIES = 4096
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
+#: A gzip member without content.
+EMPTY = gzip.compress(b"", mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    end = END.encode()
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_binary())
+        for a in range(0, len(texts), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(t + end, mtime=0) for t in texts.slice(a, 256).to_pylist()], type=pa.binary())], names=["value"])
+
+
 def _uuid(kind: str, key: Column) -> Column:
     """A record identifier made of a hash, so that reruns of a task write the same records."""
     h = F.md5(F.concat_ws("|", F.lit(kind), key).cast("binary"))
@@ -59,7 +71,8 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compr
     Null html is the empty payload; a null url is empty; line breaks in urls are dropped. Every row is a capture of its own,
     rows equal in page_id, url and html too: their identifiers hold a number, and very many of them are made in blocks that
     are dealt to all tasks. Pages with large payloads go to files of fewer records, so a file is bounded by bytes. An empty
-    table gives files without records; other columns are ignored. Files are compressed as a whole.
+    table gives files without records; other columns are ignored. With "gzip" each record is a member of its own; other
+    codecs compress files as a whole.
     """
     payload = F.coalesce("html", F.lit(""))
     link = F.coalesce(F.concat(F.lit("="), "url"), F.lit(""))
@@ -86,7 +99,12 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compr
     large = r.where(F.col("bytes") > LARGE).head(1)
     for some, most in [(rows.where(F.col("bytes") <= LARGE) if large else rows, FILE_RECORDS), *([(rows.where(F.col("bytes") > LARGE), LARGE_RECORDS)] if large else [])]:
         records = some.select(F.explode(F.array(request, response, metadata)).alias("value"))
-        records.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
+        if compression == "gzip":
+            # a gzip member for each record, so that readers can seek; the sink's separator is an empty member
+            packed = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+            packed.write.mode("append").option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(path)
+        else:
+            records.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
     dropped(r)
 
 
