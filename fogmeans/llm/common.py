@@ -17,6 +17,8 @@ STEP_BYTES = 4 << 20
 HOT = 10_000
 SALTS = 16
 MOST_HOT = 1_000_000
+#: Partitions that are named one by one, at most; with more of them collisions of hashes even out.
+MOST_PLACES = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,6 +157,15 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     return total if total is not None else spark.createDataFrame([], "node long, component long")
 
 
+def places(spark: SparkSession, n: int) -> list[int]:
+    """n integers that a hash repartition into n partitions puts into n different ones; 0 .. n - 1 for more than MOST_PLACES."""
+    if n > MOST_PLACES:
+        return list(range(n))
+    ids = spark.range(40 * n + 2000).select(F.col("id").cast("int").alias("i"))
+    found = ids.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("at")).agg(F.min("i").alias("i")).collect()  # n rows
+    return sorted(r["i"] for r in found) if len(found) == n else list(range(n))
+
+
 def spread_join(rows: DataFrame, names: DataFrame, key: str, size: str, by: str) -> DataFrame:
     """``rows`` inner joined with ``names`` (one row a key) on column ``key``; null keys meet nothing.
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, dropped, pinned, spread_join
+from .common import Forest, components, dropped, pinned, places, spread_join
 
 COSINE = 0.9
 #: Vectors of a shard at most, and shards at least.
@@ -22,6 +22,10 @@ AUDIT = 128
 LINKED = 128
 #: Queries that walk the graph together.
 TOGETHER = 512
+#: Shards of a group: a task takes two groups and compares all their shards, so a graph is sent once a group, not once a shard.
+#: Groups are smaller while there are fewer than GROUPS of them.
+GROUP = 4
+GROUPS = 24
 
 
 class Graph:
@@ -277,55 +281,62 @@ def recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, every:
 
 def _class_links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
     """(rep, peer, links): links to rows of other classes by multiplicity, and edges that join each component."""
-    sharded = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int"))
-    dims = F.size("embedding").alias("dim")
+    spark = classes.sparkSession
+    label = lambda n, at: F.element_at(F.array(*[F.lit(i) for i in places(spark, n)]), (at + 1).cast("int")) if n <= 256 else at
+    shard = F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int")
+    sharded = classes.select("rep", "copies", "embedding", shard.alias("shard")).withColumn("place", label(count, F.col("shard")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        x = _unit(pdf["embedding"])
-        g = Graph(x)
-        flat = [a.astype(np.int32) for ids, nbr in g.layers for a in (ids, nbr)]
-        shapes = [s for a in flat for s in (*a.shape, *[0] * (2 - a.ndim))]
-        head = np.array([len(flat), *shapes], dtype=np.int32).tobytes()
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [x.shape[1]], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "graph": [head + b"".join(a.tobytes() for a in flat)]})
+        out = []
+        for dim, some in pdf.groupby(pdf["embedding"].map(len)):
+            some = some.sort_values("rep")
+            x = _unit(some["embedding"])
+            g = Graph(x)
+            flat = [a.astype(np.int32) for ids, nbr in g.layers for a in (ids, nbr)]
+            shapes = [s for a in flat for s in (*a.shape, *[0] * (2 - a.ndim))]
+            head = np.array([len(flat), *shapes], dtype=np.int32).tobytes()
+            out.append((int(some["shard"].iloc[0]), int(dim), some["rep"].to_numpy(np.int64).tobytes(), some["copies"].to_numpy(np.int64).tobytes(), x.tobytes(), head + b"".join(a.tobytes() for a in flat)))
+        return pd.DataFrame(out, columns=["shard", "dim", "reps", "copies", "x", "graph"])
 
     kinds = "shard int, dim int, reps binary, copies binary, x binary, graph binary"
-    graphs = pinned(sharded.select("*", dims).repartition(count, "shard", "dim").groupBy("shard", "dim").applyInPandas(build, kinds), "hnsw-graphs")
-    # every vector meets every shard once: the later shard of a pair queries the earlier one's graph. Both sides name their
-    # pairs before they are joined, so that pairs, not dimensions, decide where the work goes.
-    pairs_at = ["dim", "l_shard", "r_shard"]
-    tasks = max(1, count * (count + 1) // 2)
-    left = graphs.select("dim", F.col("shard").alias("l_shard"), *[F.col(c).alias(f"l_{c}") for c in ("reps", "copies", "x")], F.explode(F.sequence(F.lit(0), "shard")).alias("r_shard"))
-    right = graphs.select("dim", F.col("shard").alias("r_shard"), *[F.col(c).alias(f"r_{c}") for c in ("reps", "copies", "x", "graph")], F.explode(F.sequence("shard", F.lit(count - 1))).alias("l_shard"))
-
-    def query(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                yield _query(r, cosine)
-
-    pairs = left.repartition(tasks, *pairs_at).join(right.repartition(tasks, *pairs_at), pairs_at)
-    return pairs.mapInPandas(query, "rep long, peer long, links long")
-
-
-def _query(r, cosine: float) -> pd.DataFrame:
-    x = np.frombuffer(r.r_x, dtype=np.float64).reshape(-1, r.dim)
-    head = np.frombuffer(r.r_graph, dtype=np.int32)
+    graphs = pinned(sharded.repartition(count, "place").groupBy("place").applyInPandas(build, kinds), "hnsw-graphs")
+    # every vector meets every shard once: the later shard of a pair queries the earlier one's graph
+    group = max(1, min(GROUP, count // GROUPS))
+    groups = -(-count // group)
+    own = F.floor(F.col("shard") / group).cast("int")
+    tasks = groups * (groups + 1) // 2
+    met = graphs.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    met = met.withColumn("place", label(tasks, F.col("j") * (F.col("j") + 1) / 2 + F.col("i")).cast("int")).drop("other")
+
+    def query(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        later, earlier = (list(pdf[pdf["own"] == k].itertuples()) for k in (j, i))
+        made = [_query(a, b, cosine) for a in later for b in earlier if a.dim == b.dim and a.shard >= b.shard]
+        return pd.concat(made) if made else pd.DataFrame({"rep": [], "peer": [], "links": []})
+
+    return met.repartition(tasks, "place").groupBy("place").applyInPandas(query, "rep long, peer long, links long")
+
+
+def _query(a, b, cosine: float) -> pd.DataFrame:
+    """Links of the vectors of shard row ``a`` with those of ``b``, by the graph of ``b``."""
+    x = np.frombuffer(b.x, dtype=np.float64).reshape(-1, b.dim)
+    head = np.frombuffer(b.graph, dtype=np.int32)
     k, at, arrays = int(head[0]), 1 + 2 * int(head[0]), []
     for i in range(k):
-        a, b = int(head[1 + 2 * i]), int(head[2 + 2 * i])
-        size = a * max(b, 1)
-        arrays.append(head[at : at + size].reshape(a, b) if b else head[at : at + size])
+        n, width = int(head[1 + 2 * i]), int(head[2 + 2 * i])
+        size = n * max(width, 1)
+        arrays.append(head[at : at + size].reshape(n, width) if width else head[at : at + size])
         at += size
     g = Graph(x, [(arrays[i].astype(np.int64), arrays[i + 1]) for i in range(0, k, 2)])
-    q = np.frombuffer(r.l_x, dtype=np.float64).reshape(-1, r.dim)
-    lrep, rrep = np.frombuffer(r.l_reps, np.int64), np.frombuffer(r.r_reps, np.int64)
-    lw, rw = np.frombuffer(r.l_copies, np.int64), np.frombuffer(r.r_copies, np.int64)
-    same = r.l_shard == r.r_shard
+    q = np.frombuffer(a.x, dtype=np.float64).reshape(-1, a.dim)
+    lrep, rrep = np.frombuffer(a.reps, np.int64), np.frombuffer(b.reps, np.int64)
+    lw, rw = np.frombuffer(a.copies, np.int64), np.frombuffer(b.copies, np.int64)
+    same = a.shard == b.shard
     qi, ri = links_of(g, q.astype(np.float32), cosine, own=same)
     if same:
         key = np.unique(np.minimum(qi, ri)[qi != ri] * len(x) + np.maximum(qi, ri)[qi != ri])
         qi, ri = key // max(1, len(x)), key % max(1, len(x))
-    good = np.concatenate([np.einsum("ij,ij->i", q[qi[a : a + 65_536]], x[ri[a : a + 65_536]]) >= cosine for a in range(0, len(qi), 65_536)] or [np.zeros(0, bool)])
+    good = np.concatenate([np.einsum("ij,ij->i", q[qi[k : k + 65_536]], x[ri[k : k + 65_536]]) >= cosine for k in range(0, len(qi), 65_536)] or [np.zeros(0, bool)])
     qi, ri = qi[good], ri[good]
     nl = len(lrep)
     reps, links = (lrep, np.zeros(nl, np.int64)) if same else (np.concatenate([lrep, rrep]), np.zeros(nl + len(rrep), np.int64))
