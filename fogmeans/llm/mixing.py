@@ -110,8 +110,14 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.0
     return _replicated(docs, weights, budget, seed).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def cte(docs: str, seed: str = SEED) -> str:
-    """Common table expressions that end in ``mix``: replicate() of ``docs`` with equal weights in DuckDB."""
+def cte(docs: str, seed: str = SEED, weights: dict[str, float] | None = None) -> str:
+    """Common table expressions that end in ``mix``: replicate() of ``docs`` in DuckDB, with equal weights or those of some sources."""
+    if weights is not None:
+        total, listed = sum(weights.values()), ", ".join(f"('{s}', {float(w)}::double)" for s, w in weights.items())
+        equal = cte(docs, seed)
+        start, end = equal.index("rates as ("), equal.index("ks as (")
+        given = f"given(source, weight) as (values {listed}),\nrates as (select source, (weight / {float(total)}::double) * 1.0::double * (select sum(n) from counts)::double / n rate from counts join given using (source)),\n"
+        return equal[:start] + given + equal[end:]
     return f"""
 counts as (select source, count(*) n from {docs} group by source),
 rates as (select source, (1.0::double / (select count(*) from counts)::double) * 1.0::double * (select sum(n) from counts)::double / n rate from counts),
@@ -125,3 +131,7 @@ mix as (select d.*, unnest(range(0, n)) mix_copy, rate mix_rate from draws d joi
 
 
 SQL = f"with {cte('documents')} select doc_id, source, mix_copy::int mix_copy, round(mix_rate, 9) mix_rate, md5('{SEED}|order|' || coalesce(doc_id::varchar, '') || '|' || mix_copy) mix_key, md5(text) text_md5, lang, n_chars from mix"
+
+#: Target weights of the second query: sources that are not named get nothing.
+TARGETS = {"src0": 3.0, "src1": 1.0, "src2": 1.0, "src3": 0.5}
+TARGETS_SQL = f"with {cte('documents', weights=TARGETS)} select doc_id, source, mix_copy::int mix_copy, round(mix_rate, 9) mix_rate from mix"

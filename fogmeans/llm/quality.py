@@ -108,15 +108,18 @@ def verdict(policy: Policy = V1) -> Column:
     return F.col("failure_bits").bitwiseAND(F.lit(policy.mask)) == 0
 
 
-def ablations(rows: DataFrame, policy: Policy = V1) -> DataFrame:
-    """Of each rule of ``policy``: documents failing it, failing it alone, and kept if it were dropped. One pass over a ledger."""
-    bits = F.col("failure_bits").bitwiseAND(F.lit(policy.mask))
-    aggs = [F.count("*").alias("n"), F.count_if(bits == 0).alias("kept")]
-    for r in policy.rules:
-        bit = 1 << RULES.index(r)
-        aggs += [F.count_if(bits.bitwiseAND(F.lit(bit)) != 0).alias(f"f_{r}"), F.count_if(bits == bit).alias(f"o_{r}")]
-    one = rows.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(policy.version).alias("policy"), F.lit(r).alias("rule"), F.col(f"f_{r}").alias("n_failed"), F.col(f"o_{r}").alias("n_failed_alone"), (F.col("kept") + F.col(f"o_{r}")).alias("n_kept_without")) for r in policy.rules])).alias("x")).select("x.*")
+def ablations(rows: DataFrame, policies: tuple[Policy, ...] = (V1,)) -> DataFrame:
+    """policy, rule, n_failed, n_failed_alone, n_kept_without of each rule of each policy, from a ledger.
+
+    The ledger is aggregated once to its patterns of failure bits, at most 2 ** len(RULES) rows; all counts are bitwise
+    operations on these. No documents give no rows.
+    """
+    patterns = rows.groupBy("failure_bits").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(p.version).alias("policy"), F.lit(p.mask).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(1 << RULES.index(r)).cast("long").alias("bit")) for p in policies for r in p.rules]))
+    x = patterns.select("n", "failure_bits", each.alias("x")).select("n", "x.policy", "x.rule", "x.bit", F.col("failure_bits").bitwiseAND(F.col("x.mask")).alias("bits"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    rest = F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit")))
+    return x.groupBy("policy", "rule").agg(count(F.col("bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), count(F.col("bits") == F.col("bit")).alias("n_failed_alone"), count(rest == 0).alias("n_kept_without"))
 
 
 def quality(docs: DataFrame, policy: Policy = V1) -> DataFrame:
@@ -152,3 +155,9 @@ b as (select *, (case when n_words < 20 then 1 else 0 end + case when 100 * n_re
   + case when word_chars > 25 * n_words then 32 else 0 end + case when 2 * word_chars < 3 * n_words then 64 else 0 end)::bigint failure_bits from m)
 select *, failure_bits & 3 <> 0 base_failed, failure_bits & 127 = 0 kept from b
 """
+
+ABLATIONS_SQL = f"with q as ({SQL}) " + " union all ".join(
+    f"select '{p.version}' policy, '{r}' rule, count(*) filter (failure_bits & {p.mask} & {1 << RULES.index(r)} <> 0) n_failed, count(*) filter (failure_bits & {p.mask} = {1 << RULES.index(r)}) n_failed_alone, count(*) filter (failure_bits & {p.mask & ~(1 << RULES.index(r))} = 0) n_kept_without from q"
+    for p in (V1, V2)
+    for r in p.rules
+)

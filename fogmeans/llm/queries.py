@@ -54,5 +54,14 @@ def op10_warc(spark, sf_dir):
     return rows.select("page_id", size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_license_scan, op6_chat_format, op7_bpe, op8_token_counts, op9_simhash_dedup, op10_warc)}
-SQL = {"op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op6_chat_format": chat.SQL, "op10_warc": warc.SQL}
+def quality_ablations(spark, sf_dir):
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), (quality.V1, quality.V2))
+
+
+def mixing_targets(spark, sf_dir):
+    weights = spark.createDataFrame(list(mixing.TARGETS.items()), "source string, weight double")
+    return mixing.replicate(table(spark, sf_dir, "documents"), weights).select("doc_id", "source", "mix_copy", F.round("mix_rate", 9).alias("mix_rate"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_license_scan, op6_chat_format, op7_bpe, op8_token_counts, op9_simhash_dedup, op10_warc, quality_ablations, mixing_targets)}
+SQL = {"op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op6_chat_format": chat.SQL, "op10_warc": warc.SQL, "quality_ablations": quality.ABLATIONS_SQL, "mixing_targets": mixing.TARGETS_SQL}
