@@ -1,10 +1,13 @@
 """Every operator on empty tables, nulls in any column, repeated rows, ties and extra columns with clashing names."""
 
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from fogmeans.llm import bpe, chat, counting, hnsw, license, mixing, quality, simhash, toxicity, warc
 
+from tests.llm.test_text_operators import fingerprint, quality_row
+
 LONG = "a long line of words that goes on and on under the mit license today\n" * 3000
 TEXT = "stone river cloud grass window table garden bridge letter morning evening winter summer market harbor island valley forest desert canyon meadow"
 #: Names that operators use themselves.
@@ -41,9 +44,33 @@ def test_row_operators(docs, labels):
         "counts": lambda d: counting.count_edited(d, counting.revision_edits()),
         "simhash": simhash.near_duplicates,
     }
+    out = {}
     for name, make in makers.items():
-        assert make(docs).count() == n, name
+        out[name] = make(docs).collect()
+        assert len(out[name]) == n, name
         assert make(docs.where("false")).count() == 0, name
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+    def same(name, cols, want):
+        assert sorted((tuple(r[c] for c in cols) for r in out[name]), key=str) == sorted(((i, *want(t)) for i, t in rows), key=str), name
+
+    same("quality", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], quality_row)
+    same("simhash", ["doc_id", "fingerprint"], lambda t: (f"{fingerprint(t):016x}",))
+    scan = license.Scanner().scan
+    licences = lambda t: (lambda g: (g["n_words"], len(g["starts"]), ",".join(sorted(g["labels"])), g["score"]))(scan((t or "").encode()))
+    same("license", ["doc_id", "n_words", "n_base", "labels", "score"], licences)
+    assert {(r["n_base"], r["base_labels"], r["score"]) for r in out["license"] if r["n_words"] > 1000} == {(3000, "mit", 1.0)}
+    path, pattern = bpe.default_ranks()
+    plain = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.coder(path, pattern).ranks, special_tokens={})
+    tokens = {t: len(plain.encode_ordinary(t or "")) for _, t in rows}
+    same("bpe", ["doc_id", "n_tokens"], lambda t: (tokens[t],))
+    same("counts", ["doc_id", "n_tokens"], lambda t: (tokens[t],))
+    # equal texts score alike whatever their other columns; texts without words alike too; nothing is outside 0 and 1
+    by_id = {}
+    for r in out["toxicity"]:
+        by_id.setdefault(r["doc_id"], set()).add(round(r["score"], 12))
+        assert 0 <= r["score"] <= 1
+    assert by_id[3] == by_id[4] and by_id[2] <= by_id[1]
 
 
 def test_filters_keep_columns(docs, labels):

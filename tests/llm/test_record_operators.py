@@ -221,6 +221,27 @@ def test_warc_sizes_repeats_and_ids(spark, monkeypatch):
     assert have == sorted(want, key=str) and len({r["record_id"] for r in got}) == len(rows)
 
 
+def test_warc_members_can_be_sought(spark, tmp_path):
+    import glob
+    import zlib
+
+    rows = [(i, f"http://a/{i}", "<p>é</p>" * i) for i in range(40)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    records = 0
+    for name in glob.glob(f"{tmp_path}/w/part-*"):
+        with open(name, "rb") as f:
+            raw = f.read()
+        while raw:
+            d = zlib.decompressobj(31)
+            text, raw = d.decompress(raw), d.unused_data
+            if text:
+                assert text.startswith(b"WARC/1.1\r\n") and len(list(warc.parse_file(text))) == 1
+                records += 1
+    assert records == 3 * len(rows)
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/plain", compression="none")
+    assert warc.captures(warc.read(spark, f"{tmp_path}/plain")).count() == len(rows)
+
+
 def test_warc_reader_rejects_damage():
     with pytest.raises(ValueError):
         list(warc.parse_file(b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 99\r\n\r\nshort"))
