@@ -20,7 +20,7 @@ from .common import map_texts, pinned, text_steps
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Labelled rows the classifier is fitted on, at most (toxic, other): those with the smallest md5 of their doc_id.
 SAMPLE = (2000, 4000)
-#: Bytes of their texts, at most: rows beyond are left out of the fit, the last of each label first.
+#: Bytes of their texts, at most, half for each label: a row that does not fit into what is left is not used.
 SAMPLE_BYTES = 64 << 20
 #: Rows of the base rate that each term's toxic share is drawn to, and the weight of a term that does not speak for toxic.
 SHRINK = 2.0
@@ -260,8 +260,8 @@ def examples(rows: list, sample_bytes: int = SAMPLE_BYTES) -> list:
     """doc_ids of the sample that are indexed: of each label in order of md5 up to ``sample_bytes`` in all, one of near copies."""
     taken, room = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
     for r in sorted(rows, key=lambda r: (r["order"], str(r["doc_id"]))):
-        room[r["toxic"]] -= r["size"]
-        if room[r["toxic"]] >= 0:
+        if r["size"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"]
             taken.append((r["order"], r["toxic"], r["sketch"], r["doc_id"]))
     return one_of_copies(taken)
 
@@ -275,8 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sa
     rates = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     train = pinned(training_rows(docs, labels, sample), "toxic-train")
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    seen = map_texts(train, ["doc_id", "toxic"], lambda: lambda texts: [[sketch(x) for x in texts], [len(x or b"") for x in texts]], "sketch array<long>, size long")
-    kept = examples(seen.select("*", F.md5(F.col("doc_id").cast("string")).alias("order")).collect(), sample_bytes)  # SAMPLE rows of some numbers at most
+    seen = map_texts(train, ["doc_id", "toxic"], lambda: lambda texts: [[sketch(x) for x in texts], [len(x or b"") for x in texts], [not words_of(x) for x in texts]], "sketch array<long>, size long, blank boolean")
+    rows = seen.select("*", F.md5(F.col("doc_id").cast("string")).alias("order")).collect()  # SAMPLE rows of some numbers at most
+    kept = examples(rows, sample_bytes)
     chosen = pinned(train.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], f"doc_id {kind}")), "doc_id"), "toxic-examples")
     totals = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -285,11 +286,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sa
     if n1 and n0:
         words = map_texts(chosen, ["toxic"], lambda: lambda texts: [[[t.decode("latin-1") for t in set(words_of(x))] for x in texts]], "terms array<string>")
         # at most the words of SAMPLE_BYTES of text
-        rows = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).orderBy("term").toArrow()
-        a, n = rows["a"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)
-        terms = [t.encode("latin-1") for t in rows["term"].to_pylist()]
+        found = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).orderBy("term").toArrow()
+        a, n = found["a"].to_numpy().astype(float), found["n"].to_numpy().astype(float)
+        terms = [t.encode("latin-1") for t in found["term"].to_pylist()]
         relevant = relevance(a, n - a, (rates[0] / n0) / (rates[1] / n1), rates[1] / (rates[0] + rates[1]))
-    return _index(docs, chosen, terms, relevant, rates)
+    return _index(docs, chosen, terms, relevant, rates, blank_rate(rows, rates))
+
+
+def blank_rate(rows: list, rates: dict[int, int]) -> float:
+    """Toxic share of texts without words, from the sample (copies count) and drawn to the rate of all by SHRINK rows."""
+    total = sum(rates.values())
+    seen = {y: sum(r["toxic"] == y for r in rows) for y in (0, 1)}
+    blank = {y: rates.get(y, 0) * sum(r["blank"] for r in rows if r["toxic"] == y) / max(1, seen[y]) for y in (0, 1)}
+    return (blank[1] + SHRINK * rates.get(1, 0) / total) / (blank[0] + blank[1] + SHRINK) if total else 0.0
 
 
 def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -313,7 +322,7 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
     return int(df[-1]), df[:-1]
 
 
-def _index(docs: DataFrame, chosen: DataFrame, terms: list[bytes], relevant: np.ndarray, rates: dict[int, int]) -> Model:
+def _index(docs: DataFrame, chosen: DataFrame, terms: list[bytes], relevant: np.ndarray, rates: dict[int, int], none_rate: float) -> Model:
     n, df = document_frequencies(docs, terms)
     idf = (np.log((1 + n) / (1 + df)) + 1) * relevant
 
@@ -332,9 +341,8 @@ def _index(docs: DataFrame, chosen: DataFrame, terms: list[bytes], relevant: np.
     scale = sum(rates.values()) / max(1, len(rows))
     weights = np.array([share[int(y)] / scale if scale else 1.0 for y in labels])
     empty = np.array([not r["numbers"] for r in rows], dtype=bool)
-    # without any term a row gets the rate of such rows; with terms the vote is pulled towards the rate of all
+    # with terms the vote is pulled towards the rate of all
     all_rate = float((weights * labels).sum() / weights.sum()) if len(rows) else 0.0
-    none_rate = float((weights * labels)[empty].sum() / weights[empty].sum()) if empty.any() else all_rate
     keep = np.flatnonzero(~empty)
     numbers, counts = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int32) for c in ("numbers", "counts"))
     starts = np.concatenate([[0], np.cumsum([len(rows[i]["numbers"]) // 4 for i in keep])]).astype(np.int64)
