@@ -367,3 +367,63 @@ def test_toxicity_keeps_rare_terms(spark):
     # a word of three toxic rows is found; a text of unknown words alone has no evidence
     assert got[5000]["score"] >= 0.3 and set(rare) <= set(got[5000]["evidence"])
     assert got[5001]["evidence"] == [] and got[5002]["score"] < 0.3 and got[5002]["evidence"]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores and evidence of every row of a small table, from whole vectors and all examples, written plainly."""
+    r = random.Random(11)
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    rows, labels = [(0, None), (1, "...")], []
+    for i in range(2, 260):
+        bad = r.random() < 0.25
+        t = [r.choice(words) for _ in range(r.randint(3, 30))] + (["Wretch"] * r.randint(1, 2) if bad else [])
+        r.shuffle(t)
+        rows.append((i, " ".join(t)))
+        if i % 5:
+            labels.append((i, int(bad)))
+    rows += [(300 + k, rows[k][1]) for k in (2, 3, 4)] + [(400, "unknownword"), (401, "wretch")]
+    labels += [(300 + k, dict(labels).get(k, 0)) for k in (2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x["doc_id"]: x for x in toxicity.score_documents(docs, model).collect()}
+    text = dict(rows)
+    counts = {i: Counter(re.findall("[a-z]+", (t or "").lower())) for i, t in rows}
+    known = {t.decode() for t in model.terms}
+    n = len(rows)
+    weight = {}
+    for t in known:
+        df = sum(t in c for c in counts.values())
+        weight[t] = model.idf[model.terms.index(t.encode())]
+        assert weight[t] >= (np.log((1 + n) / (1 + df)) + 1) * toxicity.NEUTRAL - 1e-12
+    assert known == {w for i in model.ids for w in counts[i]}
+
+    def vector(i):
+        v = {t: (1 + np.log(k)) * weight[t] for t, k in counts[i].items() if t in known}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in counts}
+    label = dict(zip(model.ids, model.labels, strict=True))
+    share = dict(zip(model.ids, model.weights, strict=True))
+
+    def neighbours(i):
+        sims = [(-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 9), k, j) for k, j in enumerate(model.ids) if text[j] != text[i]]
+        return [(-s, j) for s, _, j in sorted(sims)[: model.k] if s < 0]
+
+    for i in counts:
+        near = neighbours(i)
+        assert np.allclose([s for s, _ in near], got[i]["evidence_cosine"], atol=2e-9)
+        if not near:
+            assert got[i]["evidence"] == [] and got[i]["score"] == model.none
+            continue
+        assert text[i] not in {text[j] for j in got[i]["evidence"]}
+        total = sum(s * share[j] for s, j in near)
+        raw = (sum(s * share[j] * label[j] for s, j in near) + toxicity.PRIOR * model.base) / (total + toxicity.PRIOR)
+        if len({s for s, _ in near}) == len(near):
+            assert got[i]["score"] == pytest.approx(model.calibrated(raw), abs=1e-6)
+    assert got[401]["score"] >= 0.3 > got[400]["score"] and got[0]["score"] == got[1]["score"] < 0.3
+    with_words = [i for i in counts if vectors[i]]
+    assert all(got[i]["evidence"] for i in with_words)
+    # a sample of few bytes leaves large texts out, not the rest
+    big = [{"toxic": y, "size": s, "order": str(k), "doc_id": k, "sketch": [k], "blank": False} for k, (y, s) in enumerate([(1, 900), (1, 10), (0, 10), (0, 10)])]
+    assert sorted(toxicity.examples(big, 200)) == [1, 2, 3]
