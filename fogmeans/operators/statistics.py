@@ -49,8 +49,8 @@ def mean_sd(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("dataset").agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("sd"))
 
 
-def calibrated(grid: DataFrame, factor: float = 5.0) -> DataFrame:
-    """Of each dataset the step whose objective is nearest to the central one: finite, at most ``factor`` times it, first in grid order.
+def calibrated(grid: DataFrame, factor: float = 5.0, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """Of each group ``by`` (dataset) the step whose objective is nearest to the central one: finite, at most ``factor`` times it, first in grid order.
 
     ``grid`` has dataset, grid_idx, step, objective, central. A dataset without a stable step has nulls and n_stable 0.
     """
@@ -58,7 +58,7 @@ def calibrated(grid: DataFrame, factor: float = 5.0) -> DataFrame:
     ok = F.coalesce(~F.isnan("objective") & (F.col("objective") <= factor * F.col("central")), F.lit(False))
     rows = grid.withColumn("ok", ok).withColumn("gap", gap)
     best = F.min_by(F.struct("step", "gap"), F.when(F.col("ok"), F.struct("gap", "grid_idx")))
-    return rows.groupBy("dataset").agg(best.alias("b"), F.count_if("ok").alias("n_stable")).select("dataset", "b.step", "b.gap", "n_stable")
+    return rows.groupBy(*by).agg(best.alias("b"), F.count_if("ok").alias("n_stable")).select(*by, "b.step", "b.gap", "n_stable")
 
 
 def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:

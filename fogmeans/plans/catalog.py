@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics, gates, hypotheses, kernel, metrics, relation, statistics
 from ..sources import points as pts
-from . import analysis, experiments, oracles, theory
+from . import analysis, experiments, oracles, posthoc, theory
 from . import rounds as fed
 
 K = 4
@@ -825,6 +825,26 @@ def analysis_decisions(spark, sf):
     return d.select("criterion", "action", "n_states", r6("mean_regret", "mean_regret"), r6("max_regret", "max_regret"), "argmax_state", "rec_mean", "rec_max")
 
 
+def _variants(spark, sf):
+    """The runs as they are, and with runs at even seeds of the arms of L = 1 made anew."""
+    base = analysis.arms(_results(spark, sf)).withColumn("n_rounds", F.lit(50))
+    anew = base.where(F.col("arm").startswith("L1:") & (F.col("seed") % 2 == 0)).withColumns({"mean_acc": F.col("mean_acc") + 1, "fcm_obj": F.col("fcm_obj") - 1, "n_rounds": (30 + F.col("seed")).cast("int")})
+    return base, anew
+
+
+@query(f"{ARM}, ac(arm, action) as (values {_ACT}), u as (select 'run' variant, dataset, seed, arm, v from r union all select 'U', dataset, seed, arm, case when arm like 'L1:%' and seed % 2 = 0 then v + 1 else v end from r), l as (select variant, dataset, seed, action, v from u join ac using (arm) where seed >= 10), k as (select *, count(*) over (partition by variant, dataset, seed) k from l), v as (select variant, dataset, action, avg(v) as value from k where k = {len(analysis.ACTIONS)} group by all), s as (select *, max(value) over (partition by variant, dataset) - value regret from v), o as (select variant, action, count(*) n_states, avg(regret) a, max(regret) b from s group by all) select variant, 's10-19' block, action, n_states, round(a, 6) + 0.0 mean_regret, round(b, 6) + 0.0 max_regret, a = min(a) over (partition by variant) rec_mean, b = min(b) over (partition by variant) rec_max from o")
+def posthoc_decisions(spark, sf):
+    base, anew = _variants(spark, sf)
+    d = posthoc.decisions_by_variant({"run": base, "U": posthoc.overridden(base, anew)}, ["mean_acc"], {"s10-19": posthoc.BLOCKS["s10-19"]})
+    return d.select("variant", "block", "action", "n_states", r6("mean_regret", "mean_regret"), r6("max_regret", "max_regret"), "rec_mean", "rec_max")
+
+
+@query(f"{ARM}, k as (select arm, seed, v + 100 o, case when seed % 2 = 0 then 1.0::double end moved from r where arm like 'L1:%') select arm, count(*) n, 1.0::double max_abs_acc, round(max(1 / o), 6) max_rel_objective, round(avg(30 + seed), 6) mean_rounds, min(30 + seed)::int least_rounds, max(30 + seed)::int most_rounds, 1.0::double stopped_early from k where moved is not null group by arm")
+def stopping_drift(spark, sf):
+    d = posthoc.stopping_drift(*_variants(spark, sf))
+    return d.select("arm", "n", *[r6(c, c) for c in ("max_abs_acc", "max_rel_objective", "mean_rounds")], "least_rounds", "most_rounds", "stopped_early")
+
+
 @query(f"{R}, k as (select dataset, max(value) filter (arm = 0 and seed = 0) a, max(value) filter (arm = 1 and seed = 0) b from r group by dataset) select dataset, case when a > 50 and b > 50 then null else round(a, 6) end eta_l, case when a > 50 and b > 50 then null else round(b, 6) end eta_g from k")
 def calibrated_steps(spark, sf):
     """Steps of L = 5 from a table with other L, blank steps and files that say otherwise."""
@@ -916,3 +936,9 @@ def sweep_audit(spark, sf):
 def sweep_descent(spark, sf):
     tasks = [{"dataset": "overlap_noise", "seed": 0, "cell": c, "steps": n, "rounds": 10} for c in ("pre_none", "post_none") for n in (1, 5)]
     return experiments.sweep(spark, experiments.by_cost(tasks, lambda t: t["steps"]), experiments.descent_rows, experiments.DESCENT_SCHEMA)
+
+
+@query()
+def sweep_server_steps(spark, sf):
+    tasks = [{"action": a, "dataset": "overlap_noise", "rounds": 10} for a in ("F-FCM (L=5)", "pre_mass_off (L=1)")]
+    return posthoc.chosen(experiments.sweep(spark, tasks, posthoc.step_rows, posthoc.STEP_SCHEMA))
