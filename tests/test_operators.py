@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fogmeans.operators import gates, hypotheses, kernel, metrics, relation
-from fogmeans.plans import analysis, experiments, theory
+from fogmeans.plans import analysis, experiments, posthoc, theory
 from fogmeans.plans import rounds as fed
 from fogmeans.sources import points as pts
 
@@ -205,3 +205,26 @@ def test_descent_log_and_order():
     assert rows["objective_last"] < rows["objective_first"] and rows["n_increases"] == 0 and rows["first_increase"] == -1
     tasks = [{"n": 1}, {"n": 5}, {"n": 3}, {"n": 5, "b": 1}]
     assert experiments.by_cost(tasks, lambda t: t["n"]) == [{"n": 5}, {"n": 5, "b": 1}, {"n": 3}, {"n": 1}]
+
+
+def test_posthoc_variants(spark):
+    rows = posthoc.step_rows({"action": "pre_mass_off (L=1)", "dataset": "overlap_noise", "rounds": 5})
+    assert [r["step"] for r in rows] == list(posthoc.STEPS) and all(r["objective"] > 0 for r in rows)
+    grid = spark.createDataFrame([("a", "d", 0, 0.25, 5.0, 4.0), ("a", "d", 1, 1.0, 4.1, 4.0), ("b", "d", 0, 0.25, float("nan"), 4.0)], "action string, dataset string, grid_idx int, step double, objective double, central double")
+    assert {(r["action"], r["step"]) for r in posthoc.chosen(grid).collect()} == {("a", 1.0), ("b", 0.75)}
+    u = posthoc.run_tasks("U", ["wine"], [10, 11])
+    assert len(u) == 8 and all("GF" not in t["action"] for t in u)
+    assert posthoc.run_tasks("C", ["wine"], [10], {("F-FCM (L=5)", "wine"): 0.5, ("GF-PFedFCM (L=5)", "wine"): 0.75}) == [{"variant": "C", "action": "F-FCM (L=5)", "dataset": "wine", "seed": 10, "step": 0.5}]
+    run = posthoc.run_rows({"variant": "U", "action": "F-FCM (L=5)", "dataset": "overlap_noise", "seed": 10, "step": 0.75, "rounds": 4})[0]
+    assert run["n_rounds"] <= 4 and run["cell"] == "post_none_off" and run["upload_numbers"] == run["n_rounds"] * 12 * 4 * 3
+
+
+def test_views_and_geometry():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.2, (60, 4)) for c in (0, 3, 6)])
+    y = np.repeat([0, 1, 2], 60)
+    rows = experiments.whitening_rows({"dataset": "wine", "seed": 0, "components": 2, "m": 2.0}, lambda name: (x, y))
+    assert [(a["variant"], a["d"], a["c"]) for a in rows] == [("whitened", 2, 3), ("components", 2, 3), ("scores", 4, 3)] and rows[2]["distinct"] == 3
+    got = experiments.geometry([(x[:90], y[:90]), (x[90:], y[90:])], block=50)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[np.triu_indices(len(x), 1)]
+    assert got["pdist_mean"] == pytest.approx(d.mean()) and got["pdist_std"] == pytest.approx(d.std()) and 1 <= got["prank_pooled"] <= 4
