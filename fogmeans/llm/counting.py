@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coder, default_ranks
+from .common import pinned
 
 #: Characters of a block at least.
 BLOCK = 512
@@ -141,6 +142,48 @@ def count_edited(docs: DataFrame, edits: Column, path: str | None = None, patter
     return docs.select("doc_id", F.col("text"), edits.alias("edits")).mapInPandas(run, kind)
 
 
+def count_table(docs: DataFrame, edits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """count_edited() with the edits in a table (doc_id, seq, pos, del, ins), applied to a document by rising seq.
+
+    Equal seqs go by pos, del and ins. Edits meet their document by sorting, one after another: a task holds one tree, never
+    the edits of a document, however many they are. Every row of a repeated doc_id gets all edits of the id; edits of a null or
+    unknown doc_id, or with a null pos, do nothing. No documents give no rows; other columns are ignored.
+    """
+    if path is None or pattern is None:
+        path, pattern = default_ranks()
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = pinned(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "count-rows")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    e = edits.where("pos is not null").select(F.col("doc_id").alias("d"), long("seq"), long("pos"), long("del"), F.col("ins").alias("text"))
+    e = rows.select("doc_id", "row").join(e, F.col("doc_id") == F.col("d")).select("doc_id", "row", F.lit(1).alias("edit"), "seq", "pos", "del", "text")
+    none = F.lit(None).cast("long")
+    both = rows.select("doc_id", "row", F.lit(0).alias("edit"), none.alias("seq"), none.alias("pos"), none.alias("del"), "text").union(e)
+    stream = both.repartition("row").sortWithinPartitions("row", "edit", "seq", "pos", "del", "text")
+
+    def run(batches):
+        import pandas as pd
+
+        c = coder(path, pattern)
+        tree, now = None, ()
+        names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_reencoded"]
+        for pdf in batches:
+            out = []
+            for doc_id, _, edit, _, pos, delete, text in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                if not edit:
+                    if tree is not None:
+                        out.append((*now, tree.total, tree.encoded))
+                    tree = TokenTree(text or "", lambda t: len(c.encode(t)))
+                    now, tree.encoded = (doc_id, tree.total, 0), 0
+                else:
+                    tree.edit(int(pos), int(delete or 0), text or "")
+                    now = (*now[:2], now[2] + 1)
+            yield pd.DataFrame(out, columns=names)
+        if tree is not None:
+            yield pd.DataFrame([(*now, tree.total, tree.encoded)], columns=names)
+
+    return stream.mapInPandas(run, f"doc_id {kind}, n_tokens long, n_edits int, n_tokens_edited long, n_chars_reencoded long")
+
+
 def revision_edits() -> Column:
     """Three edits of a text, placed by hashes of its id: an inserted phrase, a deletion, a replacement at the end."""
     doc_id, n = F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0))

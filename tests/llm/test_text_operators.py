@@ -115,6 +115,26 @@ def test_count_edited(docs, plain):
     assert counting.count_edited(empty(docs), counting.revision_edits()).count() == 0
 
 
+def test_count_table(spark, plain):
+    r = random.Random(7)
+    base = [(1, "the quick brown fox " * 50), (1, "another text of the same id"), (2, None), (3, "ab"), (None, "no id"), (4, "")]
+    edits = [(r.choice([1, 1, 1, 2, 3, 4, 9, None]), r.randint(0, 30), r.choice([None, *range(0, 900, 7)]), r.choice([None, 0, 3, 50]), r.choice([None, "", "new words ", "x"])) for _ in range(300)]
+    docs = spark.createDataFrame(base, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("seq", F.lit(2))
+    table = spark.createDataFrame(edits, "doc_id long, seq int, pos int, del int, ins string").withColumn("text", F.lit("own"))
+    got = counting.count_table(docs, table.repartition(3)).collect()
+    want = []
+    least = lambda x: (x is not None, x if x is not None else 0)  # noqa: E731  nulls come first
+    for i, t in base:
+        t, n = t or "", 0
+        before = len(plain.encode_ordinary(t))
+        for _, _, pos, delete, ins in sorted((e for e in edits if e[0] == i and i is not None and e[2] is not None), key=lambda e: (e[1], e[2], least(e[3]), (e[4] is not None, e[4] or ""))):
+            at = min(pos, len(t))
+            t, n = t[:at] + (ins or "") + t[at + (delete or 0) :], n + 1
+        want.append((i, before, n, len(plain.encode_ordinary(t))))
+    assert sorted((tuple(g)[:4] for g in got), key=str) == sorted(want, key=str)
+    assert counting.count_table(docs.where("false"), table).count() == 0 and counting.count_table(docs, table.where("false")).count() == len(base)
+
+
 def quality_row(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
