@@ -195,10 +195,21 @@ def relevance(value: np.ndarray, floor: float = P.min_relevance) -> np.ndarray:
 
 
 GATES = ("none", "footprint", "mass", "fpmask", "massmask")
+#: Gates of one's own by name: (backend, prototypes, fuzzifier, clients, floor) to each client's values.
+OWN_GATES: dict = {}
+
+
+def register_gate(name: str, gate) -> None:
+    """Make ``gate`` a kind that run_cell() knows; the built-in names are taken."""
+    if name in GATES:
+        raise ValueError(f"{name} is built in")
+    OWN_GATES[name] = gate
 
 
 def gate_values(back, v: np.ndarray, kind: str, m: float, clients: list[int], floor: float = P.min_relevance) -> dict[int, np.ndarray]:
     shared = dict.fromkeys(clients, v)
+    if kind in OWN_GATES:
+        return OWN_GATES[kind](back, v, m, clients, floor)
     if kind == "none":
         return {p: np.ones(len(v)) for p in clients}
     raw = back.footprint(shared, m) if kind in ("footprint", "fpmask") else {p: s.mass for p, s in back.sums(shared, m).items()}
@@ -213,7 +224,7 @@ def run_cell(back, v0: np.ndarray, mass: str = "pre", gate: str = "none", person
     ``server_gate`` and ``client_gate`` say whether the gate weighs the server's mean and the offsets; ``fixed_relevance``
     takes its place. With ``track`` the history holds the clients' objective under their own prototypes after each round.
     """
-    if mass not in ("pre", "post") or gate not in GATES:
+    if mass not in ("pre", "post") or gate not in (*GATES, *OWN_GATES):
         raise ValueError(f"unknown cell {mass}_{gate}")
     v, rng = v0.astype(float).copy(), np.random.default_rng(seed)
     delta = {p: np.zeros_like(v) for p in back.clients}

@@ -90,6 +90,12 @@ def test_gate_variants():
     half = fed.run_cell(back, v, "post", "none", True, 3, 2, fixed_relevance=0.5)
     assert np.allclose(half.centers, fed.run_cell(back, v, "post", "none", True, 3, 2, fixed_relevance=0.5, server_gate=False).centers)
     assert not np.allclose(half.personal[0], free.personal[0])
+    fed.register_gate("half", lambda back, v, m, clients, floor: {p: np.full(len(v), 0.5) for p in clients})
+    assert np.allclose(half.personal[0], fed.run_cell(back, v, "post", "half", True, 3, 2).personal[0])
+    fed.OWN_GATES.clear()
+    for name in ("mass", "unknown"):
+        with pytest.raises(ValueError):
+            fed.register_gate(name, None) if name in fed.GATES else fed.run_cell(back, v, "post", name)
 
 
 def test_counter_example():
