@@ -6,6 +6,8 @@ server (j, v), with v a list. Nothing here is shared with the rules in rounds.py
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 
 from ..config import Protocol
@@ -221,3 +223,20 @@ def alone(iterations: int) -> str:
     for _ in range(iterations):
         at = q.means(q.sums(at))
     return q.flat(q.add(f"select {q.k} * client + j j, v from {at}"))
+
+
+def averaged(iterations: int, rounds: int = 3, lr: float = 1.0, shift: float = 0.0) -> str:
+    """Each client alone, client p from the first prototypes moved by p times ``shift``, then means of the prototypes matched by the cheapest of all orders."""
+    q, v = Script(), "v0"
+    at = q.add(f"select client, j, list_transform(v, lambda z: z + {shift} * client) v from {q.spread(v)}")
+    for _ in range(iterations):
+        at = q.means(q.sums(at))
+    mass = q.add(f"select client, j, mass from {q.sums(at)} where i = 1")
+    orders = q.add("select * from (values " + ", ".join(f"({n}, {j}, {g})" for n, order in enumerate(permutations(range(q.k))) for j, g in enumerate(order)) + ") t(n, j, g)")
+    for _ in range(rounds):
+        apart = q.add(f"select client, a.j, b.j g, sqrt({DISTANCE.replace('(x, v)', '(a.v, b.v)')}) d from {at} a, {v} b")
+        cost = q.add(f"select client, n, sum(d) cost from {apart} join {orders} using (j, g) group by client, n")
+        best = q.add(f"select client, arg_min(n, (cost, n)) n from {cost} group by client")
+        named = q.add(f"select client, g j, v, beta * mass w from {at} join {mass} using (client, j) join {best} using (client) join {orders} using (n, j) join cl using (client)")
+        v = q.server(v, q.add(f"select client, j, v from {named}"), q.add(f"select client, j, w from {named}"), lr)
+    return q.flat(v)

@@ -294,11 +294,14 @@ def gradient(back, v0: np.ndarray, alpha: float, m: float = 2.0, rounds: int = 5
     return Run(v, t + 1)
 
 
-def model_averaging(back, v0: np.ndarray, m: float = 2.0, rounds: int = 3, lr: float = 1.0, tol: float = 1e-5, seed: int = 0, most: int = 80) -> Run:
-    """Local FCM to convergence once, then matching to the prototypes and mass-weighted means. Reports ``rounds`` always."""
+def model_averaging(back, v0: np.ndarray, m: float = 2.0, rounds: int = 3, lr: float = 1.0, tol: float = 1e-5, seed: int = 0, most: int = 80, starts: dict[int, np.ndarray] | None = None) -> Run:
+    """Local FCM to convergence once, then matching to the prototypes and mass-weighted means. Reports ``rounds`` always.
+
+    A client starts from sampled rows of its own, or from ``starts``.
+    """
     v, rng, models = v0.astype(float).copy(), np.random.default_rng(seed), {}
     for p in back.clients:
-        at, prev = {p: back.sample(p, len(v), rng)}, None
+        at, prev = {p: starts[p] if starts else back.sample(p, len(v), rng)}, None
         for _ in range(most):
             prev, at = at, {p: back.sums(at, m)[p].means(at[p])}
             if np.linalg.norm(at[p] - prev[p]) < tol:
