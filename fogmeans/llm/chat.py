@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_texts, pinned, scratch_path
+from .common import dropped, map_texts, pinned, scratch_path
 
 #: Argument schemas by tool name, in the public JSON Schema words type, properties, required, items, enum.
 SCHEMAS: dict[str, dict] = {
@@ -215,6 +215,7 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         big = size.where(F.col("n") > TOGETHER).select("conv_id")
         total = total.union(_rounds(nodes.join(big, "conv_id", "left_semi"), edges.join(big, "conv_id", "left_semi")))
     total = pinned(total, "chat-order")
+    dropped(size)
     return total.union(alone.join(total.select("conv_id", "id"), ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).cast("long").alias("level"), F.col("own").alias("place")))
 
 

@@ -352,3 +352,11 @@ def _query(a, b, cosine: float) -> pd.DataFrame:
     root = forest.roots(ids)
     peer = pd.Series(np.where(root != ids, reps[root], 0), dtype="Int64").mask(root == ids)
     return pd.DataFrame({"rep": reps[ids], "peer": peer, "links": links[ids]})
+
+
+#: All pairs, so for small tables with distinct vec_ids and finite vectors; components by reaching from every vector.
+SQL = f"""with recursive e as (select vec_id, list_transform(embedding, lambda z: z::double) x from embeddings),
+n as (select vec_id, list_transform(x, lambda z: z / sqrt(list_inner_product(x, x))) u from e where list_inner_product(x, x) > 0),
+links as materialized (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id <> b.vec_id and len(a.u) = len(b.u) where list_inner_product(a.u, b.u) >= {COSINE}),
+reach(a, b) as (select vec_id, vec_id from e union select r.a, l.b from reach r join links l on r.b = l.a)
+select vec_id, (select count(*) from links where a = vec_id) n_links, c component_id, vec_id = c kept from (select a vec_id, min(b) c from reach group by a)"""

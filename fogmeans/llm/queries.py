@@ -64,4 +64,4 @@ def mixing_targets(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_license_scan, op6_chat_format, op7_bpe, op8_token_counts, op9_simhash_dedup, op10_warc, quality_ablations, mixing_targets)}
-SQL = {"op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op6_chat_format": chat.SQL, "op10_warc": warc.SQL, "quality_ablations": quality.ABLATIONS_SQL, "mixing_targets": mixing.TARGETS_SQL}
+SQL = {"op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op6_chat_format": chat.SQL, "op10_warc": warc.SQL, "op3_embedding_dedup": hnsw.SQL, "quality_ablations": quality.ABLATIONS_SQL, "mixing_targets": mixing.TARGETS_SQL}

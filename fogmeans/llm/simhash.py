@@ -197,6 +197,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     copies = marked.groupBy(F.col("doc_id").alias("i"), F.col("hash").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
     chosen = chosen.join(copies, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
     chosen = pinned(chosen.select("doc_id", "hash", F.col("n").isNotNull().alias("repeated")), "simhash-kept")
+    dropped(marked, classes)
 
     def rows_of(which: DataFrame) -> DataFrame:
         return rows.join(which, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("hash")), "left_semi")

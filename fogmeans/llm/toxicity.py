@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pinned, text_steps
+from .common import dropped, map_texts, pinned, text_steps
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Labelled rows the classifier is fitted on, at most (toxic, other): those with the smallest md5 of their doc_id.
@@ -290,7 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sa
         a, n = found["a"].to_numpy().astype(float), found["n"].to_numpy().astype(float)
         terms = [t.encode("latin-1") for t in found["term"].to_pylist()]
         relevant = relevance(a, n - a, (rates[0] / n0) / (rates[1] / n1), rates[1] / (rates[0] + rates[1]))
-    return _index(docs, chosen, terms, relevant, rates, blank_rate(rows, rates))
+    model = _index(docs, chosen, terms, relevant, rates, blank_rate(rows, rates))
+    dropped(train, chosen)
+    return model
 
 
 def blank_rate(rows: list, rates: dict[int, int]) -> float:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import dropped, pinned, scratch_path
+from .common import drop_path, dropped, pinned, scratch_path
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are always written whole.
@@ -61,8 +61,11 @@ def roles(pages: DataFrame) -> DataFrame:
     rows = pinned(pages.select("page_id", "link", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes")).groupBy("page_id", "link", "digest", "bytes").agg(F.count("*").alias("n")), "warc-digests")
     best = pinned(rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "link")).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "warc-best")
     joined = rows.join(best, "digest", "left")
+    # the result is written, so that what it was made of can go
     other = ~F.col("best.page_id").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "link", "digest", "bytes", "n", F.when(other, F.col("best.page_id")).alias("keeper"), F.when(other, F.col("best.link")).alias("keeper_link"))
+    out = pinned(joined.select("page_id", "link", "digest", "bytes", "n", F.when(other, F.col("best.page_id")).alias("keeper"), F.when(other, F.col("best.link")).alias("keeper_link")), "warc-roles")
+    dropped(rows, best)
+    return out
 
 
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
@@ -77,7 +80,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compr
     payload = F.coalesce("html", F.lit(""))
     link = F.coalesce(F.concat(F.lit("="), "url"), F.lit(""))
     pages = pages.select(F.col("page_id").alias("pid"), link.alias("to"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("uri"), payload.alias("body"), F.sha1(payload.cast("binary")).alias("dig"))
-    r = pinned(roles(pages.select(F.col("pid").alias("page_id"), F.col("to").alias("link"), F.col("body").alias("html"))), "warc-roles")
+    r = roles(pages.select(F.col("pid").alias("page_id"), F.col("to").alias("link"), F.col("body").alias("html")))
     joined = pages.join(r, F.col("pid").eqNullSafe(F.col("page_id")) & (F.col("to") == F.col("link")) & (F.col("dig") == F.col("digest")))
     cols = ["pid", "to", "uri", "body", "dig", "bytes", "keeper", "keeper_link"]
     rows = joined.where("n = 1").select(*cols, F.lit(0).cast("long").alias("copy"))
@@ -189,11 +192,16 @@ def captures(records: DataFrame, id_type: str = "long") -> DataFrame:
 
 
 def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
-    """captures() of archives of ``pages`` written to the shared folder: one row of each row of ``pages``, repeated ones too."""
+    """captures() of archives of ``pages``: one row of each row of ``pages``, repeated ones too.
+
+    The archives are written to the shared folder and deleted when all captures are assembled and written there.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path)
-    return captures(read(spark, path, payloads), dict(pages.dtypes)["page_id"])
+    out = captures(read(spark, path, payloads), dict(pages.dtypes)["page_id"])
+    drop_path(spark, path)
+    return out
 
 
 SQL = """with p as (select page_id, sha1(coalesce(html, '')) d, octet_length(encode(coalesce(html, ''))) n from pages),

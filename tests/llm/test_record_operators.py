@@ -288,3 +288,16 @@ def test_pipeline(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
     assert re.fullmatch("[0-9a-f]{64}", got[0]["ids_sha256"])
+
+
+def test_vector_sql(spark, tmp_path):
+    import duckdb
+
+    v = vectors()
+    spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(hnsw.SQL).fetchall()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect()}
+    assert set(got) == set(want) and sum(w[0] for w in want.values()) > 20_000
+    assert sum(g[0] for g in got.values()) >= 0.9 * sum(w[0] for w in want.values()) and np.mean([got[i] == want[i] for i in want]) > 0.9
