@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fogmeans.llm import bpe, mixing, quality, simhash, toxicity
-from fogmeans.llm.common import pinned, table
+from fogmeans.llm.common import dropped, pinned, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,5 +36,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = pinned(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, pinned(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)
     return docs
