@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +27,10 @@ COPIES = 4096
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
-#: A gzip member without content.
+#: A gzip member without content, the level of the others, and bytes of a member up to which it is unpacked at once.
 EMPTY = gzip.compress(b"", mtime=0)
+LEVEL = 4
+AT_ONCE = 8 << 20
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +38,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0).cast(pa.large_binary())
         for a in range(0, len(texts), 256):
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(t + end, mtime=0) for t in texts.slice(a, 256).to_pylist()], type=pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(t + end, LEVEL, 31) for t in texts.slice(a, 256).to_pylist()], type=pa.binary())], names=["value"])
 
 
 def _uuid(kind: str, key: Column) -> Column:
@@ -112,8 +115,29 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compr
 
 
 def parse_file(raw: bytes) -> Iterator[dict]:
-    """Records of one archive in memory."""
-    return parse_stream(io.BytesIO(raw))
+    """Records of one archive in memory, packed or not.
+
+    Members between the separators that write() puts are unpacked one by one. Where one is large, holds several or does not
+    end there, the rest is read as any gzip stream.
+    """
+    if raw[:2] != b"\x1f\x8b":
+        yield from parse_stream(io.BytesIO(raw))
+        return
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
+        stop = raw.find(EMPTY, at)
+        stop = len(raw) if stop < 0 else stop
+        if stop > at:
+            d = zlib.decompressobj(31)
+            try:
+                text = d.decompress(view[at:stop]) if stop - at <= AT_ONCE else None
+            except zlib.error:
+                text = None
+            if text is None or not d.eof or d.unused_data:
+                yield from parse_stream(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(view[at:])), 1 << 20))
+                return
+            yield from parse_stream(io.BytesIO(text))
+        at = stop + len(EMPTY)
 
 
 def parse_stream(f) -> Iterator[dict]:
@@ -158,9 +182,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held = [], 0
-                f = io.BytesIO(batch.column(0)[i].as_buffer())
-                packed = f.getbuffer()[:2] == b"\x1f\x8b"
-                for r in parse_stream(io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20) if packed else f):
+                for r in parse_file(batch.column(0)[i].as_py()):
                     held += len(r["payload"] or b"")
                     rows.append(r if payloads else r | {"payload": None})
                     if held > 8 << 20:

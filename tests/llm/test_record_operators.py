@@ -240,6 +240,14 @@ def test_warc_members_can_be_sought(spark, tmp_path):
     assert records == 3 * len(rows)
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/plain", compression="none")
     assert warc.captures(warc.read(spark, f"{tmp_path}/plain")).count() == len(rows)
+    # archives of others: members without separators, one stream, damage after a good record
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    for raw in (one * 3, gzip.compress(one * 3), gzip.compress(one) * 3, gzip.compress(one) + warc.EMPTY + gzip.compress(one) * 2, gzip.compress(one[:20]) + gzip.compress(one[20:] + one * 2)):
+        assert [r["type"] for r in warc.parse_file(raw)] == ["request"] * 3
+    with pytest.raises(Exception):  # noqa: B017
+        list(warc.parse_file(gzip.compress(one) + warc.EMPTY + gzip.compress(one)[:-9]))
 
 
 def test_warc_reader_rejects_damage():
