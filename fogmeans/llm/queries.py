@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counting, hnsw, license, mixing, quality, simhash, toxicity, warc
+from . import bpe, chat, counting, fim, hnsw, license, mixing, negatives, quality, simhash, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_warc(spark, sf_dir):
     return rows.select("page_id", size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 
 
+def op11_token_output(spark, sf_dir):
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.contract(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def quality_ablations(spark, sf_dir):
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), (quality.V1, quality.V2))
 
@@ -63,5 +75,5 @@ def mixing_targets(spark, sf_dir):
     return mixing.replicate(table(spark, sf_dir, "documents"), weights).select("doc_id", "source", "mix_copy", F.round("mix_rate", 9).alias("mix_rate"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_license_scan, op6_chat_format, op7_bpe, op8_token_counts, op9_simhash_dedup, op10_warc, quality_ablations, mixing_targets)}
-SQL = {"op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op6_chat_format": chat.SQL, "op10_warc": warc.SQL, "op3_embedding_dedup": hnsw.SQL, "quality_ablations": quality.ABLATIONS_SQL, "mixing_targets": mixing.TARGETS_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_embedding_dedup, op4_mixing, op5_license_scan, op6_chat_format, op7_bpe, op8_token_counts, op9_simhash_dedup, op10_warc, op11_token_output, op12_hard_negatives, op13_fill_in_middle, quality_ablations, mixing_targets)}
+SQL = {"op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op6_chat_format": chat.SQL, "op10_warc": warc.SQL, "op12_hard_negatives": negatives.SQL, "op13_fill_in_middle": fim.SQL, "op3_embedding_dedup": hnsw.SQL, "quality_ablations": quality.ABLATIONS_SQL, "mixing_targets": mixing.TARGETS_SQL}
