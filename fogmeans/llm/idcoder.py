@@ -2,9 +2,9 @@
 
 Each block is a lane of numpy arrays: step t codes the t-th id of every block at once. Orders 2 and 1 each predict the id
 that last followed the context, order 0 counts ids. A lane mixes three adaptive estimates (of the context's confidence, of
-the two orders' agreement, of the predicted id's count) into the odds that a prediction holds, on a log-odds scale with
-weights that learn. An id that no order predicts is coded by order-0 counts of its half-bytes. All arithmetic is of
-integers, so files read the same on any machine.
+the two orders' agreement, of the predicted id's count in the block) into the odds that a prediction holds, on a log-odds
+scale with weights that learn. An id that no order predicts is coded by its order-0 share, which the blocks of one section
+have in common (Shares). All arithmetic is of integers, so files read the same on any machine.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import numpy as np
 BLOCK = 4096
 LEAST_BLOCK = 256
 LANES = 2048
-#: Slots a block has for order 1, order 2 and the counts of order 0 (powers of two), and contexts of half-bytes beyond the third.
-SLOTS_1, SLOTS_2, SLOTS_0, DEEP = 2048, 4096, 1024, 512
+#: Slots a block has for order 1, order 2 and the counts of order 0 (powers of two).
+SLOTS_1, SLOTS_2, SLOTS_0 = 1024, 4096, 1024
 #: Bits of a probability, of the log-odds on either side, and of one in a weight.
 P_BITS, ODDS, ONE = 12, 2047, 16
-#: Counts of a half-byte: what one sight adds, and the sum at which all sixteen are halved.
-SEEN, MOST = 24, 8000
+#: Bits of the order-0 shares; ids below LISTED, SHARED of them at most, have a share of their own, the others are written out.
+SHARE_BITS, SHARED, LISTED = 16, 1 << 14, 1 << 20
 #: First context of each of the six estimates among a block's 64: by order 2's confidence, by order 1's and whether they agree, by the predicted id's count; then the same for order 1's prediction.
 PLACES = (0, 8, 24, 32, 40, 48)
 
@@ -43,6 +43,57 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return squash, stretch, bucket
 
 
+class Shares:
+    """Order 0: of the most frequent ids their shares of 2 ** SHARE_BITS, and one share for all others, which follow in 16-bit halves."""
+
+    def __init__(self, ids: np.ndarray, shares: np.ndarray):
+        self.ids, self.shares = ids.astype(np.int64), shares.astype(np.int64)
+        ends = np.cumsum(self.shares)
+        self.first = ends - self.shares
+        self.symbol = np.repeat(np.arange(len(self.shares)), self.shares)  # of each number below 2 ** SHARE_BITS
+        #: place among the shares of each id up to the largest listed one; ids beyond and ids not listed have the last
+        self.rank = np.full(int(self.ids.max(initial=-1)) + 2, len(self.ids))
+        self.rank[self.ids] = np.arange(len(self.ids))
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Shares:
+        """From the counts of ``flat``; each listed id, and the rest, has at least 1."""
+        ids, n = np.unique(flat[flat < LISTED], return_counts=True)
+        top = np.sort(np.argsort(-n, kind="stable")[:SHARED])
+        ids, n = ids[top], n[top]
+        room = (1 << SHARE_BITS) - len(ids) - 1
+        shares = 1 + n * room // max(1, len(flat))
+        return cls(ids, np.append(shares, (1 << SHARE_BITS) - shares.sum()))
+
+    def code(self, code, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Write ``ids`` of the lanes, or read and return them."""
+        whole, reading = 1 << SHARE_BITS, isinstance(code, _Reader)
+        rest = len(self.ids)
+        if reading:
+            s = self.symbol.take(code.target(whole, lanes))
+        else:
+            s = self.rank.take(np.minimum(ids, len(self.rank) - 1))
+        cum, freq = self.first.take(s), self.shares.take(s)
+        if reading:
+            code.took(cum, freq, lanes)
+            ids = self.ids.take(np.minimum(s, max(0, rest - 1))) if rest else np.zeros(len(s), np.int64)
+        else:
+            code.put(cum, freq, whole, lanes)
+        odd = np.flatnonzero(s == rest)
+        if len(odd):
+            who, value = lanes[odd], 0
+            for shift in (16, 0):
+                if reading:
+                    part = code.target(1 << 16, who)
+                    code.took(part, 1, who)
+                    value = value << 16 | part
+                else:
+                    code.put(ids[odd] >> shift & 0xFFFF, 1, 1 << 16, who)
+            if reading:
+                ids[odd] = value
+        return ids
+
+
 class _Writer:
     """Range encoder of each lane. Words are logged as they come; carries are added when all are there."""
 
@@ -130,7 +181,7 @@ class _Reader:
 class _Model:
     """What each lane has learnt; the same for writing and reading."""
 
-    def __init__(self, lanes: int, nibbles: int):
+    def __init__(self, lanes: int, shares: Shares):
         self.squash, self.stretch, self.bucket = _tables()
         lane = np.arange(lanes)
         self.off1, self.off2, self.off0 = lane * SLOTS_1, lane * SLOTS_2, lane * SLOTS_0
@@ -143,39 +194,38 @@ class _Model:
             start[8 + 2 * c : 10 + 2 * c] = ((1 << 15) - (c << 11), sure)
             start[40 + c] = (1 << 15) - (c << 11)
         self.odds = np.tile(start, lanes)
-        self.places = np.arange(lanes)[None, :] * 64 + np.array(PLACES)[:, None]
-        self.weights = np.full((6, lanes), int(0.4 * (1 << ONE)), dtype=np.int32)
+        self.places = np.arange(lanes) * 64 + np.array(PLACES).reshape(2, 3, 1)
+        self.weights = np.full((2, 3, lanes), int(0.4 * (1 << ONE)), dtype=np.int32)
         self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.nibbles = nibbles
-        self.per_lane = sum(min(16**k, DEEP) for k in range(nibbles))
-        #: running sums of the counts of sixteen half-bytes, and what the sight of each adds to them
-        self.sums = np.tile(np.arange(1, 17, dtype=np.uint16), (lanes * self.per_lane, 1))
-        self.adds = np.triu(np.full((16, 16), SEEN, dtype=np.uint16))
+        self.shares = shares
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.off1, self.off2, self.off0, self.prev, self.prev2 = (a[:n] for a in (self.off1, self.off2, self.off0, self.prev, self.prev2))
-        self.places, self.weights = self.places[:, :n], self.weights[:, :n].copy()
+        self.places, self.weights = self.places[:, :, :n], self.weights[:, :, :n].copy()
 
     def step(self, code, ids: np.ndarray | None) -> np.ndarray:
         """Code one id of every lane: ``ids``, or what the reader ``code`` finds."""
         n = len(self.prev)
         i1 = self.off1 + (self.prev * 40503 >> 4 & SLOTS_1 - 1)
         i2 = self.off2 + ((self.prev * 40503 + self.prev2 * 30011) >> 3 & SLOTS_2 - 1)
-        a1, a2 = self.t1[i1], self.t2[i2]
+        a1, a2 = self.t1.take(i1), self.t2.take(i2)
         e1, e2, c1, c2 = a1 >> 3, a2 >> 3, a1 & 7, a2 & 7
         agree = e1 == e2
         has2 = c2 > 0
         has1 = (c1 > 0) & ~(has2 & agree)
-        ctx = self.places + np.stack([c2, 2 * c1 + agree, self.bucket[self.count[self.off0 + (e2 & SLOTS_0 - 1)]], c1, c2, self.bucket[self.count[self.off0 + (e1 & SLOTS_0 - 1)]]])
-        odds = self.odds[ctx]
-        st = self.stretch[odds >> 16 - P_BITS]
-        dot = (self.weights * st).reshape(2, 3, n).sum(axis=1, dtype=np.int32) >> ONE
-        p = self.squash[np.clip(dot, -ODDS, ODDS) + ODDS]
+        ctx = self.places.copy()
+        for at, more in zip(ctx.reshape(6, n), (c2, 2 * c1 + agree, self.bucket.take(self.count.take(self.off0 + (e2 & SLOTS_0 - 1))), c1, c2, self.bucket.take(self.count.take(self.off0 + (e1 & SLOTS_0 - 1)))), strict=True):
+            at += more
+        odds = self.odds.take(ctx)
+        st = self.stretch.take(odds >> 16 - P_BITS)
+        each = self.weights * st
+        dot = each[:, 0] + each[:, 1] + each[:, 2] >> ONE
+        p = self.squash.take(np.minimum(np.maximum(dot, -ODDS), ODDS) + ODDS)
         whole = 1 << P_BITS
         f2 = np.where(has2, p[0], 0).astype(np.int64)
         rest = whole - f2
-        f1 = np.where(has1, np.clip(rest * p[1] >> P_BITS, 1, rest - 1), 0)
+        f1 = np.where(has1, np.minimum(np.maximum(rest * p[1] >> P_BITS, 1), rest - 1), 0)
         if ids is None:
             at = code.target(whole, n=n)
             hit2 = at < f2
@@ -192,59 +242,30 @@ class _Model:
             code.put(cum, freq, whole)
         missed = np.flatnonzero(~(hit2 | hit1))
         if len(missed):
-            ids[missed] = self._order0(code, missed, ids[missed])
+            ids[missed] = self.shares.code(code, missed, ids[missed])
         # learn
         bit = np.stack([hit2, hit1])
         used = np.stack([has2, has1 & ~hit2])
-        err = np.where(used, (bit.astype(np.int32) << P_BITS) - p, 0)
-        err6 = np.repeat(err, 3, axis=0)
-        self.weights = np.clip(self.weights + (st * err6 * 7 >> 14), -(1 << 18), 1 << 18)
-        goal = np.repeat(np.where(bit, 65535, 0).astype(np.int32), 3, axis=0)
-        self.odds[ctx] = odds + np.where(np.repeat(used, 3, axis=0), goal - odds >> 4, 0)
+        err = np.where(used, (bit.astype(np.int32) << P_BITS) - p, 0)[:, None, :]
+        self.weights += st * (err * 7) >> 14
+        np.minimum(np.maximum(self.weights, -(1 << 18), out=self.weights), 1 << 18, out=self.weights)
+        goal = np.where(bit, 65535, 0).astype(np.int32)[:, None, :]
+        self.odds[ctx] = odds + (goal - odds >> 4) * used[:, None, :]
         for table, i, e, c in ((self.t1, i1, e1, c1), (self.t2, i2, e2, c2)):
             right = (c > 0) & (ids == e)
             keep = right | (c > 1)
             table[i] = np.where(keep, e, ids) << 3 | np.where(right, np.minimum(c + 1, 7), np.where(keep, c >> 1, 1))
         i0 = self.off0 + (ids & SLOTS_0 - 1)
-        seen = self.count[i0]
+        seen = self.count.take(i0)
         self.count[i0] = seen + (seen < 255)
         self.prev, self.prev2 = ids, self.prev
         return ids
 
-    def _order0(self, code, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        reading = isinstance(code, _Reader)
-        known = np.zeros(len(lanes), np.int64)
-        base = lanes * self.per_lane
-        for k in range(self.nibbles):
-            row = base + (known if k < 3 else (known * 40503 >> 3) & DEEP - 1)
-            base = base + min(16**k, DEEP)
-            sums = self.sums[row]
-            total = sums[:, 15].astype(np.int64)
-            if reading:
-                s = np.count_nonzero(sums <= code.target(total, lanes)[:, None], axis=1)
-            else:
-                s = ids >> 4 * (self.nibbles - 1 - k) & 15
-            flat = np.arange(0, 16 * len(s), 16) + s
-            upto = sums.ravel()
-            cum = np.where(s > 0, upto[flat - 1], 0).astype(np.int64)
-            freq = upto[flat] - cum
-            if reading:
-                code.took(cum, freq, lanes)
-            else:
-                code.put(cum, freq, total, lanes)
-            sums += self.adds[s]
-            full = np.flatnonzero(total > MOST - SEEN)
-            if len(full):
-                sums[full] = np.cumsum(np.diff(sums[full], axis=1, prepend=np.uint16(0)) + 1 >> 1, axis=1)
-            self.sums[row] = sums
-            known = known << 4 | s
-        return known
-
-
-def encode(ids: np.ndarray, block: int = BLOCK, nibbles: int = 4) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+
+def encode(ids: np.ndarray, shares: Shares, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Sizes, checksums (crc32 of the ids as little-endian uint32) and 16-bit words of each block of ``ids``.
 
-    Ids must be below 16 ** nibbles. LANES blocks are coded side by side; no ids give no blocks.
+    Ids must be below 2 ** 28. LANES blocks are coded side by side; no ids give no blocks.
     """
     cuts = np.arange(0, len(ids), block)
     sizes = np.diff(np.append(cuts, len(ids))).astype("<u4")
@@ -257,7 +278,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, nibbles: int = 4) -> tuple[np.nd
         flat = ids[cuts[a] : cuts[a] + some.sum()]
         grid.ravel()[: len(flat)] = flat
         grid = np.ascontiguousarray(grid.T)
-        model, out = _Model(n, nibbles), _Writer(n)
+        model, out = _Model(n, shares), _Writer(n)
         low, width = out.low, out.range
         for t in range(top):
             if t == some[-1] and some[-1] < top:
@@ -272,7 +293,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, nibbles: int = 4) -> tuple[np.nd
     return sizes, sums, words
 
 
-def decode(sizes: np.ndarray, sums: np.ndarray, words: list[np.ndarray], nibbles: int = 4) -> list[np.ndarray]:
+def decode(sizes: np.ndarray, sums: np.ndarray, words: list[np.ndarray], shares: Shares) -> list[np.ndarray]:
     """The ids of each block. Blocks may be any of a file's; a checksum that does not hold is an error."""
     out: list = [None] * len(sizes)
     order = np.argsort(-np.asarray(sizes, dtype=np.int64), kind="stable")
@@ -281,7 +302,7 @@ def decode(sizes: np.ndarray, sums: np.ndarray, words: list[np.ndarray], nibbles
         lengths = np.asarray(sizes, dtype=np.int64)[some]
         top, n = int(lengths[0]), len(some)
         grid = np.zeros((top, n), np.int64)
-        model, code = _Model(n, nibbles), _Reader([words[i] for i in some])
+        model, code = _Model(n, shares), _Reader([words[i] for i in some])
         for t in range(top):
             live = int(np.searchsorted(-lengths, -t, side="left"))
             if live < n:

@@ -1,8 +1,9 @@
 """Token ids of documents in binary files: sorted, packed by the context-mixing coder, read back and checked.
 
 A file holds sections; a section holds whole documents and stands alone. Its layout (numbers are little-endian): the magic,
-the lengths of the head and of the words, the head's crc32; the head (zlib): JSON of the section's place and its documents,
-then sizes, checksums and word counts of the blocks; the words of all blocks; a line feed.
+the lengths of the head and of the words, the head's crc32; the head (zlib): JSON of the section's place and its documents, the
+ids with shares of their own and all shares, then sizes, checksums and word counts of the blocks; the words of all blocks; a
+line feed.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 MAGIC = b"FMTOKID1"
 #: Ids after which a section is closed at the next end of a document, sections of a file, and bytes of text of a task; small tables are dealt to all cores in tasks of at least LEAST_BYTES.
-SECTION_IDS = idcoder.BLOCK * idcoder.LANES
-FILE_SECTIONS = 2
-TASK_BYTES = 32 << 20
+SECTION_IDS = 4 << 20
+FILE_SECTIONS = 4
+TASK_BYTES = 16 << 20
 LEAST_BYTES = 2 << 20
 #: Chunks a worker remembers the ids of, and bytes of the longest of them.
 REMEMBERED = 1 << 18
@@ -83,16 +84,15 @@ def default_vocabulary() -> str:
 def pack(part: int, section: int, doc_ids: list, ids: list[np.ndarray], block: int | None = None) -> bytes:
     """A section of documents (their ids end with END). Few ids make shorter blocks, so that a small task has many side by side."""
     flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
-    top = int(flat.max()) if len(flat) else 0
-    nibbles = max(4, -(-top.bit_length() // 4))
-    if nibbles > 7:
+    if len(flat) and int(flat.max()) >> 28:
         raise ValueError("ids must be below 2 ** 28")
     if block is None:
         block = int(min(idcoder.BLOCK, max(idcoder.LEAST_BLOCK, -(-len(flat) // idcoder.LANES))))
-    sizes, sums, words = idcoder.encode(flat, block, nibbles)
-    place = json.dumps({"part": part, "section": section, "nibbles": nibbles, "blocks": len(sizes), "docs": doc_ids, "n": [len(i) for i in ids]}).encode()
+    shares = idcoder.Shares.of(flat)
+    sizes, sums, words = idcoder.encode(flat, shares, block)
+    place = json.dumps({"part": part, "section": section, "blocks": len(sizes), "shared": len(shares.ids), "docs": doc_ids, "n": [len(i) for i in ids]}).encode()
     counts = np.array([len(w) for w in words], dtype="<u4")
-    head = zlib.compress(struct.pack("<I", len(place)) + place + sizes.tobytes() + sums.tobytes() + counts.tobytes())
+    head = zlib.compress(struct.pack("<I", len(place)) + place + shares.ids.astype("<u4").tobytes() + shares.shares.astype("<u4").tobytes() + sizes.tobytes() + sums.tobytes() + counts.tobytes())
     body = b"".join(w.tobytes() for w in words)
     return MAGIC + struct.pack("<IQI", len(head), len(body), zlib.crc32(head)) + head + body
 
@@ -111,10 +111,12 @@ def unpack(raw: bytes) -> Iterator[tuple[dict, list[np.ndarray]]]:
         head = zlib.decompress(head)
         size = struct.unpack_from("<I", head)[0]
         place = json.loads(head[4 : 4 + size])
-        sizes, sums, counts = np.frombuffer(head, "<u4", offset=4 + size).reshape(3, place["blocks"])
+        numbers, n = np.frombuffer(head, "<u4", offset=4 + size), place["shared"]
+        shares = idcoder.Shares(numbers[:n], numbers[n : 2 * n + 1])
+        sizes, sums, counts = numbers[2 * n + 1 :].reshape(3, place["blocks"])
         ends = np.cumsum(counts.astype(np.int64))
         words = np.frombuffer(raw, "<u2", count=n_body // 2, offset=at + n_head)
-        blocks = idcoder.decode(sizes, sums, np.split(words, ends[:-1]) if len(ends) else [], place["nibbles"])
+        blocks = idcoder.decode(sizes, sums, np.split(words, ends[:-1]) if len(ends) else [], shares)
         flat = np.concatenate([*blocks, np.zeros(0, "<u4")])
         yield place, np.split(flat, np.cumsum(place["n"])[:-1]) if place["n"] else []
         at += n_head + n_body + 1

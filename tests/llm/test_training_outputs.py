@@ -30,11 +30,12 @@ def library():
 @given(st.lists(st.integers(0, 70_000), max_size=900), st.integers(1, 300))
 def test_blocks_come_back(ids, block):
     flat = np.array(ids, dtype=np.int64)
-    sizes, sums, words = idcoder.encode(flat, block, 5)
-    got = idcoder.decode(sizes, sums, words, 5)
+    shares = idcoder.Shares.of(flat[: len(flat) // 2])  # the other ids are written out
+    sizes, sums, words = idcoder.encode(flat, shares, block)
+    got = idcoder.decode(sizes, sums, words, shares)
     assert [x for b in got for x in b.tolist()] == ids and len(got) == -(-len(ids) // block)
     for i in range(len(got)):  # a block needs no other
-        alone = idcoder.decode(sizes[[i]], sums[[i]], [words[i]], 5)
+        alone = idcoder.decode(sizes[[i]], sums[[i]], [words[i]], shares)
         assert alone[0].tolist() == got[i].tolist()
 
 
@@ -42,13 +43,14 @@ def test_blocks_learn_and_are_checked():
     rng = np.random.default_rng(3)
     phrase = rng.integers(0, 49_000, 40)
     ids = np.tile(phrase, 100)
-    sizes, sums, words = idcoder.encode(ids, 4000)
+    shares = idcoder.Shares.of(ids)
+    sizes, sums, words = idcoder.encode(ids, shares, 4000)
     assert sum(map(len, words)) * 16 < 2.5 * len(ids)  # order 1 and 2 know the rest: raw ids take 16 bits
     broken = [w.copy() for w in words]
     broken[0][len(broken[0]) // 2] ^= 64
     with pytest.raises(ValueError, match="checksum"):
-        idcoder.decode(sizes, sums, broken)
-    assert idcoder.decode(*idcoder.encode(np.zeros(0, np.int64))) == []
+        idcoder.decode(sizes, sums, broken, shares)
+    assert idcoder.decode(*idcoder.encode(np.zeros(0, np.int64), shares), shares) == []
 
 
 def test_sections_are_checked():
@@ -57,6 +59,10 @@ def test_sections_are_checked():
     (place, back), (_, again) = tokenfile.unpack(raw + raw)
     assert (place["part"], place["section"], place["docs"]) == (3, 1, ["a", None, "c"])
     assert all(np.array_equal(a, b) and np.array_equal(a, c) for a, b, c in zip(docs, back, again, strict=True))
+    large = np.array([2**28 - 1, 3, 2**21, 3, 2**28 - 1])
+    assert next(tokenfile.unpack(tokenfile.pack(0, 0, ["a"], [large]) + b"\n"))[1][0].tolist() == large.tolist()
+    with pytest.raises(ValueError):
+        tokenfile.pack(0, 0, ["a"], [large + 1])
     for bad in (raw[:-9], raw[:30] + bytes([raw[30] ^ 1]) + raw[31:], b"x" + raw):
         with pytest.raises(ValueError):
             list(tokenfile.unpack(bad))
