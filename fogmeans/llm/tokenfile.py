@@ -30,7 +30,7 @@ FILE_SECTIONS = 4
 TASK_BYTES = 16 << 20
 LEAST_BYTES = 2 << 20
 #: Chunks a worker remembers the ids of, and bytes of the longest of them.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 LONGEST = 64
 
 
@@ -49,16 +49,19 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        #: the ids of each chunk as little-endian uint32
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         split = [(t or b"").split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = sorted(set().union(*split).difference(self.known))
-        found = self.library.encode_batch([c.decode() for c in fresh], add_special_tokens=False)
-        self.known |= {c: e.ids for c, e in zip(fresh, found, strict=True)}
-        out = [np.array([i for c in chunks for i in self.known[c]], dtype=np.int64) for chunks in split]
+        fresh = list(set().union(*split).difference(self.known))
+        for a in range(0, len(fresh), 4096):
+            some = fresh[a : a + 4096]
+            for c, e in zip(some, self.library.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
+                self.known[c] = struct.pack(f"<{len(e)}I", *e.ids)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in split]
         for c in fresh:
             if len(c) > LONGEST:
                 del self.known[c]
@@ -83,7 +86,7 @@ def default_vocabulary() -> str:
 
 def pack(part: int, section: int, doc_ids: list, ids: list[np.ndarray], block: int | None = None) -> bytes:
     """A section of documents (their ids end with END). Few ids make shorter blocks, so that a small task has many side by side."""
-    flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
+    flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64)
     if len(flat) and int(flat.max()) >> 28:
         raise ValueError("ids must be below 2 ** 28")
     if block is None:
@@ -145,7 +148,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int |
             for a, b, texts in text_steps(batch):
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 made = coder.encode(texts)
-                ids += [np.append(i, end) for i in made] if end is not None else made
+                ids += [np.append(i, np.uint32(end)) for i in made] if end is not None else made
                 held += sum(map(len, ids[-len(made) :]))
                 if held >= section_ids:
                     yield pa.RecordBatch.from_arrays([pa.array([pack(part, section, names, ids)], type=pa.binary())], names=["value"])
