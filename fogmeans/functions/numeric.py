@@ -37,6 +37,40 @@ def best_assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_matching(gain: np.ndarray) -> list[int]:
+    """Column of each row (-1: none) in a matching of as many pairs as fit with the largest sum of whole numbers ``gain``.
+
+    Of equal ones the first in order of columns, row by row, no column last: row after row takes the first column with which
+    the rest still reaches the best sum.
+    """
+    rows, cols = gain.shape
+
+    def best(some: list[int], free: list[int], pairs: int) -> float:
+        # surplus rows and columns meet columns and rows of their own at no gain; a missing pair costs more than all gains
+        size = max(len(some), len(free))
+        if not size:
+            return 0.0 if pairs <= 0 else -math.inf
+        if min(len(some), len(free)) < pairs:
+            return -math.inf
+        full = np.zeros((size, size))
+        full[: len(some), : len(free)] = gain[np.ix_(some, free)]
+        pick = best_assignment(-full)
+        return float(full[range(size), pick].sum())
+
+    every, free, out = list(range(rows)), list(range(cols)), []
+    pairs, target = min(rows, cols), best(every, list(range(cols)), min(rows, cols))
+    for i in every:
+        rest = every[i + 1 :]
+        for j in [*free, -1]:
+            left = [c for c in free if c != j]
+            need = pairs - (j >= 0)
+            if best(rest, left, need) + (gain[i, j] if j >= 0 else 0) == target:
+                out.append(j)
+                free, pairs, target = left, need, target - (gain[i, j] if j >= 0 else 0)
+                break
+    return out
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (Lentz)."""
     if x <= 0 or x >= 1:

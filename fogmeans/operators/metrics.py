@@ -16,7 +16,12 @@ def contingency(labels: DataFrame, *by: str) -> DataFrame:
 
 
 def accuracy(labels: DataFrame, *by: str) -> DataFrame:
-    """acc of each group ``by``: the share of points whose cluster is matched to their label, by the best matching.
+    """acc of each group ``by``: the share of points whose cluster is matched to their label, by the best matching."""
+    return matched(contingency(labels, *by), *by)
+
+
+def matched(table: DataFrame, *by: str) -> DataFrame:
+    """accuracy() from a contingency table (``by``, y, pred, n); clusters and labels may differ in number, the surplus is wrong.
 
     Only contingency tables (classes times clusters) reach Python, one group at a time.
     """
@@ -31,7 +36,6 @@ def accuracy(labels: DataFrame, *by: str) -> DataFrame:
         pairs = best_assignment(-full)
         return pd.DataFrame([(*key, float(full[range(size), pairs].sum() / t.sum()))])
 
-    table = contingency(labels, *by)
     kinds = dict(table.dtypes)
     return table.groupBy(*[F.col(b) for b in by]).applyInPandas(match, ", ".join([*[f"{b} {kinds[b]}" for b in by], "acc double"]))
 

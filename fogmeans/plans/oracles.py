@@ -21,9 +21,9 @@ DIMS = f"range(1, {DIM + 1}) t(i)"
 class Script:
     """Common table expressions one after another; each is computed once."""
 
-    def __init__(self, clients: int = 4, k: int = 3):
+    def __init__(self, clients: int = 4, k: int = 3, where: str = "true"):
         self.k, self.parts = k, []
-        self.add(f"select vec_id row_id, (vec_id % {clients})::int client, list_transform(embedding, lambda e: e::double) x from embeddings", "pt")
+        self.add(f"select vec_id row_id, (vec_id % {clients})::int client, list_transform(embedding, lambda e: e::double) x from embeddings where {where}", "pt")
         self.add("select client, count(*)::double n, count(*) / sum(count(*)) over () beta from pt group by client", "cl")
         self.add(f"select (row_number() over (order by row_id) - 1)::int j, x v from pt order by row_id limit {k}", "v0")
 
@@ -95,15 +95,17 @@ class Script:
         return self.add(f"select j, v from {v} union all select {self.k} * (client + 1) + j, v from {own}")
 
 
-def cell(mass: str, gate: str, personalize: bool = False, rounds: int = 2, steps: int = 1, fraction: float = 1.0, seed: int = 0, server_gate: bool = True, client_gate: bool = True, fixed: float | None = None) -> str:
-    q, v, delta = Script(), "v0", None
+def cell_rounds(q: Script, mass: str, gate: str, personalize: bool = False, rounds: int = 2, steps: int = 1, fraction: float = 1.0, seed: int = 0, server_gate: bool = True, client_gate: bool = True, fixed: float | None = None, clients: int = 4) -> tuple[str, str | None, list[tuple]]:
+    """Prototypes, offsets, and of each round (start, local centres, masses before and after) of a cell over the points of ``q``."""
+    v, delta, log = "v0", None, []
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        present = sorted(rng.choice(4, size=max(1, int(4 * fraction)), replace=False).tolist()) if fraction < 1 else None
+        present = sorted(rng.choice(clients, size=max(1, int(clients * fraction)), replace=False).tolist()) if fraction < 1 else None
         shared = q.spread(v, present)
         g = q.gate(shared, gate) if fixed is None else q.add(f"select client, j, {fixed}::double g from {shared}")
         start = q.add(f"select client, j, list_transform(list_zip(s.v, d.v), lambda z: z[1] + z[2]) v from {shared} s join {delta} d using (client, j)") if delta else shared
         local, pre, post = q.steps(start, steps)
+        log.append((shared, local, pre, post))
         weight = q.add(f"select client, j, beta * mass * {'g' if server_gate else '1.0'} w from {pre if mass == 'pre' else post} join {g} using (client, j) join cl using (client)")
         new = q.server(v, local, weight, P.server_lr)
         if personalize:
@@ -111,10 +113,89 @@ def cell(mass: str, gate: str, personalize: bool = False, rounds: int = 2, steps
             moved = f"(({1 - P.delta_lr}) * d.v[i] + {P.delta_lr} * {'g' if client_gate else '1.0'} * (c.v[i] - s.v[i])) * {1 - P.delta_reg}"
             delta = q.add(f"select client, j, list({moved} order by i) v from {old} d join {local} c using (client, j) join {shared} s using (client, j) join {g} using (client, j), {DIMS} group by client, j")
         v = new
-    if personalize:
-        own = q.add(f"select client, j, list_transform(list_zip(a.v, d.v), lambda z: z[1] + z[2]) v from {delta} d join {v} a using (j)")
-        return q.flat(q.stacked(v, own))
-    return q.flat(v)
+    return v, delta, log
+
+
+def cell(mass: str, gate: str, personalize: bool = False, **more) -> str:
+    q = Script(more.get("clients", 4))
+    v, delta, _ = cell_rounds(q, mass, gate, personalize, **more)
+    return q.flat(q.stacked(v, own_sets(q, v, delta))) if personalize else q.flat(v)
+
+
+def own_sets(q: Script, v: str, delta: str) -> str:
+    return q.add(f"select client, j, list_transform(list_zip(a.v, d.v), lambda z: z[1] + z[2]) v from {delta} d join {v} a using (j)")
+
+
+def judged(q: Script, own: str) -> str:
+    """client, row_id, y, pred, cost, entropy of every point of ``q`` under its client's prototypes."""
+    return q.add(f"select client, row_id, any_value(label) y, arg_min(j, (greatest(d2, 1e-12), j)) pred, sum(w * d2) cost, -sum(sqrt(w) * ln(greatest(sqrt(w), 1e-300))) entropy from {q.weights(own)} join embeddings on vec_id = row_id group by client, row_id")
+
+
+def best_hits(q: Script, table: str, clusters: int) -> str:
+    """g, hits: the most agreement of any matching in a contingency table (g, pred, y, n): the best of each set of labels used so far, cluster after cluster."""
+    s = q.add(f"select distinct g, 0 used, 0::hugeint hits from {table}")
+    for p in range(clusters):
+        s = q.add(f"select g, used, max(hits) hits from (select g, used, hits from {s} union all select a.g, a.used | (1 << t.y), a.hits + t.n from {s} a join {table} t on t.g = a.g and t.pred = {p} and a.used & (1 << t.y) = 0) group by g, used")
+    return q.add(f"select g, max(hits)::double hits from {s} group by g")
+
+
+def names(q: Script, table: str, clusters: int) -> str:
+    """g, pred, name: of all matchings with as many pairs as fit the one with most agreement, then the first labels."""
+    labels = q.add(f"select distinct g, y from {table}")
+    s = q.add(f"select distinct g, 0 used, 0::hugeint hits, 0::bigint code, 0 pairs from {table}")
+    for p in range(clusters):
+        here = q.add(f"select g, count(*) filter (pred = {p}) > 0 here from {table} group by g")
+        pair = f"select a.g, a.used | (1 << l.y), a.hits + coalesce(t.n, 0), a.code * 100 + l.y, a.pairs + 1 from {s} a join {here} h on h.g = a.g and h.here join {labels} l on l.g = a.g and a.used & (1 << l.y) = 0 left join {table} t on t.g = a.g and t.pred = {p} and t.y = l.y"
+        s = q.add(f"select g, used, hits, code * 100 + 99 code, pairs from {s} union all {pair}")
+    best = q.add(f"select * from {s} qualify row_number() over (partition by g order by pairs desc, hits desc, code) = 1")
+    return q.add(" union all ".join(f"select g, {p} pred, (code // {100 ** (clusters - 1 - p)}) % 100 as name from {best}" for p in range(clusters)))
+
+
+def personal_bundle(rounds: int = 2, steps: int = 1) -> str:
+    """The seven metrics of a personalized run."""
+    q = Script()
+    v, delta, _ = cell_rounds(q, "post", "footprint", True, rounds, steps)
+    rows = judged(q, own_sets(q, v, delta))
+    own = q.add(f"select client g, pred, y, count(*) n from {rows} group by all")
+    whole = q.add(f"select 0 g, pred, y, sum(n) n from {own} group by all")
+    each = q.add(f"select hits / n acc from {best_hits(q, own, q.k)} join cl on client = g")
+    shared = q.weights(q.spread(v))
+    apart = q.add(f"select min({DISTANCE.replace('(x, v)', '(a.v, b.v)')}) sep from {v} a, {v} b where a.j < b.j")
+    return q.ending(f"""select round(sqrt(sep), 6) min_dist, (select round(avg(acc), 6) from {each}) mean_acc, (select round(min(acc), 6) from {each}) worst_acc, (select round(avg(cost), 6) from {rows}) fcm_obj,
+(select round(hits / (select sum(n) from {whole}), 6) from {best_hits(q, whole, q.k)}) gacc, (select round(sum(w * d2) / count(distinct row_id) / (select sep from {apart}), 6) from {shared}) xb, (select round(avg(entropy) / ln({q.k}), 6) from {rows}) hnorm from {apart}""")
+
+
+def held_out(rounds: int = 2, steps: int = 1) -> str:
+    """The eight held-out numbers: fitted on rows whose number is not divisible by 5, judged on the others."""
+    q = Script(where="vec_id % 5 <> 0")
+    v, delta, _ = cell_rounds(q, "post", "footprint", True, rounds, steps)
+    own = own_sets(q, v, delta)
+    train = judged(q, own)
+    q.add("select vec_id row_id, (vec_id % 4)::int client, list_transform(embedding, lambda e: e::double) x from embeddings where vec_id % 5 = 0", "held")
+    body = q.weights(own)  # the same expressions once more over the held rows
+    made = [i for i, part in enumerate(q.parts) if part.startswith(body)][0]
+    q.parts[made - 2 : made + 1] = [part.replace("from pt join", "from held pt join") for part in q.parts[made - 2 : made + 1]]
+    test = q.add(f"select client, row_id, any_value(label) y, arg_min(j, (greatest(d2, 1e-12), j)) pred, sum(w * d2) cost, -sum(sqrt(w) * ln(greatest(sqrt(w), 1e-300))) entropy from {body} join embeddings on vec_id = row_id group by client, row_id")
+    cells = lambda rows, g: q.add(f"select {g} g, pred, y, count(*) n from {rows} group by all")
+    parts = []
+    for g in ("0", "client"):
+        a, b = cells(train, g), cells(test, g)
+        parts.append(q.add(f"select b.g, sum(case when b.y = m.name then b.n else 0 end) / sum(b.n) acc from {b} b left join {names(q, a, q.k)} m on m.g = b.g and m.pred = b.pred group by b.g"))
+        parts.append(q.add(f"select g, hits / (select sum(n) from {b} b where b.g = h.g) acc from {best_hits(q, b, q.k)} h"))
+    pooled, refit_all, mapped, refit = parts
+    of = lambda t, f: f"(select round({f}(acc), 6) from {t})"
+    return q.ending(f"select round(avg(cost), 6) test_fcm_obj, round(avg(entropy) / ln({q.k}), 6) test_hnorm, {of(pooled, 'max')} test_gacc_trmap, {of(mapped, 'avg')} test_mean_acc_trmap, {of(mapped, 'min')} test_worst_acc_trmap, {of(refit_all, 'max')} test_gacc, {of(refit, 'avg')} test_mean_acc_refit, {of(refit, 'min')} test_worst_acc_refit from {test}")
+
+
+def trajectory(rounds: int = 3, steps: int = 1, clients: int = 4) -> tuple[Script, str]:
+    """The relation (round, client, j, b, n, pre, post, r, q, c) of a run with the footprint gate after the local steps."""
+    q = Script(clients)
+    _, _, log = cell_rounds(q, "post", "footprint", rounds=rounds, steps=steps, clients=clients)
+    parts = []
+    for t, (shared, local, pre, post) in enumerate(log):
+        r, m = q.gate(shared, "footprint"), q.gate(shared, "mass")
+        parts.append(f"select {t} round, client, j, beta b, n, a.mass pre, z.mass post, r.g r, m.g q, c.v c from {local} c join {pre} a using (client, j) join {post} z using (client, j) join {r} r using (client, j) join {m} m using (client, j) join cl using (client)")
+    return q, q.add(" union all ".join(parts))
 
 
 def central(iterations: int) -> str:
@@ -131,8 +212,8 @@ def pulled(coef: float) -> str:
     return f"(s + {coef} * n * g) / greatest(mass + {coef} * n, 1e-12)"
 
 
-def federated(rounds: int, steps: int, lr: float, prox: float = 0.0, ditto: float | None = None) -> str:
-    q, v, own = Script(), "v0", None
+def federated(rounds: int, steps: int, lr: float, prox: float = 0.0, ditto: float | None = None, clients: int = 4) -> str:
+    q, v, own = Script(clients), "v0", None
 
     def drawn(at: str, server: str, coef: float) -> str:
         for _ in range(steps):
@@ -197,13 +278,13 @@ def gradient(alpha: float, rounds: int, steps: int) -> str:
     return q.flat(v)
 
 
-def variates(eta_l: float, eta_g: float, rounds: int, steps: int, fraction: float, seed: int = 0) -> str:
-    q, v = Script(), "v0"
-    rng, n = np.random.default_rng(seed), max(1, int(4 * fraction))
+def variates(eta_l: float, eta_g: float, rounds: int, steps: int, fraction: float, seed: int = 0, clients: int = 4) -> str:
+    q, v = Script(clients), "v0"
+    rng, n = np.random.default_rng(seed), max(1, int(clients * fraction))
     zero = "list_transform(v, lambda z: 0.0::double) v"
     cg, cl = q.add(f"select j, {zero} from v0"), q.add(f"select client, j, {zero} from cl, v0")
     for _ in range(rounds):
-        some = sorted(rng.choice(4, size=n, replace=False).tolist()) if n < 4 else [0, 1, 2, 3]
+        some = sorted(rng.choice(clients, size=n, replace=False).tolist()) if n < clients else list(range(clients))
         start = at = q.spread(v, some)
         for _ in range(steps):
             s = q.add(f"select s.*, c.v[i] own, g.v[i] whole from {q.sums(at)} s join {cl} c using (client, j) join {cg} g using (j)")
