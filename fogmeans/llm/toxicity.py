@@ -160,14 +160,13 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """``idf`` is a term's weight: inverse document frequency times relevance. ``starts``, ``numbers`` and ``counts`` hold the examples' terms, ``texts`` the hashes of their texts."""
+    """``idf`` is a term's weight: inverse document frequency times relevance. ``starts``, ``numbers`` and ``counts`` hold the examples' terms."""
 
     terms: list[bytes]
     idf: np.ndarray
     ids: list
     labels: np.ndarray
     weights: np.ndarray
-    texts: np.ndarray
     starts: np.ndarray
     numbers: np.ndarray
     counts: np.ndarray
@@ -219,28 +218,47 @@ def relevance(a: np.ndarray, b: np.ndarray, odds: float, base: float) -> np.ndar
     return NEUTRAL + (np.maximum(0, np.log(share / base) / -math.log(base)) if 0 < base < 1 else 0 * share)
 
 
-def text_hash(text: bytes | None) -> int:
-    """The hash by which a text is known again, as a signed long."""
-    return xxhash.xxh64_intdigest(text or b"") - (1 << 63)
+def runs_of(text: bytes | None) -> set[bytes]:
+    """The five-word runs of a text; a shorter text is one run."""
+    words = words_of(text)
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def sketch(text: bytes | None) -> list[int]:
-    """Minima of four hashes of the five-word runs: equal ones mark near copies in the sample."""
-    words = words_of(text)
-    runs = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    """Minima of four hashes of the five-word runs."""
+    runs = runs_of(text)
     return [min(xxhash.xxh64_intdigest(r, seed) for r in runs) >> 1 for seed in range(4)]
 
 
+#: Jaccard of the five-word runs from which a row of the sample is a copy of another.
+COPY = 0.8
+
+
 def one_of_copies(rows: list[tuple]) -> list:
-    """Ids of rows (order, label, sketch, id) without near copies: a row goes if a sketch value was seen in an earlier row of its label."""
-    seen: set = set()
-    kept = []
-    for _, label, values, doc_id in sorted(rows, key=lambda r: (r[0], r[1])):
-        keys = {(label, i, v) for i, v in enumerate(values)}
-        if not keys & seen:
-            kept.append(doc_id)
-        seen |= keys
-    return kept
+    """Ids of rows (order, label, text, id) without copies: a row goes if an earlier kept one of its label has a Jaccard of COPY or more."""
+    kept: list[tuple] = []
+    for _, label, text, doc_id in sorted(rows, key=lambda r: (r[0], r[1])):
+        runs = runs_of(text)
+        if not any(y == label and len(runs & other) >= COPY * len(runs | other) for y, other, _ in kept):
+            kept.append((label, runs, doc_id))
+    return [doc_id for *_, doc_id in kept]
+
+
+def without_copies(train: DataFrame, taken: DataFrame) -> DataFrame:
+    """doc_id of ``taken`` (doc_id, order, toxic, sketch: rows of the sample) without copies.
+
+    Rows of a label meet where all four minima are equal, and are compared exactly there; copies that differ in a minimum
+    both stay. A group holds at most the sample.
+    """
+    rows = train.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+
+    def choose(pdf):
+        import pandas as pd
+
+        every = [(r.order, r.toxic, (r.text or "").encode(), r.doc_id) for r in pdf.itertuples()]
+        return pd.DataFrame({"doc_id": pd.Series(one_of_copies(every), dtype=pdf["doc_id"].dtype)})
+
+    return rows.groupBy("toxic", "sketch").applyInPandas(choose, f"doc_id {dict(train.dtypes)['doc_id']}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -257,28 +275,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
 
 
 def examples(rows: list, sample_bytes: int = SAMPLE_BYTES) -> list:
-    """doc_ids of the sample that are indexed: of each label in order of md5 up to ``sample_bytes`` in all, one of near copies."""
+    """doc_ids of the sample that may be indexed: of each label in order of md5 up to ``sample_bytes`` in all."""
     taken, room = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
     for r in sorted(rows, key=lambda r: (r["order"], str(r["doc_id"]))):
         if r["size"] <= room[r["toxic"]]:
             room[r["toxic"]] -= r["size"]
-            taken.append((r["order"], r["toxic"], r["sketch"], r["doc_id"]))
-    return one_of_copies(taken)
+            taken.append(r["doc_id"])
+    return taken
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Index all words of the examples, weighted by document frequency over all of ``docs`` and by relevance in the sample.
 
-    Toxic and other examples are indexed alike, one of near copies. The calibration scores each example with itself left out,
-    by the same function that scores documents.
+    Toxic and other examples are indexed alike, one of copies. The calibration scores each example with itself left out, by
+    the same function that scores documents.
     """
     rates = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     train = pinned(training_rows(docs, labels, sample), "toxic-train")
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     seen = map_texts(train, ["doc_id", "toxic"], lambda: lambda texts: [[sketch(x) for x in texts], [len(x or b"") for x in texts], [not words_of(x) for x in texts]], "sketch array<long>, size long, blank boolean")
     rows = seen.select("*", F.md5(F.col("doc_id").cast("string")).alias("order")).collect()  # SAMPLE rows of some numbers at most
-    kept = examples(rows, sample_bytes)
-    chosen = pinned(train.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], f"doc_id {kind}")), "doc_id"), "toxic-examples")
+    room = set(examples(rows, sample_bytes))
+    taken = spark.createDataFrame([(r["doc_id"], r["order"], r["toxic"], r["sketch"]) for r in rows if r["doc_id"] in room], f"doc_id {kind}, order string, toxic int, sketch array<long>")
+    kept = without_copies(train, taken)
+    chosen = pinned(train.join(F.broadcast(kept), "doc_id"), "toxic-examples")  # at most SAMPLE ids
     totals = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     terms: list[bytes] = []
@@ -286,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sa
     if n1 and n0:
         words = map_texts(chosen, ["toxic"], lambda: lambda texts: [[[t.decode("latin-1") for t in set(words_of(x))] for x in texts]], "terms array<string>")
         # at most the words of SAMPLE_BYTES of text
-        found = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).orderBy("term").toArrow()
+        found = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toArrow().sort_by("term")
         a, n = found["a"].to_numpy().astype(float), found["n"].to_numpy().astype(float)
         terms = [t.encode("latin-1") for t in found["term"].to_pylist()]
         relevant = relevance(a, n - a, (rates[0] / n0) / (rates[1] / n1), rates[1] / (rates[0] + rates[1]))
@@ -333,11 +353,11 @@ def _index(docs: DataFrame, chosen: DataFrame, terms: list[bytes], relevant: np.
 
         def work(texts):
             found = [m(t) for t in texts]
-            return [[i.astype(np.int32).tobytes() for i, _ in found], [c.astype(np.int32).tobytes() for _, c in found], [text_hash(t) for t in texts]]
+            return [[i.astype(np.int32).tobytes() for i, _ in found], [c.astype(np.int32).tobytes() for _, c in found]]
 
         return work
 
-    rows = sorted(map_texts(chosen, ["doc_id", "toxic"], counted, "numbers binary, counts binary, hash long").collect(), key=lambda r: (str(r["doc_id"]), r["toxic"]))
+    rows = sorted(map_texts(chosen, ["doc_id", "toxic"], counted, "numbers binary, counts binary").collect(), key=lambda r: (str(r["doc_id"]), r["toxic"]))
     labels = np.array([r["toxic"] for r in rows], dtype=float)
     share = {y: (rates.get(y, 0) / max(1, (labels == y).sum())) for y in (0, 1)}
     scale = sum(rates.values()) / max(1, len(rows))
@@ -348,53 +368,47 @@ def _index(docs: DataFrame, chosen: DataFrame, terms: list[bytes], relevant: np.
     keep = np.flatnonzero(~empty)
     numbers, counts = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int32) for c in ("numbers", "counts"))
     starts = np.concatenate([[0], np.cumsum([len(rows[i]["numbers"]) // 4 for i in keep])]).astype(np.int64)
-    model = Model(terms, idf, [rows[i]["doc_id"] for i in keep], labels[keep], weights[keep], np.array([rows[i]["hash"] for i in keep], dtype=np.int64), starts, numbers, counts, all_rate, none=none_rate, key=uuid.uuid4().hex)
+    model = Model(terms, idf, [rows[i]["doc_id"] for i in keep], labels[keep], weights[keep], starts, numbers, counts, all_rate, none=none_rate, key=uuid.uuid4().hex)
     if len(keep):
-        # the examples themselves, left out by their texts; SAMPLE rows of two numbers return
+        # the examples themselves, each without its own vote; SAMPLE rows of two numbers return
         tasks = max(1, len(keep) // (16 * TOGETHER))
         raw = {r["doc_id"]: r["score"] for r in score_documents(chosen.repartition(tasks), model).select("doc_id", "score").collect()}
         model.knots = _isotonic(np.array([raw[i] for i in model.ids]), model.labels, model.weights)
     return model
 
 
-_cached: dict[str, tuple[Matcher, BlockMaxIndex, dict[int, list[int]]]] = {}
+_cached: dict[str, tuple[Matcher, BlockMaxIndex, dict]] = {}
 
 
-def ready(model: Model) -> tuple[Matcher, BlockMaxIndex, dict[int, list[int]]]:
-    """One matcher, index and table of example texts for each Python worker, those of the last model."""
+def ready(model: Model) -> tuple[Matcher, BlockMaxIndex, dict]:
+    """One matcher, index and table of example ids for each Python worker, those of the last model."""
     if model.key not in _cached:
         _cached.clear()
-        same: dict[int, list[int]] = {}
-        for i, h in enumerate(model.texts.tolist()):
-            same.setdefault(h, []).append(i)
-        _cached[model.key] = Matcher(model.terms), model.index(), same
+        _cached[model.key] = Matcher(model.terms), model.index(), {d: i for i, d in enumerate(model.ids)}
     return _cached[model.key]
 
 
 def scorer(model: Model):
-    """A function from texts to [score, evidence ids, evidence cosines]. An example never votes on a text equal to its own."""
+    """A function from texts and their doc_ids to [score, evidence ids, evidence cosines]. A labelled row never votes on itself; equal texts of other rows do."""
 
     def make():
-        m, index, same = ready(model)
+        m, index, place = ready(model)
 
-        def scored(text, ids, sims):
-            own = same.get(text_hash(text))
-            if own:
-                far = ~np.isin(ids, own)
+        def scored(own, ids, sims):
+            if own is not None:
+                far = ids != own
                 ids, sims = ids[far], sims[far]
             ids, sims = ids[: model.k], sims[: model.k]
             raw = model.vote(ids, sims) if len(ids) else None
             score = model.none if raw is None else model.calibrated(raw) if len(model.knots) else raw
             return score, [model.ids[i] for i in ids], sims.tolist()
 
-        most = max(map(len, same.values()), default=0)
-
-        def work(texts):
+        def work(texts, doc_ids):
             out = [[], [], []]
             for a in range(0, len(texts), TOGETHER):
-                some = texts[a : a + TOGETHER]
-                for text, (ids, sims) in zip(some, index.search_all([model.vector(m(t)) for t in some], model.k + most), strict=True):
-                    for column, x in zip(out, scored(text, ids, sims), strict=True):
+                found = index.search_all([model.vector(m(t)) for t in texts[a : a + TOGETHER]], model.k + 1)
+                for doc_id, (ids, sims) in zip(doc_ids[a : a + TOGETHER], found, strict=True):
+                    for column, x in zip(out, scored(place.get(doc_id), ids, sims), strict=True):
                         column.append(x)
             return out
 
@@ -403,20 +417,25 @@ def scorer(model: Model):
     return make
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Columns ``keep`` (doc_id) with score, and evidence: ids and cosines of the labelled examples that voted.
 
+    ``key`` of ``keep`` holds the doc_id, by which a labelled example is kept from voting on itself; it tells nothing else.
     Null and empty texts hold no term and get the rate of labelled rows without any. A model fitted without labels of both
     kinds scores every text alike. Very long texts are one query like others. One pass, no shuffle. Repeated rows each get
     their score; no rows give none.
     """
-    kind = next((t for c, t in docs.dtypes if c == "doc_id"), "long") if not model.ids or not isinstance(model.ids[0], str) else "string"
-    return map_texts(docs, keep or ["doc_id"], scorer(model), f"score double, evidence array<{kind}>, evidence_cosine array<double>")
+    kind = next((t for c, t in docs.dtypes if c == key), "long") if not model.ids or not isinstance(model.ids[0], str) else "string"
+    return map_texts(docs, keep or ["doc_id"], scorer(model), f"score double, evidence array<{kind}>, evidence_cosine array<double>", also=(key,))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with the columns they came with."""
+    """The rows of ``docs`` whose score is below ``threshold``, with the columns they came with.
+
+    Null and empty texts have the rate of labelled texts without words, repeated rows stay or go together, an empty table
+    stays empty. Without labels of both kinds all rows stay.
+    """
     model = fit(docs, labels)
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text"))
-    return score_documents(rows, model, list(names.values())).where(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in names.items()])
+    return score_documents(rows, model, list(names.values()), names["doc_id"]).where(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in names.items()])

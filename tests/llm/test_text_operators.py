@@ -427,7 +427,7 @@ def test_toxicity_equals_brute_force(spark):
     share = dict(zip(model.ids, model.weights, strict=True))
 
     def neighbours(i):
-        sims = [(-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 9), k, j) for k, j in enumerate(model.ids) if text[j] != text[i]]
+        sims = [(-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 9), k, j) for k, j in enumerate(model.ids) if j != i]  # equal texts of other rows do vote
         return [(-s, j) for s, _, j in sorted(sims)[: model.k] if s < 0]
 
     for i in counts:
@@ -436,7 +436,7 @@ def test_toxicity_equals_brute_force(spark):
         if not near:
             assert got[i]["evidence"] == [] and got[i]["score"] == model.none
             continue
-        assert text[i] not in {text[j] for j in got[i]["evidence"]}
+        assert i not in got[i]["evidence"]
         total = sum(s * share[j] for s, j in near)
         raw = (sum(s * share[j] * label[j] for s, j in near) + toxicity.PRIOR * model.base) / (total + toxicity.PRIOR)
         if len({s for s, _ in near}) == len(near):
@@ -447,3 +447,28 @@ def test_toxicity_equals_brute_force(spark):
     # a sample of few bytes leaves large texts out, not the rest
     big = [{"toxic": y, "size": s, "order": str(k), "doc_id": k, "sketch": [k], "blank": False} for k, (y, s) in enumerate([(1, 900), (1, 10), (0, 10), (0, 10)])]
     assert sorted(toxicity.examples(big, 200)) == [1, 2, 3]
+
+
+def test_toxicity_hears_every_labelled_neighbour(spark):
+    """Copies of an example under other ids are found; a common run of words makes no copy; only near-equal texts are one example."""
+    common = "thank you for reading this page "
+    rows = [(i, common + " ".join(f"plain{i}word{k}" for k in range(30))) for i in range(1, 60)]
+    bad = common + "you utter wretch go away and never come back here again"
+    rows += [(1000, bad), (1001, bad), (1002, bad + " friend"), (1003, bad.replace("away", "off"))]
+    docs = spark.createDataFrame([*rows, (2000, bad), (2001, bad + " now")], "doc_id long, text string")
+    free = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i in free], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(model.ids) >= {i for i in free if i < 1000}  # the common run drops no row
+    assert len([i for i in model.ids if i >= 1000]) < len([i for i in free if i >= 1000]) or len([i for i in free if i >= 1000]) < 2
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
+    for i in (2000, 2001):
+        assert got[i]["score"] >= 0.3 and got[i]["evidence"][0] >= 1000
+    assert got[2000]["evidence_cosine"][0] == pytest.approx(1.0)
+    assert all(i not in r["evidence"] for i, r in got.items())
+
+
+def test_copies_of_the_sample():
+    a = " ".join(f"w{i}" for i in range(60)).encode()
+    near, far = a + b" end", b" ".join(a.split()[:20]) + b" " + b" ".join(b"z%d" % i for i in range(40))
+    assert toxicity.one_of_copies([("1", 1, a, 1), ("2", 1, near, 2), ("3", 1, far, 3), ("4", 0, a, 4), ("5", 1, a, 5)]) == [1, 3, 4]
