@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, dropped, map_texts, pinned, spread_join
+from .common import Forest, block_pairs, components, drop_path, dropped, filed, map_texts, part_of, pinned, spread_join
 
 SEED = 42
 SHINGLE = 4
@@ -16,7 +16,10 @@ RADIUS = 4
 #: Fingerprints of a tile at most, and tiles at least (so that small inputs still use several tasks).
 TILE = 65_536
 MIN_TILES = 8
-#: Tasks that compare tiles, at most; a task with several tile pairs takes one after another.
+#: Tiles of a block: a task holds two blocks and compares their tiles. Blocks are smaller while there are fewer than BLOCKS of them.
+BLOCK = 16
+BLOCKS = 12
+#: Tasks that compare blocks, at most; a task with several pairs takes one after another.
 MOST_TASKS = 20_000
 
 
@@ -120,8 +123,9 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, leas
     """Edges (a, b) that join all distinct fingerprints (column fp) within ``radius`` bits.
 
     The tiles follow the population count: fingerprints whose counts differ beyond the radius cannot be that near, so such
-    tile pairs are never made. A task compares two tiles with exclusive-or and bit counts and returns a spanning forest of
-    what it found: at most a row for each fingerprint, however large the groups are.
+    tile pairs are never compared. Each tile is written once, as a file of its own; a task opens the tiles of two blocks and
+    compares them with exclusive-or and bit counts, so no fingerprint is sent to more than one place. It returns a spanning
+    forest of what it found: at most a row for each fingerprint, however large the groups are.
     """
     distinct = distinct.withColumn("pop", F.bit_count("fp").cast("int"))
     histogram = [(r["pop"], r["n"]) for r in distinct.groupBy("pop").agg(F.count("*").alias("n")).collect()]  # 65 rows at most
@@ -129,35 +133,54 @@ def tile_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, leas
     if not histogram:
         return spark.createDataFrame([], "a long, b long")
     plan = _partners(_tile_plan(histogram, tile, least), radius)
-    # each tile pair from both its sides, so about half of this
-    sides = sum(parts * (hi - lo + 2) for _, _, parts, lo, hi in {p[1]: p for p in plan}.values())
-    tasks = min(MOST_TASKS, max(1, sides // 2))
-    plan_rows = spark.createDataFrame(plan, "pop int, first int, parts int, lo int, hi int")  # 65 rows at most
-    tiled = distinct.join(F.broadcast(plan_rows), "pop").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("tile"), "lo", "hi")
-    dealt = tiled.select("fp", "tile", F.explode(F.sequence("lo", "hi")).alias("other")).select("fp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a = np.sort(pdf.loc[pdf["tile"] == i, "fp"].to_numpy(np.int64))
-        b = a if i == j else np.sort(pdf.loc[pdf["tile"] == j, "fp"].to_numpy(np.int64))
-        offset = 0 if i == j else len(a)
-        every = a if i == j else np.concatenate([a, b])
-        forest, touched = Forest(len(every)), np.zeros(len(every), bool)
-        for r, found in _near(a.view(np.uint64), b.view(np.uint64), radius, i == j):
-            ids = np.append(found + offset, r)
-            forest.join(ids)
-            touched[ids] = True
-        ids = np.flatnonzero(touched)
-        roots = forest.roots(ids)
-        keep = ids != roots
-        return pd.DataFrame({"a": every[ids[keep]], "b": every[roots[keep]]})
-
-    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    tiles = max(first + parts for _, first, parts, _, _ in plan)
+    block = max(1, min(BLOCK, tiles // BLOCKS))
+    #: first and last partner of each tile; 65 kinds of tiles, each a range
+    reach = sorted({(first, first + parts - 1, lo, hi) for _, first, parts, lo, hi in plan})
+    lows, highs = np.zeros(tiles, np.int64), np.zeros(tiles, np.int64)
+    for first, last, lo, hi in reach:
+        lows[first : last + 1], highs[first : last + 1] = lo, hi
+    # a pair is compared once, by the block of its later tile
+    spans = [(i, int(lows[i * block : (i + 1) * block].min()) // block, i) for i in range(-(-tiles // block))]
+    tasks = min(MOST_TASKS, max(1, sum(j - i + 1 for _, i, j in spans)))
+    plan_rows = spark.createDataFrame([(pop, first, parts) for pop, first, parts, _, _ in plan], "pop int, first int, parts int")  # 65 rows at most
+    tiled = distinct.join(F.broadcast(plan_rows), "pop").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("tile"))
+    path = filed(tiled.repartition("tile"), "tile", "simhash-tiles")
+
+    def tiles_of(b: int) -> dict[int, np.ndarray]:
+        found = {t: part_of(path, "tile", t, ["fp"]) for t in range(b * block, min(tiles, (b + 1) * block))}
+        return {t: np.sort(rows["fp"].to_numpy()) for t, rows in found.items() if rows.num_rows}
+
+    def compare(batches):
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left = tiles_of(i)
+                right = left if i == j else tiles_of(j)
+                every = np.concatenate([*(right.values() if i == j else [*right.values(), *left.values()]), np.zeros(0, np.int64)])
+                at = dict(zip([*right, *([] if i == j else left)], np.cumsum([0, *map(len, right.values()), *([] if i == j else map(len, left.values()))])[:-1].tolist(), strict=True))
+                forest, touched = Forest(len(every)), np.zeros(len(every), bool)
+                for t, a in left.items():
+                    for u, b in right.items():
+                        if u <= t and lows[t] <= u <= highs[t]:
+                            for r, found in _near(a.view(np.uint64), b.view(np.uint64), radius, u == t):
+                                ids = np.append(found + at[u], r + at[t])
+                                forest.join(ids)
+                                touched[ids] = True
+                ids = np.flatnonzero(touched)
+                roots = forest.roots(ids)
+                keep = ids != roots
+                yield pa.RecordBatch.from_arrays([pa.array(every[ids[keep]]), pa.array(every[roots[keep]])], names=["a", "b"])
+
+    links = pinned(block_pairs(spark, spans, tasks).mapInArrow(compare, "a long, b long"), "simhash-links")
+    drop_path(spark, path)
+    return links
 
 
 def _groups(classes: DataFrame, radius: int) -> DataFrame:
     """fp and group (the smallest fingerprint reachable by links) of ``classes``, which has each fingerprint once."""
-    comp = components(tile_links(classes.select("fp"), radius))
+    links = tile_links(classes.select("fp"), radius)
+    comp = components(links)
+    dropped(links)
     return classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("component")
 
 
