@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, dropped, pinned, places, spread_join
+from .common import Forest, block_pairs, components, drop_path, dropped, filed, part_of, pinned, places, spread_join
 
 COSINE = 0.9
 #: Vectors of a shard at most, and shards at least.
@@ -22,8 +25,8 @@ AUDIT = 128
 LINKED = 128
 #: Queries that walk the graph together.
 TOGETHER = 512
-#: Shards of a group: a task takes two groups and compares all their shards, so a graph is sent once a group, not once a shard.
-#: Groups are smaller while there are fewer than GROUPS of them.
+#: Shards of a group: a task takes the shards of two groups, one of either at a time. Groups are smaller while there are fewer
+#: than GROUPS of them.
 GROUP = 4
 GROUPS = 24
 
@@ -239,7 +242,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
     classes = pinned(classes.withColumn("rep", F.monotonically_increasing_id()), "hnsw-classes")
     n = classes.count()
     count = max(shards, -(-n // shard))
-    links = pinned(_class_links(classes.select("rep", "embedding", "copies"), count, cosine), "hnsw-links")
+    links = _class_links(classes.select("rep", "embedding", "copies"), count, cosine)
     comp = components(links.where("peer is not null").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
     of_class = classes.drop("embedding").join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -299,22 +302,41 @@ def _class_links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
         return pd.DataFrame(out, columns=["shard", "dim", "reps", "copies", "x", "graph"])
 
     kinds = "shard int, dim int, reps binary, copies binary, x binary, graph binary"
-    graphs = pinned(sharded.repartition(count, "place").groupBy("place").applyInPandas(build, kinds), "hnsw-graphs")
-    # every vector meets every shard once: the later shard of a pair queries the earlier one's graph
+    graphs = filed(sharded.repartition(count, "place").groupBy("place").applyInPandas(build, kinds), "shard", "hnsw-graphs")
+    # every vector meets every shard once: the later shard of a pair queries the earlier one's graph. A shard is written once;
+    # a task opens the files of two shards at a time, so no vector is sent to more than one place
     group = max(1, min(GROUP, count // GROUPS))
     groups = -(-count // group)
-    own = F.floor(F.col("shard") / group).cast("int")
-    tasks = groups * (groups + 1) // 2
-    met = graphs.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    met = met.withColumn("place", label(tasks, F.col("j") * (F.col("j") + 1) / 2 + F.col("i")).cast("int")).drop("other")
-
-    def query(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        later, earlier = (list(pdf[pdf["own"] == k].itertuples()) for k in (j, i))
-        made = [_query(a, b, cosine) for a in later for b in earlier if a.dim == b.dim and a.shard >= b.shard]
-        return pd.concat(made) if made else pd.DataFrame({"rep": [], "peer": [], "links": []})
-
-    return met.repartition(tasks, "place").groupBy("place").applyInPandas(query, "rep long, peer long, links long")
+    shards_of = lambda g: range(g * group, min(count, (g + 1) * group))
+
+    def query(batches):
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for early in shards_of(j):
+                    graph = _Shards(graphs, early)
+                    for late in shards_of(i):
+                        if late >= early:
+                            for made in graph.links(graph if late == early else _Shards(graphs, late, ["dim", "reps", "copies", "x"]), cosine):
+                                yield pa.RecordBatch.from_pandas(made, schema=pa.schema([("rep", pa.int64()), ("peer", pa.int64()), ("links", pa.int64())]), preserve_index=False)
+
+    tasks = block_pairs(spark, [(i, 0, i) for i in range(groups)], groups * (groups + 1) // 2)
+    links = pinned(tasks.mapInArrow(query, "rep long, peer long, links long"), "hnsw-links")
+    drop_path(spark, graphs)
+    return links
+
+
+class _Shards:
+    """What one shard has written, a row for each length of vectors."""
+
+    def __init__(self, path: str, shard: int, columns: list[str] | None = None):
+        rows = part_of(path, "shard", shard, columns)
+        self.rows = [SimpleNamespace(shard=shard, **r) for r in rows.to_pylist()]
+
+    def links(self, queries: _Shards, cosine: float):
+        for b in self.rows:
+            for a in queries.rows:
+                if a.dim == b.dim:
+                    yield _query(a, b, cosine)
 
 
 def _query(a, b, cosine: float) -> pd.DataFrame:
