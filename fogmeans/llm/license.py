@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import corpus_counts, map_texts
@@ -27,6 +28,19 @@ PASSAGES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee",)),
     ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3", "gnu general public license version 3 29 june 2007", ("gnu general public license version 3",)),
+    ("gpl-2", "gnu general public license version 2 june 1991", ("gnu general public license version 2",)),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007", ("gnu lesser general public license version 3",)),
+    ("agpl", "gnu affero general public license version 3 19 november 2007", ("gnu affero general public license version 3",)),
+    ("apache-2", "apache license version 2 0 january 2004", ("apache license version 2 0",)),
+    ("mit", "spdx license identifier mit", ("spdx license identifier mit",)),
+    ("apache-2", "spdx license identifier apache 2 0", ("spdx license identifier apache 2 0",)),
+    ("bsd", "spdx license identifier bsd 2 clause", ("spdx license identifier bsd 2 clause",)),
+    ("bsd-3", "spdx license identifier bsd 3 clause", ("spdx license identifier bsd 3 clause",)),
+    ("isc", "spdx license identifier isc", ("spdx license identifier isc",)),
+    ("gpl-2", "spdx license identifier gpl 2 0", ("spdx license identifier gpl 2 0",)),
+    ("gpl-3", "spdx license identifier gpl 3 0", ("spdx license identifier gpl 3 0",)),
+    ("mpl-2", "spdx license identifier mpl 2 0", ("spdx license identifier mpl 2 0",)),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
     ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2 of the license")),
     ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3 of the license")),
@@ -49,6 +63,8 @@ TEMPLATES = PASSAGES
 #: Share of a template's words that must stand in their order, and by how many words their places may drift in a match.
 COVER = 0.8
 BAND = 4
+#: Indexed words that every match holds, where the template has as many.
+HOLD = 4
 
 
 def common(tpl: list, words: list, start: int, band: int = BAND) -> int:
@@ -70,48 +86,68 @@ class Scanner:
 
     A match is a place ``start`` where at least ``cover`` of the template's words stand in order, word j at start + j to
     start + j + band, so words may be inserted, left out or changed; the key phrases must stand in the same stretch. A
-    template is indexed by one word more than a match may miss, so every match holds an indexed word: the lookup loses
-    nothing. A base phrase is a template without misses, indexed by its rarest word. ``idf`` orders the words; it decides the cost, never the result.
+    template is indexed by HOLD words more than a match may miss. Their postings in a text are intersected by relative
+    position: only a start with at least HOLD indexed words in its band is compared word by word, so the lookup loses nothing
+    and a text that repeats some licence words costs no comparison. A base phrase is a template without misses or band, whose
+    places are the intersection of all its words' postings. ``idf`` orders the words; it decides the cost, never the result.
     """
 
     def __init__(self, idf: dict[str, float] | None = None, templates=TEMPLATES, base=BASE, cover: float = COVER, band: int = BAND):
         idf = idf or {}
         self.cover, self.band = cover, band
-        self.templates, self.post = [], defaultdict(list)
-        self.base, self.base_post = [(label, p.encode().split()) for p, label in base], defaultdict(list)
+        self.templates, self.anchors = [], set()
 
         def rarest(words):
             return sorted(range(len(words)), key=lambda i: (-idf.get(words[i].decode(), math.inf), -len(words[i]), i))
 
-        for n, (_, words) in enumerate(self.base):
-            i = rarest(words)[0]
-            self.base_post[words[i]].append((n, i))
-        for n, (label, text, keys) in enumerate(templates):
+        self.base = [(label, [(words[i], i) for i in rarest(words)]) for p, label in base for words in [p.encode().split()]]
+        #: the rarest word of each base phrase, where the intersection of its postings begins
+        self.base_post = defaultdict(list)
+        for n, (_, index) in enumerate(self.base):
+            self.base_post[index[0][0]].append(n)
+        for label, text, keys in templates:
             words = text.encode().split()
             need = math.ceil(cover * len(words) - 1e-9)
-            self.templates.append((label, words, [b" " + k.encode() + b" " for k in keys], need, Counter(words)))
-            for i in rarest(words)[: len(words) - need + 1]:
-                self.post[words[i]].append((n, i))
-        self.anchors = set(self.post) | set(self.base_post)
+            hold = min(HOLD, need)
+            index = [(words[i], i) for i in rarest(words)[: len(words) - need + hold]]
+            self.templates.append((label, words, [b" " + k.encode() + b" " for k in keys], need, Counter(words), index, hold))
+            self.anchors |= {w for w, _ in index}
+        self.anchors |= {w for _, index in self.base for w, _ in index}
+
+    def starts_of(self, index: list, hold: int, places: dict[bytes, np.ndarray], n: int) -> list[int]:
+        """Starts (from -length) at which at least ``hold`` words of ``index`` stand within the band, from their postings."""
+        index = [(w, i) for w, i in index if w in places]
+        if len(index) < hold:
+            return []
+        low = max(i for _, i in index) + self.band
+        counts = np.zeros(n + low + 1, dtype=np.int16)
+        for w, i in index:
+            here = np.zeros(len(counts), bool)
+            for d in range(self.band + 1):
+                here[places[w] - i - d + low] = True
+            counts += here
+        return (np.flatnonzero(counts >= hold) - low).tolist()
 
     def scan(self, text: bytes | None) -> dict:
         words = WORD.findall((text or b"").lower())
         starts, base_labels, labels, score, spans = [], set(), set(), 0.0, []
         hits = self.anchors & set(words)
         if hits:
-            matches, seen = defaultdict(dict), set()
+            lists = defaultdict(list)
             for p, w in enumerate(words):
                 if w in hits:
-                    for n, i in self.base_post.get(w, ()):
-                        label, tpl = self.base[n]
-                        if p >= i and words[p - i : p - i + len(tpl)] == tpl:
-                            starts.append(p - i)
-                            base_labels.add(label)
-                            score = 1.0
-                    for n, i in self.post.get(w, ()):
-                        if (n, p - i) not in seen:
-                            seen.add((n, p - i))
-                            self._match(words, n, p - i, matches[n])
+                    lists[w].append(p)
+            places = {w: np.array(p) for w, p in lists.items()}
+            for n in [n for w in self.base_post.keys() & hits for n in self.base_post[w]]:
+                label, index = self.base[n]
+                at = places[index[0][0]] - index[0][1]
+                for w, i in index[1:]:
+                    at = np.intersect1d(at, places.get(w, np.zeros(0, int)) - i, assume_unique=True)
+                if len(at):
+                    starts += at.tolist()
+                    base_labels.add(label)
+                    score = 1.0
+            matches = {n: self._matches(words, n, places) for n in range(len(self.templates))}
             for n, found in matches.items():
                 if found:
                     label, tpl = self.templates[n][:2]
@@ -126,22 +162,23 @@ class Scanner:
                         run.append(start)
         return {"n_words": len(words), "starts": starts, "base": base_labels, "labels": base_labels | labels, "score": score, "spans": sorted(set(spans))}
 
-    def _match(self, words: list, n: int, at: int, found: dict) -> None:
-        """Add to ``found`` the matches (start: words) of template n that may have an indexed word at place ``at`` of the alignment."""
-        label, tpl, keys, need, counts = self.templates[n]
-        near = Counter(words[max(0, at - self.band) : max(0, at + len(tpl) + self.band)])
-        if sum(min(k, near[w]) for w, k in counts.items()) < need:
-            return
-        whole = at >= 0 and words[at : at + len(tpl)] == tpl
-        for s in range(at - self.band, at + 1):
-            if s in found:
+    def _matches(self, words: list, n: int, places: dict[bytes, np.ndarray]) -> dict[int, int]:
+        """start: words in order, of each match of template n."""
+        _, tpl, keys, need, counts, index, hold = self.templates[n]
+        found = {}
+        for s in self.starts_of(index, hold, places, len(words)):
+            stretch = words[max(0, s) : max(0, s + len(tpl) + self.band)]
+            near = Counter(stretch)
+            if sum(min(k, near[w]) for w, k in counts.items()) < need:
                 continue
-            # an exact copy at ``at`` lies in all these stretches
-            same = len(tpl) if whole else common(tpl, words, s, self.band)
+            line = b" " + b" ".join(stretch) + b" "
+            if not all(k in line for k in keys):
+                continue
+            exact = any(words[s + d : s + d + len(tpl)] == tpl for d in range(max(0, -s), self.band + 1))
+            same = len(tpl) if exact else common(tpl, words, s, self.band)
             if same >= need:
-                line = b" " + b" ".join(words[max(0, s) : max(0, s + len(tpl) + self.band)]) + b" "
-                if all(k in line for k in keys):
-                    found[s] = same
+                found[s] = same
+        return found
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:

@@ -472,3 +472,22 @@ def test_copies_of_the_sample():
     a = " ".join(f"w{i}" for i in range(60)).encode()
     near, far = a + b" end", b" ".join(a.split()[:20]) + b" " + b" ".join(b"z%d" % i for i in range(40))
     assert toxicity.one_of_copies([("1", 1, a, 1), ("2", 1, near, 2), ("3", 1, far, 3), ("4", 0, a, 4), ("5", 1, a, 5)]) == [1, 3, 4]
+
+
+def test_license_headings_and_repeated_words():
+    s = license.Scanner()
+    assert s.scan(b"GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007")["labels"] == {"gpl-3"}
+    for line, label in ((b"// SPDX-License-Identifier: Apache-2.0", "apache-2"), (b"# SPDX-License-Identifier: MIT", "mit"), (b"SPDX-License-Identifier: BSD-3-Clause", "bsd-3")):
+        assert s.scan(line)["labels"] == {label}
+    # words that repeat hold no place of a passage together: nothing is compared word by word
+    compared = []
+    whole, license.common = license.common, lambda *a: compared.append(a) or whole(*a)
+    try:
+        for word in (b"software ", b"license ", b"permission notice ", b"warranties "):
+            assert s.scan(word * 20_000)["labels"] == set()
+    finally:
+        license.common = whole
+    assert not compared
+    tpl = next(t for label, t, _ in license.TEMPLATES if label == "isc").encode()
+    found = s.scan(b"software " * 5000 + tpl + b" software" * 5000)
+    assert found["labels"] == {"isc"} and any(first >= 5000 for _, first, _, _ in found["spans"])
