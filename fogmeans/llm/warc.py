@@ -53,6 +53,22 @@ def _record(kind: Column, record_id: Column, uri: Column, date: str, content_typ
     return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *[F.concat(F.lit(f"{k}: "), v) for k, v in fields]), F.lit(END), block)
 
 
+#: What may not stand in a line of application/warc-fields, percent-encoded.
+ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+
+
+def escaped(value: Column) -> Column:
+    for plain, code in ESCAPES:
+        value = F.replace(value, F.lit(plain), F.lit(code))
+    return value
+
+
+def unescaped(value: Column) -> Column:
+    for plain, code in reversed(ESCAPES):
+        value = F.replace(value, F.lit(code), F.lit(plain))
+    return value
+
+
 def roles(pages: DataFrame) -> DataFrame:
     """page_id, link, digest, bytes, n (rows equal in these), keeper, keeper_link: the row whose response holds the payload (null: this one).
 
@@ -74,7 +90,8 @@ def roles(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write a request, a response or revisit, and a metadata record of each page (page_id, url, html) to files under ``path``.
 
-    Null html is the empty payload; a null url is empty; line breaks in urls are dropped. Every row is a capture of its own,
+    Null html is the empty payload; a null url is empty; line breaks in urls are dropped, those in page_ids of text are
+    percent-encoded and come back. Every row is a capture of its own,
     rows equal in page_id, url and html too: their identifiers hold a number, and very many of them are made in blocks that
     are dealt to all tasks. Pages with large payloads go to files of fewer records, so a file is bounded by bytes. An empty
     table gives files without records; other columns are ignored. With "gzip" each record is a member of its own; other
@@ -100,7 +117,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compr
     digest = F.concat(F.lit("sha1:"), F.col("dig"))
     response = _record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), rid, F.col("uri"), date, "application/http;msgtype=response", F.when(revisit, head).otherwise(F.concat(head, F.col("body"))), [("WARC-Payload-Digest", digest), ("WARC-Refers-To", F.when(revisit, _uuid("response", keeper))), ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))])
     request = _record(F.lit("request"), _uuid("request", own), F.col("uri"), date, "application/http;msgtype=request", F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1" + END)), [("WARC-Concurrent-To", rid)])
-    fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("pid").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payload-length: "), F.col("bytes").cast("string"), F.lit("\r\n"))
+    fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), escaped(F.col("pid").cast("string")), F.lit("\r\n")), F.lit("")), F.lit("payload-length: "), F.col("bytes").cast("string"), F.lit("\r\n"))
     metadata = _record(F.lit("metadata"), _uuid("metadata", own), F.col("uri"), date, "application/warc-fields", fields, [("WARC-Concurrent-To", rid)])
     large = r.where(F.col("bytes") > LARGE).head(1)
     for some, most in [(rows.where(F.col("bytes") <= LARGE) if large else rows, FILE_RECORDS), *([(rows.where(F.col("bytes") > LARGE), LARGE_RECORDS)] if large else [])]:
@@ -200,11 +217,12 @@ def captures(records: DataFrame, id_type: str = "long") -> DataFrame:
     Requests and metadata meet their response through concurrent-to identifiers, revisits the page they refer to through
     its record identifier. Identifiers are near-unique, so the joins are even; very many revisits of one response are split
     by the adaptive skew join. Records read twice are one. page_id is read as ``id_type``. A response without request or metadata has nulls there.
+    No records give no rows. ``records`` is read three times; round_trip() writes the heads once for that.
     """
     first = [c for c in records.columns if c != "record_id"]
     main = records.where(F.col("type").isin("response", "revisit"))
     side = lambda t, *cols: records.where(F.col("type") == t).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.first(F.struct(*cols)).alias(t))
-    meta = side("metadata", "record_id", F.col("fields")["page-id"].cast(id_type).alias("page_id"), F.col("fields")["payload-length"].cast("long").alias("payload_bytes"))
+    meta = side("metadata", "record_id", unescaped(F.col("fields")["page-id"]).cast(id_type).alias("page_id"), F.col("fields")["payload-length"].cast("long").alias("payload_bytes"))
     one = main.groupBy("record_id").agg(F.first(F.struct(*first)).alias("response"))
     whole = one.join(meta, "record_id", "left").join(side("request", "record_id", "uri"), "record_id", "left")
     whole = pinned(whole, "warc-captures")
@@ -221,8 +239,13 @@ def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path)
-    out = captures(read(spark, path, payloads), dict(pages.dtypes)["page_id"])
+    records = read(spark, path, payloads)
+    if not payloads:
+        # every archive is unpacked and checked once; the heads are small
+        records = pinned(records, "warc-heads")
+    out = captures(records, dict(pages.dtypes)["page_id"])
     drop_path(spark, path)
+    dropped(records)
     return out
 
 

@@ -309,3 +309,17 @@ def test_vector_sql(spark, tmp_path):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect()}
     assert set(got) == set(want) and sum(w[0] for w in want.values()) > 20_000
     assert sum(g[0] for g in got.values()) >= 0.9 * sum(w[0] for w in want.values()) and np.mean([got[i] == want[i] for i in want]) > 0.9
+
+
+def test_warc_ids_of_any_text(spark):
+    """Line breaks, colons, percent signs and blanks in page_ids come back as they were, from heads and from whole records."""
+    ids = ["a\nb", "c\r\nd", "x: y", "100%0A", "%", "", " lead", "WARC/1.1\r\n\r\n", None]
+    big = "<p>" + "same " * 400
+    rows = [(p, f"http://h/{i}", big if i % 2 else f"<p>{i}") for i, p in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for payloads in (False, True):
+        got = warc.round_trip(pages, payloads).collect()
+        assert sorted((r["page_id"] is None, r["page_id"] or "", r["url"]) for r in got) == sorted((p is None, p or "", u) for p, u, _ in rows)
+        keeper = max(p for i, p in enumerate(ids) if i % 2 and p is not None)
+        assert {r["refers_to_page"] for r in got if r["response"]["type"] == "revisit"} == {keeper}
+    assert warc.round_trip(pages.limit(0), False).count() == 0
