@@ -32,3 +32,14 @@ def mid_ranked(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with ``name``: the mid-rank (from 1) of ``column`` among all rows."""
     at = distinct_counts(df, column).select(F.col("value").alias("__v"), (F.col("before") + (F.col("n") + 1) / 2).cast("double").alias(name))
     return df.join(at, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the number (from 0) of each row in order of ``order``, counted in ranges; written to the shared folder."""
+    part, inner = F.spark_partition_id(), F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part.alias("__part"), inner.alias("__inner")), "numbered")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    first = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__first"))
+    out = written(dealt.join(first, "__part").withColumn(name, F.col("__first") + F.col("__inner")).drop("__part", "__inner", "__first"), "numbered")
+    deleted(dealt)
+    return out

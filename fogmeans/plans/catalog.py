@@ -252,7 +252,6 @@ _long("fedprox", lambda b, v: fed.federated(b, v, rounds=2, steps=2, lr=fed.BASE
 _long("ditto", lambda b, v: _with_own(fed.federated(b, v, rounds=2, steps=1, lr=fed.BASELINE_LR, ditto=0.1)), oracles.federated(2, 1, 0.75, ditto=0.1))
 _long("ifca", lambda b, v: np.vstack(fed.clustered(b, [v, v + 0.05], rounds=2, steps=1)[0]), oracles.clustered(0.05, 2, 1, 0.75))
 _long("model_avg", lambda b, v: fed.model_averaging(b, v, most=2, starts={p: v + 0.02 * p for p in b.clients}).centers, oracles.averaged(2, shift=0.02))
-_long("stallmann_avg2", lambda b, v: fed.pooled_means(b, v, rounds=2, steps=1).centers)
 _long("fednova", lambda b, v: fed.normalized(b, v, {0: 1, 1: 2, 2: 1, 3: 2}, rounds=2).centers, oracles.normalized({0: 1, 1: 2, 2: 1, 3: 2}, 2))
 _long("pedrycz", lambda b, v: fed.gradient(b, v, 0.001, rounds=2, steps=1).centers, oracles.gradient(0.001, 2, 1))
 _long("scffcm", lambda b, v: fed.variates(b, v, 0.05, 1.0, rounds=2, steps=2, fraction=0.5).centers, oracles.variates(0.05, 1.0, 2, 2, 0.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import kernel, metrics, personal, trajectory
+from ..operators import geometry, kernel, metrics, personal, starts, trajectory
 from ..sources import points as pts
 from . import clientstate, oracles
 from .catalog import flat, query, r6
@@ -71,6 +71,20 @@ def held_out_metrics(spark, sf):
     return h.select(*[r6(c, c) for c in h.columns])
 
 
+# --- starts and pooled k-means -------------------------------------------------------------------------------------------
+@query(oracles.starts(4, 2, 7, 3))
+def kmeans_pp_starts(spark, sf):
+    """Two greedy starts of four centres."""
+    made = starts.greedy_starts(pts.from_embeddings(spark, sf), 4, 2, 7, 3)
+    return flat(kernel.centers_frame(spark, made.reshape(-1, made.shape[2])))
+
+
+@query(oracles.pooled(2, 1, 3, 4))
+def stallmann_avg2(spark, sf):
+    """Two rounds; k-means of three restarts and four rounds over the table of local centres."""
+    return _rows(spark, _state_run(spark, sf, clientstate.Pooled(steps=1, restarts=3, most=4), clients=4, tol=None)[1], False)
+
+
 # --- matchings of clusters and labels in different numbers ---------------------------------------------------------------
 def _rect_sql() -> str:
     q = oracles.Script(4, 5)
@@ -155,3 +169,29 @@ def trajectory_gates(spark, sf):
     rows = _trajectory(spark, sf)
     g = trajectory.clip_rates(rows).crossJoin(trajectory.gate_correlations(rows))  # one row each
     return g.select(*[r6(c, c) for c in g.columns])
+
+
+# --- geometry ------------------------------------------------------------------------------------------------------------
+def _pairs_sql() -> str:
+    q = oracles.Script()
+    d = q.add(f"select sqrt({oracles.DISTANCE.replace('(x, v)', '(a.x, b.x)')}) d from pt a join pt b on a.row_id < b.row_id")
+    return q.ending(f"select count(*) n, round(avg(d), 6) mean, round(stddev_pop(d), 6) std, round(avg(d) / stddev_pop(d), 6) ratio from {d}")
+
+
+@query(_pairs_sql())
+def pair_distances(spark, sf):
+    d = geometry.pair_distances(pts.from_embeddings(spark, sf), block=128)
+    return d.select("n", *[r6(c, c) for c in ("mean", "std", "ratio")])
+
+
+#: Rows of the first view, every fifth vector standing there twice more; of the second, in other numbers, each x scaled, some rows left out.
+_VIEWS = "e as (select vec_id, unnest([vec_id, vec_id + 1000000, vec_id + 2000000]) a from embeddings where vec_id % 5 = 0 union all select vec_id, vec_id from embeddings where vec_id % 5 <> 0), k as (select vec_id, a, (a * 7919) % 10000019 b from e), left_rows as (select vec_id, a, row_number() over (partition by vec_id order by a) n from k), right_rows as (select vec_id, b, row_number() over (partition by vec_id order by b) n from k where b % 11 <> 0)"
+
+
+@query(f"with {_VIEWS} select a a_id, b b_id from left_rows l full join right_rows r on l.vec_id = r.vec_id and l.n = r.n")
+def same_rows(spark, sf):
+    """A view found again in a permuted, scaled one with copies and missing rows."""
+    e = pts.from_embeddings(spark, sf)
+    a = e.where("row_id % 5 <> 0").select("row_id", "x").union(e.where("row_id % 5 = 0").select(F.explode(F.array(*[F.col("row_id") + i * 1_000_000 for i in range(3)])).alias("row_id"), "x"))
+    b = a.select(((F.col("row_id") * 7919) % 10_000_019).alias("row_id"), F.transform("x", lambda t: 3 * t - 2).alias("x")).where("row_id % 11 <> 0")
+    return geometry.same_rows(a, b.withColumn("x", F.transform("x", lambda t: (t + 2) / 3)))

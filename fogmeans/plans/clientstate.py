@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EPS, Protocol
-from ..operators import kernel
+from ..functions.numeric import best_assignment
+from ..operators import kernel, starts
+from ..operators.ranks import numbered
 from ..sources.shared import bucketed, deleted, written
-from .rounds import BASELINE_LR, SparkBackend, footprint_of, relevance, sums_of
+from .rounds import BASELINE_LR, SparkBackend, footprint_of, relevance, square_distances, sums_of
 
 P = Protocol()
 #: Numbers (rows times dimensions) of a client that one task may hold, and clients beyond that at most.
@@ -174,6 +176,39 @@ class Variates:
         return v
 
 
+@dataclass(frozen=True)
+class Pooled:
+    """Local centres of all clients (the state), unweighted, clustered into the next prototypes by k-means over their table.
+
+    The next prototypes stand in the order of the cheapest matching with those before. Round t draws its starts with seed + t.
+    """
+
+    steps: int = P.local_steps
+    m: float = P.m
+    restarts: int = 10
+    most: int = 300
+    seed: int = 0
+
+    def program(self, v, server, own, beta) -> Program:
+        c, _, _ = yield from _steps(v, self.steps, self.m)
+        return c, np.zeros(0), np.zeros(0)
+
+    def start(self, v):
+        return v
+
+    def pool(self, states: DataFrame, v: np.ndarray, t: int) -> np.ndarray:
+        k, d = v.shape
+        each = F.explode(F.array(*[F.lit(j) for j in range(k)])).alias("j")
+        rows = states.select("client", "own", each).select((F.col("client") * k + F.col("j")).cast("long").alias("row_id"), F.slice("own", F.col("j") * d + 1, F.lit(d)).alias("x"))
+        rows = written(rows, "local-centers")
+        new = starts.k_means(rows, k, self.restarts, self.seed + t, self.most)
+        deleted(rows)
+        return new[np.argsort(best_assignment(np.sqrt(square_distances(new, v))))]
+
+    def personal(self, v, own):
+        return v
+
+
 @dataclass
 class StateRun:
     """``centers`` and rounds; ``state`` (client, beta, own), the clients' last states; ``trajectory`` of a tracked Cell."""
@@ -213,14 +248,9 @@ class ClientStore:
         all_rows = each.agg(F.sum("n").alias("t"), F.count("*").alias("c")).head()
         self.n_rows, self.n_clients = all_rows["t"] or 0, all_rows["c"]
         self.buckets = buckets or int(min(BUCKETS[1], max(BUCKETS[0], -(-self.n_rows // BUCKET_ROWS))))
-        # the number of a client in order: counted in ranges, so that no task numbers all
-        ordered = each.repartitionByRange("client").sortWithinPartitions("client").withColumn("part", F.spark_partition_id())
-        ordered = written(ordered.withColumn("inner", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "client-sizes")
-        parts = [(r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]  # a row a task
-        before = dict(zip([p for p, _ in parts], np.cumsum([0, *[n for _, n in parts]])[:-1].tolist(), strict=True)) or {0: 0}
-        first = self.spark.createDataFrame(list(before.items()), "part int, first long")
+        ordered = numbered(each, ["client"], "place")
         limit = max(1, most_values // max(1, self.dim))
-        self.clients = written(ordered.join(first, "part").select("client", "n", (F.col("n") / F.lit(float(max(1, self.n_rows)))).alias("beta"), (F.col("first") + F.col("inner")).alias("place"), (F.col("n") > limit).alias("bulk")), "clients")
+        self.clients = written(ordered.select("client", "n", (F.col("n") / F.lit(float(max(1, self.n_rows)))).alias("beta"), "place", (F.col("n") > limit).alias("bulk")), "clients")
         deleted(ordered)
         bulk = self.clients.where("bulk").limit(MOST_BULK + 1).collect()
         if len(bulk) > MOST_BULK:
@@ -319,22 +349,30 @@ def run(store: ClientStore, rule, v0: np.ndarray, rounds: int = P.rounds, fracti
         else:
             deleted(states)
         states, old = new, v
-        v, server = rule.update(v, server, total, n_present if fraction < 1 else store.n_clients, store.n_clients)
+        if hasattr(rule, "pool"):
+            v = rule.pool(_states(store, states.where("present"), {c: own[c] for c in made}), v, t)
+        else:
+            v, server = rule.update(v, server, total, n_present if fraction < 1 else store.n_clients, store.n_clients)
         if not np.isfinite(v).all():
             error = "diverged"
             break
         if tol is not None and float(np.linalg.norm(v - old)) < tol:
             break
-    last = states.select("client", "beta", "own")
-    if own:
-        bulk = store.spark.createDataFrame([(c, store.bulk[c], o.ravel().tolist()) for c, o in own.items()], "client int, beta double, own array<double>")
-        last = last.union(bulk)
+    last = _states(store, states, own)
     trajectory = traces[0] if traces else None
     for more in traces[1:]:
         trajectory = trajectory.union(more)
     return StateRun(v, t + 1, last, trajectory, error, rule)
 
 
+def _states(store: ClientStore, states: DataFrame, own: dict) -> DataFrame:
+    """client, beta, own of the written states and of the bulk clients."""
+    last = states.select("client", "beta", "own")
+    if own:
+        last = last.union(store.spark.createDataFrame([(c, store.bulk[c], o.ravel().tolist()) for c, o in own.items()], "client int, beta double, own array<double>"))
+    return last
+
+
 def _trace(store: ClientStore, states: DataFrame, made: dict, t: int, v: np.ndarray) -> DataFrame:
     """Rows (round, client, j, share, n, pre, post, footprint, r, q, c) of one round, from its states."""
     k, d = v.shape

@@ -198,6 +198,52 @@ def trajectory(rounds: int = 3, steps: int = 1, clients: int = 4) -> tuple[Scrip
     return q, q.add(" union all ".join(parts))
 
 
+def greedy_starts(q: Script, pts: str, k: int, restarts: int, seed: int, trials: int) -> str:
+    """r, j, v: starts drawn step by step from a relation (id, x), all restarts side by side."""
+    apart = DISTANCE.replace("(x, v)", "(p.x, c.v)")
+
+    def even(step: int, candidate: str) -> str:
+        return f"-ln((('0x' || md5('{seed}|' || r || '|{step}|' || {candidate} || '|' || id)[1:13])::bigint + 0.5) / {16**13}.0)"
+
+    chosen = q.add(f"select r, 0 j, arg_min(x, ({even(0, '0')}, id)) v from {pts}, range({restarts}) t(r) group by r")
+    for step in range(1, k):
+        cost = q.add(f"select r, id, any_value(p.x) x, min({apart}) cost from {pts} p, {chosen} c group by r, id")
+        tried = q.add(f"select r, n, arg_min(x, ({even(step, 'n')} / cost, id)) v from {cost}, range({trials}) t(n) where cost > 0 group by r, n")
+        sums = q.add(f"select r, n, any_value(c.v) v, sum(least(cost, {apart})) s from {cost} p join {tried} c using (r) group by r, n")
+        chosen = q.add(f"select * from {chosen} union all select r, {step}, arg_min(v, (s, n)) from {sums} group by r")
+    return chosen
+
+
+def k_means(q: Script, pts: str, k: int, restarts: int, seed: int, trials: int, rounds: int) -> str:
+    """j, v: the centres of the best restart after so many rounds (a standing one stays)."""
+    v = greedy_starts(q, pts, k, restarts, seed, trials)
+    near = lambda v: q.add(f"select r, id, any_value(p.x) x, arg_min(j, ({DISTANCE.replace('(x, v)', '(p.x, c.v)')}, j)) j, min({DISTANCE.replace('(x, v)', '(p.x, c.v)')}) cost from {pts} p, {v} c group by r, id")
+    for _ in range(rounds):
+        v = q.add(f"select r, j, list(m order by i) v from (select r, j, i, avg(x[i]) m from {near(v)}, {DIMS} group by r, j, i) group by r, j")
+    best = q.add(f"select arg_min(r, (s, r)) r from (select r, sum(cost) s from {near(v)} group by r)")
+    return q.add(f"select j, v from {v} join {best} using (r)")
+
+
+def starts(k: int, restarts: int, seed: int, trials: int) -> str:
+    q = Script()
+    pts = q.add("select row_id id, x from pt")
+    chosen = greedy_starts(q, pts, k, restarts, seed, trials)
+    return q.flat(q.add(f"select r * {k} + j j, v from {chosen}"))
+
+
+def pooled(rounds: int, steps: int, restarts: int, lloyd: int, clients: int = 4) -> str:
+    """Local centres of all clients clustered into the next prototypes, which take the order of the cheapest matching."""
+    q, v = Script(clients), "v0"
+    orders = q.add("select * from (values " + ", ".join(f"({n}, {j}, {g})" for n, order in enumerate(permutations(range(q.k))) for j, g in enumerate(order)) + ") t(n, j, g)")
+    for t in range(rounds):
+        local, _, _ = q.steps(q.spread(v), steps)
+        new = k_means(q, q.add(f"select client * {q.k} + j id, v x from {local}"), q.k, restarts, t, 2 + int(np.log(q.k)), lloyd)
+        apart = q.add(f"select a.j, b.j g, sqrt({DISTANCE.replace('(x, v)', '(a.v, b.v)')}) d from {new} a, {v} b")
+        best = q.add(f"select arg_min(n, (cost, n)) n from (select n, sum(d) cost from {apart} join {orders} using (j, g) group by n)")
+        v = q.add(f"select g j, v from {new} join {orders} using (j) join {best} using (n)")
+    return q.flat(v)
+
+
 def central(iterations: int) -> str:
     q, v = Script(), "v0"
     for _ in range(iterations):

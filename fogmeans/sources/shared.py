@@ -57,3 +57,40 @@ def deleted(*frames: DataFrame | None) -> None:
 def delete_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def filed(df: DataFrame, key: str, name: str) -> str:
+    """Write ``df`` to the shared folder with a folder of its own for each value of the integer column ``key``; its path.
+
+    Tasks that compare many pairs of such parts open the two they need with part_of(), so no row is sent more than once.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.partitionBy(key).parquet(path)
+    return path
+
+
+def opened(path: str) -> tuple:
+    """(file system, path) of a URI, for tasks: a mounted folder, HDFS, S3 or GCS, which pyarrow opens by itself."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def part_of(path: str, key: str, value: int, columns: list[str] | None = None):
+    """The rows of filed() with ``key`` = ``value`` as an Arrow table, read by the task itself; an empty one where there is no such part."""
+    import pyarrow as pa
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    store, at = opened(path)
+    found = store.get_file_info(fs.FileSelector(f"{at}/{key}={value}", allow_not_found=True))
+    files = sorted(f.path for f in found if f.is_file and f.base_name.startswith("part-"))
+    return pa.concat_tables([pq.ParquetFile(f, filesystem=store).read(columns=columns) for f in files]) if files else pa.table({})
+
+
+def block_pairs(spark: SparkSession, spans: list[tuple[int, int, int]], tasks: int) -> DataFrame:
+    """(i, j) for every block i and every j in first .. last of its (i, first, last), dealt evenly to ``tasks`` partitions."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(spans, "i int, first int, last int")
+    return rows.select("i", F.explode(F.sequence("first", "last")).alias("j")).repartition(tasks)
