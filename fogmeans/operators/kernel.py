@@ -113,7 +113,8 @@ def client_objective(points: DataFrame, centers: DataFrame, m: float = 2.0) -> D
     rows = memberships(points, centers, m)
     term = F.aggregate(F.zip_with("u", "d2", lambda u, d: F.pow(u, F.lit(m)) * d), F.lit(0.0), lambda s, t: s + t)
     one = rows.groupBy("client").agg(F.count("*").alias("n"), F.sum(term).alias("objective"))
-    return one.withColumn("beta", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row a client
+    total = one.agg(F.sum("n").alias("__all"))
+    return one.crossJoin(F.broadcast(total)).withColumn("beta", F.col("n") / F.col("__all")).drop("__all")  # one row
 
 
 def weighted_objective(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,39 @@ def write_results(rows: DataFrame, path: str, leading: list[str] = (), mode: str
     rows.select(*leading, *rest).write.mode(mode).option("header", True).csv(path)
 
 
+def ordered_union(parts: list[DataFrame], leading: list[str] = ()) -> DataFrame:
+    """The rows of all parts: ``leading`` columns first, the others in the order in which they first appear; missing ones are null."""
+    names = list(dict.fromkeys([*leading, *[c for p in parts for c in p.columns]]))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.select(*[F.col(f"`{c}`") if c in every.columns else F.lit(None).cast("string").alias(c) for c in names])
+
+
+def replace_results(parts: list[DataFrame], path: str, leading: list[str] = ()) -> None:
+    """Write ordered_union() of ``parts`` as CSV in place of what is at ``path``, which may be among what they read.
+
+    The rows are written beside it; when all are there the old folder is set aside, the new one renamed into its place and
+    the old one deleted. A write that fails leaves the old one as it was; a rename that fails puts it back.
+    """
+    rows = ordered_union(parts, leading)
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, staged, aside = hadoop(path), hadoop(f"{path}.staged-{mark}"), hadoop(f"{path}.old-{mark}")
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        rows.write.option("header", True).csv(staged.toString())
+        there = store.exists(old)
+        if there and not store.rename(old, aside):
+            raise OSError(f"{path} cannot be set aside")
+        if not store.rename(staged, old):
+            if there:
+                store.rename(aside, old)
+            raise OSError(f"{path} cannot be replaced")
+        if there:
+            store.delete(aside, True)
+    finally:
+        store.delete(staged, True)
+
+
 def results_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result-shaped relation: dataset, seed, arm, value (a mean)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -107,6 +141,20 @@ def uncovered(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, keys, "left_anti")
 
 
+def in_scope(prior: DataFrame, asked: dict[str, list]) -> DataFrame:
+    """The rows of ``prior`` that a run was asked for: of each named column only the listed values. Without a list all values are in scope, so that a changed name shows up as uncovered."""
+    for column, values in asked.items():
+        if values:
+            prior = prior.where(F.col(column).isin(*values))
+    return prior
+
+
+def provenance(rows: DataFrame, expected: dict[str, object]) -> DataFrame:
+    """``rows`` with fits (all ``expected`` columns have their value; null counts as no value) and misfit, the names of those that have not."""
+    wrong = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.lit(v)), F.lit(c)) for c, v in expected.items()]), lambda c: c.isNotNull()) if expected else F.array().cast("array<string>")
+    return rows.withColumn("misfit", wrong).withColumn("fits", F.size("misfit") == 0)
+
+
 def pivoted(rows: DataFrame, key: list[str], column: str, values: list, value: str = "value") -> DataFrame:
     return rows.groupBy(*key).pivot(column, values).agg(F.avg(value))
 

@@ -69,12 +69,30 @@ def arm_name() -> Column:
 
 
 def arms(results: DataFrame) -> DataFrame:
-    """``results`` with arm: whole runs with all clients, the first file's row of each (arm, dataset, seed)."""
-    whole = results.where((F.coalesce(F.col("participation"), F.lit(1.0)) == 1.0) & (F.coalesce(F.col("split"), F.lit(0.0)) == 0.0))
+    """``results`` with arm: whole runs with all clients, the first file's row of each (arm, dataset, seed).
+
+    Runs with a part of the clients are no arm, by ``participation`` or, for control variates, ``cfraction``; null is all.
+    """
+    all_of = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(1.0)) == 1.0
+    whole = results.where(all_of("participation") & (F.coalesce(F.col("split"), F.lit(0.0)) == 0.0))
+    if "cfraction" in results.columns:
+        whole = whole.where((F.col("method") != "scffcm") | all_of("cfraction"))
     named = whole.withColumn("arm", arm_name()).where("arm is not null")
     return relation.first_rows(named, ["arm", "dataset", "seed"], [F.col("file_no")]) if "file_no" in results.columns else named
 
 
+def load_sources(spark, folder: str, sources: list[tuple[str, str]], schema: str | None = None) -> tuple[DataFrame | None, list[str]]:
+    """(results, missing): the runs of every (method, file name) under ``folder`` that is there, in that order, and the names that are not.
+
+    file_no says which file a row came from; the first file's row counts where several have the same run (arms()).
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(m, f) for m, f in sources if store.exists(at(f"{folder}/{f}"))]
+    parts = [relation.read_results(spark, f"{folder}/{f}", schema=schema).drop("file_no").withColumn("method", F.lit(m)).withColumn("file_no", F.lit(i)) for i, (m, f) in enumerate(found)]
+    return (relation.ordered_union(parts) if parts else None), [f for m, f in sources if (m, f) not in found]
+
+
 def held_out_arms(results: DataFrame) -> DataFrame:
     """Runs with held-out rows, by cell."""
     return results.where((F.col("method") == "cells") & (F.col("split") > 0) & (F.coalesce(F.col("participation"), F.lit(1.0)) == 1.0)).withColumn("arm", F.concat(F.lit("EC:"), "cell"))

@@ -343,7 +343,8 @@ def run(store: ClientStore, rule, v0: np.ndarray, rounds: int = P.rounds, fracti
             total[r["i"]] = r["s"]
         made = _bulk_round(store, own, rule, v, server, present) if store.bulk else {}
         for c, (o, s, _) in made.items():
-            own[c], total = o, total + s
+            own[c] = o
+            total[: len(s)] += s
         if getattr(rule, "track", False):
             traces.append(_trace(store, new, made, t, v))
         else:

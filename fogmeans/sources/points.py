@@ -42,9 +42,11 @@ def pca_whitened(points: DataFrame, k: int, whiten: bool = True) -> DataFrame:
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with y: the rank of each distinct value. Only distinct values are ranked."""
-    codes = df.select(column).distinct().withColumn("y", (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, df[column].eqNullSafe(codes[column])).drop(codes[column])
+    """``df`` with y: the rank of each distinct value, null first. Only distinct values are ranked, in ranges."""
+    from ..operators.ranks import distinct_counts
+
+    codes = distinct_counts(df, column).select(F.col("value").alias("__v"), F.col("code").cast("int").alias("y"))
+    return df.join(codes, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def support_skew(points: DataFrame, clients: int, per_client: int) -> DataFrame:
