@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics, gates, hypotheses, kernel, metrics, relation, statistics
 from ..sources import points as pts
-from . import analysis, experiments, oracles, posthoc, theory
+from . import analysis, oracles, posthoc
 from . import rounds as fed
 
 K = 4
@@ -892,52 +892,3 @@ def report_order(spark, sf):
 def sweep_report(spark, sf):
     rows = _r(spark, sf).withColumn("L", (F.col("seed") % 2).cast("int")).withColumn("arm", F.col("arm").cast("string"))
     return analysis.sweep_report(rows, "L", "0", "1", "value").select("dataset", "L", "n", *[r6(c, c) for c in ("mean_a", "mean_b", "mean_diff")], "wins", "losses")
-
-
-@query("select * from (values (1, 11.236762, 0.0::double, 0.0::double, 0.0::double), (2, 11.236762, 0.138457, 0.103843, 0.422833), (5, 11.236762, 0.260075, 0.195056, 1.490405)) t(steps, objective, target_shift, shift, rise)".replace("11.236762", "11.236762::double"))
-def counter_example(spark, sf):
-    """The SQL holds the published numbers; the example has data of its own."""
-    return theory.counter_example_frame(spark).select("steps", *[r6(c, c) for c in ("objective", "target_shift", "shift", "rise")])
-
-
-# --- sweeps: whole runs on generated federations, so without SQL -----------------------------------------------------------
-@query()
-def sweep_cells(spark, sf):
-    tasks = [{"dataset": d, "seed": 0, "cells": ["post_none_off", "pre_mass_off", "post_footprint_on"], "rounds": 10, "split": 0.2} for d in ("dirichlet_0.1", "overlap_noise")]
-    return experiments.sweep(spark, tasks, experiments.cell_rows, experiments.CELL_SCHEMA)
-
-
-@query()
-def sweep_rules(spark, sf):
-    tasks = [{"dataset": "overlap_noise", "seed": 0, "rounds": 10, **t} for t in ({"rule": "cfcm"}, {"rule": "scffcm", "sizes": [0.2, 2.0]}, {"rule": "pedrycz", "sizes": [0.001]}, {"rule": "local"}, {"rule": "scffcm"})]
-    return experiments.sweep(spark, tasks, experiments.rule_rows, experiments.CELL_SCHEMA)
-
-
-@query()
-def sweep_methods(spark, sf):
-    return experiments.sweep(spark, [{"dataset": "cluster_skew_hard", "seed": 0, "rounds": 5}], experiments.method_rows, experiments.CELL_SCHEMA)
-
-
-@query()
-def sweep_calibration(spark, sf):
-    grid = experiments.sweep(spark, [{"dataset": d, "seed": 100, "rule": "pedrycz", "grid": "alpha", "rounds": 10} for d in ("dirichlet_0.1", "overlap_noise")], experiments.grid_rows, experiments.GRID_SCHEMA)
-    picks = statistics.calibrated(grid.withColumn("step", F.col("alpha")))
-    return picks.withColumn("edge", hypotheses.edge_label("step", list(experiments.GRIDS["alpha"][0])))
-
-
-@query()
-def sweep_audit(spark, sf):
-    tasks = [{"dataset": "overlap_noise", "seed": 0, "m": m, "iterations": 20, "restarts": 3} for m in (2.0, 1.3)]
-    return experiments.sweep(spark, tasks, experiments.audit_rows, experiments.AUDIT_SCHEMA)
-
-
-@query()
-def sweep_descent(spark, sf):
-    tasks = [{"dataset": "overlap_noise", "seed": 0, "cell": c, "steps": n, "rounds": 10} for c in ("pre_none", "post_none") for n in (1, 5)]
-    return experiments.sweep(spark, experiments.by_cost(tasks, lambda t: t["steps"]), experiments.descent_rows, experiments.DESCENT_SCHEMA)
-
-
-@query()
-def sweep_server_steps(spark, sf):
-    tasks = [{"action": a, "dataset": "overlap_noise", "rounds": 10} for a in ("F-FCM (L=5)", "pre_mass_off (L=1)")]
-    return posthoc.chosen(experiments.sweep(spark, tasks, posthoc.step_rows, posthoc.STEP_SCHEMA))

@@ -59,7 +59,7 @@ def personal_bundle(spark, sf):
     """The seven metrics under the personal sets of two rounds."""
     p, run = _state_run(spark, sf, clientstate.Cell(steps=1), clients=4)
     b = personal.bundle(p, run.personal(), kernel.centers_frame(spark, run.centers))
-    return b.select(*[r6(c, c) for c in b.columns])
+    return b.select(*[F.round(c, 3).alias(c) if c == "xb" else r6(c, c) for c in b.columns])
 
 
 @query(oracles.held_out())

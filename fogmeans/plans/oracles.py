@@ -21,9 +21,9 @@ DIMS = f"range(1, {DIM + 1}) t(i)"
 class Script:
     """Common table expressions one after another; each is computed once."""
 
-    def __init__(self, clients: int = 4, k: int = 3, where: str = "true"):
+    def __init__(self, clients: int = 4, k: int = 3, where: str = "true", client: str | None = None):
         self.k, self.parts = k, []
-        self.add(f"select vec_id row_id, (vec_id % {clients})::int client, list_transform(embedding, lambda e: e::double) x from embeddings where {where}", "pt")
+        self.add(f"select vec_id row_id, ({client or f'vec_id % {clients}'})::int client, list_transform(embedding, lambda e: e::double) x from embeddings where {where}", "pt")
         self.add("select client, count(*)::double n, count(*) / sum(count(*)) over () beta from pt group by client", "cl")
         self.add(f"select (row_number() over (order by row_id) - 1)::int j, x v from pt order by row_id limit {k}", "v0")
 
@@ -95,7 +95,7 @@ class Script:
         return self.add(f"select j, v from {v} union all select {self.k} * (client + 1) + j, v from {own}")
 
 
-def cell_rounds(q: Script, mass: str, gate: str, personalize: bool = False, rounds: int = 2, steps: int = 1, fraction: float = 1.0, seed: int = 0, server_gate: bool = True, client_gate: bool = True, fixed: float | None = None, clients: int = 4) -> tuple[str, str | None, list[tuple]]:
+def cell_rounds(q: Script, mass: str, gate: str, personalize: bool = False, rounds: int = 2, steps: int = 1, fraction: float = 1.0, seed: int = 0, server_gate: bool = True, client_gate: bool = True, fixed: float | None = None, clients: int = 4, lr: float = P.server_lr) -> tuple[str, str | None, list[tuple]]:
     """Prototypes, offsets, and of each round (start, local centres, masses before and after) of a cell over the points of ``q``."""
     v, delta, log = "v0", None, []
     rng = np.random.default_rng(seed)
@@ -107,7 +107,7 @@ def cell_rounds(q: Script, mass: str, gate: str, personalize: bool = False, roun
         local, pre, post = q.steps(start, steps)
         log.append((shared, local, pre, post))
         weight = q.add(f"select client, j, beta * mass * {'g' if server_gate else '1.0'} w from {pre if mass == 'pre' else post} join {g} using (client, j) join cl using (client)")
-        new = q.server(v, local, weight, P.server_lr)
+        new = q.server(v, local, weight, lr)
         if personalize:
             old = delta or q.add(f"select client, j, list_transform(v, lambda z: 0.0::double) v from {shared}")
             moved = f"(({1 - P.delta_lr}) * d.v[i] + {P.delta_lr} * {'g' if client_gate else '1.0'} * (c.v[i] - s.v[i])) * {1 - P.delta_reg}"
@@ -116,9 +116,11 @@ def cell_rounds(q: Script, mass: str, gate: str, personalize: bool = False, roun
     return v, delta, log
 
 
-def cell(mass: str, gate: str, personalize: bool = False, **more) -> str:
-    q = Script(more.get("clients", 4))
+def cell(mass: str, gate: str, personalize: bool = False, ending=None, client: str | None = None, **more) -> str:
+    q = Script(more.get("clients", 4), client=client)
     v, delta, _ = cell_rounds(q, mass, gate, personalize, **more)
+    if ending:
+        return ending(q, v, own_sets(q, v, delta) if personalize else None)
     return q.flat(q.stacked(v, own_sets(q, v, delta))) if personalize else q.flat(v)
 
 
@@ -151,18 +153,30 @@ def names(q: Script, table: str, clusters: int) -> str:
     return q.add(" union all ".join(f"select g, {p} pred, (code // {100 ** (clusters - 1 - p)}) % 100 as name from {best}" for p in range(clusters)))
 
 
-def personal_bundle(rounds: int = 2, steps: int = 1) -> str:
-    """The seven metrics of a personalized run."""
-    q = Script()
-    v, delta, _ = cell_rounds(q, "post", "footprint", True, rounds, steps)
-    rows = judged(q, own_sets(q, v, delta))
-    own = q.add(f"select client g, pred, y, count(*) n from {rows} group by all")
-    whole = q.add(f"select 0 g, pred, y, sum(n) n from {own} group by all")
-    each = q.add(f"select hits / n acc from {best_hits(q, own, q.k)} join cl on client = g")
+def bundle(q: Script, v: str, own: str | None = None) -> str:
+    """The seven metrics of prototypes ``v`` and, where clients have them, their own."""
+    rows = judged(q, own or q.spread(v))
+    each = q.add(f"select client g, pred, y, count(*) n from {rows} group by all")
+    whole = q.add(f"select 0 g, pred, y, sum(n) n from {each} group by all")
+    acc = q.add(f"select hits / n acc from {best_hits(q, each, q.k)} join cl on client = g")
     shared = q.weights(q.spread(v))
     apart = q.add(f"select min({DISTANCE.replace('(x, v)', '(a.v, b.v)')}) sep from {v} a, {v} b where a.j < b.j")
-    return q.ending(f"""select round(sqrt(sep), 6) min_dist, (select round(avg(acc), 6) from {each}) mean_acc, (select round(min(acc), 6) from {each}) worst_acc, (select round(avg(cost), 6) from {rows}) fcm_obj,
-(select round(hits / (select sum(n) from {whole}), 6) from {best_hits(q, whole, q.k)}) gacc, (select round(sum(w * d2) / count(distinct row_id) / (select sep from {apart}), 6) from {shared}) xb, (select round(avg(entropy) / ln({q.k}), 6) from {rows}) hnorm from {apart}""")
+    return q.ending(f"""select round(sqrt(sep), 6) min_dist, (select round(avg(acc), 6) from {acc}) mean_acc, (select round(min(acc), 6) from {acc}) worst_acc, (select round(avg(cost), 6) from {rows}) fcm_obj,
+(select round(hits / (select sum(n) from {whole}), 6) from {best_hits(q, whole, q.k)}) gacc, (select round(sum(w * d2) / count(distinct row_id) / (select sep from {apart}), 3) from {shared}) xb, (select round(avg(entropy) / ln({q.k}), 6) from {rows}) hnorm from {apart}""")
+
+
+def cost(q: Script, v: str, own: str | None = None) -> str:
+    """The clients' objective at ``v``."""
+    return q.ending(f"select sum(w * d2) objective from {q.weights(q.spread(v))}")
+
+
+def stacked_rows(named: dict[str, str]) -> str:
+    """The rows of several scripts, each with the columns that its name (SQL) says."""
+    return " union all ".join(f"select {name}, t.* from ({sql}) t" for name, sql in named.items())
+
+
+def personal_bundle(rounds: int = 2, steps: int = 1) -> str:
+    return cell("post", "footprint", True, bundle, rounds=rounds, steps=steps)
 
 
 def held_out(rounds: int = 2, steps: int = 1) -> str:
@@ -244,13 +258,14 @@ def pooled(rounds: int, steps: int, restarts: int, lloyd: int, clients: int = 4)
     return q.flat(v)
 
 
-def central(iterations: int) -> str:
-    q, v = Script(), "v0"
+def central(iterations: int, ending=None, m: float = 2.0, start=None, client: str | None = None, k: int = 3) -> str:
+    q = Script(k=k, client=client)
+    v = start(q) if start else "v0"
     for _ in range(iterations):
-        s = q.sums(q.spread(v))
+        s = q.sums(q.spread(v), m)
         one = q.add(f"select j, i, sum(s) s, sum(mass) mass, any_value(v) v from {s} group by j, i")
         v = q.add(f"select j, list(case when mass > 1e-12 then s / mass else v[i] end order by i) v from {one} group by j")
-    return q.flat(v)
+    return ending(q, v) if ending else q.flat(v)
 
 
 def pulled(coef: float) -> str:
@@ -258,8 +273,8 @@ def pulled(coef: float) -> str:
     return f"(s + {coef} * n * g) / greatest(mass + {coef} * n, 1e-12)"
 
 
-def federated(rounds: int, steps: int, lr: float, prox: float = 0.0, ditto: float | None = None, clients: int = 4) -> str:
-    q, v, own = Script(clients), "v0", None
+def federated(rounds: int, steps: int, lr: float, prox: float = 0.0, ditto: float | None = None, clients: int = 4, ending=None, client: str | None = None) -> str:
+    q, v, own = Script(clients, client=client), "v0", None
 
     def drawn(at: str, server: str, coef: float) -> str:
         for _ in range(steps):
@@ -279,6 +294,8 @@ def federated(rounds: int, steps: int, lr: float, prox: float = 0.0, ditto: floa
             own = drawn(own or shared, v, ditto)
         weight = q.add(f"select client, j, beta * mass w from {post} join cl using (client)")
         v = q.server(v, local, weight, lr)
+    if ending:
+        return ending(q, v, own)
     return q.flat(q.stacked(v, own) if own else v)
 
 
@@ -300,8 +317,8 @@ def clustered(shift: float, rounds: int, steps: int, lr: float) -> str:
     return q.flat(q.add(f"select j, v from {models[0]} union all select {q.k} + j, v from {models[1]}"))
 
 
-def normalized(taus: dict[int, int], rounds: int) -> str:
-    q, v = Script(), "v0"
+def normalized(taus: dict[int, int], rounds: int, ending=None, client: str | None = None) -> str:
+    q, v = Script(client=client), "v0"
     t = q.add("select * from (values " + ", ".join(f"({p}, {n}.0::double)" for p, n in taus.items()) + ") t(client, tau)")
     for _ in range(rounds):
         parts = []
@@ -311,21 +328,21 @@ def normalized(taus: dict[int, int], rounds: int) -> str:
         local = q.add(" union all ".join(f"select client, j, v from {p}" for p in parts))
         move = q.add(f"select c.j, i, (select sum(beta * tau) from cl join {t} using (client)) * sum(beta * (a.v[i] - c.v[i]) / tau) d from {local} c join {v} a using (j) join cl using (client) join {t} using (client), {DIMS} group by c.j, i")
         v = q.add(f"select a.j, list(a.v[i] - d order by i) v from {v} a join {move} using (j) group by a.j")
-    return q.flat(v)
+    return ending(q, v) if ending else q.flat(v)
 
 
-def gradient(alpha: float, rounds: int, steps: int) -> str:
-    q, v = Script(), "v0"
+def gradient(alpha: float, rounds: int, steps: int, ending=None, client: str | None = None) -> str:
+    q, v = Script(client=client), "v0"
     var = q.add(f"select client, i, greatest(var_pop(x[i]), 1e-12) s2 from pt, {DIMS} group by client, i")
     for _ in range(rounds):
         local, _, post = q.steps(q.spread(v), steps)
         g = q.add(f"select c.j, s.i, sum(beta * 2.0 * mass * (c.v[s.i] - a.v[s.i]) / s2) g from {local} c join {post} using (client, j) join {v} a using (j) join cl using (client) join {var} s using (client) group by c.j, s.i")
         v = q.add(f"select a.j, list(a.v[i] + {alpha} * g order by i) v from {v} a join {g} using (j) group by a.j")
-    return q.flat(v)
+    return ending(q, v) if ending else q.flat(v)
 
 
-def variates(eta_l: float, eta_g: float, rounds: int, steps: int, fraction: float, seed: int = 0, clients: int = 4) -> str:
-    q, v = Script(clients), "v0"
+def variates(eta_l: float, eta_g: float, rounds: int, steps: int, fraction: float, seed: int = 0, clients: int = 4, ending=None, client: str | None = None) -> str:
+    q, v = Script(clients, client=client), "v0"
     rng, n = np.random.default_rng(seed), max(1, int(clients * fraction))
     zero = "list_transform(v, lambda z: 0.0::double) v"
     cg, cl = q.add(f"select j, {zero} from v0"), q.add(f"select client, j, {zero} from cl, v0")
@@ -341,7 +358,7 @@ def variates(eta_l: float, eta_g: float, rounds: int, steps: int, fraction: floa
         fresh = q.add(f"select client, j, list(fresh order by i) v from {d} group by client, j")
         cl = q.add(f"select client, j, coalesce(f.v, c.v) v from {cl} c left join {fresh} f using (client, j)")
         cg = q.add(f"select g.j, list(g.v[i] + {fraction} * dc / {n} order by i) v from {cg} g join {sums} using (j) group by g.j")
-    return q.flat(v)
+    return ending(q, v) if ending else q.flat(v)
 
 
 def alone(iterations: int) -> str:
