@@ -75,6 +75,52 @@ def bundle(points: DataFrame, personal: DataFrame, centers: DataFrame, m: float
     return out
 
 
+def davies_bouldin(rows: DataFrame) -> DataFrame:
+    """client, davies_bouldin of assigned() rows: the mean over a client's clusters of the worst (scatter + scatter) / separation.
+
+    Clusters are the points' own groups, not the prototypes; null unless a client has 2 to n - 1 of them. Centroids are sums
+    of each (client, cluster), joined to the points by client and cluster; pairs of one client's clusters are k * k rows.
+    """
+    by = ["client", "pred"]
+    each = rows.select(*by, F.posexplode("x").alias("i", "t")).groupBy(*by, "i").agg(F.avg("t").alias("t"), F.count("*").alias("n"))
+    cent = each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda z: z["t"]).alias("c"), F.max("n").alias("n"))  # one number a dimension
+    away = rows.select(*by, "x").join(cent.select(*by, "c"), by).groupBy(*by).agg(F.avg(F.sqrt(kernel.squared_distance(F.col("x"), F.col("c")))).alias("s"))
+    s = cent.join(away, by)
+    o = s.select("client", F.col("pred").alias("p2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    worst = s.join(o, "client").where("pred <> p2").withColumn("r", F.try_divide(F.col("s") + F.col("s2"), F.sqrt(kernel.squared_distance(F.col("c"), F.col("c2")))))
+    mean = worst.groupBy("client", "pred").agg(F.max("r").alias("r")).groupBy("client").agg(F.avg("r").alias("r"))
+    n = cent.groupBy("client").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    return n.join(mean, "client", "left").select("client", F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("r")).alias("davies_bouldin"))
+
+
+def client_validity(points: DataFrame, personal: DataFrame, m: float = 2.0, ratio: float = metrics.COLLAPSE) -> DataFrame:
+    """A row a client, under its own prototypes: fpc, partition_entropy, xie_beni, davies_bouldin, min_center_distance,
+    collapse_threshold, collapsed_pairs, prototype_mass_entropy, effective_prototypes, underused_prototypes.
+
+    What needs two prototypes is null for a client with one, xie_beni also where two coincide, the masses' numbers where there
+    is no mass. Points are read for the sums and for the clusters; everything else has a row a client.
+    """
+    rows = memberships(points, personal, m)
+    u2 = F.aggregate("u", F.lit(0.0), lambda s, u: s + u * u)
+    h = F.aggregate("u", F.lit(0.0), lambda s, u: s - u * F.ln(F.greatest(u, F.lit(EPS))))
+    cost = F.aggregate(F.zip_with("u", "d2", lambda u, d: F.pow(u, F.lit(m)) * d), F.lit(0.0), lambda s, t: s + t)
+    one = rows.groupBy("client").agg(F.avg(u2).alias("fpc"), F.avg(h).alias("partition_entropy"), F.avg(cost).alias("cost"))
+    mass = kernel.long_form(rows, m).groupBy("client", "j").agg(F.sum("w").alias("w"))
+    p = F.transform("ws", lambda w: F.try_divide(w, F.aggregate("ws", F.lit(0.0), lambda s, t: s + t)))
+    used = mass.groupBy("client").agg(F.collect_list("w").alias("ws")).withColumn("p", p)  # k numbers a client
+    raw = F.aggregate("p", F.lit(0.0), lambda s, t: s - t * F.ln(F.greatest(t, F.lit(EPS))))
+    many = F.size("p") > 1
+    used = used.select("client", F.when(many, raw / F.ln(F.size("p").cast("double"))).alias("prototype_mass_entropy"), F.when(many, F.exp(raw)).alias("effective_prototypes"), F.when(many, F.size(F.filter("p", lambda t: t < 0.01))).alias("underused_prototypes"))
+    scale = points.select("client", F.posexplode("x").alias("i", "t")).groupBy("client", "i").agg(F.var_pop("t").alias("v")).groupBy("client").agg(F.sqrt(F.sum("v")).alias("scale"))
+    pairs = F.flatten(F.transform("cs", lambda a: F.transform(F.filter("cs", lambda b: b["j"] > a["j"]), lambda b: F.sqrt(kernel.squared_distance(a["v"], b["v"])))))
+    gap = personal.select("client", pairs.alias("d")).join(scale, "client").withColumn("collapse_threshold", F.greatest(F.lit(1e-8), F.lit(ratio) * F.col("scale")))
+    apart = F.size("d") > 0
+    gap = gap.select("client", F.array_min("d").alias("min_center_distance"), F.when(apart, F.col("collapse_threshold")).alias("collapse_threshold"), F.size(F.filter("d", lambda t: t < F.col("collapse_threshold"))).alias("collapsed_pairs"))
+    near = F.col("min_center_distance") * F.col("min_center_distance")
+    out = one.join(used, "client").join(gap, "client").join(davies_bouldin(assigned(points, personal, m)), "client")
+    return out.withColumn("xie_beni", F.when(near > EPS, F.col("cost") / near)).drop("cost")
+
+
 def label_maps(table: DataFrame, *by: str) -> DataFrame:
     """``by``, pred, name: the label of each cluster in the matching with most agreement on a contingency table (``by``, y, pred, n).
 

@@ -62,6 +62,26 @@ def personal_bundle(spark, sf):
     return b.select(*[F.round(c, 3).alias(c) if c == "xb" else r6(c, c) for c in b.columns])
 
 
+_V = oracles.VALIDITY
+
+
+@query(oracles.personal_validity("select client, " + ", ".join(f"round({c}::double, {3 if c == 'xie_beni' else 6}) {c}" for c in _V) + " from val"))
+def personal_validity(spark, sf):
+    """Each client's validity under its own prototypes of two rounds."""
+    p, run = _state_run(spark, sf, clientstate.Cell(steps=1), clients=4)
+    v = personal.client_validity(p, run.personal())
+    return v.select("client", *[F.round(c, 3).alias(c) if c == "xie_beni" else r6(F.col(c).cast("double"), c) for c in _V])
+
+
+@query(oracles.personal_validity(" union all ".join(f"select '{c}' metric, round(avg({c}::double), {3 if c == 'xie_beni' else 6}) mean, round({'min' if c in metrics.LOWER_IS_WORSE else 'max'}({c}::double), {3 if c == 'xie_beni' else 6}) worst from val" for c in _V)))
+def personal_validity_summary(spark, sf):
+    """Mean and worst client of each."""
+    p, run = _state_run(spark, sf, clientstate.Cell(steps=1), clients=4)
+    s = metrics.summary(personal.client_validity(p, run.personal()), list(_V))
+    shown = lambda c: F.when(F.col("metric") == "xie_beni", F.round(c, 3)).otherwise(r6(c)).alias(c)
+    return s.select("metric", shown("mean"), shown("worst"))
+
+
 @query(oracles.held_out())
 def held_out_metrics(spark, sf):
     """Prototypes and cluster names from rows whose number is not divisible by 5, judged on the others."""

@@ -179,6 +179,31 @@ def personal_bundle(rounds: int = 2, steps: int = 1) -> str:
     return cell("post", "footprint", True, bundle, rounds=rounds, steps=steps)
 
 
+#: Columns of a client's validity.
+VALIDITY = ("fpc", "partition_entropy", "xie_beni", "davies_bouldin", "min_center_distance", "collapse_threshold", "collapsed_pairs", "prototype_mass_entropy", "effective_prototypes", "underused_prototypes")
+
+
+def personal_validity(ending: str, rounds: int = 2, steps: int = 1, ratio: float = 0.03) -> str:
+    """Validity of each client under its own prototypes (relation ``val``), then ``ending``."""
+    q = Script()
+    v, delta, _ = cell_rounds(q, "post", "footprint", True, rounds=rounds, steps=steps)
+    own = own_sets(q, v, delta)
+    w, lab = q.weights(own), judged(q, own)
+    u = q.add(f"select client, sum(w) / count(distinct row_id) fpc, -sum(sqrt(w) * ln(greatest(sqrt(w), 1e-12))) / count(distinct row_id) partition_entropy, sum(w * d2) / count(distinct row_id) cost from {w} group by client")
+    m = q.add(f"select client, sum(w) / sum(sum(w)) over (partition by client) p from {w} group by client, j")
+    e = q.add(f"select client, -sum(p * ln(greatest(p, 1e-12))) / ln({q.k}) prototype_mass_entropy, exp(-sum(p * ln(greatest(p, 1e-12)))) effective_prototypes, count(*) filter (p < 0.01) underused_prototypes from {m} group by client")
+    s = q.add(f"select client, greatest(1e-8, {ratio} * sqrt(sum(t))) collapse_threshold from (select client, i, var_pop(x[i]) t from pt, {DIMS} group by client, i) group by client")
+    d = q.add(f"select a.client, sqrt({DISTANCE.replace('(x, v)', '(a.v, b.v)')}) d from {own} a join {own} b on a.client = b.client and a.j < b.j")
+    g = q.add(f"select client, min(d) min_center_distance, any_value(collapse_threshold) collapse_threshold, count(*) filter (d < collapse_threshold) collapsed_pairs from {d} join {s} using (client) group by client")
+    pred = q.add(f"select l.client, l.row_id, pred, x from {lab} l join pt using (row_id)")
+    cent = q.add(f"select client, pred, list(t order by i) v from (select client, pred, i, avg(x[i]) t from {pred}, {DIMS} group by client, pred, i) group by client, pred")
+    sc = q.add(f"select client, pred, any_value(v) v, avg(sqrt({DISTANCE})) s from {pred} join {cent} using (client, pred) group by client, pred")
+    worst = q.add(f"select a.client, a.pred, max((a.s + b.s) / sqrt({DISTANCE.replace('(x, v)', '(a.v, b.v)')})) r from {sc} a join {sc} b on a.client = b.client and a.pred <> b.pred group by a.client, a.pred")
+    dbi = q.add(f"select cl.client, avg(r) davies_bouldin from cl left join {worst} using (client) group by cl.client")
+    q.add(f"select client, fpc, partition_entropy, cost / pow(min_center_distance, 2) xie_beni, davies_bouldin, min_center_distance, collapse_threshold, collapsed_pairs, prototype_mass_entropy, effective_prototypes, underused_prototypes from {u} join {e} using (client) join {g} using (client) join {dbi} using (client)", "val")
+    return q.ending(ending)
+
+
 def held_out(rounds: int = 2, steps: int = 1) -> str:
     """The eight held-out numbers: fitted on rows whose number is not divisible by 5, judged on the others."""
     q = Script(where="vec_id % 5 <> 0")

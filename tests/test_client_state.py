@@ -195,3 +195,34 @@ def test_ranks_over_many_ranges(spark):
     codes = {r["value"]: (r["code"], r["before"], r["n"]) for r in ranks.distinct_counts(df, "v").collect()}
     assert codes[None] == (0, 0, 2) and codes[-math.inf] == (1, 2, 1) and codes[math.inf][0] == len(codes) - 1
     assert ranks.mid_ranked(df.limit(0), "v", "r").count() == 0
+
+
+def test_validity_of_each_client(spark, points, clients, v0):
+    rng = np.random.default_rng(4)
+    sets = [v0 + rng.normal(size=v0.shape) for _ in SIZES]
+    sets[1][2] = sets[1][0]  # coincident prototypes
+    own = spark.createDataFrame([(c, [(j, t.tolist()) for j, t in enumerate(s)]) for c, s in enumerate(sets)], "client int, cs array<struct<j: int, v: array<double>>>")
+    got = {r["client"]: r for r in personal.client_validity(points, own).collect()}
+    for c, (x, _) in enumerate(clients):
+        d2 = fed.square_distances(x, sets[c])
+        u = fed.fuzzy(d2, 2.0)
+        d = np.array([np.linalg.norm(a - b) for a, b in itertools.combinations(sets[c], 2)])
+        p = (u**2).sum(axis=0) / (u**2).sum()
+        h = -(p * np.log(np.maximum(p, 1e-12))).sum()
+        scale = max(1e-8, 0.03 * np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean()))
+        want = {"fpc": (u * u).sum(axis=1).mean(), "partition_entropy": -(u * np.log(np.maximum(u, 1e-12))).sum(axis=1).mean(), "min_center_distance": d.min(), "collapse_threshold": scale, "collapsed_pairs": (d < scale).sum(), "prototype_mass_entropy": h / np.log(3), "effective_prototypes": np.exp(h), "underused_prototypes": (p < 0.01).sum()}
+        for k, v in want.items():
+            assert got[c][k] == pytest.approx(v, abs=1e-9), (c, k)
+        assert got[c]["xie_beni"] == (None if c == 1 else pytest.approx((u**2 * d2).sum() / len(x) / d.min() ** 2))
+        lab = np.maximum(d2, 1e-12).argmin(axis=1)
+        seen = np.unique(lab)
+        if 1 < len(seen) < len(x):
+            cent = {k: x[lab == k].mean(axis=0) for k in seen}
+            s = {k: np.linalg.norm(x[lab == k] - cent[k], axis=1).mean() for k in seen}
+            worst = [max((s[a] + s[b]) / np.linalg.norm(cent[a] - cent[b]) for b in seen if b != a) for a in seen]
+            assert got[c]["davies_bouldin"] == pytest.approx(np.mean(worst))
+        else:
+            assert got[c]["davies_bouldin"] is None
+    single = spark.createDataFrame([(0, [(0, v0[0].tolist())])], own.schema)
+    row = personal.client_validity(points.where("client = 0"), single).head()
+    assert row["fpc"] == 1.0 and row["min_center_distance"] is row["xie_beni"] is row["effective_prototypes"] is row["davies_bouldin"] is None
