@@ -61,6 +61,15 @@ def nmi_ari(labels: DataFrame, *by: str) -> DataFrame:
     return x.select(*by, nmi.alias("nmi"), F.when(F.abs(top) > EPS, (F.col("idx") - expected) / top).otherwise(1.0).alias("ari"))
 
 
+def label_agreement(labels: DataFrame) -> DataFrame:
+    """One row: acc, nmi and ari of all labelled points (pooled_*) and over the clients (mean_client_*, worst_client_*)."""
+    names = ("acc", "nmi", "ari")
+    whole = accuracy(labels).crossJoin(nmi_ari(labels))  # one row each
+    each = accuracy(labels, "client").join(nmi_ari(labels, "client"), "client")
+    own = each.agg(*[f(c).alias(f"{w}_client_{c}") for c in names for f, w in ((F.avg, "mean"), (F.min, "worst"))])
+    return whole.select(*[F.col(c).alias(f"pooled_{c}") for c in names]).crossJoin(own)
+
+
 def validity(rows: DataFrame, floor: float = 1e-12) -> DataFrame:
     """fpc, entropy and hnorm of memberships()."""
     u2 = F.aggregate("u", F.lit(0.0), lambda s, u: s + u * u)

@@ -115,3 +115,18 @@ def k_means(points: DataFrame, k: int, restarts: int = 10, seed: int = 0, most:
     """The centres of the best of ``restarts`` runs of lloyd() from greedy_starts(); ties to the first."""
     centers, cost = lloyd(points, greedy_starts(points, k, restarts, seed), most, tol)
     return centers[int(np.argmin(cost))]
+
+
+def drawn_rows(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    """k rows drawn evenly, those with the smallest hashes; fewer than k are an error."""
+    rows = points.where("x is not null").orderBy(uniform(seed, F.lit(0), 0, 0, F.col("row_id")), "row_id").limit(k).collect()
+    if len(rows) < k:
+        raise ValueError(f"{len(rows)} rows for {k} centres")
+    return np.array([r["x"] for r in rows])
+
+
+def class_means(points: DataFrame) -> np.ndarray:
+    """The mean of each label's rows, in order of labels; rows without a label are left out."""
+    each = points.where("y is not null").select("y", F.posexplode("x").alias("i", "t")).groupBy("y", "i").agg(F.avg("t").alias("t"))
+    rows = each.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda z: z["t"]).alias("m")).orderBy("y").collect()  # a row a label
+    return np.array([r["m"] for r in rows])

@@ -105,6 +105,48 @@ def stallmann_avg2(spark, sf):
     return _rows(spark, _state_run(spark, sf, clientstate.Pooled(steps=1, restarts=3, most=4), clients=4, tol=None)[1], False)
 
 
+def _drawn_sql() -> str:
+    q = oracles.Script()
+    u = f"(('0x' || md5('5|0|0|0|' || row_id)[1:13])::bigint + 0.5) / {16**13}.0"
+    return q.flat(q.add(f"select (row_number() over (order by {u}, row_id) - 1)::int j, x v from pt qualify j < 3"))
+
+
+@query(_drawn_sql())
+def drawn_start(spark, sf):
+    return flat(kernel.centers_frame(spark, starts.drawn_rows(pts.from_embeddings(spark, sf), 3, 5)))
+
+
+def _means_sql() -> str:
+    q = oracles.Script()
+    return q.flat(q.add(f"select (dense_rank() over (order by label) - 1)::int j, v from (select label, list(t order by i) v from (select label, i, avg(x[i]) t from pt join embeddings on vec_id = row_id, {oracles.DIMS} group by label, i) group by label)"))
+
+
+@query(_means_sql())
+def class_means_start(spark, sf):
+    return flat(kernel.centers_frame(spark, starts.class_means(pts.from_embeddings(spark, sf))))
+
+
+def _global_sql() -> str:
+    q = oracles.Script()
+    lab = oracles.judged(q, q.spread("v0"))
+    each = q.add(f"select client g, pred, y, count(*)::double n from {lab} group by all")
+    table = q.add(f"select * from {each} union all select -1, pred, y, sum(n) from {each} group by all")
+    c = q.add(f"select *, sum(n) over (partition by g, y) a, sum(n) over (partition by g, pred) b, sum(n) over (partition by g) t from {table}")
+    e = q.add(f"select g, sum(n/t*ln(n*t/(a*b))) mi, sum(n*(n-1)/2) idx, max(t) t from {c} group by g")
+    hy = q.add(f"select g, -sum(a/t*ln(a/t)) h, sum(a*(a-1)/2) s from (select distinct g, y, a, t from {c}) group by g")
+    hp = q.add(f"select g, -sum(b/t*ln(b/t)) h, sum(b*(b-1)/2) s from (select distinct g, pred, b, t from {c}) group by g")
+    m = q.add(f"select g, hits / t acc, 2*mi/(hy.h+hp.h) nmi, (idx - hy.s*hp.s/(t*(t-1)/2)) / ((hy.s+hp.s)/2 - hy.s*hp.s/(t*(t-1)/2)) ari from {e} join {hy} hy using (g) join {hp} hp using (g) join {oracles.best_hits(q, table, q.k)} using (g)")
+    return q.ending("select " + ", ".join(f"round(max({x}) filter (g < 0), 6) pooled_{x}, round(avg({x}) filter (g >= 0), 6) mean_client_{x}, round(min({x}) filter (g >= 0), 6) worst_client_{x}" for x in ("acc", "nmi", "ari")) + f" from {m}")
+
+
+@query(_global_sql())
+def label_agreement(spark, sf):
+    """Accuracy, NMI and ARI of all points and, as mean and worst, of the clients."""
+    p = pts.from_embeddings(spark, sf, 4)
+    a = metrics.label_agreement(kernel.hard_labels(p, kernel.first_rows(p, 3)))
+    return a.select(*[r6(c, c) for c in a.columns])
+
+
 # --- matchings of clusters and labels in different numbers ---------------------------------------------------------------
 def _rect_sql() -> str:
     q = oracles.Script(4, 5)

@@ -7,6 +7,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,12 @@ def cache_key(kind: str, *args) -> str:
     return name if name == plain else f"{name}--{hashlib.sha256(plain.encode()).hexdigest()[:12]}"
 
 
+def code_digests() -> dict[str, str]:
+    """Module files of this library and the sha256 of each, to be kept beside results."""
+    root = Path(__file__).resolve().parent.parent
+    return {str(f.relative_to(root)): hashlib.sha256(f.read_bytes()).hexdigest() for f in sorted(root.rglob("*.py"))}
+
+
 def enumerated(spark: SparkSession, kinds: dict[str, list[tuple]], cost: dict | None = None) -> DataFrame:
     """Jobs (key, kind, args as JSON, cost), the dearest first: ``cost`` is looked up by the first argument (1 where unknown)."""
     rows = [(cache_key(kind, *args), kind, json.dumps(list(args)), float((cost or {}).get(args[0] if args else None, 1.0))) for kind, many in kinds.items() for args in many]

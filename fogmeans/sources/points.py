@@ -122,6 +122,29 @@ def dirichlet_split(points: DataFrame, clients: int, alpha: float, seed: int, le
     raise RuntimeError(f"no split with {least} rows for each client in {attempts} attempts")
 
 
+def split_points(points: DataFrame, kind: str, clients: int = 10, seed: int = 0, per_client: int = 2, alpha: float = 0.1, least: int = 5) -> DataFrame:
+    """``points`` with client by the split ``kind``: own (as they are), ids (row_id modulo clients), labels (each client supports
+    ``per_client`` labels; any labels are numbered first) or dirichlet (label shares with concentration ``alpha``).
+
+    Except for own, clients with fewer than ``least`` rows are an error.
+    """
+    if kind == "own":
+        return points
+    if kind == "ids":
+        out = points.withColumn("client", F.pmod("row_id", F.lit(clients)).cast("int"))
+    elif kind == "labels":
+        coded = label_codes(points.withColumnRenamed("y", "__y").withColumn("client", F.lit(0)), "__y")
+        out = support_skew(coded, clients, per_client).drop("y").withColumnRenamed("__y", "y")
+    elif kind == "dirichlet":
+        return dirichlet_split(points.withColumn("client", F.lit(0)), clients, alpha, seed, least)
+    else:
+        raise ValueError(f"unknown split {kind}")
+    few = out.groupBy("client").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"), F.count("*").alias("c")).head()
+    if (few["n"] or 0) < least or few["c"] < clients:
+        raise RuntimeError(f"a client has fewer than {least} rows")
+    return out
+
+
 def dirichlet_map(y: np.ndarray, clients: int, alpha: float, seed: int, least: int = 5, attempts: int = 200) -> np.ndarray:
     """Client of each row: each label's rows, shuffled, are cut at floor(cumulative Dirichlet share times rows)."""
     rng = np.random.default_rng(seed)
