@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import block_pairs, filed, part_of, shared_dir  # noqa: F401  shared with the clustering operators
+
 #: Texts of one inner step of a Python task hold about this many bytes.
 STEP_BYTES = 4 << 20
 #: A key with more rows than HOT is dealt to SALTS places when its name is joined; at most MOST_HOT such keys, the largest, are broadcast (8 MB).
@@ -25,17 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. On one machine (local mode) a temporary one is made where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='fogmeans-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -61,36 +51,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def filed(df: DataFrame, key: str, name: str) -> str:
-    """Write ``df`` to the shared folder with a folder of its own for each value of the integer column ``key``; its path.
-
-    Tasks that compare many pairs of such parts open the two they need with part_of(), so no row is sent more than once.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(key).parquet(path)
-    return path
-
-
-def part_of(path: str, key: str, value: int, columns: list[str] | None = None) -> pa.Table:
-    """The rows of filed() with ``key`` = ``value``, read by the task itself; none where there is no such part.
-
-    The shared folder must be of a kind that pyarrow opens by its URI (a mounted folder, HDFS, S3, GCS).
-    """
-    from pyarrow import fs
-    from pyarrow import parquet as pq
-
-    store, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    found = store.get_file_info(fs.FileSelector(f"{at}/{key}={value}", allow_not_found=True))
-    files = sorted(f.path for f in found if f.is_file and f.base_name.startswith("part-"))
-    return pa.concat_tables([pq.ParquetFile(f, filesystem=store).read(columns=columns) for f in files]) if files else pa.table({})
-
-
-def block_pairs(spark: SparkSession, spans: list[tuple[int, int, int]], tasks: int) -> DataFrame:
-    """(i, j) for every block i and every j in first .. last of its (i, first, last), dealt evenly to ``tasks`` partitions."""
-    rows = spark.createDataFrame(spans, "i int, first int, last int")
-    return rows.select("i", F.explode(F.sequence("first", "last")).alias("j")).repartition(tasks)
-
-
 def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list]]:
     """Slices (start, end, texts as bytes or None) of a batch, each of about STEP_BYTES; a longer text is a slice of its own."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())

@@ -249,9 +249,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
     of_class = pinned(of_class.select("rep", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "hnsw-groups")
     names = pinned(of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "hnsw-names")
     named = pinned(spread_join(of_class, names, "component", "size", "rep").select("rep", "n_links", "component_id"), "hnsw-named")
-    found = spread_join(good, classes.select("embedding", "copies", "rep").join(named, "rep"), "embedding", "copies", "vec_id").select("vec_id", "n_links", "component_id")
+    # a row finds its class by 128 bits of hash; only if two classes share them (which is checked) by the vector itself
+    key = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))
+    named = pinned(classes.withColumn("key", key).join(named, "rep").select("key", "embedding", "copies", "n_links", "component_id"), "hnsw-keys")
+    apart = named.select("key").distinct().count() == n
+    by = named.drop("embedding") if apart else named.drop("key").withColumnRenamed("embedding", "key")
+    found = spread_join(good.select("vec_id", (key if apart else F.col("embedding")).alias("key")), by, "key", "copies", "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dropped(links, comp)
+    dropped(links, comp, classes, of_class, names)
     return found.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -217,3 +217,28 @@ def test_fim_digests(spark):
         n, form, p, m, out = plain_fim(r["doc_id"], r["text"])
         hashed = [hashlib.sha256(x.encode()).hexdigest() for x in (out, r["text"] or "")]
         assert [r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output_sha256"], r["restored_sha256"]] == [n, form, p, m, *hashed]
+
+
+def test_long_vectors_in_groups_of_shards(spark):
+    """1,024 dimensions, shards in groups of two: links, components and copies as brute force finds them."""
+    from fogmeans.llm import hnsw
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(260, 1024))
+    for i in range(0, 60, 3):
+        x[i + 1], x[i + 2] = x[i] + 0.01 * rng.normal(size=1024), x[i]
+    x[200:230] = x[200]
+    x[231] = -0.0 * x[231]
+    rows = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(rows, shards=48).collect()}
+    u = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), where=np.abs(x).sum(axis=1, keepdims=True) > 0, out=np.zeros_like(x))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    for i in range(260):
+        group, todo = {i}, [i]
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]):
+                if j not in group:
+                    group.add(int(j))
+                    todo.append(int(j))
+        assert got[i] == (near[i].sum(), min(group), min(group) == i)
