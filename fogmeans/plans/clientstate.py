@@ -336,7 +336,7 @@ def run(store: ClientStore, rule, v0: np.ndarray, rounds: int = P.rounds, fracti
     traces, error, t = [], None, -1
     for t in range(rounds if store.n_clients else 0):
         present = frozenset(rng.choice(store.n_clients, size=n_present, replace=False).tolist()) if fraction < 1 else None
-        new = bucketed(round_plan(store, states, rule, v, server, present), "client_state", "client", store.buckets)
+        new = bucketed(round_plan(store, states, rule, v, server, present), "client_state", "client", store.buckets, dealt=True)
         rows = new.where("present").select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()  # k (d + 1) numbers, or 2 k d
         total = np.zeros(2 * k * d if isinstance(rule, Variates) else k * (d + 1))
         for r in rows:

@@ -31,13 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
     """``df`` as a table in ``buckets`` files by the hash of ``key``, sorted by it: tables of equal buckets meet without a shuffle.
 
+    Rows are dealt to the buckets first, so that each is one file, unless each task has one bucket's rows already (``dealt``).
     The table is known to this session only; its files are in the shared folder.
     """
     spark = df.sparkSession
     table, path = f"{name}_{uuid.uuid4().hex}", fresh_path(spark, name)
+    df = df if dealt else df.repartition(buckets, key)
     df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out.written_path, out.table_name = path, table

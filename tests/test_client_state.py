@@ -67,6 +67,8 @@ def test_a_round_has_no_shuffle_of_points_and_few_jobs(spark, points, v0):
     states = store.states(v0)
     plan = cs.round_plan(store, states, cs.Cell(), v0, v0 * 0, None)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan
+    for t in (store.points, states):  # a file a bucket
+        assert t.select(F.input_file_name()).distinct().count() <= store.buckets
     jobs = []
     for steps in (1, 6):
         spark.sparkContext.setJobGroup(f"steps-{steps}", "")
