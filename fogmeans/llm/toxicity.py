@@ -252,13 +252,13 @@ def without_copies(train: DataFrame, taken: DataFrame) -> DataFrame:
     """
     rows = train.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
 
-    def choose(pdf):
-        import pandas as pd
+    kind = dict(train.dtypes)["doc_id"]
 
-        every = [(r.order, r.toxic, (r.text or "").encode(), r.doc_id) for r in pdf.itertuples()]
-        return pd.DataFrame({"doc_id": pd.Series(one_of_copies(every), dtype=pdf["doc_id"].dtype)})
+    def choose(group: pa.Table) -> pa.Table:
+        every = [(r["order"], r["toxic"], (r["text"] or "").encode(), r["doc_id"]) for r in group.to_pylist()]
+        return pa.table({"doc_id": pa.array(one_of_copies(every), group.schema.field("doc_id").type)})
 
-    return rows.groupBy("toxic", "sketch").applyInPandas(choose, f"doc_id {dict(train.dtypes)['doc_id']}")
+    return rows.groupBy("toxic", "sketch").applyInArrow(choose, f"doc_id {kind}")
 
 
 def held_out(doc_id: Column) -> Column:
