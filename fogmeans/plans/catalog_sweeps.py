@@ -30,7 +30,7 @@ def federation(spark, sf, name: str, k: int = 3):
 
 
 def _scored(rows, *names):
-    return rows.select("dataset", *names, *[F.round(c, 3).alias(c) if c == "xb" else r6(c, c) for c in table_runs.METRICS])  # xb is large where prototypes are near
+    return rows.select("dataset", *names, "n_rounds", "n_clients", "upload_numbers", *[F.round(c, 3).alias(c) if c == "xb" else r6(c, c) for c in table_runs.METRICS])  # xb is large where prototypes are near
 
 
 def _named(name: str, **more) -> str:
@@ -40,7 +40,7 @@ def _named(name: str, **more) -> str:
 _CELLS = {"by_id": ("pre_mass_off", "post_footprint_on"), "by_label": ("post_none_off", "post_footprint_on")}
 
 
-@query(oracles.stacked_rows({_named(d, cell=c): oracles.cell(*c.split("_")[:2], c.endswith("on"), oracles.bundle, FEDERATIONS[d]) for d, cs in _CELLS.items() for c in cs}))
+@query(oracles.stacked_rows({_named(d, cell=c, n_rounds=2, n_clients=4, upload_numbers=2 * 4 * 3 * 65): oracles.cell(*c.split("_")[:2], c.endswith("on"), oracles.bundle, FEDERATIONS[d]) for d, cs in _CELLS.items() for c in cs}))
 def sweep_cells(spark, sf):
     """Two rounds of one local step; the seven metrics under each client's own prototypes."""
     out = []
@@ -53,7 +53,7 @@ def sweep_cells(spark, sf):
 _C = FEDERATIONS["by_label"]
 
 
-@query(oracles.stacked_rows({_named("by_label", method=n): sql for n, sql in {"cfcm": oracles.central(3, oracles.bundle, client=_C), "pedrycz": oracles.gradient(0.001, 2, 1, oracles.bundle, _C), "scffcm": oracles.variates(0.05, 1.0, 2, 2, 1.0, ending=oracles.bundle, client=_C)}.items()}))
+@query(oracles.stacked_rows({_named("by_label", method=n, n_rounds=3 if n == "cfcm" else 2, n_clients=4, upload_numbers=2 * 4 * 2 * 3 * 64 if n == "scffcm" else -1): sql for n, sql in {"cfcm": oracles.central(3, oracles.bundle, client=_C), "pedrycz": oracles.gradient(0.001, 2, 1, oracles.bundle, _C), "scffcm": oracles.variates(0.05, 1.0, 2, 2, 1.0, ending=oracles.bundle, client=_C)}.items()}))
 def sweep_rules(spark, sf):
     with federation(spark, sf, "by_label") as f:
         runs = {"cfcm": lambda f: fed.fcm(f.back, f.v0, most=3), "pedrycz": lambda f: fed.gradient(f.back, f.v0, 0.001, rounds=2, steps=1), "scffcm": lambda f: clientstate.run(f.store, clientstate.Variates(0.05, 1.0, 2), f.v0, 2)}
@@ -63,7 +63,7 @@ def sweep_rules(spark, sf):
 _TAUS = dict.fromkeys(range(4), 2)
 
 
-@query(oracles.stacked_rows({_named("by_label", method=n): sql for n, sql in {"F-FCM": oracles.federated(2, 2, 0.75, ending=oracles.bundle, client=_C), "FedProx-FCM": oracles.federated(2, 2, 0.75, prox=0.1, ending=oracles.bundle, client=_C), "Ditto-FCM": oracles.federated(2, 2, 0.75, ditto=0.1, ending=oracles.bundle, client=_C), "GF-PFedFCM": oracles.cell("post", "footprint", True, oracles.bundle, _C, steps=2), "PFedFCM(no-footprint)": oracles.cell("post", "none", True, oracles.bundle, _C, steps=2, fixed=0.5), "FedNova-FCM": oracles.normalized(_TAUS, 2, oracles.bundle, _C)}.items()}))
+@query(oracles.stacked_rows({_named("by_label", method=n, n_rounds=2, n_clients=4, upload_numbers=-1): sql for n, sql in {"F-FCM": oracles.federated(2, 2, 0.75, ending=oracles.bundle, client=_C), "FedProx-FCM": oracles.federated(2, 2, 0.75, prox=0.1, ending=oracles.bundle, client=_C), "Ditto-FCM": oracles.federated(2, 2, 0.75, ditto=0.1, ending=oracles.bundle, client=_C), "GF-PFedFCM": oracles.cell("post", "footprint", True, oracles.bundle, _C, steps=2), "PFedFCM(no-footprint)": oracles.cell("post", "none", True, oracles.bundle, _C, steps=2, fixed=0.5), "FedNova-FCM": oracles.normalized(_TAUS, 2, oracles.bundle, _C)}.items()}))
 def sweep_methods(spark, sf):
     """The method suite: two rounds of two local steps each."""
     cell = lambda **more: lambda f: clientstate.run(f.store, clientstate.Cell(steps=2, **more), f.v0, 2)

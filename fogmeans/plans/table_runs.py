@@ -16,6 +16,7 @@ from ..config import Protocol
 from ..operators import kernel, metrics, personal, starts
 from . import clientstate
 from . import rounds as fed
+from .experiments import uploaded
 
 P = Protocol()
 METRICS = ("min_dist", "mean_acc", "worst_acc", "fcm_obj", "gacc", "xb", "hnorm")
@@ -45,7 +46,11 @@ class Federation:
         return self.store.clients.select("client", cs.alias("cs"))
 
     def scored(self, v: np.ndarray, own: DataFrame | None, m: float, **names) -> DataFrame:
-        """One row: data set, ``names`` and the seven metrics."""
+        """One row: data set, ``names`` (n_rounds among them), n_clients, upload_numbers and the seven metrics, all NaN where the run diverged."""
+        names |= {"n_clients": self.store.n_clients, "upload_numbers": uploaded(names.get("method", "cells"), names["n_rounds"], self.store.n_clients, *self.v0.shape)}
+        if not np.isfinite(v).all():
+            row = self.spark.createDataFrame([(math.nan,) * len(METRICS)], ", ".join(f"{c} double" for c in METRICS))
+            return row.select(F.lit(self.name).alias("dataset"), *[F.lit(x).alias(n) for n, x in names.items()], *METRICS)
         row = personal.bundle(self.points, own if own is not None else self.everywhere(v), kernel.centers_frame(self.spark, v), m)
         return row.select(F.lit(self.name).alias("dataset"), *[F.lit(x).alias(n) for n, x in names.items()], *METRICS)
 
@@ -68,10 +73,18 @@ def cells(f: Federation, names: list[str], rounds: int = P.rounds, steps: int =
 
 
 def rules(f: Federation, runs: dict[str, object], m: float = P.m) -> DataFrame:
-    """dataset, method, n_rounds and the metrics of each of ``runs``: name to a function of the federation that returns a run."""
+    """dataset, method, n_rounds, n_clients, upload_numbers and the metrics of each of ``runs``: name to a function of the
+    federation that returns a run. A run that raises ArithmeticError or ValueError, or is None (no stable setting), has a
+    placeholder: n_rounds -1 and NaN."""
     out = []
     for name, make in runs.items():
-        run = make(f)
+        try:
+            run = make(f)
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+            run = None
+        if run is None:
+            out.append(f.scored(np.full_like(f.v0, math.nan), None, m, method=name, n_rounds=-1))
+            continue
         own = run.personal() if isinstance(run, clientstate.StateRun) and not isinstance(run.rule, (clientstate.Variates, clientstate.Pooled)) else None
         out.append(f.scored(run.centers, own, m, method=name, n_rounds=run.rounds))
     return _all(out)

@@ -54,3 +54,20 @@ def test_splits_and_starts(spark):
         starts.drawn_rows(p.limit(2), 3)
     with pytest.raises(ValueError):
         commands.rule("nothing", commands.parser().parse_args(["cells", "--points", "", "--out", ""]))
+
+
+def test_placeholders_and_uploads(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i % 2, i, r.tolist(), int(i % 3)) for i, r in enumerate(rng.normal(size=(60, 2)))]
+    f = commands.table_runs.Federation("t", spark.createDataFrame(rows, "client int, row_id long, x array<double>, y int"), np.array([[0.0, 0.0], [1.0, 1.0]]))
+
+    def fails(_):
+        raise FloatingPointError
+
+    wild = lambda f: commands.clientstate.run(f.store, commands.clientstate.Variates(1e200, 1e200, 2), f.v0, 5)
+    got = {r["method"]: r for r in commands.table_runs.rules(f, {"none": lambda f: None, "fails": fails, "wild": wild, "scffcm": lambda f: commands.clientstate.run(f.store, commands.clientstate.Variates(steps=1), f.v0, 2, tol=None)}).collect()}
+    f.close()
+    for name in ("none", "fails", "wild"):
+        assert all(np.isnan(got[name][c]) for c in commands.table_runs.METRICS) and got[name]["upload_numbers"] == -1
+    assert got["none"]["n_rounds"] == got["fails"]["n_rounds"] == -1 and got["wild"]["n_rounds"] > 0
+    assert got["scffcm"]["upload_numbers"] == 2 * 2 * (2 * 2 * 2) and np.isfinite(got["scffcm"]["fcm_obj"])
