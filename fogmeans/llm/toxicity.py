@@ -388,10 +388,11 @@ def ready(model: Model) -> tuple[Matcher, BlockMaxIndex, dict]:
     return _cached[model.key]
 
 
-def scorer(model: Model):
-    """A function from texts and their doc_ids to [score, evidence ids, evidence cosines]. A labelled row never votes on itself; equal texts of other rows do."""
+def scorer(shared):
+    """``shared`` is a broadcast Model, which a worker unpacks once for all its tasks. A function from texts and their doc_ids to [score, evidence ids, evidence cosines]. A labelled row never votes on itself; equal texts of other rows do."""
 
     def make():
+        model = shared.value
         m, index, place = ready(model)
 
         def scored(own, ids, sims):
@@ -426,7 +427,8 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     their score; no rows give none.
     """
     kind = next((t for c, t in docs.dtypes if c == key), "long") if not model.ids or not isinstance(model.ids[0], str) else "string"
-    return map_texts(docs, keep or ["doc_id"], scorer(model), f"score double, evidence array<{kind}>, evidence_cosine array<double>", also=(key,))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's words: bounded by SAMPLE_BYTES
+    return map_texts(docs, keep or ["doc_id"], scorer(shared), f"score double, evidence array<{kind}>, evidence_cosine array<double>", also=(key,))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
