@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def read_results(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
     """CSV files with a header, as one relation over the union of their columns; column file_no says which file came later."""
@@ -57,9 +59,14 @@ def replace_results(parts: list[DataFrame], path: str, leading: list[str] = ())
 
 
 def results_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A result-shaped relation: dataset, seed, arm, value (a mean)."""
+    """A result-shaped relation: dataset, seed, arm, value (a mean).
+
+    It is written once: a mean taken twice may differ in its last digits, as partial sums come in any order, and
+    whoever compares the relation with itself would find changes.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy(F.col("event_type").alias("dataset"), (F.col("user_id") % 10).alias("seed"), (F.floor(F.col("user_id") / 10) % 4).alias("arm")).agg(F.avg("value").alias("value"))
+    means = e.groupBy(F.col("event_type").alias("dataset"), (F.col("user_id") % 10).alias("seed"), (F.floor(F.col("user_id") / 10) % 4).alias("arm")).agg(F.avg("value").alias("value"))
+    return written(means, "results")
 
 
 def aggregate_rows(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
