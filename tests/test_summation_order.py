@@ -36,3 +36,7 @@ def same_as_sql(spark, folder, name):
 
 def test_comparison_verdict(spark, events):
     same_as_sql(spark, events, "comparison_verdict")
+
+
+def test_drift_report(spark, events):
+    same_as_sql(spark, events, "drift_report")
