@@ -40,3 +40,7 @@ def test_comparison_verdict(spark, events):
 
 def test_drift_report(spark, events):
     same_as_sql(spark, events, "drift_report")
+
+
+def test_null_safe_compare(spark, events):
+    same_as_sql(spark, events, "null_safe_compare")
