@@ -31,11 +31,17 @@ def round_state(points: DataFrame, centers: DataFrame, m: float = 2.0) -> DataFr
     return own.join(post, ["client", "j"]).join(foot, ["client", "j"])
 
 
-def target(state: DataFrame, weight: Column, name: str) -> DataFrame:
-    """j and the weighted mean of the local centres; null without weight. The dimension need not be known: numbers meet by place."""
-    each = state.select("j", weight.alias("w"), F.posexplode("c").alias("i", "t")).groupBy("j", "i").agg(F.sum(F.col("w") * F.col("t")).alias("s"), F.sum("w").alias("mass"))
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("i", F.try_divide("s", "mass").alias("t")))), lambda z: z["t"])  # one number a dimension
-    return each.groupBy("j").agg(mean.alias("v"), F.max("mass").alias("mass")).select("j", F.when(F.col("mass") > 0, F.col("v")).alias(name))
+def targets(state: DataFrame, **weights: Column) -> DataFrame:
+    """j and, under each name, the weighted mean of the local centres; null without weight.
+
+    All are taken in one aggregation, so that equal weights give equal numbers in whatever order rows and partial sums come.
+    The dimension need not be known: numbers meet by place.
+    """
+    each = state.select("j", *[w.alias(f"w_{n}") for n, w in weights.items()], F.posexplode("c").alias("i", "t"))
+    sums = each.groupBy("j", "i").agg(*[F.sum(F.col(f"w_{n}") * F.col("t")).alias(f"s_{n}") for n in weights], *[F.sum(f"w_{n}").alias(f"m_{n}") for n in weights])
+    means = F.array_sort(F.collect_list(F.struct("i", *[F.try_divide(f"s_{n}", f"m_{n}").alias(n) for n in weights])))  # one number a dimension
+    every = sums.groupBy("j").agg(means.alias("means"), *[F.max(f"m_{n}").alias(f"m_{n}") for n in weights])
+    return every.select("j", *[F.when(F.col(f"m_{n}") > 0, F.col(f"means.{n}")).alias(n) for n in weights])
 
 
 def _length(a: str, b: str) -> Column:
@@ -46,11 +52,13 @@ def substitution(state: DataFrame) -> DataFrame:
     """j, lhs, rhs, holds, ratio: how far masses before and after the local step move the target, with and without the gate.
 
     The covariance of pre/post with the centres over its mean, under weights w * post, is the difference of the targets under
-    w * pre and w * post; so both sides are lengths between targets. Prototypes with an empty client are left out.
+    w * pre and w * post; so both sides are lengths between targets. Prototypes with an empty client are left out. A gate that
+    is the same for all clients narrows nothing: taken relative to the largest it is 1, and both sides are equal to the last digit.
     """
-    full = state.withColumn("least", F.min("post").over(Window.partitionBy("j"))).where("least > 0")
-    b, pre, post, r = F.col("share"), F.col("pre"), F.col("post"), F.col("r")
-    out = target(full, b * pre * r, "a").join(target(full, b * post * r, "b"), "j").join(target(full, b * pre, "e"), "j").join(target(full, b * post, "f"), "j")
+    own = Window.partitionBy("j")
+    full = state.withColumns({"least": F.min("post").over(own), "gate": F.try_divide("r", F.max("r").over(own))}).where("least > 0")
+    b, pre, post, r = F.col("share"), F.col("pre"), F.col("post"), F.col("gate")
+    out = targets(full, a=b * pre * r, b=b * post * r, e=b * pre, f=b * post)
     s = out.select("j", _length("a", "b").alias("lhs"), _length("e", "f").alias("rhs"))
     return s.withColumn("holds", F.col("lhs") < F.col("rhs")).withColumn("ratio", F.when(F.col("rhs") > 1e-12, F.col("lhs") / F.col("rhs")))
 
@@ -64,8 +72,7 @@ def tilt(state: DataFrame, mass: str = "post") -> DataFrame:
     w = F.col("share") * F.col(mass)
     s = state.withColumn("wq", w * F.col("q")).withColumn("wr", w * F.col("r")).withColumn("g", F.col("r") / F.col("q"))
     s = s.withColumn("u", (F.col("r") > FLOOR + 1e-12) & (F.col("q") > FLOOR + 1e-12))
-    both = target(s, F.col("wq"), "tq").join(target(s, F.col("wr"), "tr"), "j")
-    s = s.join(both, "j")
+    s = s.join(targets(s, tq=F.col("wq"), tr=F.col("wr")), "j")
 
     def cv(on: Column) -> Column:
         wq = F.when(on, F.col("wq"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fogmeans.operators import diagnostics, trajectory
 from fogmeans.plans import catalog
 
 
@@ -44,3 +45,31 @@ def test_drift_report(spark, events):
 
 def test_null_safe_compare(spark, events):
     same_as_sql(spark, events, "null_safe_compare")
+
+
+def level(spark):
+    """Three rounds of prototypes whose gate is the same for all clients: 1, or 0.3."""
+    r = np.random.default_rng(6)
+    rows = [(t, c, j, float(r.random()), 10, *map(float, r.random(2) + 1), (1.0, 0.3)[j % 2], r.random(8).tolist()) for t in range(3) for c in range(7) for j in range(6)]
+    return spark.createDataFrame(rows, "round int, client int, j int, share double, n int, pre double, post double, r double, c array<double>")
+
+
+@pytest.fixture
+def sums_of_a_task(monkeypatch):
+    """Sums whose last digits hang on the task that takes them."""
+
+    @F.udf("double")
+    def last_digits(v):
+        from pyspark import TaskContext
+
+        return v * (1 + 1e-12 * (hash((TaskContext.get().taskAttemptId(), v)) % 1000 / 1000))
+
+    total = F.sum
+    monkeypatch.setattr(F, "sum", lambda c: last_digits.asNondeterministic()(total(c)))
+
+
+def test_trajectory_substitution(spark, sums_of_a_task):
+    """A gate that is level does not narrow the step."""
+    got = trajectory.substitution(level(spark)).collect()
+    assert len(got) == 18 and all(x["lhs"] == x["rhs"] > 0 and x["ratio"] == 1 and not x["holds"] for x in got)
+    assert not any(x["holds"] for x in diagnostics.substitution(level(spark).where("round = 1")).collect())
