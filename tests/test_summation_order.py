@@ -73,3 +73,8 @@ def test_trajectory_substitution(spark, sums_of_a_task):
     got = trajectory.substitution(level(spark)).collect()
     assert len(got) == 18 and all(x["lhs"] == x["rhs"] > 0 and x["ratio"] == 1 and not x["holds"] for x in got)
     assert not any(x["holds"] for x in diagnostics.substitution(level(spark).where("round = 1")).collect())
+
+
+def test_trajectory_link(spark, sums_of_a_task):
+    got = trajectory.substitution_summary(level(spark).withColumn("q", F.lit(0.5))).head()
+    assert got["ineq_frac"] == 0 and got["ratio_median"] == 1
