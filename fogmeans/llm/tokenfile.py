@@ -29,6 +29,9 @@ SECTION_IDS = 4 << 20
 FILE_SECTIONS = 4
 TASK_BYTES = 16 << 20
 LEAST_BYTES = 2 << 20
+#: Chunks that the library gets as one text, and the word between them, which is rare in texts.
+JOINED = 2048
+MARK = "\x01"
 #: Chunks a worker remembers the ids of, and bytes of the longest of them.
 REMEMBERED = 1 << 19
 LONGEST = 64
@@ -38,8 +41,8 @@ class ChunkEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     The library drops white space, and nothing it does (special strings, NFC, lower case, splitting) reaches across an ASCII
-    white space character, so a text's ids are its chunks' ids one after another. Each chunk is encoded by the library; those
-    met before are remembered.
+    white space character, so a text's ids are its chunks' ids one after another. Each chunk is encoded by the library, many as
+    one text with MARK between them; those met before are remembered.
     """
 
     def __init__(self, path: str):
@@ -49,18 +52,29 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         #: the ids of each chunk as little-endian uint32
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Each mark gives its id once; if that id is there more often, a chunk holds it and each is encoded alone."""
+        if self.mark is not None:
+            ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = 4 * np.flatnonzero(ids == self.mark)
+            if len(at) == len(chunks) - 1:
+                raw = ids.tobytes()
+                return [raw[a:z] for a, z in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.library.encode_batch(chunks, add_special_tokens=False)]
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         split = [(t or b"").split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = list(set().union(*split).difference(self.known))
-        for a in range(0, len(fresh), 4096):
-            some = fresh[a : a + 4096]
-            for c, e in zip(some, self.library.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.known[c] = struct.pack(f"<{len(e)}I", *e.ids)
+        for a in range(0, len(fresh), JOINED):
+            some = fresh[a : a + JOINED]
+            self.known.update(zip(some, self._ids([c.decode() for c in some]), strict=True))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in split]
         for c in fresh:
             if len(c) > LONGEST:
